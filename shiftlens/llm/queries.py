@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shiftlens.llm import decontaminate, quality
+from shiftlens.llm import boilerplate, decontaminate, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +20,24 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_lines, n_removed_lines and the digest of what is left of every document."""
+    left = boilerplate.remove_lines(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return left.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
     "op7_quality": op7_quality,
 }
 ORACLES: dict[str, str] = {
+    "op10_line_dedup": r"""
+WITH l AS (SELECT doc_id, coalesce(source, chr(0)) AS source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
+b AS (SELECT k FROM t WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 6),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (FROM b)) AS n_removed_lines, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (FROM b)) AS kept FROM t GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN d USING (doc_id)""",
     "op5_decontaminate": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
