@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage ends there, and lost executors cost no rerun."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, freed = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(freed)
+    spark.conf.set(freed, "true")  # the table replaces this write's shuffle files
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(freed, before)
+    return spark.read.schema(df.schema).parquet(path)
