@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import boilerplate, decontaminate, embeddings, quality, secrets, substrings, suffixes
+from shiftlens.llm import boilerplate, decontaminate, embeddings, near_duplicates, quality, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -45,6 +49,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
