@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import boilerplate, decontaminate, embeddings, near_duplicates, quality, secrets, substrings, suffixes
+from shiftlens.llm import boilerplate, decontaminate, embeddings, language, near_duplicates, quality, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_lines, n_removed_lines and the digest of what is left of every document."""
     left = boilerplate.remove_lines(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
     "op7_quality": op7_quality,
 }
