@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import boilerplate, decontaminate, embeddings, language, near_duplicates, quality, secrets, substrings, suffixes
+from shiftlens.llm import boilerplate, decontaminate, embeddings, language, mixing, near_duplicates, quality, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shares of the corpus's tokens that the mixed corpus is to give to each domain.
+TARGETS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, posteriors and the fitted rate of every document."""
+    domains = mixing.label_domains(_table(spark, sf_dir, "labels"))
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), domains, TARGETS).drop("text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,6 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_mixing": op6_mixing,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
