@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from shiftlens.llm.stored import stored
 
+#: Shares of the corpus's tokens that the mixed corpus is to give to each domain.
+TARGETS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
+
 _STYLE = ["ln(1 + n_tokens)", "regexp_count(text, '[!#$%&*|]+') / n", "regexp_count(text, '[A-Z]{3,}') / n", "regexp_count(text, '[0-9]+') / n", "regexp_count(text, '\n') / n"]
 _SMOOTH = 0.5
 
@@ -69,17 +72,18 @@ def _softmax(scores: list[Column]) -> list[Column]:
     return [o / whole for o in odds]
 
 
-def _scores(weights: list[list[float]], mean: list[float], scale: list[float]) -> list[Column]:
-    out = []
-    for row in weights:
-        s = F.lit(row[-1])
-        for i, w in enumerate(row[:-1]):
-            s = s + F.lit(w) * ((F.get("x", F.lit(i)) - F.lit(mean[i])) / F.lit(scale[i]))
-        out.append(s)
-    return out
+def _dot(values: Column | str, weights: list[float]) -> Column:
+    """values . weights. The weights stand in one array, so that new ones need no newly compiled code."""
+    return F.aggregate(F.zip_with(values, F.lit(weights), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def _scaled(x: str, mean: list[float], scale: list[float]) -> Column:
+    """Standardised features and a constant."""
+    centred = F.zip_with(F.zip_with(x, F.lit(mean), lambda a, b: a - b), F.lit(scale), lambda a, b: a / b)
+    return F.concat(centred, F.array(F.lit(1.0)))
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, per_domain: int = 64, rounds: int = 60, decay: float = 1e-4) -> DataFrame:
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, per_domain: int = 64, rounds: int = 40, decay: float = 1e-4) -> DataFrame:
     """docs(doc_id, text, ...) with n_tokens and p, its posterior over `domains`, fitted on at most sample_rows rows of labelled(doc_id, domain)."""
     k, base = len(domains), _base(docs)
     chosen = labelled.where(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "domain").limit(sample_rows)
@@ -91,23 +95,24 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_
     d = len(_STYLE) + k
     stats = rows.agg(F.count("*").alias("n"), *(F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d))).first()
     mean, scale = [stats[f"m{i}"] for i in range(d)], [stats[f"s{i}"] or 1.0 for i in range(d)]
+    rows = stored(rows.select(_scaled("x", mean, scale).alias("z"), *((F.col("domain") == name).cast("double").alias(f"is{c}") for c, name in enumerate(domains))))
     weights, speed = [[0.0] * (d + 1) for _ in domains], [[0.0] * (d + 1) for _ in domains]
     rate = 2.0 / (d + 1)
     for _ in range(rounds):
         ahead = [[w + 0.9 * v for w, v in zip(a, b, strict=True)] for a, b in zip(weights, speed, strict=True)]
         # The gradient's parts come from one projection of the scores and one aggregation of k * (d + 1) sums.
-        p = rows.select("x", *(q.alias(f"q{c}") for c, q in enumerate(_softmax(_scores(ahead, mean, scale)))), "domain")
-        off = [F.col(f"q{c}") - (F.col("domain") == name).cast("double") for c, name in enumerate(domains)]
-        sums = [F.avg(o * ((F.get("x", F.lit(i)) - mean[i]) / scale[i]) if i < d else o).alias(f"g{c}_{i}") for c, o in enumerate(off) for i in range(d + 1)]
-        g = p.agg(*sums).first()
+        scored = rows.select("*", *(_dot("z", w).alias(f"s{c}") for c, w in enumerate(ahead)))
+        off = scored.select("z", *((q - F.col(f"is{c}")).alias(f"o{c}") for c, q in enumerate(_softmax([F.col(f"s{c}") for c in range(k)]))))
+        g = off.agg(*(F.avg(F.col(f"o{c}") * F.get("z", F.lit(i))).alias(f"g{c}_{i}") for c in range(k) for i in range(d + 1))).first()
         for c in range(k):
             for i in range(d + 1):
                 speed[c][i] = 0.9 * speed[c][i] - rate * (g[f"g{c}_{i}"] + decay * ahead[c][i])
                 weights[c][i] += speed[c][i]
-    return _features(base, evidence, k).withColumn("p", F.array(*_softmax(_scores(weights, mean, scale)))).drop("n", "words", "style", "x")
+    scored = _features(base, evidence, k).withColumn("z", _scaled("x", mean, scale)).withColumns({f"s{c}": _dot("z", w) for c, w in enumerate(weights)})
+    return scored.withColumn("p", F.array(*_softmax([F.col(f"s{c}") for c in range(k)]))).drop("n", "words", "style", "x", "z", *(f"s{c}" for c in range(k)))
 
 
-def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, most: int = 80, every: int = 10) -> DataFrame:
+def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 5e-4, most: int = 60, every: int = 5) -> DataFrame:
     """soft(n_tokens, p, ...) with `rate`. Steps are accelerated by momentum; every few of them the rates are written out, so
     that plans stay short. Ends when every domain's share is within `tolerance` of its target, or after `most` steps."""
     k, whole = len(targets), sum(targets)
@@ -135,12 +140,10 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-4, mo
         else:
             y = [sums[f"_y{i}"] / tokens - goal[i] for i in range(k)]
         before = error
-        slope = F.lit(0.0)
-        for i in range(k):
-            slope = slope + F.get("p", F.lit(i)) * F.lit(step * y[i])
+        slope = _dot("p", [step * v for v in y])
         grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         now = now.withColumn("_s", F.greatest(F.lit(0.0), F.col("_y") - slope))
-        now = now.withColumn("_y", F.col("_s") + F.lit((momentum - 1) / grown) * (F.col("_s") - F.col("_r"))).drop("_r").withColumnRenamed("_s", "_r")
+        now = now.withColumn("_y", F.col("_s") + _dot(F.array(F.col("_s") - F.col("_r")), [(momentum - 1) / grown])).drop("_r").withColumnRenamed("_s", "_r")
         momentum = grown
         if n % every == every - 1:
             now = stored(now)

@@ -11,10 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs, slices, span_names
 
 BITS = 18
+THRESHOLD = 0.7
 BIAS = 1 << BITS
 _KIND = np.full(256, 2, np.uint8)
 _KIND[SPACE] = 0
@@ -72,16 +74,17 @@ def fit(labelled: DataFrame, sample_rows: int = 8000, shards: int = 4, epochs: i
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, score) of every row of docs(doc_id, text). The weights are 2**BITS + 1 numbers, whatever the input."""
+    """docs with `score` for every row; they need a column text. The weights are 2**BITS + 1 numbers, whatever the input."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batch, data, offsets):
         w = shared.value
         at, row = features(data, offsets)
         total = np.bincount(row, w[at], batch.num_rows) / np.maximum(1, np.bincount(row, minlength=batch.num_rows))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-total - w[BIAS])))], ["doc_id", "score"])
+        return batch.append_column("score", pa.array(1 / (1 + np.exp(-total - w[BIAS]))))
 
-    return map_text(docs.select("doc_id", "text"), run, "doc_id long, score double")
+    return map_text(docs, run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(fold: int, of: int):
@@ -98,7 +101,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 8000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = 8000) -> DataFrame:
     """Fit on labels.quality, then score all of docs: (doc_id, held_out, score, predicted)."""
-    scored = score(docs, fit(training_rows(docs, labels, sample_rows), sample_rows))
+    scored = score(docs.select("doc_id", "text"), fit(training_rows(docs, labels, sample_rows), sample_rows))
     return scored.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -12,14 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Shares of the corpus's tokens that the mixed corpus is to give to each domain.
-TARGETS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
-
-
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, posteriors and the fitted rate of every document."""
     domains = mixing.label_domains(_table(spark, sf_dir, "labels"))
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), domains, TARGETS).drop("text")
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), domains, mixing.TARGETS).drop("text")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

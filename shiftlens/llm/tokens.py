@@ -45,16 +45,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             row = to
 
 
-def map_text(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """Map slices of (doc_id, text, ...) through fn(batch, data, offsets) -> RecordBatch, Table or None."""
+def map_text(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """Map slices of df, which has a column text, through fn(batch, data, offsets) -> RecordBatch."""
 
     def run(batches):
         for batch, data, offsets in slices(batches):
-            out = fn(batch, data, offsets)
-            if isinstance(out, pa.Table):
-                yield from out.to_batches()
-            elif out is not None:
-                yield out
+            yield fn(batch, data, offsets)
 
     return df.mapInArrow(run, schema)
 
