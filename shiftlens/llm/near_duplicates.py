@@ -141,7 +141,7 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
 def distances(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     """(a, b, d) for pairs(a, b), one minus weighted Jaccard of texts(node, text). The join on a comes last: rows of one a
     are then neighbours, and its shingles are made once."""
-    joined = pairs.join(texts.selectExpr("node as b", "text as text_b"), "b").join(texts.selectExpr("node as a", "text as text_a"), "a")
+    joined = pairs.join(texts.selectExpr("node as b", "text as text_b").hint("merge"), "b").join(texts.selectExpr("node as a", "text as text_a").hint("merge"), "a")
 
     def run(batches):
         last: tuple = (None, None)
@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     met = stored(members.join(least, ["band", "name"]))
     stars = met.where("node <> pivot").selectExpr("pivot as a", "node as b").distinct()
     wanted = met.select("node").distinct()
-    texts = stored(docs.join(wanted, docs.doc_id == wanted.node).select("node", "text"))
+    # Texts are merged by id at every size; a plan that broadcasts ids while they are few would not tell how it grows.
+    texts = stored(docs.hint("merge").join(wanted.hint("merge"), docs.doc_id == wanted.node).select("node", "text"))
     first = stored(distances(stars, texts, shared))
     links = first.where(F.col("d") <= apart).select("a", "b")
     reached = components(links)
