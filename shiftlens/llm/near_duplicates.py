@@ -8,10 +8,10 @@ Document frequencies are kept for 2**WORD_BITS hashed words, so the table that t
 Each of ROWS * BANDS samples draws a shingle and a quantised weight with the probability that two texts share; texts that
 agree on all samples of a band meet in a bucket. Similarity is the weighted Jaccard of two texts: sum of minima over sum of maxima.
 
-Identical texts are one class. In a bucket every class is verified against the bucket's least. Distance (one minus
-similarity) obeys the triangle inequality, so of the other pairs only those remain that are in different components
-and whose distances to the least differ by no more than the threshold; these are verified in a second round. No link
-between classes that share a bucket is lost, and pairs inside a component are never listed.
+Identical texts are one class. In a bucket every class is verified against the bucket's least. The classes that are then
+in another component than that one, if any, are compared with all the rest of their bucket in a second round, block against
+block within tasks, of which only links that join components come out. So no link between components is lost among classes that share
+a bucket, pairs are never listed, and a large bucket is work for many tasks.
 
 Null and empty texts have no shingles and no links. Rows that share a doc_id count as one document; a row with a null doc_id has a null class.
 """
@@ -33,6 +33,8 @@ BANDS, ROWS = 12, 4
 WORD_BITS = 18
 _SLOT_BITS = 16
 _AT_ONCE = 16384
+#: Classes in a block of the second round: a task holds two blocks and their matrix of similarities.
+BLOCK = 256
 _SEED = 20240301
 _NOT_SPACE = ~SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -160,6 +162,64 @@ def distances(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d double")
 
 
+def cross_links(members: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
+    """(a, b): links between components, of members(band, name, node, own, outside): `own` is the component of a bucket's
+    class, and those marked outside are compared with the whole bucket."""
+    sizes = members.groupBy("band", "name").agg(F.ceil(F.count_if("outside") / BLOCK).alias("o_blocks"), F.ceil(F.count("*") / BLOCK).alias("m_blocks")).where("o_blocks > 0")
+    placed = members.join(sizes, ["band", "name"])
+    block = lambda of: F.pmod(F.xxhash64("node"), of)
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    one = placed.withColumns({"o": each("o_blocks"), "m": block("m_blocks"), "side": F.lit(False)})
+    other = placed.where("outside").withColumns({"o": block("o_blocks"), "m": each("m_blocks"), "side": F.lit(True)})
+    dealt = one.unionByName(other).select(F.xxhash64("band", "name", "o", "m").alias("task"), "side", "node", "own").join(texts.hint("merge"), "node")
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        idf, side, node, own = shared.value, *(np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        raw = [r[4].encode() for r in rows]
+        got = list(shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), idf))
+        total = np.array([w.sum() for _, w in got])
+        # Only shingles that two of the rows share can add to a similarity.
+        names, seen = np.unique(np.concatenate([n for n, _ in got]), return_counts=True)
+        names = names[seen > 1]
+        x = np.zeros((len(rows), len(names)))
+        for k, (n, w) in enumerate(got):
+            at = np.minimum(np.searchsorted(names, n), max(0, len(names) - 1))
+            hit = names[at] == n if len(names) else np.zeros(len(n), bool)
+            x[k, at[hit]] = w[hit]
+        links, top = [], {c: c for c in own.tolist()}
+
+        def find(c):
+            while top[c] != c:
+                c = top[c]
+            return c
+
+        them = np.flatnonzero(~side)
+        for i in np.flatnonzero(side):
+            least = np.minimum(x[i], x[them]).sum(axis=1)
+            for j in them[(least >= similarity * (total[i] + total[them] - least) - 1e-9) & (own[them] != own[i])]:
+                a, b = find(own[i]), find(own[j])
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    links.append((int(node[i]), int(node[j])))
+        return links
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "own", "text")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield out(compare(held))
+                    held = []
+                held.append(row)
+        if held:
+            yield out(compare(held))
+
+    def out(links):
+        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.select("task", "side", "node", "own", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept) of every row of docs(doc_id, text): class_id is the least doc_id that links reach."""
     docs = docs.select("doc_id", "text")
@@ -173,18 +233,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     stars = met.where("node <> pivot").selectExpr("pivot as a", "node as b").distinct()
     wanted = met.select("node").distinct()
     # Texts are merged by id at every size; a plan that broadcasts ids while they are few would not tell how it grows.
-    texts = stored(docs.hint("merge").join(wanted.hint("merge"), docs.doc_id == wanted.node).select("node", "text"))
-    first = stored(distances(stars, texts, shared))
-    links = first.where(F.col("d") <= apart).select("a", "b")
+    texts = stored(docs.hint("merge").join(wanted.hint("merge"), docs.doc_id == wanted.node).select("node", "text").dropDuplicates(["node"]))
+    links = stored(distances(stars, texts, shared).where(F.col("d") <= apart).select("a", "b"))
     reached = components(links)
-    # Second round: classes of a bucket that are not in its least one's component, against the rest of the bucket.
     of = met.join(reached.selectExpr("node", "component as own"), "node", "left").join(reached.selectExpr("node as pivot", "component as main"), "pivot", "left")
-    of = of.join(first.selectExpr("a as pivot", "b as node", "d"), ["pivot", "node"], "left")
-    of = of.select("band", "name", "node", "pivot", F.coalesce("own", "node").alias("own"), F.coalesce("main", "pivot").alias("main"), F.coalesce("d", F.lit(0.0)).alias("d")).where("node <> pivot")
-    out = of.where("own <> main").select("band", "name", F.col("node").alias("y"), F.col("own").alias("own_y"), F.col("d").alias("d_y"))
-    rest = of.join(out, ["band", "name"]).where((F.col("own") != F.col("own_y")) & (F.abs(F.col("d") - F.col("d_y")) <= apart))
-    pairs = rest.selectExpr("least(node, y) as a", "greatest(node, y) as b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = stored(distances(pairs, texts, shared)).where(F.col("d") <= apart).select("a", "b")
+    of = of.where("node <> pivot").withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "pivot")})
+    second = stored(cross_links(of.withColumn("outside", F.col("own") != F.col("main")).select("band", "name", "node", "own", "outside"), texts, shared, similarity))
     if second.limit(1).count():
         reached = components(links.unionByName(second))
     of = classes.select("h0", "h1", "node").join(reached, "node", "left").select("h0", "h1", F.coalesce("component", "node").alias("class_id"))
