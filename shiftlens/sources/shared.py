@@ -1,15 +1,23 @@
-"""Cutting lineage in the folder that all executors share."""
+"""The folder that all executors share, and cutting lineage in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; where that is unset, as in tests, in one of our own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one of our own, set for the session."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
