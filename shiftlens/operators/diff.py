@@ -38,16 +38,14 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*(F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys), "a", "b")
 
 
-def _exploded(both: DataFrame, object_type: str, ident: Column, cases: list[tuple[str, Column, Column, Column]]) -> DataFrame:
+def _exploded(both: DataFrame, object_type: str, ident: Column, cases: list[tuple[str, Column, Column | None, Column | None]]) -> DataFrame:
     """One row for each case that holds: (change_type, condition, before, after)."""
-    rows = [F.when(holds, F.struct(F.lit(kind).alias("change_type"), before.cast("string").alias("before_state"), after.cast("string").alias("after_state"))) for kind, holds, before, after in cases]
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    rows = [F.when(holds, F.struct(F.lit(kind).alias("change_type"), text(before).alias("before_state"), text(after).alias("after_state"))) for kind, holds, before, after in cases]
     found = both.select(ident.alias("object_identifier"), F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("c"))
     return found.select("c.change_type", F.lit(object_type).alias("object_type"), "object_identifier", "c.before_state", "c.after_state")
 
 
-_NONE = F.lit(None)
-
-
 def _json(*fields: str) -> Column:
     side = fields[0].split(".")[0]
     return F.when(F.col(side).isNotNull(), F.to_json(F.struct(*(F.col(f).alias(f.split(".")[1]) for f in fields)), {"ignoreNullFields": "false"}))
@@ -56,7 +54,7 @@ def _json(*fields: str) -> Column:
 def diff_schemas(a: DataFrame, b: DataFrame) -> DataFrame:
     """SCHEMA_ADDED and SCHEMA_REMOVED from frames with schema_name."""
     both = compare(a.select("schema_name").distinct(), b.select("schema_name").distinct(), ["schema_name"])
-    return _exploded(both, "SCHEMA", F.col("schema_name"), [("SCHEMA_ADDED", F.col("a").isNull(), _NONE, _json("b.schema_name")), ("SCHEMA_REMOVED", F.col("b").isNull(), _json("a.schema_name"), _NONE)])
+    return _exploded(both, "SCHEMA", F.col("schema_name"), [("SCHEMA_ADDED", F.col("a").isNull(), None, _json("b.schema_name")), ("SCHEMA_REMOVED", F.col("b").isNull(), _json("a.schema_name"), None)])
 
 
 def diff_tables(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -69,8 +67,8 @@ def diff_tables(a: DataFrame, b: DataFrame) -> DataFrame:
         "TABLE",
         F.concat_ws(".", *TABLE_KEY),
         [
-            ("TABLE_ADDED", F.col("a").isNull(), _NONE, _json("b.object_type")),
-            ("TABLE_REMOVED", F.col("b").isNull(), _json("a.object_type"), _NONE),
+            ("TABLE_ADDED", F.col("a").isNull(), None, _json("b.object_type")),
+            ("TABLE_REMOVED", F.col("b").isNull(), _json("a.object_type"), None),
             ("TABLE_TYPE_CHANGED", retyped, _json("a.object_type"), _json("b.object_type")),
             ("TABLE_DDL_CHANGED", here & ~retyped & (F.col("a.ddl_alter_timestamp") != F.col("b.ddl_alter_timestamp")), _json("a.ddl_alter_timestamp"), _json("b.ddl_alter_timestamp")),
         ],
@@ -89,8 +87,8 @@ def diff_columns(a: DataFrame, b: DataFrame) -> DataFrame:
         "COLUMN",
         F.concat_ws(".", *COLUMN_KEY),
         [
-            ("COLUMN_ADDED", F.col("a").isNull(), _NONE, _json(*(f"b.{f}" for f in every))),
-            ("COLUMN_REMOVED", F.col("b").isNull(), _json(*(f"a.{f}" for f in every)), _NONE),
+            ("COLUMN_ADDED", F.col("a").isNull(), None, _json(*(f"b.{f}" for f in every))),
+            ("COLUMN_REMOVED", F.col("b").isNull(), _json(*(f"a.{f}" for f in every)), None),
             ("COLUMN_TYPE_CHANGED", differs("data_type"), _json("a.data_type"), _json("b.data_type")),
             ("COLUMN_NULLABILITY_CHANGED", differs("nullable"), _json("a.nullable"), _json("b.nullable")),
             ("COLUMN_POSITION_CHANGED", differs("ordinal_position"), _json("a.ordinal_position"), _json("b.ordinal_position")),

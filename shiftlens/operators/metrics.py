@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from shiftlens.functions.exprs import leaf, parent_object, schema_of, share
 from shiftlens.operators.diff import consecutive_pairs, severity_rank
 
-_ALL = Window.partitionBy(F.lit(0))
-
-
 def snapshot_metrics(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Per snapshot_id: schemas, tables (all that isn't a view), views, columns and their total without columns."""
     t = tables.groupBy("snapshot_id").agg(F.count_distinct("schema_name").alias("schemas"), F.count_if(F.col("object_type") != "VIEW").alias("tables"), F.count_if(F.col("object_type") == "VIEW").alias("views"))
@@ -112,7 +109,7 @@ def domain_risk(schemas: DataFrame, changes: DataFrame, impacts: DataFrame, scor
     c = changes.join(impacts.select("change_id", (F.col("direct") + F.col("indirect")).alias("_i")), "change_id", "left").groupBy(dom("object_identifier")).agg(F.count("*").alias("changes"), F.count_if("is_breaking").alias("breaking"), F.coalesce(F.sum("_i"), F.lit(0)).alias("impacts"))
     h = scores.where("level = 'HIGH'").groupBy(dom("object_name")).agg(F.count("*").alias("high_objects"))
     both = schemas.select("schema_name").distinct().join(c, "schema_name", "left").join(h, "schema_name", "left").na.fill(0)
-    total = F.greatest(F.sum("changes").over(_ALL), F.lit(1))
+    total = F.greatest(F.sum("changes").over(Window.partitionBy()), F.lit(1))
     score = 0.3 * F.col("changes") / total + 0.3 * F.col("breaking") / F.greatest("changes", F.lit(1)) + 0.2 * F.least(F.col("impacts") / 10, F.lit(1.0)) + 0.2 * F.least(F.col("high_objects") / 3, F.lit(1.0))
     out = both.withColumn("score", F.round(score, 4))
     return out.withColumn("level", F.when(F.col("score") >= 0.5, "HIGH").when(F.col("score") >= 0.2, "MEDIUM").otherwise("LOW"))
@@ -187,7 +184,7 @@ def cumulative_count(tables: DataFrame, baseline: int, snapshot: int) -> DataFra
 def inventory(tables: DataFrame, n: int = 30) -> DataFrame:
     """The n schemas with most tables, and the rest in one row."""
     per = tables.groupBy("schema_name").agg(F.count("*").alias("n_tables"))
-    order = _ALL.orderBy(F.desc("n_tables"), "schema_name")
+    order = Window.orderBy(F.desc("n_tables"), "schema_name")
     ranked = per.withColumn("_r", F.row_number().over(order))  # one row a schema
     return ranked.groupBy(F.when(F.col("_r") <= n, F.col("schema_name")).otherwise("(rest)").alias("schema_name")).agg(F.count("*").alias("n_schemas"), F.sum("n_tables").alias("n_tables"))
 
