@@ -87,7 +87,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_
     """docs(doc_id, text, ...) with n_tokens and p, its posterior over `domains`, fitted on at most sample_rows rows of labelled(doc_id, domain)."""
     k, base = len(domains), _base(docs)
     chosen = labelled.where(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "domain").limit(sample_rows)
-    sample = stored(_base(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("domain", "words", "style"))
+    sample = stored(_base(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "words", "style"))
     if not sample.limit(1).count():
         return base.withColumn("p", F.array_repeat(F.lit(1.0 / k), k)).drop("n", "words", "style")
     evidence = lexicon(sample, domains, per_domain)
@@ -112,55 +112,69 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_
     return scored.withColumn("p", F.array(*_softmax([F.col(f"s{c}") for c in range(k)]))).drop("n", "words", "style", "x", "z", *(f"s{c}" for c in range(k)))
 
 
-def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 5e-4, most: int = 60, every: int = 5) -> DataFrame:
-    """soft(n_tokens, p, ...) with `rate`. Steps are accelerated by momentum; every few of them the rates are written out, so
-    that plans stay short. Ends when every domain's share is within `tolerance` of its target, or after `most` steps."""
+def fit_steps(soft: DataFrame, targets: list[float], tolerance: float = 5e-4, most: int = 60, every: int = 5) -> list[tuple[list[float], float]]:
+    """The steps (slope over the domains, momentum) that lead every document of soft(n_tokens, p) from a rate of one to its
+    fitted rate. Steps are accelerated by momentum; every few of them the rates are written out, so that plans stay short. Ends
+    when every domain's share is within `tolerance` of its target, or after `most` steps."""
     k, whole = len(targets), sum(targets)
     goal = [t / whole for t in targets]
-    one = F.lit(1.0)
-    now = stored(soft.withColumns({"_r": one, "_y": one}))
+    now = soft.select("n_tokens", "p").where("n_tokens > 0").withColumns({"r": F.lit(1.0), "y": F.lit(1.0)})
     curve = [F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"h{i}_{j}") for i in range(k) for j in range(k)]
     first = now.agg(F.sum("n_tokens").alias("tokens"), *curve).first()
-    tokens = first["tokens"] or 0
+    tokens = first["tokens"]
     if not tokens:
-        return now.withColumn("rate", one).drop("_r", "_y")
+        return []
     # The steepest curvature is at most the largest row sum of the matrix of posterior products.
-    step = 1 / max(sum(first[f"h{i}_{j}"] for j in range(k)) / tokens for i in range(k))
-    momentum, before, y = 1.0, math.inf, [math.inf] * k
+    rate = 1 / max(sum(first[f"h{i}_{j}"] for j in range(k)) / tokens for i in range(k))
+    steps: list[tuple[list[float], float]] = []
+    momentum, before = 1.0, math.inf
     for n in range(most):
-        sums = now.agg(*(F.sum(F.col("n_tokens") * F.col(v) * F.get("p", F.lit(i))).alias(f"{v}{i}") for v in ("_r", "_y") for i in range(k))).first()
-        off = [sums[f"_r{i}"] / tokens - goal[i] for i in range(k)]
+        sums = now.agg(*(F.sum(F.col("n_tokens") * F.col(v) * F.get("p", F.lit(i))).alias(f"{v}{i}") for v in ("r", "y") for i in range(k))).first()
+        off = [sums[f"r{i}"] / tokens - goal[i] for i in range(k)]
         error = sum(x * x for x in off)
         if max(map(abs, off)) <= tolerance:
             break
         if error > before:  # overshot: momentum starts anew
             momentum = 1.0
-            y = off
-            now = now.withColumn("_y", F.col("_r"))
-        else:
-            y = [sums[f"_y{i}"] / tokens - goal[i] for i in range(k)]
         before = error
-        slope = _dot("p", [step * v for v in y])
         grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        now = now.withColumn("_s", F.greatest(F.lit(0.0), F.col("_y") - slope))
-        now = now.withColumn("_y", F.col("_s") + _dot(F.array(F.col("_s") - F.col("_r")), [(momentum - 1) / grown])).drop("_r").withColumnRenamed("_s", "_r")
+        step = ([rate * (sums[f"y{i}"] / tokens - goal[i]) for i in range(k)], (momentum - 1) / grown)
+        steps.append(step)
         momentum = grown
+        now = now.withColumn("s", F.greatest(F.lit(0.0), F.col("y") - _dot("p", step[0])))
+        now = now.select("n_tokens", "p", F.col("s").alias("r"), (F.col("s") + _dot(F.array(F.col("s") - F.col("r")), [step[1]])).alias("y"))
         if n % every == every - 1:
             now = stored(now)
-    return now.withColumnRenamed("_r", "rate").drop("_y")
+    return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample_rows: int = 6000) -> DataFrame:
+def apply_steps(steps: list[tuple[list[float], float]]) -> Column:
+    """The rate that the steps give a document with posterior p."""
+    if not steps:
+        return F.lit(1.0)
+    taken = F.transform(F.from_json(F.lit(json.dumps([[*slope, beta] for slope, beta in steps])), "array<array<double>>"), lambda s: s)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+
+    def one(state: Column, step: Column) -> Column:
+        k = F.size("p")
+        moved = F.greatest(F.lit(0.0), state["y"] - F.aggregate(F.zip_with("p", F.slice(step, F.lit(1), k), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+        return F.struct(moved.alias("r"), (moved + F.get(step, k) * (moved - state["r"])).alias("y"))
+
+    return F.aggregate(taken, start, one)["r"]
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample_rows: int = 6000, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, p_<domain> for each target domain, and rate. docs need doc_id and text; other columns are kept,
-    but for those that share a name with the added ones."""
+    but for those that share a name with the added ones. Posteriors are written out once and read by every step."""
     domains = sorted(targets)
     made = ["n_tokens", *(f"p_{d}" for d in domains), "rate"]
     carried = [c for c in docs.columns if c not in ("doc_id", "text", *made)]
-    body = docs.select("doc_id", "text", F.struct(F.col("text").alias("text"), *carried).alias("_row"))
-    soft = posteriors(body, labelled, domains, sample_rows).select("doc_id", "n_tokens", "p", "_row")
-    fitted = fit_rates(soft, [targets[d] for d in domains])
+    kept = (["text"] if keep_text else []) + carried
+    body = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"_{c}") for c in kept)).alias("_row"))
+    soft = stored(posteriors(body, labelled, domains, sample_rows).select("doc_id", "n_tokens", "p", "_row"))
+    rate = apply_steps(fit_steps(soft, [targets[d] for d in domains]))
     shares = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)]
-    return fitted.select("doc_id", "_row.text", *(F.col("_row").getField(c).alias(c) for c in carried), "n_tokens", *shares, "rate")
+    return soft.select("doc_id", *(F.col("_row").getField(f"_{c}").alias(c) for c in kept), "n_tokens", *shares, rate.alias("rate"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, posteriors and the fitted rate of every document."""
     domains = mixing.label_domains(_table(spark, sf_dir, "labels"))
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), domains, mixing.TARGETS).drop("text")
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), domains, mixing.TARGETS, keep_text=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
