@@ -162,6 +162,14 @@ def changed_high_risk(scores: DataFrame, changes: DataFrame) -> DataFrame:
     return scores.where("level = 'HIGH'").join(changes.select(F.lower("object_identifier").alias("_k")).distinct(), F.lower("object_name") == F.col("_k"), "left_semi")
 
 
+def risk_overview(scores: DataFrame, changes: DataFrame, n: int = 10) -> DataFrame:
+    """(section, name, value): how many objects each level has, the n highest scores, and the changed HIGH objects."""
+    level = scores.groupBy(F.col("level").alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit("level").alias("section"), "name", "value")
+    top = top_scores(scores, n).select(F.lit("top").alias("section"), F.col("object_name").alias("name"), F.col("combined").alias("value"))
+    changed = changed_high_risk(scores, changes).select(F.lit("changed").alias("section"), F.col("object_name").alias("name"), F.col("combined").alias("value"))
+    return level.unionByName(top).unionByName(changed)
+
+
 def schema_risk_rollup(scores: DataFrame) -> DataFrame:
     per = scores.groupBy(schema_of("object_name").alias("schema_name")).agg(F.count("*").alias("total"), *(F.count_if(F.col("level") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW")), F.round(F.avg("combined"), 4).alias("avg_score"))
     return per.orderBy(F.desc("high"), F.desc("avg_score"), "schema_name")

@@ -55,6 +55,12 @@ def top_teams(usage: DataFrame, people: DataFrame, teams: DataFrame, n: int = 5)
     return per.orderBy(F.desc("total_queries"), "team").limit(n)
 
 
+def top_applications(usage: DataFrame, table_map: DataFrame, schema_map: DataFrame, apps: DataFrame, n: int = 5) -> DataFrame:
+    """Applications with most queries; usage that no mapping covers is left out."""
+    per = usage_by_app(usage, table_map, schema_map, apps).where("application <> '(unmapped)'")
+    return per.orderBy(F.desc("total_queries"), "application").limit(n)
+
+
 def object_search(names: DataFrame, q: str, types: list[str] | None = None, limit: int = 20) -> DataFrame:
     """Distinct names(object_name, object_type) that hold q, by lower case; one row over the limit tells that there are more."""
     hit = names.where(F.col("object_name").ilike(f"%{q}%"))

@@ -398,6 +398,15 @@ def agg26_top_teams(d):
     return org.top_teams(d.usage, d.person, d.team)
 
 
+@query(
+    """WITH u AS (SELECT object_name, sum(query_count)::BIGINT AS q FROM usage GROUP BY 1), t AS (SELECT DISTINCT object_name, app_id FROM table_app), s AS (SELECT DISTINCT schema_name, app_id FROM schema_app),
+m AS (SELECT q, t.app_id FROM u JOIN t USING (object_name) UNION ALL SELECT q, s.app_id FROM u JOIN s ON s.schema_name = split_part(u.object_name, '.', 1) WHERE u.object_name NOT IN (SELECT object_name FROM t))
+SELECT application, CAST(sum(q) AS BIGINT) AS total_queries FROM m JOIN app USING (app_id) GROUP BY 1 ORDER BY total_queries DESC, application LIMIT 5"""
+)
+def agg26_top_applications(d):
+    return org.top_applications(d.usage, d.table_app, d.schema_app, d.app)
+
+
 def _extracts(d):
     """Extract rows as read from the flat files: tables listed twice, columns of unknown tables."""
     ts = F.expr("cast('2024-01-01' as timestamp_ntz)")

@@ -144,6 +144,14 @@ def agg15_landscape(d):
     return metrics.landscape(d.node, _scores(d), d.chg, d.months)
 
 
+@query(
+    f"""WITH {_CR}, t AS (SELECT object_name, combined FROM cr ORDER BY combined DESC, object_name LIMIT 10) SELECT 'level' AS section, level AS name, CAST(count(*) AS DOUBLE) AS value FROM cr GROUP BY 2 UNION ALL SELECT 'top', object_name, combined FROM t
+UNION ALL SELECT 'changed', object_name, combined FROM cr WHERE level = 'HIGH' AND lower(object_name) IN (SELECT lower(object_identifier) FROM chg)"""
+)
+def agg15_risk_overview(d):
+    return metrics.risk_overview(_scores(d), d.chg)
+
+
 @query(f"WITH {_CR} SELECT object_name, combined FROM cr WHERE level = 'HIGH' AND lower(object_name) IN (SELECT lower(object_identifier) FROM chg)")
 def jn9_changed_high_risk(d):
     return metrics.changed_high_risk(_scores(d), d.chg).select("object_name", "combined")
