@@ -98,7 +98,7 @@ def agg10_domain_risk(d):
 
 @query(
     f"""WITH {_CR}, o AS (SELECT 0.05 AS volatility, (SELECT count(*) FROM chg WHERE is_breaking AND change_id % 1000 = 1) AS breaking, (SELECT count(*) FROM cr WHERE level = 'HIGH') AS high_objects)
-SELECT CAST(volatility AS DOUBLE) AS volatility, breaking, high_objects, round(greatest(0, 1 - least(2 * volatility, 0.3) - least(0.1 * breaking, 0.3) - least(0.05 * high_objects, 0.2)), 4) AS health,
+SELECT CAST(volatility AS DOUBLE) AS volatility, breaking, high_objects, CAST(round(greatest(0, 1 - least(2 * volatility, 0.3) - least(0.1 * breaking, 0.3) - least(0.05 * high_objects, 0.2)), 4) AS DOUBLE) AS health,
 CASE WHEN greatest(0, 1 - least(2 * volatility, 0.3) - least(0.1 * breaking, 0.3) - least(0.05 * high_objects, 0.2)) >= 0.7 THEN 'HEALTHY' WHEN greatest(0, 1 - least(2 * volatility, 0.3) - least(0.1 * breaking, 0.3) - least(0.05 * high_objects, 0.2)) >= 0.4 THEN 'AT_RISK' ELSE 'CRITICAL' END AS status FROM o"""
 )
 def agg11_governance_scorecard(d):
