@@ -75,9 +75,11 @@ def diff_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def diff_columns(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns of tables that both sides have: added, removed, and one row for each attribute that differs."""
-    shared = a.select(TABLE_KEY).distinct().intersect(b.select(TABLE_KEY).distinct())
+def diff_columns(a: DataFrame, b: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Columns of tables that both sides have: added, removed, and one row for each attribute that differs. `shared` lists
+    those tables; without it they are those with columns on both sides."""
+    if shared is None:
+        shared = a.select(TABLE_KEY).intersect(b.select(TABLE_KEY))
     both = compare(a.join(shared, TABLE_KEY, "left_semi"), b.join(shared, TABLE_KEY, "left_semi"), COLUMN_KEY)
     here = F.col("a").isNotNull() & F.col("b").isNotNull()
     differs = lambda f: here & ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
@@ -112,7 +114,7 @@ def compute_diff(tables: DataFrame, columns: DataFrame, first: int, second: int)
     at = lambda df, k: df.where(F.col("snapshot_id") == k).drop("snapshot_id")
     ta, tb, ca, cb = at(tables, lo), at(tables, hi), at(columns, lo), at(columns, hi)
     inside = ta.select(TABLE_KEY).intersect(tb.select(TABLE_KEY))
-    changes = diff_schemas(ta, tb).unionByName(diff_tables(ta, tb)).unionByName(diff_columns(ca.join(inside, TABLE_KEY, "left_semi"), cb.join(inside, TABLE_KEY, "left_semi")))
+    changes = diff_schemas(ta, tb).unionByName(diff_tables(ta, tb)).unionByName(diff_columns(ca, cb, inside))
     if first > second:
         changes = reverse(changes)
     return classify(changes).withColumns({"snapshot_from": F.lit(first).cast("long"), "snapshot_to": F.lit(second).cast("long")}).orderBy("object_type", "object_identifier", "change_type")

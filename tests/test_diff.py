@@ -47,3 +47,9 @@ def test_ddl_of_missing_state(spark):
 def test_empty_tables(spark):
     tables, columns = _case(spark)
     assert diff.compute_diff(tables.limit(0), columns.limit(0), 1, 2).count() == 0
+
+
+def test_table_that_loses_all_columns(spark):
+    tables, columns = _case(spark)
+    got = _kinds(diff.compute_diff(tables, columns.where("snapshot_id = 1"), 1, 2))
+    assert ("COLUMN_REMOVED", "s.a.k") in got and ("COLUMN_REMOVED", "s.a.v") in got
