@@ -2,7 +2,7 @@
 
 A line is what stands between newlines, compared without spaces around it. Its spread is the number of distinct sites
 (`source`) whose documents hold it. Lines that are blank are never boilerplate. HyperLogLog sketches of the sites are
-built per line and merged by the aggregation; a line whose estimate is near the threshold gets an exact distinct count,
+built per line in each map task and merged by the aggregation; a line whose estimate is near the threshold gets an exact distinct count,
 and lines spread over at least `min_sites` sites are removed everywhere.
 
 Null text: no lines, text stays null. Null sources count as one site of their own. Repeated lines within a document or
@@ -32,13 +32,10 @@ def line_sites(docs: DataFrame) -> DataFrame:
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line, sites) of the lines spread over at least min_sites sites."""
     seen = line_sites(docs)
-    # Most lines stand on one site: a first aggregate of two strings a line leaves them out of the sketches.
-    spread = seen.groupBy("line").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi").select("line")
-    several = seen.join(spread, "line", "left_semi")
-    sketched = several.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("estimate"))
-    likely = sketched.where(F.col("estimate") >= min_sites / NEAR)
+    # Every map task merges its own sites of a line into one sketch, so a line that stands everywhere is dealt as one row a task.
+    likely = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("estimate")).where(F.col("estimate") >= min_sites / NEAR)
     near = likely.where(F.col("estimate") <= min_sites * NEAR).select("line")
-    exact = seen.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("sites"))
+    exact = seen.distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
     clear = likely.where(F.col("estimate") > min_sites * NEAR).select("line", F.col("estimate").alias("sites"))
     return clear.unionByName(exact.where(F.col("sites") >= min_sites))
 
