@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.llm.quality import held_out
+from shiftlens.llm.sampling import likely_sampled, sample_order
 from shiftlens.llm.tokens import map_text, mix, owners, prefix_sums, runs, slices, span_names
 
 CHAIN = 64
@@ -160,12 +161,16 @@ def learn(words: Words, label: np.ndarray, k: int, rounds: int, rate: float, dec
 def fit(labelled: DataFrame, rows_per_language: int = 250, rounds: int = 25, rate: float = 0.3, decay: float = 1e-7) -> tuple[list[str], bytes | None]:
     """Languages and packed model from (doc_id, text, lang): of each language the `rows_per_language` rows of smallest hash,
     a bounded sample that one task fits."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "text")
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= rows_per_language)
+    good = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    order = Window.partitionBy("lang").orderBy(sample_order(9, "doc_id"), "doc_id", "text")
+    totals = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language, as the model has
+    if not totals:
+        return [], None
+    total = F.create_map(*(F.lit(x) for kv in totals.items() for x in kv))[F.col("lang")]
+    some = good.where(likely_sampled(9, rows_per_language, total, "doc_id"))
+    rows = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
     sample = rows.select("text", "lang").toArrow()  # rows_per_language rows for each language, to be dealt to one task again
     languages = sorted(set(sample.column("lang").to_pylist()))
-    if not languages:
-        return [], None
 
     def train(batches):
         table = pa.Table.from_batches(list(batches)).combine_chunks()

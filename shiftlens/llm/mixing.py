@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftlens.llm.sampling import likely_sampled, sample_order
 from shiftlens.llm.stored import stored
 
 #: Shares of the corpus's tokens that the mixed corpus is to give to each domain.
@@ -86,7 +87,8 @@ def _scaled(x: str, mean: list[float], scale: list[float]) -> Column:
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, per_domain: int = 64, rounds: int = 40, decay: float = 1e-4) -> DataFrame:
     """docs(doc_id, text, ...) with n_tokens and p, its posterior over `domains`, fitted on at most sample_rows rows of labelled(doc_id, domain)."""
     k, base = len(domains), _base(docs)
-    chosen = labelled.where(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "domain").limit(sample_rows)
+    known = labelled.where(F.col("domain").isin(domains))
+    chosen = known.where(likely_sampled(11, sample_rows, known.count(), "doc_id")).orderBy(sample_order(11, "doc_id"), "doc_id", "domain").limit(sample_rows)
     sample = stored(_base(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "words", "style"))
     if not sample.limit(1).count():
         return base.withColumn("p", F.array_repeat(F.lit(1.0 / k), k)).drop("n", "words", "style")
