@@ -1,6 +1,6 @@
 """Quality classifier: hashed word n-grams, logistic regression fitted by follow-the-regularised-leader.
 
-A token is a maximal run of letters and digits, or of other non-space signs. Its unigrams and bigrams are hashed
+A token is a maximal run of letters and digits, or of other non-space signs. Unigrams, bigrams and repetitions are hashed
 into 2**BITS weights; a text's score is the logistic of the mean weight of its n-grams plus a bias, that is a
 sparse dot product. Empty and null texts score the bias alone, or what the fit learned from empty ones.
 """
@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftlens.llm.sampling import likely_sampled, sample_order
 from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs, slices, span_names
 
 BITS = 18
 THRESHOLD = 0.7
 BIAS = 1 << BITS
+_AGAIN = np.array([0x5BF03635F0935AD1], np.uint64)[0]
 _KIND = np.full(256, 2, np.uint8)
 _KIND[SPACE] = 0
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -30,7 +32,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     names = span_names(prefix_sums(data), starts, ends)
     pairs = np.flatnonzero(row[1:] == row[:-1])
     both = mix(names[pairs] * np.uint64(0xC2B2AE3D27D4EB4F) + names[pairs + 1])
-    return (np.concatenate([names, both]) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([row, row[pairs]])
+    # A word that comes again next, or after one other token, is one and the same n-gram whatever the word.
+    word = _KIND[data[starts]] == 1
+    both[(names[pairs] == names[pairs + 1]) & word[pairs]] = _AGAIN
+    again = np.flatnonzero((row[2:] == row[:-2]) & (names[2:] == names[:-2]) & word[2:]) if len(names) > 2 else np.zeros(0, np.int64)
+    grams = np.concatenate([names, both, np.full(len(again), _AGAIN + np.uint64(1 << 63))])
+    return (grams >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([row, row[pairs], row[again]])
 
 
 def _follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
@@ -49,7 +56,7 @@ def fit(labelled: DataFrame, sample_rows: int = 8000, shards: int = 4, epochs: i
     """Weights from (doc_id, text, label): a bounded sample of `sample_rows`, the rows of smallest hash, is dealt to
     shards, each is fitted in a task by follow-the-regularised-leader, and the shards' weights are averaged.
     Rows without a label are left out; with no rows at all the weights are zero and every score is 0.5."""
-    order = F.xxhash64("doc_id", F.lit(7))
+    order = sample_order(7, "doc_id")
     rows = labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"), order.alias("order"))
     sample = rows.orderBy("order", "doc_id", "text", "label").limit(sample_rows)
 
@@ -97,7 +104,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -
     labelled more than once takes its mean label, rounded."""
     # Twice the sample: some labelled ids may not be in docs. 16 bytes a row.
     some = labels.where("quality is not null").where(~held_out(2, 4)).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
-    some = some.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(2 * sample_rows)
+    some = some.where(likely_sampled(7, 2 * sample_rows, some.count(), "doc_id")).orderBy(sample_order(7, "doc_id"), "doc_id").limit(2 * sample_rows)
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
