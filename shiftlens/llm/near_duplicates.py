@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 WORD_BITS = 18
 _SLOT_BITS = 16
-_AT_ONCE = 16384
+_AT_ONCE = 4096
 #: Classes in a block of the second round: a task holds two blocks and their matrix of similarities.
 BLOCK = 256
 _SEED = 20240301
@@ -43,13 +43,13 @@ _draws: list[np.ndarray] = []
 
 
 def draws() -> tuple[np.ndarray, ...]:
-    """Random variates r ~ Gamma(2, 1), 1/r, beta ~ U(0, 1) and ln c, c ~ Gamma(2, 1), for each slot and sample. A shingle's slot is
+    """Random variates r ~ Gamma(2, 1), beta ~ U(0, 1) and ln c, c ~ Gamma(2, 1), for each slot and sample. A shingle's slot is
     the first bits of its name, so every task draws alike."""
     if not _draws:
         rng = np.random.default_rng(_SEED)
         shape = (1 << _SLOT_BITS, BANDS * ROWS)
         r = rng.gamma(2.0, size=shape).astype(np.float32)
-        _draws.extend([r, 1 / r, rng.random(shape, np.float32), np.log(rng.gamma(2.0, size=shape)).astype(np.float32)])
+        _draws.extend([r, rng.random(shape, np.float32), np.log(rng.gamma(2.0, size=shape)).astype(np.float32)])
     return tuple(_draws)
 
 
@@ -80,16 +80,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray):
 
 def sample(name: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sampled shingle and quantised log-weight for each of BANDS * ROWS samples of one text."""
-    r, inverse, beta, log_c = draws()
+    r, beta, log_c = draws()
     columns = np.arange(BANDS * ROWS)
     best, shingle, level = np.full(len(columns), np.inf, np.float32), np.zeros(len(columns), np.uint64), np.zeros(len(columns), np.int64)
     for k in range(0, len(name), _AT_ONCE):
         own = name[k : k + _AT_ONCE]
         slot = (own >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         log_w = np.log(weight[k : k + _AT_ONCE]).astype(np.float32)[:, None]
-        t = log_w * inverse[slot] + beta[slot]
+        own_r = r[slot]
+        t = log_w / own_r + beta[slot]
         floor = np.floor(t)
-        log_a = log_c[slot] - log_w - r[slot] * (1 - (t - floor))
+        log_a = log_c[slot] - log_w - own_r * (1 - (t - floor))
         at = log_a.argmin(axis=0)
         least = log_a[at, columns]
         won = least < best
