@@ -1,13 +1,14 @@
 """Registered corpus queries against SQL, and the pipeline against its stages said otherwise."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shiftlens.llm import near_duplicates, queries
+from shiftlens.llm import mixing, near_duplicates, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -50,3 +51,17 @@ def test_stages_stand_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, sf).count()
         stage(spark, odd.limit(0), sf).count()
+
+
+def test_mix_output_meets_targets(spark, tmp_path):
+    rng = random.Random(3)
+    kinds = ["toxic" if k % 20 == 0 else "low" if k % 20 < 3 else "good" for k in range(300)]
+    signs = {"toxic": "abcd", "low": "klmn", "good": "wxyz"}
+    texts = [" ".join("".join(rng.choices(signs[kind], k=rng.randint(2, 5))) for _ in range(40)) for kind in kinds]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, int(kind != "low"), int(kind == "toxic")) for k, kind in enumerate(kinds)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.mix(spark, docs, str(tmp_path)).toPandas()
+    drawn, kind = out.rate * out.n_tokens, out.doc_id.map(dict(enumerate(kinds)))
+    shares = {domain: drawn[kind == domain].sum() / drawn.sum() for domain in mixing.TARGETS}
+    assert all(abs(shares[domain] - share) < 5e-3 for domain, share in mixing.TARGETS.items()), shares
+    assert sorted(out.doc_id) == list(range(300)) and (out.rate[kind == "toxic"] < 0.5).any()
