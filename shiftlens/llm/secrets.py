@@ -1,12 +1,16 @@
 """Secret scans, with DataFrame functions only.
 
 Base spans come from three patterns. The method adds tokens that look uniformly random: a token is a maximal run of
-[A-Za-z0-9+/=_-] that holds a digit, has 16 characters or more and, in the encoding inferred for it, 64 bits or more.
+[A-Za-z0-9+/=_-] that has 16 characters or more and, in the encoding inferred for it, 64 bits or more. Tokens without a
+digit have encodings, and so strata, of their own.
 Its symbols pass a battery of three tests: chi-squared uniformity over the alphabet (in the form of the number of equal
 pairs, which stays valid for short tokens), runs about the alphabet's middle, and lag-one serial correlation. The three
-p-values are combined by the Cauchy rule. In each stratum of encoding and length, the share of truly random tokens is
-estimated from p > 0.5, and the lowest threshold is taken at which the expected share of others among the accepted is
-at most FALSE_SHARE; a stratum without such a threshold accepts none.
+p-values are combined by the Cauchy rule.
+
+In each stratum of encoding and length, the lowest threshold is taken at which the expected share of structured tokens
+among the accepted is at most FALSE_SHARE; a stratum without such a threshold accepts none. What is expected comes from
+data that the threshold doesn't fix: how often structured tokens reach it is read off those that share their first
+PREFIX_BITS bits with a different token, as random ones don't; how many structured tokens there are, off the p-values under REFUTED.
 
 Null text is empty: no spans. Positions are code points, ends exclusive. A span of kind assign is the whole match.
 """
@@ -21,6 +25,10 @@ from shiftlens.llm.stored import stored
 FALSE_SHARE = 0.1
 MIN_LENGTH = 16
 MIN_BITS = 64
+PREFIX_BITS = 40
+REFUTED = 0.001
+#: The rate at which all structured tokens reach a threshold counts as so many of a stratum's own.
+POOLED = 10
 THRESHOLDS = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
 
 # The three patterns of the base scan, as the contract states them; (?i:) holds for A-Z only.
@@ -33,14 +41,18 @@ KINDS = ["assign", "access", "hex", "random"]
 _LONG_ACCESS = r"AKIA[A-Z0-9]{14,}"
 _LONG_HEX = r"[0-9a-f]{16,}"
 _SIGN = "[A-Za-z0-9+/=_-]"
-_TOKEN = rf"(?<!{_SIGN})[A-Za-z+/=_-]*+[0-9]{_SIGN}*+"
+_TOKEN = rf"(?<!{_SIGN}){_SIGN}{{{MIN_LENGTH},}}+"
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The narrowest alphabet that holds a token's symbols is its encoding.
+#: The first, and so narrowest, alphabet that holds a token's symbols is its encoding.
 ENCODINGS = [
     ("decimal", "^[0-9]+$", _DIGITS),
     ("hex", "^[0-9a-f]+$", _DIGITS + _LOWER[:6]),
     ("HEX", "^[0-9A-F]+$", _DIGITS + _UPPER[:6]),
+    ("lower", "^[a-z]+$", _LOWER),
+    ("UPPER", "^[A-Z]+$", _UPPER),
+    ("letters", "^[A-Za-z]+$", _UPPER + _LOWER),
+    ("signs", "^[A-Za-z+/]+$", _UPPER + _LOWER + "+/"),
     ("base32", "^[A-Z2-7]+$", _UPPER + _DIGITS[2:8]),
     ("base36", "^[0-9a-z]+$", _DIGITS + _LOWER),
     ("BASE36", "^[0-9A-Z]+$", _DIGITS + _UPPER),
@@ -71,30 +83,31 @@ def _tail(z: str) -> str:
 
 
 def battery(docs: DataFrame) -> DataFrame:
-    """docs with `tokens` array<struct<start, end, body>> gets each token's encoding, length n and combined p-value."""
+    """docs with `tokens` array<struct<start, end, body>> gets each token's encoding, length n, combined p-value,
+    and the hashes of its first PREFIX_BITS bits and of the whole."""
     encoding = "CASE " + " ".join(f"WHEN t.body RLIKE '{rule}' THEN '{name}'" for name, rule, _ in ENCODINGS if rule) + " ELSE 'base64' END"
     alphabet = "CASE t.encoding " + " ".join(f"WHEN '{name}' THEN '{signs}'" for name, _, signs in ENCODINGS) + " END"
     steps = [
-        "transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'body', translate(rtrim('=', t.body), '=-_', '0+/')))",
+        "transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'body', translate(rtrim('=', t.body), '=-_', if(t.body RLIKE '[0-9]', '0+/', '++/'))))",
         f"transform(filter(tokens, t -> length(t.body) >= {MIN_LENGTH}), t -> named_struct('start', t.start, 'end', t.end, 'body', t.body, 'encoding', {encoding}))",
         f"transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'body', t.body, 'encoding', t.encoding, 'signs', {alphabet}))",
         f"filter(tokens, t -> length(t.body) * log2(length(t.signs)) >= {MIN_BITS})",
-        "transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'a', cast(length(t.signs) as double), 'x', transform(split(t.body, ''), c -> instr(t.signs, c) - 1)))",
-        """transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'a', t.a, 'n', cast(size(t.x) as double),
+        f"transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'prefix', xxhash64(left(t.body, cast(ceil({PREFIX_BITS} / log2(length(t.signs))) as int))), 'whole', xxhash64(t.body), 'a', cast(length(t.signs) as double), 'x', transform(split(t.body, ''), c -> instr(t.signs, c) - 1)))",
+        """transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'prefix', t.prefix, 'whole', t.whole, 'a', t.a, 'n', cast(size(t.x) as double),
              'same', aggregate(array_sort(t.x), named_struct('v', -1, 'run', 0L, 'sum', 0L), (s, v) -> named_struct('v', v, 'run', if(s.v = v, s.run + 1L, 0L), 'sum', s.sum + if(s.v = v, s.run + 1L, 0L))).sum,
              'f', aggregate(t.x, named_struct('v', -1, 'high', 0D, 'runs', 0D, 's', 0D, 'ss', 0D, 'sv', 0D), (s, v) -> named_struct('v', v, 'high', s.high + if(v * 2 >= t.a, 1D, 0D),
                   'runs', s.runs + if(s.v < 0 or (s.v * 2 >= t.a) <> (v * 2 >= t.a), 1D, 0D), 's', s.s + v, 'ss', s.ss + v * v, 'sv', s.sv + if(s.v < 0, 0, s.v * v))),
              'first', t.x[0], 'last', t.x[size(t.x) - 1]))""",
-        """transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'n', t.n,
+        """transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'prefix', t.prefix, 'whole', t.whole, 'n', t.n,
              'z_same', (t.same - t.n * (t.n - 1) / 2 / t.a) / sqrt(t.n * (t.n - 1) / 2 / t.a * (1 - 1 / t.a)),
              'pairs', 2 * t.f.high * (t.n - t.f.high), 'runs', t.f.runs, 'm', t.f.s / t.n, 'var', t.f.ss - t.f.s * t.f.s / t.n,
              'cov', t.f.sv - t.f.s / t.n * (2 * t.f.s - t.first - t.last) + (t.n - 1) * pow(t.f.s / t.n, 2)))""",
-        """transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'n', t.n, 'z_same', t.z_same,
+        """transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'prefix', t.prefix, 'whole', t.whole, 'n', t.n, 'z_same', t.z_same,
              'z_runs', if(t.pairs <= t.n, 40D, (t.runs - 1 - t.pairs / t.n) / sqrt(t.pairs * (t.pairs - t.n) / (t.n * t.n * (t.n - 1)))),
              'z_serial', if(t.var <= 0, 40D, t.cov / t.var * sqrt(t.n))))""",
-        f"""transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'n', t.n,
+        f"""transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'prefix', t.prefix, 'whole', t.whole, 'n', t.n,
              'odd', tan(pi() * (0.5 - {_tail('t.z_same')} * 0.9998 - 0.0001)) + tan(pi() * (0.5 - least(1D, 2 * {_tail('abs(t.z_runs)')}) * 0.9998 - 0.0001)) + tan(pi() * (0.5 - least(1D, 2 * {_tail('abs(t.z_serial)')}) * 0.9998 - 0.0001))))""",
-        "transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'band', cast(floor(log2(t.n)) as int), 'p', 0.5 - atan(t.odd / 3) / pi()))",
+        "transform(tokens, t -> named_struct('start', t.start, 'end', t.end, 'encoding', t.encoding, 'prefix', t.prefix, 'whole', t.whole, 'band', cast(floor(log2(t.n)) as int), 'p', 0.5 - atan(t.odd / 3) / pi()))",
     ]
     for step in steps:
         docs = docs.withColumn("tokens", F.expr(step))
@@ -102,15 +115,20 @@ def battery(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(tokens: DataFrame, false_share: float = FALSE_SHARE) -> dict[tuple[str, int], float]:
-    """The accepting threshold of each (encoding, band) stratum that has one. There are eight encodings and one band for
+    """The accepting threshold of each (encoding, band) stratum that has one. There are twelve encodings and one band for
     each doubling of the length, so what reaches the driver is a few dozen rows."""
-    counts = [F.count_if(F.col("p") >= t).alias(f"r{k}") for k, t in enumerate(THRESHOLDS)]
-    rows = tokens.groupBy("encoding", "band").agg(*counts, F.count_if(F.col("p") > 0.5).alias("upper")).collect()
+    levels = range(len(THRESHOLDS))
+    alike = tokens.groupBy("encoding", "band", "prefix").agg(*(F.count_if(F.col("p") >= t).alias(f"r{k}") for k, t in enumerate(THRESHOLDS)), F.count_if(F.col("p") < REFUTED).alias("refuted"), (F.min("whole") < F.max("whole")).alias("shared"))
+    known = [F.sum(F.when(F.col("shared"), F.col(f"r{k}")).otherwise(0)).alias(f"s{k}") for k in levels]
+    rows = alike.groupBy("encoding", "band").agg(*(F.sum(f"r{k}").alias(f"r{k}") for k in levels), *known, F.sum("refuted").alias("refuted")).collect()
+    every = [sum(row[f"s{k}"] for row in rows) for k in levels]
     out = {}
     for row in rows:
-        random = min(row["r0"], 2 * row["upper"])
+        # Shares of structured tokens that reach each threshold; with no such token known they are a half.
+        reach = [(row[f"s{k}"] + POOLED * (every[k] + 1) / (every[0] + 2)) / (row["s0"] + POOLED) for k in levels]
+        structured = min(row["r0"], max(0.0, row["refuted"] + 1 - REFUTED * row["r0"]) / (1 - reach[THRESHOLDS.index(REFUTED)]))
         for k, t in enumerate(THRESHOLDS):
-            if row[f"r{k}"] and 1 - random * (1 - t) / row[f"r{k}"] <= false_share:
+            if row[f"r{k}"] and structured * (reach[k] if k else 1.0) <= false_share * row[f"r{k}"]:
                 out[row["encoding"], row["band"]] = t
                 break
     return out

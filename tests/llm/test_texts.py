@@ -101,6 +101,24 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan(docs.limit(0))).count() == 0
 
 
+def test_structured_strata_accept_none(spark):
+    tokens = [("hex", 4, 0.7 if k < 3 else 1e-9, 5, k) for k in range(300)] + [("base62", 4, k / 100, k, k) for k in range(100)]
+    lines = secrets.thresholds(spark.createDataFrame(tokens, "encoding string, band int, p double, prefix long, whole long"))
+    assert set(lines) == {("base62", 4)} and lines["base62", 4] <= 0.05
+
+
+def test_planted_secrets_are_found(spark):
+    rng = random.Random(12)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    keys = [f"key {''.join(rng.choices(letters, k=20))} end" for _ in range(60)] + [f"key {''.join(rng.choices(letters + digits, k=28))}0 end" for _ in range(60)]
+    crowd = [f"see invoice{rng.choice('AB')}archive{rng.choice(letters)}{k:010d} here" for k in range(400)] + ["some-long-hyphenated-phrase-of-words"] * 40
+    docs = _docs(spark, [(k, t, "en", "s") for k, t in enumerate(keys + crowd)])
+    found = {r.doc_id: "random:4:" in r.spans for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert sum(found[k] for k in range(60)) >= 54  # keys of letters alone
+    assert sum(found[k] for k in range(60, 120)) >= 54
+    assert sum(found[k] for k in range(120, 560)) <= 12
+
+
 @pytest.mark.parametrize("block_chars", [1 << 20, 150])
 def test_contamination(spark, block_chars):
     rng = random.Random(6)
