@@ -13,8 +13,9 @@ context it holds; consecutive windows share one, so about one row for five words
    smallest document are settled at once. If a symbol stands in other classes too, its rows stay open.
 2. The single windows of open rows are named, dealt by name, and verified against the smallest document of each.
 
-Null text has no words; documents of under WINDOW words lose nothing. Rows that share a doc_id count as one document
-and lose the words at the same positions. A null doc_id is larger than any other, and such rows don't remove each other.
+Null text has no words; documents of under WINDOW words lose nothing. Spans belong to rows, named by a hash of id and text:
+of rows that share a doc_id each loses the words of its own repeated windows, and they don't remove each other. A null
+doc_id is larger than any other, and such rows don't remove each other either.
 """
 
 from __future__ import annotations
@@ -130,27 +131,28 @@ def _rows(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, from, to): word spans of docs(doc_id, text) that windows repeated from smaller documents cover."""
-    docs = docs.select("doc_id", "text")
-    schema = "key long, span long, doc long, at long, count long"
+    """(rid, from, to): word spans of docs(doc_id, rid, text) that windows repeated from smaller documents cover."""
+    docs = docs.select("doc_id", "rid", "text")
+    schema = "key long, span long, doc long, rid long, at long, count long"
 
     def file(batch, data, offsets):
         f = filed(data, offsets, window)
-        doc = _ids(batch)[f["row"]]
+        doc, rid = _ids(batch)[f["row"]], batch.column("rid").to_numpy()[f["row"]]
         done = combined(doc, f["key"].view(np.uint64), f["span"].view(np.uint64))
         # Settled rows travel along, each under a key of its own; a count below zero marks them.
-        key = np.where(done, mix((doc * 65537 + f["first"]).view(np.uint64)), f["key"].view(np.uint64))
-        return _rows(schema, key, f["span"], doc, f["first"], np.where(done, -f["count"], f["count"]))
+        key = np.where(done, mix((rid * 65537 + f["first"]).view(np.uint64)), f["key"].view(np.uint64))
+        return _rows(schema, key, f["span"], doc, rid, f["first"], np.where(done, -f["count"], f["count"]))
 
     by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "span")
     seen = map_text(docs, file, schema).select(
-        "doc", "at", "count", F.min("doc").over(by_class).alias("least"), F.min("doc").over(by_key).alias("lo"), F.max("doc").over(by_key).alias("hi"), F.min("span").over(by_key).alias("s0"), F.max("span").over(by_key).alias("s1")
+        "doc", "rid", "at", "count", F.min("doc").over(by_class).alias("least"), F.min("doc").over(by_key).alias("lo"), F.max("doc").over(by_key).alias("hi"), F.min("span").over(by_key).alias("s0"), F.max("span").over(by_key).alias("s1")
     )
     settled = F.expr("count < 0 or least < doc")
-    first = stored(seen.where(settled | F.expr("s0 <> s1 and lo <> hi")).select("doc", "at", F.abs("count").alias("count"), settled.alias("settled")))
-    opened = first.where("not settled").groupBy("doc").agg(F.collect_list(F.struct("at", "count")).alias("open"))
-    texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(opened, "doc").select("doc_id", "text", "open")
-    verify_schema = "w0 long, w1 long, doc long, at long, done boolean"
+    first = stored(seen.where(settled | F.expr("s0 <> s1 and lo <> hi")).select("rid", "at", F.abs("count").alias("count"), settled.alias("settled")))
+    # Equal rows have one rid and equal spans: a set of them is bounded by one text.
+    opened = first.where("not settled").groupBy("rid").agg(F.collect_set(F.struct("at", "count")).alias("open"))
+    texts = docs.join(opened, "rid").select("doc_id", "rid", "text", "open")
+    verify_schema = "w0 long, w1 long, doc long, rid long, at long, done boolean"
 
     def verify(batch, data, offsets):
         starts, ends, before = words(data, offsets)
@@ -160,24 +162,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         count = spans.field("count").to_numpy()
         at = np.repeat(spans.field("at").to_numpy() - np.cumsum(count) + count, count) + np.arange(count.sum())
         of = np.repeat(of, count)
-        inside = at + window <= np.diff(before)[of]  # rows under one id may differ in length
-        at, of = at[inside], of[inside]
         p = at + before[of]
         w0, w1 = (span_names(prefix_sums(x), p, p + window) for x in (names, mix(names)))
-        doc = _ids(batch)[of]
+        doc, rid = _ids(batch)[of], batch.column("rid").to_numpy()[of]
         done = combined(doc, w0, w1)
-        w0 = np.where(done, mix((doc * 65537 + at).view(np.uint64)), w0)
-        return pa.RecordBatch.from_arrays([pa.array(signed(w0)), pa.array(signed(w1)), pa.array(doc), pa.array(at), pa.array(done)], [x.split()[0] for x in verify_schema.split(", ")])
+        w0 = np.where(done, mix((rid * 65537 + at).view(np.uint64)), w0)
+        return pa.RecordBatch.from_arrays([pa.array(signed(w0)), pa.array(signed(w1)), pa.array(doc), pa.array(rid), pa.array(at), pa.array(done)], [x.split()[0] for x in verify_schema.split(", ")])
 
-    checked = map_text(texts, verify, verify_schema).select("doc", "at", F.expr("done or min(doc) over (partition by w0, w1) < doc").alias("hit")).where("hit")
-    spans = first.where("settled").selectExpr("doc", "at as from", f"at + count + {window - 1} as to").unionByName(checked.selectExpr("doc", "at as from", f"at + {window} as to"))
+    checked = map_text(texts, verify, verify_schema).select("rid", "at", F.expr("done or min(doc) over (partition by w0, w1) < doc").alias("hit")).where("hit")
+    spans = first.where("settled").selectExpr("rid", "at as from", f"at + count + {window - 1} as to").unionByName(checked.selectExpr("rid", "at as from", f"at + {window} as to"))
     return stored(spans)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): docs(doc_id, text) without the words in spans(doc, from, to)."""
-    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    joined = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).join(lists, "doc", "left").select("doc_id", "text", "spans")
+    """(doc_id, n_words, n_removed, kept_sha256, kept): docs(doc_id, rid, text) without the words in spans(rid, from, to)."""
+    lists = spans.groupBy("rid").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    joined = docs.join(lists, "rid", "left").select("doc_id", "text", "spans")
 
     def run(batch, data, offsets):
         starts, ends, before = words(data, offsets)
@@ -210,4 +210,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document, with the words that are left joined by spaces in `kept`."""
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
     return remove_spans(docs, repeated_spans(docs, window))

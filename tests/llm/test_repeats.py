@@ -101,6 +101,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert [r.n_removed for r in suffixes.suffix_dedup(docs).collect()] == [800] * 4
 
 
+def test_rows_lose_only_their_own_words(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passage, long = words(13), words(300)
+    texts = [(1, f"{passage} {long}"), (None, f"{passage} {words(20)}"), (None, words(40)), (None, f"{words(5)} {passage}"), (None, long), (None, long), (7, words(30)), (7, f"{words(3)} {passage}"), (7, f"{words(3)} {passage}")]
+    docs = spark.createDataFrame([(k, t, "") for k, t in texts], D)
+    got = sorted((r.doc_id or 99, r.n_words, r.n_removed) for r in substrings.substring_dedup(docs.repartition(3)).collect())
+    assert got == sorted([(1, 313, 0), (99, 33, 13), (99, 40, 0), (99, 18, 13), (99, 300, 300), (99, 300, 300), (7, 30, 0), (7, 16, 13), (7, 16, 13)])
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], D)
     assert suffixes.suffix_dedup(docs).count() == 0 and substrings.substring_dedup(docs).count() == 0
