@@ -1,30 +1,15 @@
-"""Intermediate tables, written where every executor can read them again."""
+"""Intermediate tables of the corpus operators, written where every executor can read them again, and names for rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from shiftlens.sources.shared import Steps, shared_folder, stored
 
+__all__ = ["Steps", "row_name", "shared_folder", "stored"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one of our own, set for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there, and lost executors cost no rerun."""
-    spark, freed = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    before = spark.conf.get(freed)
-    spark.conf.set(freed, "true")  # the table replaces this write's shuffle files
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(freed, before)
-    return spark.read.schema(df.schema).parquet(path)
+def row_name(*columns: str) -> list[Column]:
+    """r0, r1: the 128-bit name of a row by its doc_id and text. Equal rows share it, other rows that share a doc_id, or have none, don't."""
+    return [F.xxhash64(*columns).alias("r0"), F.xxhash64(F.lit(1), *columns).alias("r1")]

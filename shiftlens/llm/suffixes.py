@@ -1,38 +1,55 @@
 """Suffix-array dedup over bytes: repeated strings of WINDOW bytes, found by deep-shallow sorting of sampled suffixes.
 
 Every string of WINDOW bytes picks one of its positions, its anchor: the one whose next GRAM bytes have the least name.
-Equal strings pick the same anchor, so it is enough to sort the suffixes at anchors, about one in 180 bytes, and to look
-from each anchor to both sides. Consecutive strings share an anchor; their whole extent is the anchor's context.
+Equal strings pick the same anchor, so it is enough to sort the suffixes at anchors and to look from each anchor to both
+sides. Consecutive strings share an anchor; their whole extent is the anchor's context.
 
-1. Anchors are dealt by the name of their gram. Those with equal contexts form a class; a class of two or more is
-   repeated as a whole. One of each class goes on if other classes share its gram.
+1. Anchors are named by their gram. Grams that stand at one anchor only are done with: an aggregation by gram finds the others. Of
+   those, anchors with equal contexts form a class, again by aggregation; a class of two or more is repeated as a whole.
+   One of each class goes on if other classes share its gram.
 2. The contexts of those are sorted, to the right of the anchor and to the left: multikey quicksort down to a shallow
    depth, then a blind trie for each group that still agrees. The common prefixes of neighbours in the two orders tell
-   which strings occur twice. Grams with more classes than a task should hold are settled by counting the names of
-   their single strings instead, which needs no group in one place.
+   which strings occur twice.
+3. A gram with more classes than one task should sort is split into pieces that tasks sort side by side: strings whose start
+   lies from j * STEP to j * STEP + STEP - 1 bytes before the anchor all hold the same WINDOW - STEP + 1 bytes, their core, and only those
+   that share it can be equal. Pieces become classes and are sorted as in 1 and 2. Cores that still have too many classes are
+   split once more with a step of one, where a core is the whole string.
 
-Null text is empty. Texts of under WINDOW bytes lose nothing. Identical rows repeat each other like any two texts.
+No key is gathered in one task on the way: aggregations combine in the map tasks, and they are joined back to rows, where
+adaptive execution splits a frequent key.
+
+Strings of PASSAGE bytes are searched first, in all texts; strings of WINDOW bytes then only inside what those cover, as each
+holds some of them. The shorter ones are reported, not removed.
+
+Null text is empty. Texts of under WINDOW bytes lose nothing. Identical rows repeat each other like any two texts. An empty table gives
+an empty result; other columns are left out, whatever their names. Long texts are searched in overlapping pieces of PIECE bytes;
+a task that cuts or cleans a text holds that one text and its spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.stored import stored
-from shiftlens.llm.tokens import map_text, mix, owners, prefix_sums, signed, span_names
+from shiftlens.llm.stored import Steps, row_name, stored
+from shiftlens.llm.tokens import map_text, mix, owners, prefix_sums, signed, slices, span_names
 
 WINDOW = 400
+PASSAGE = 240
 GRAM = 48
 SHALLOW = 64
 #: Classes of one gram that one task sorts; a context has at most 2 * WINDOW bytes.
-GROUP = 4096
+GROUP = 1024
+STEP = 32
+PIECE = 3 << 20
 _SORTED_AT_ONCE = 16384
-_SPAN = "rid long, from long, to long"
+_SPAN = "r0 long, r1 long, from long, to long"
+_PLACE = "r0 long, r1 long, at long, count int, anchor int"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -160,48 +177,87 @@ def repeated(contexts: list[bytes], anchor: np.ndarray, count: np.ndarray, cuts:
     return least, most
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(rid, from, to): byte spans of docs(rid, text) that repeated strings cover."""
-    schema = "key long, span long, rid long, at long, count long, anchor long, n int"
-
-    def sample(batch, data, offsets):
-        row, first, count, at = anchors(data, offsets, window, gram)
-        sums = prefix_sums(data)
-        key = span_names(sums, at, at + gram) if len(at) else np.zeros(0, np.uint64)
-        span = mix(span_names(sums, first, first + count + window - 1) + (at - first).astype(np.uint64) * np.uint64(0x9E6C63D0876A9A35)) if len(at) else key
-        rid = batch.column("rid").to_numpy()[row]
-        # A class with several members in this slice is settled: one member stands for it, n = 2, the others go along under keys of their own, n = 0.
-        same = mix(key * np.uint64(3) + span)
-        order = np.argsort(same, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(at) else np.zeros(0, np.int64)
-        size = np.diff(np.append(edge, len(at)))
-        n = np.zeros(len(at), np.int32)
-        n[order[edge]] = np.minimum(size, 2)
-        key = np.where(n == 0, mix((rid * 65537 + first).view(np.uint64)), key)
-        columns = [signed(key), signed(span), rid, first - offsets[row], count, at - first, n]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
-
-    by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "span")
-    seen = map_text(docs, sample, schema)
-    seen = seen.withColumns({"members": F.sum("n").over(by_class), "member": F.row_number().over(by_class.orderBy("rid", "at")), "class": F.dense_rank().over(by_key.orderBy("span"))})
-    seen = seen.withColumn("classes", F.max("class").over(by_key))
-    settled, goes_on = F.expr("n = 0 or members > 1"), F.expr("n > 0 and member = 1 and classes > 1")
-    kept = seen.where(settled | goes_on).select("key", "rid", "at", "count", "anchor", settled.alias("settled"), goes_on.alias("goes_on"), (F.col("classes") > group).alias("hot"))
-    first = stored(kept)
-    lists = first.where("goes_on").groupBy("rid").agg(F.collect_list(F.struct("key", "at", "count", "anchor", "hot")).alias("open"))
-    texts = docs.join(lists, "rid")
-    context_schema = "key long, rid long, at long, count long, anchor long, context binary"
-
-    def contexts(batch, data, offsets):
+def pieces(batches: Iterator[pa.RecordBatch], window: int, piece: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices (batch, base, data, offsets); a row of more than `piece` bytes comes in pieces, each with the first window - 1 bytes
+    of the next one, and base says where in the row it starts."""
+    for batch, data, offsets in slices(batches):
+        if batch.num_rows > 1 or len(data) <= piece:
+            yield batch, batch.column("base").to_numpy(), data, offsets
+        else:
+            base = batch.column("base").to_numpy()
+            for a in range(0, max(1, len(data) - window + 1), piece):
+                part = data[a : a + piece + window - 1]
+                yield batch, base + a, part, np.array([0, len(part)])
+
+
+def combine(*names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct combination of names, and for every place how many share it there (0 at the others)."""
+    same = mix(names[0] * np.uint64(3) + names[1])
+    order = np.argsort(same, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(same) else np.zeros(0, np.int64)
+    n = np.zeros(len(same), np.int32)
+    n[order[edge]] = np.diff(np.append(edge, len(same)))
+    return order[edge], n
+
+
+def sampled(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """The anchors of docs(r0, r1, base, text): gram name, context name, place, and n: 2 where other members of the class, which then
+    have n = 0 and are settled, stand in the same slice, else 1."""
+    schema, piece = f"key long, span long, {_PLACE}, n int", PIECE
+
+    def run(batches):
+        for batch, base, data, offsets in pieces(batches, window, piece):
+            row, first, count, at = anchors(data, offsets, window, gram)
+            if not len(at):
+                continue
+            sums = prefix_sums(data)
+            key = span_names(sums, at, at + gram)
+            span = mix(span_names(sums, first, first + count + window - 1) + (at - first).astype(np.uint64) * np.uint64(0x9E6C63D0876A9A35))
+            n = np.minimum(combine(key, span)[1], 2)
+            columns = [signed(key), signed(span), *(batch.column(c).to_numpy()[row] for c in ("r0", "r1")), base[row] + first - offsets[row], count.astype(np.int32), (at - first).astype(np.int32), n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+    return docs.mapInArrow(run, schema)
+
+
+def settle(step: Steps, rows: DataFrame, window: int, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """From rows(key, span, place, n): the spans of classes with several members, and one member of every class that shares its
+    key with others, with the number of classes there."""
+    place = ["r0", "r1", "at", "count", "anchor", *carried]
+    rows = step.stored(rows)
+    alone = rows.where("n > 0").groupBy("key").agg(F.sum("n").alias("members"))
+    met = step.stored(rows.where("n > 0").join(alone.where("members > 1").select("key"), "key"))
+    classes = step.stored(met.groupBy("key", "span").agg(F.sum("n").alias("members"), F.min(F.struct(*place)).alias("one")))
+    shared = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
+    open_ = classes.join(shared, "key").select("key", "classes", *(F.col("one").getField(c).alias(c) for c in place))
+    twice = met.join(classes.where("members > 1").select("key", "span"), ["key", "span"])
+    spans = rows.where("n = 0").select("r0", "r1", "at", "count").unionByName(twice.select("r0", "r1", "at", "count"))
+    return spans.selectExpr("r0", "r1", "at as from", f"at + count + {window - 1} as to"), open_
+
+
+def with_contexts(docs: DataFrame, open_: DataFrame, window: int) -> DataFrame:
+    """open_ with the bytes of each context, cut from docs(r0, r1, base, text). One list a text, no longer than the text has anchors."""
+    fields = ["key", "classes", "at", "count", "anchor"]
+    lists = open_.groupBy("r0", "r1").agg(F.collect_set(F.struct(*fields)).alias("open"))
+    schema = f"key long, classes long, {_PLACE}, context binary"
+
+    def run(batch, data, offsets):
         opened = batch.column("open")
         flat, of = opened.flatten(), np.repeat(np.arange(batch.num_rows), opened.value_lengths().to_numpy())
-        cool = np.flatnonzero(~flat.field("hot").to_numpy(zero_copy_only=False))
-        flat, of = flat.take(pa.array(cool)), of[cool]
-        at, count = flat.field("at").to_numpy(), flat.field("count").to_numpy()
-        start, whole = at + offsets[of], data.tobytes()
-        cut = [whole[a:b] for a, b in zip(start.tolist(), (start + count + window - 1).tolist(), strict=True)]
-        rid = batch.column("rid").take(pa.array(of))
-        return pa.RecordBatch.from_arrays([flat.field("key"), rid, flat.field("at"), flat.field("count"), flat.field("anchor"), pa.array(cut, pa.binary())], [x.split()[0] for x in context_schema.split(", ")])
+        start = flat.field("at").to_numpy() - batch.column("base").to_numpy()[of]
+        end = start + flat.field("count").to_numpy() + window - 1
+        inside = np.flatnonzero((start >= 0) & (end <= np.diff(offsets)[of]))
+        flat, of = flat.take(pa.array(inside)), of[inside]
+        cut = [data[a:b].tobytes() for a, b in zip((start[inside] + offsets[of]).tolist(), (end[inside] + offsets[of]).tolist(), strict=True)]
+        rows = [batch.column(c).take(pa.array(of)) for c in ("r0", "r1")]
+        return pa.RecordBatch.from_arrays([flat.field("key"), flat.field("classes"), *rows, *(flat.field(c) for c in fields[2:]), pa.array(cut, pa.binary())], [x.split()[0] for x in schema.split(", ")])
+
+    own = F.expr("filter(open, x -> x.at >= base and x.at < base + octet_length(text))")  # a text may come in several stretches
+    return map_text(docs.join(lists, ["r0", "r1"]).withColumn("open", own), run, schema)
+
+
+def sorted_spans(contexts: DataFrame, window: int) -> DataFrame:
+    """The repeated strings among contexts that share a key, by sorting them."""
 
     def sort(batches):
         held: list[pa.RecordBatch] = []
@@ -212,67 +268,118 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
                 key = table.column("key").to_numpy()
                 whole = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
                 if whole:
-                    yield settle(table.slice(0, whole))
+                    yield found(table.slice(0, whole))
                 held = table.slice(whole).to_batches()
         if held:
-            yield settle(pa.Table.from_batches(held))
+            yield found(pa.Table.from_batches(held))
 
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        key, at, count, anchor = (table.column(c).to_numpy() for c in ("key", "at", "count", "anchor"))
+    def found(table: pa.Table) -> pa.RecordBatch:
+        key, at, count, anchor = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "at", "count", "anchor"))
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         least, most = repeated(table.column("context").to_pylist(), anchor, count, cuts, window)
         hit = np.flatnonzero(least <= most)
         q = at[hit] + anchor[hit]
-        return pa.RecordBatch.from_arrays([pa.array(table.column("rid").to_numpy()[hit]), pa.array(q - most[hit]), pa.array(q - least[hit] + window)], ["rid", "from", "to"])
+        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(pa.array(hit)) for c in ("r0", "r1")), pa.array(q - most[hit]), pa.array(q - least[hit] + window)], ["r0", "r1", "from", "to"])
 
-    by_sorting = map_text(texts, contexts, context_schema).repartition("key").sortWithinPartitions("key").mapInArrow(sort, _SPAN)
+    return contexts.select("key", "r0", "r1", "at", "count", "anchor", "context").repartition("key").sortWithinPartitions("key").mapInArrow(sort, _SPAN)
 
-    def strings(batch, data, offsets):
-        opened = batch.column("open")
-        flat, of = opened.flatten(), np.repeat(np.arange(batch.num_rows), opened.value_lengths().to_numpy())
-        hot = np.flatnonzero(flat.field("hot").to_numpy(zero_copy_only=False))
-        at, count = (flat.field(c).to_numpy()[hot] for c in ("at", "count"))
-        of = np.repeat(of[hot], count)
-        at = np.repeat(at - np.cumsum(count) + count, count) + np.arange(count.sum())
-        p = at + offsets[of]
-        names = [signed(span_names(prefix_sums(x), p, p + window)) if len(p) else np.zeros(0, np.int64) for x in (data, mix(data.astype(np.uint64)))]
-        return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), batch.column("rid").take(pa.array(of)), pa.array(at)], ["w0", "w1", "rid", "at"])
-
-    spans = first.where("settled").selectExpr("rid", "at as from", f"at + count + {window - 1} as to").unionByName(by_sorting)
-    if first.where("goes_on and hot").limit(1).count():
-        named = stored(map_text(texts, strings, "w0 long, w1 long, rid long, at long"))
-        twice = named.groupBy("w0", "w1").agg(F.count("*").alias("n")).where("n > 1")
-        spans = spans.unionByName(named.join(twice, ["w0", "w1"]).selectExpr("rid", "at as from", f"at + {window} as to"))
-    return stored(spans)
-
-
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): docs(doc_id, rid, text) without the bytes in spans."""
-    lists = spans.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+
+def split(contexts: DataFrame, window: int, step: int) -> DataFrame:
+    """Contexts cut into pieces by the distance from string start to anchor, keyed by what all strings of a piece hold."""
+    schema = f"key long, span long, {_PLACE}, n int, context binary"
+
+    def named(text: bytes, *where: int) -> int:
+        return int.from_bytes(hashlib.blake2b(text, digest_size=8, key=repr(where).encode()).digest(), "little", signed=True)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, r0, r1, at, count, anchor, text in zip(*(batch.column(c).to_pylist() for c in ("key", "r0", "r1", "at", "count", "anchor", "context")), strict=True):
+                for j in range((anchor - count + 1) // step, anchor // step + 1):
+                    far, near = min(anchor, j * step + step - 1), max(anchor - count + 1, j * step)
+                    core = text[anchor - j * step : anchor - j * step + window - step + 1]
+                    own = text[anchor - far : anchor - near + window]
+                    out.append((named(core, key, j), named(own, key, j, far), r0, r1, at + anchor - far, far - near + 1, far, 1, own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()], strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    return contexts.mapInArrow(run, schema)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(r0, r1, from, to): spans of docs(r0, r1, base, text), counted from base, that repeated strings cover. Runs its jobs when called."""
+    with Steps(docs.sparkSession) as step:
+        spans, open_ = settle(step, sampled(docs, window, gram), window)
+        contexts = step.stored(with_contexts(docs, open_, window))
+        spans = spans.unionByName(sorted_spans(contexts.where(F.col("classes") <= group), window))
+        for long in (STEP, 1):
+            crowded = contexts.where(F.col("classes") > group)
+            if crowded.isEmpty():
+                break
+            more, open_ = settle(step, split(crowded, window, long), window, ("context",))
+            contexts = step.stored(open_)
+            spans = spans.unionByName(more).unionByName(sorted_spans(contexts.where(F.col("classes") <= group), window))
+        return stored(spans)
+
+
+def covered(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """(r0, r1, base, text): the stretches of docs(r0, r1, text) of at least `window` bytes that spans cover without a gap."""
+    lists = spans.groupBy("r0", "r1").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+
+    def run(batch, data, offsets):
+        row, a, b = unions(batch.column("spans"), offsets)
+        long = np.flatnonzero(b - a >= window)
+        row, a, b = row[long], a[long], b[long]
+        rows = [batch.column(c).take(pa.array(row)) for c in ("r0", "r1")]
+        return pa.RecordBatch.from_arrays([*rows, pa.array(a - offsets[row]), pa.array([data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["r0", "r1", "base", "text"])
+
+    return map_text(docs.join(lists, ["r0", "r1"]).select("r0", "r1", "text", "spans"), run, "r0 long, r1 long, base long, text binary")
+
+
+def unions(spans: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end in the slice of the maximal runs that each row's list of spans (from, to) covers."""
+    flat, row = spans.flatten(), np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy())
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3
+    # A gap of one between rows keeps their runs apart.
+    a, b = (flat.field(c).to_numpy() + offsets[row] + row for c in ("from", "to"))
+    order = np.argsort(a, kind="stable")
+    a, b, row = a[order], np.maximum.accumulate(b[order]), row[order]
+    edge = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    row = row[edge]
+    return row, a[edge] - row, b[np.append(edge[1:], len(b)) - 1] - row
+
+
+def remove_spans(docs: DataFrame, spans: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage, kept): docs(doc_id, r0, r1, text) without the bytes in spans."""
+    both = spans.withColumn("gone", F.lit(True)).unionByName(passages.withColumn("gone", F.lit(False)))
+    which = lambda gone: F.collect_set(F.when(F.col("gone") == gone, F.struct("from", "to"))).alias("spans" if gone else "passages")
+    lists = both.groupBy("r0", "r1").agg(which(True), which(False))
 
     def run(batch, data, offsets):
-        listed = batch.column("spans")
-        flat, of = listed.flatten(), np.repeat(np.arange(batch.num_rows), listed.value_lengths().fill_null(0).to_numpy())
-        edges = np.zeros(len(data) + 1, np.int32)
-        np.add.at(edges, offsets[of] + flat.field("from").to_numpy(), 1)
-        np.add.at(edges, offsets[of] + flat.field("to").to_numpy(), -1)
-        gone = np.cumsum(edges)[:-1] > 0
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        begins[offsets[:-1][offsets[:-1] < len(data)]] |= gone[offsets[:-1][offsets[:-1] < len(data)]]
-        out = data[~gone].tobytes()
-        cut = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-        pieces = [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        number = np.concatenate([[0], np.cumsum(begins)])[offsets]
-        size = np.diff(offsets)
-        columns = [pa.array(size), pa.array(size - np.diff(cut)), pa.array(np.diff(number)), pa.array([hashlib.sha256(x).hexdigest() for x in pieces]), pa.array(pieces, pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return map_text(docs.join(lists, "rid", "left").select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """One row per document; `kept` has the bytes that are left. rid stands for a row's id and text, so that rows under
-    one doc_id are told apart."""
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    return remove_spans(docs, repeated_spans(docs.select("rid", "text"), window, gram, group))
+        size, n = np.diff(offsets), batch.num_rows
+        row, a, b = unions(batch.column("spans"), offsets)
+        removed = np.bincount(row, b - a, n).astype(np.int64)
+        inside, x, y = unions(batch.column("passages"), offsets)
+        first = np.searchsorted(row, np.arange(n + 1))
+        kept = []
+        for k in range(n):
+            own = slice(first[k], first[k + 1])
+            starts, ends = np.append(offsets[k], b[own]), np.append(a[own], offsets[k + 1])
+            kept.append(b"".join(data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)))
+        columns = [size, removed, np.diff(first), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), np.bincount(inside, y - x, n).astype(np.int64), pa.array(kept, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "kept"])
+
+    joined = docs.join(lists, ["r0", "r1"], "left").select("doc_id", "text", "spans", "passages")
+    return map_text(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long, kept binary")
+
+
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, passage: int = PASSAGE) -> DataFrame:
+    """One row per document; `kept` has the bytes that are left, and n_passage says how many bytes strings of `passage` bytes
+    cover that also start anywhere else. Rows are told apart by a hash of doc_id and text. Finding the spans runs jobs when called."""
+    docs = docs.select("doc_id", *row_name("doc_id", "text"), "text")
+    passages = repeated_spans(docs.select("r0", "r1", F.lit(0).cast("long").alias("base"), "text"), min(passage, window), gram, group)
+    with Steps(docs.sparkSession) as step:
+        stretches = step.stored(covered(docs, passages, window))
+        spans = repeated_spans(stretches, window, gram, group)
+    return remove_spans(docs, spans, passages)

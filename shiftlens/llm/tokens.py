@@ -23,10 +23,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all rows, and the n + 1 offsets of the rows in them."""
+    """UTF-8 bytes of all rows (binary rows: their bytes), and the n + 1 offsets of the rows in them."""
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if raw else "")
+    column = column.cast(pa.large_binary() if raw else pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     if data is None or not len(column):

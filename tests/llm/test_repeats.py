@@ -74,13 +74,16 @@ def _texts(seed, n=60):
     return [*texts, texts[0], texts[0], "", None, " ", "short"]
 
 
-@pytest.mark.parametrize("group", [2, 4096])
-def test_bytes(spark, group):
+@pytest.mark.parametrize(("group", "passage", "piece"), [(2, 60, 1 << 20), (4096, 60, 1 << 20), (3, 40, 100)])
+def test_bytes(spark, monkeypatch, group, passage, piece):
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    monkeypatch.setattr(suffixes, "STEP", 8)
     texts = _texts(1)
     docs = spark.createDataFrame([(k, t, "e") for k, t in enumerate(texts)], D)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.suffix_dedup(docs.repartition(3), window=60, gram=12, group=group).collect()}
+    rows = {r.doc_id: r for r in suffixes.suffix_dedup(docs.repartition(3), window=60, gram=12, group=group, passage=passage).collect()}
     want = _bytes_brute(texts, 60)
-    assert [got[k] for k in range(len(texts))] == want
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (rows[k] for k in range(len(texts)))] == want
+    assert [rows[k].n_passage for k in range(len(texts))] == [w[1] for w in _bytes_brute(texts, passage)]
     assert sum(w[1] for w in want) > 0
 
 
