@@ -123,8 +123,8 @@ def test_planted_secrets_are_found(spark):
 def test_contamination(spark, block_chars):
     rng = random.Random(6)
     items = [" ".join(_words(rng, n)) for n in (30, 12, 10, 4, 1, 0)] + [None]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    texts = []
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0]), (None, "zz yy xx")], "item_id long, text string").withColumn("n_hit", F.lit(1))
+    texts = ["so zz, yy xx"]
     for k in range(80):
         w = _words(rng, rng.randint(0, 30), "abcdefghij" if k % 2 else "klmnop")
         item = (items[k % 5] or "").split()
@@ -139,7 +139,8 @@ def test_contamination(spark, block_chars):
         w = split(t)
         n = min(10, len(w))
         for p in range(len(w) - n + 1) if w else ():
-            windows.setdefault(tuple(w[p : p + n]), set()).add(i)
+            windows.setdefault(tuple(w[p : p + n]), set()).add(str(i))
+    windows["zz", "yy", "xx"] = set()
     for r in decontaminate.contamination(docs, bench, block_chars=block_chars).collect():
         w, hit, own = split(texts[r.doc_id]), set(), set()
         for n in {len(x) for x in windows}:
@@ -150,6 +151,27 @@ def test_contamination(spark, block_chars):
         assert (r.n_words, r.n_hit, sorted(r.items), r.contaminated) == (len(w), len(hit), sorted(own), bool(hit))
 
 
+@pytest.mark.parametrize("block_chars", [1 << 20, 60])
+def test_contamination_is_by_row(spark, block_chars):
+    bench = spark.createDataFrame([("a7", "one two three four"), ("a7", "one two three four"), ("b", "one two three four"), ("a10", "five six seven"), (None, "eight nine")], "item_id string, text string")
+    clean, dirty = "nothing to see", "Say ONE two-three four, five six seven."
+    rows = [(1, dirty), (1, dirty), (None, dirty), (None, clean), (None, "eight nine"), (1, clean), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("items", F.lit(0))
+    got = decontaminate.contamination(docs.repartition(3), bench, block_chars=block_chars).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, ",".join(r.items), r.contaminated) for r in got) == sorted(
+        [(1, 8, 7, 3, "a10,a7,b", True)] * 2 + [(0, 8, 7, 3, "a10,a7,b", True), (0, 3, 0, 0, "", False), (0, 2, 2, 0, "", True), (1, 3, 0, 0, "", False), (2, 0, 0, 0, "", False), (3, 0, 0, 0, "", False)]
+    )
+    assert decontaminate.contamination(docs.limit(0), bench, block_chars=block_chars).count() == 0
+
+
+def test_contamination_of_a_long_text(spark):
+    rng = random.Random(13)
+    item = " ".join(_words(rng, 40))
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("lorem ipsum dolor "), 300_000), F.lit(item)).alias("text"))
+    r = decontaminate.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert (r.n_words, r.n_hit, r["items"]) == (900_040, 40, ["1"])
+
+
 def test_no_benchmark(spark):
     docs = _docs(spark, [(1, "a b c", "en", "s")])
     assert not decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).first().contaminated
