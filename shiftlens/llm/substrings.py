@@ -5,17 +5,23 @@ that covers it also starts in a document with a smaller doc_id.
 
 Recompression: runs of one word get a symbol, then two rounds pair neighbouring symbols: in each round the symbol's own
 name says whether it may stand left or right in a pair. A symbol's name is a 64-bit fingerprint of its parts, so all
-tasks agree on the names without a dictionary. Whether a symbol arises depends on its own words and its nearest neighbours only
+tasks give it the same one before they have met. Whether a symbol arises depends on its own words and its nearest neighbours only
 (its context), so equal substrings have equal symbols inside. Every window is filed under the least-named symbol whose
-context it holds; consecutive windows share one, so about one row for five words reaches Spark:
+context it holds; consecutive windows share one, so about one row for five words reaches Spark. There
 
-1. Rows are dealt by the symbol. Rows with the same whole span of windows form a class: all but those of the class's
-   smallest document are settled at once. If a symbol stands in other classes too, its rows stay open.
-2. The single windows of open rows are named, dealt by name, and verified against the smallest document of each.
+1. one aggregation collects the names of all symbols of the corpus with the least and the greatest document that hold each.
+   Symbols of a single document hold no repeat and go;
+2. a second one names what the shared symbols carry, the whole span of windows filed with each, with its least document: all other
+   documents' rows of that span are repeats at once. Rows that are first in their span, but whose symbol carries other
+   spans too, stay open;
+3. a third one names the single windows of open rows, with the least document of each, and verifies them against it.
+
+Names are aggregated in the map tasks first and joined back to the rows that hold them; no symbol's rows are gathered in one task.
 
 Null text has no words; documents of under WINDOW words lose nothing. Spans belong to rows, named by a hash of id and text:
 of rows that share a doc_id each loses the words of its own repeated windows, and they don't remove each other. A null
-doc_id is larger than any other, and such rows don't remove each other either.
+doc_id is larger than any other, and such rows don't remove each other either. An empty table gives an empty result; other columns
+are left out, whatever their names. A task holds one whole text with some 60 times its words' number in 8-byte fields.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.stored import stored
+from shiftlens.llm.stored import Steps, row_name, stored
 from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs, signed, span_names
 
 WINDOW = 13
@@ -126,58 +132,60 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(_LAST).to_numpy()
 
 
-def _rows(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(signed(c) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], [x.split()[0] for x in schema.split(", ")])
+def _batch(schema: str, batch: pa.RecordBatch, of: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns, preceded by the names r0, r1 of the rows `of` that they belong to."""
+    rows = [batch.column(c).take(pa.array(of)) for c in ("r0", "r1")]
+    return pa.RecordBatch.from_arrays([*rows, *(pa.array(signed(c) if c.dtype == np.uint64 else c) for c in columns)], [x.split()[0] for x in schema.split(", ")])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, from, to): word spans of docs(doc_id, rid, text) that windows repeated from smaller documents cover."""
-    docs = docs.select("doc_id", "rid", "text")
-    schema = "key long, span long, doc long, rid long, at long, count long"
+    """(r0, r1, from, to): word spans of docs(doc_id, r0, r1, text) that windows repeated from smaller documents cover. Runs its jobs when called."""
+    docs = docs.select("doc_id", "r0", "r1", "text")
+    filed_schema = "r0 long, r1 long, key long, span long, doc long, at int, count int, done boolean"
 
     def file(batch, data, offsets):
         f = filed(data, offsets, window)
-        doc, rid = _ids(batch)[f["row"]], batch.column("rid").to_numpy()[f["row"]]
+        doc = _ids(batch)[f["row"]]
         done = combined(doc, f["key"].view(np.uint64), f["span"].view(np.uint64))
-        # Settled rows travel along, each under a key of its own; a count below zero marks them.
-        key = np.where(done, mix((rid * 65537 + f["first"]).view(np.uint64)), f["key"].view(np.uint64))
-        return _rows(schema, key, f["span"], doc, rid, f["first"], np.where(done, -f["count"], f["count"]))
-
-    by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "span")
-    seen = map_text(docs, file, schema).select(
-        "doc", "rid", "at", "count", F.min("doc").over(by_class).alias("least"), F.min("doc").over(by_key).alias("lo"), F.max("doc").over(by_key).alias("hi"), F.min("span").over(by_key).alias("s0"), F.max("span").over(by_key).alias("s1")
-    )
-    settled = F.expr("count < 0 or least < doc")
-    first = stored(seen.where(settled | F.expr("s0 <> s1 and lo <> hi")).select("rid", "at", F.abs("count").alias("count"), settled.alias("settled")))
-    # Equal rows have one rid and equal spans: a set of them is bounded by one text.
-    opened = first.where("not settled").groupBy("rid").agg(F.collect_set(F.struct("at", "count")).alias("open"))
-    texts = docs.join(opened, "rid").select("doc_id", "rid", "text", "open")
-    verify_schema = "w0 long, w1 long, doc long, rid long, at long, done boolean"
-
-    def verify(batch, data, offsets):
+        return _batch(filed_schema, batch, f["row"], f["key"], f["span"], doc, f["first"].astype(np.int32), f["count"].astype(np.int32), done)
+
+    window_schema = "r0 long, r1 long, w0 long, w1 long, doc long, at int, done boolean"
+
+    def single(batch, data, offsets):
         starts, ends, before = words(data, offsets)
         names = span_names(prefix_sums(data), starts, ends)
         open_ = batch.column("open")
         spans, of = open_.flatten(), np.repeat(np.arange(batch.num_rows), open_.value_lengths().to_numpy())
-        count = spans.field("count").to_numpy()
+        count = spans.field("count").to_numpy().astype(np.int64)
         at = np.repeat(spans.field("at").to_numpy() - np.cumsum(count) + count, count) + np.arange(count.sum())
         of = np.repeat(of, count)
         p = at + before[of]
         w0, w1 = (span_names(prefix_sums(x), p, p + window) for x in (names, mix(names)))
-        doc, rid = _ids(batch)[of], batch.column("rid").to_numpy()[of]
-        done = combined(doc, w0, w1)
-        w0 = np.where(done, mix((rid * 65537 + at).view(np.uint64)), w0)
-        return pa.RecordBatch.from_arrays([pa.array(signed(w0)), pa.array(signed(w1)), pa.array(doc), pa.array(rid), pa.array(at), pa.array(done)], [x.split()[0] for x in verify_schema.split(", ")])
-
-    checked = map_text(texts, verify, verify_schema).select("rid", "at", F.expr("done or min(doc) over (partition by w0, w1) < doc").alias("hit")).where("hit")
-    spans = first.where("settled").selectExpr("rid", "at as from", f"at + count + {window - 1} as to").unionByName(checked.selectExpr("rid", "at as from", f"at + {window} as to"))
-    return stored(spans)
+        doc = _ids(batch)[of]
+        return _batch(window_schema, batch, of, w0, w1, doc, at.astype(np.int32), combined(doc, w0, w1))
+
+    with Steps(docs.sparkSession) as step:
+        rows = step.stored(map_text(docs, file, filed_schema))
+        symbols = rows.where("not done").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+        shared = step.stored(rows.where("not done").join(symbols.select("key"), "key"))
+        carried = step.stored(shared.groupBy("key", "span").agg(F.min("doc").alias("least")))
+        judged = step.stored(shared.join(carried, ["key", "span"]).select("key", "r0", "r1", "at", "count", (F.col("least") < F.col("doc")).alias("settled")))
+        several = carried.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        # Equal rows have one name and equal spans: a set of them is bounded by one text.
+        opened = judged.where("not settled").join(several, "key").groupBy("r0", "r1").agg(F.collect_set(F.struct("at", "count")).alias("open"))
+        windows = step.stored(map_text(docs.join(opened, ["r0", "r1"]), single, window_schema))
+        least = windows.groupBy("w0", "w1").agg(F.min("doc").alias("least"))
+        late = windows.where("not done").join(least, ["w0", "w1"]).where("least < doc")
+        hits = windows.where("done").select("r0", "r1", "at").unionByName(late.select("r0", "r1", "at"))
+        whole = rows.where("done").select("r0", "r1", "at", "count").unionByName(judged.where("settled").select("r0", "r1", "at", "count"))
+        spans = whole.selectExpr("r0", "r1", "at as from", f"at + count + {window - 1} as to").unionByName(hits.selectExpr("r0", "r1", "at as from", f"at + {window} as to"))
+        return stored(spans)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): docs(doc_id, rid, text) without the words in spans(rid, from, to)."""
-    lists = spans.groupBy("rid").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    joined = docs.join(lists, "rid", "left").select("doc_id", "text", "spans")
+    """(doc_id, n_words, n_removed, kept_sha256, kept): docs(doc_id, r0, r1, text) without the words in spans(r0, r1, from, to)."""
+    lists = spans.groupBy("r0", "r1").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    joined = docs.join(lists, ["r0", "r1"], "left").select("doc_id", "text", "spans")
 
     def run(batch, data, offsets):
         starts, ends, before = words(data, offsets)
@@ -210,5 +218,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document, with the words that are left joined by spaces in `kept`."""
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    docs = docs.select("doc_id", *row_name("doc_id", "text"), "text")
     return remove_spans(docs, repeated_spans(docs, window))
