@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.stored import stored
+from shiftlens.llm.stored import Steps, stored
 
 _MOST_ROUNDS = 60
 
@@ -19,21 +19,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours on the least one (large star), then its smaller neighbours and itself
     (small star), and is written to the shared folder; rounds grow with the logarithm of the longest chain. Minima are
-    aggregated before they are dealt, and no neighbourhood is gathered in one place. Isolated nodes don't appear."""
-    now = stored(edges.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct())
-    state = _state(now)
-    for _ in range(_MOST_ROUNDS):
-        if not state[0]:
-            break
-        both = now.unionByName(now.selectExpr("v as u", "u as v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").selectExpr("v as u", "m as v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v"))
-        now = stored(small.distinct())
-        before, state = state, _state(now)
-        if before == state:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {_MOST_ROUNDS} rounds")
-    return now.selectExpr("u as node", "v as component").unionByName(now.selectExpr("v as node", "v as component").distinct())
+    aggregated before they are dealt, and no neighbourhood is gathered in one place. Isolated nodes don't appear. Nodes may have any
+    type with an order."""
+    with Steps(edges.sparkSession) as step:
+        now = step.stored(edges.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct())
+        state = _state(now)
+        for _ in range(_MOST_ROUNDS):
+            if not state[0]:
+                break
+            both = now.unionByName(now.selectExpr("v as u", "u as v"))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.where("v > u").join(least, "u").selectExpr("v as u", "m as v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v"))
+            now = step.stored(small.distinct())
+            before, state = state, _state(now)
+            if before == state:
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {_MOST_ROUNDS} rounds")
+        return stored(now.selectExpr("u as node", "v as component").unionByName(now.selectExpr("v as node", "v as component").distinct()))

@@ -1,56 +1,82 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
 A shingle is SHINGLE consecutive words (all words of a shorter text); words are what stands between white space, with A-Z
-lower-cased. A shingle's weight is its count in the text times its inverse document frequency, taken as the mean of its words'
-over all documents. (Counting documents per shingle would shuffle a row for every word of the corpus.)
-Document frequencies are kept for 2**WORD_BITS hashed words, so the table that tasks share has a fixed size.
+lower-cased. A shingle's weight is its count in the text times its inverse document frequency, ln((1 + N) / (1 + df)) + 1, with df
+the number of the N documents that hold it, counted over all of them. Shingles of under COMMON * N documents all count as rare, with df = COMMON * N:
+only the common ones need a table, and there are at most (shingles of a mean document) / COMMON of them, however large the corpus.
 
 Each of ROWS * BANDS samples draws a shingle and a quantised weight with the probability that two texts share; texts that
 agree on all samples of a band meet in a bucket. Similarity is the weighted Jaccard of two texts: sum of minima over sum of maxima.
 
-Identical texts are one class. In a bucket every class is verified against the bucket's least. The classes that are then
-in another component than that one, if any, are compared with all the rest of their bucket in a second round, block against
-block within tasks, of which only links that join components come out. So no link between components is lost among classes that share
-a bucket, pairs are never listed, and a large bucket is work for many tasks.
+Identical texts are one class. In a bucket every class is verified against the bucket's least. If more than BLOCK classes of a bucket are then
+outside its largest component, they are verified against their own least too. Classes that are still outside are compared with all the rest
+of their bucket, block against block within tasks, of which only links that join components come out. So no link between
+components is lost among classes that share a bucket, pairs are never listed, and a large bucket is work for many tasks.
 
-Null and empty texts have no shingles and no links. Rows that share a doc_id count as one document; a row with a null doc_id has a null class.
+Null and empty texts have no shingles and no links. Rows with the same doc_id and text count as one document; rows that share a doc_id only are
+told apart. A null doc_id is larger than any other; a class of such rows alone has a null class_id, and keeps its rows of one text. An empty table
+gives an empty result; other columns are left out, whatever their names. A task holds one whole text with some 40 times its words' number in
+8-byte fields. Building the result runs many jobs.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.components import components
-from shiftlens.llm.stored import stored
+from shiftlens.llm.stored import Steps, stored
 from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs, signed, slices, span_names
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-WORD_BITS = 18
-_SLOT_BITS = 16
+#: The share of documents from which a shingle's own document frequency counts.
+COMMON = 0.01
+_SLOT_BITS = 14
 _AT_ONCE = 4096
-#: Classes in a block of the second round: a task holds two blocks and their matrix of similarities.
+#: Classes in a block of the last round: a task holds the texts of two blocks.
 BLOCK = 256
+#: Texts among which shingles are counted before they are sent on.
+_UNIT_TEXTS, _UNIT_SHINGLES = 2000, 2_000_000
 _SEED = 20240301
+_LAST = np.iinfo(np.int64).max
+_NODE = "struct<o:long,h0:long,h1:long>"
 _NOT_SPACE = ~SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _draws: list[np.ndarray] = []
 
 
-def draws() -> tuple[np.ndarray, ...]:
-    """Random variates r ~ Gamma(2, 1), beta ~ U(0, 1) and ln c, c ~ Gamma(2, 1), for each slot and sample. A shingle's slot is
-    the first bits of its name, so every task draws alike."""
+class Idf(NamedTuple):
+    """Names of the common shingles in order, their inverse document frequencies, and the one of all others."""
+
+    names: np.ndarray
+    common: np.ndarray
+    rare: float
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        out = np.full(len(names), self.rare)
+        if len(self.names) and len(names):
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            hit = self.names[at] == names
+            out[hit] = self.common[at[hit]]
+        return out
+
+
+def draws() -> list[np.ndarray]:
+    """Random variates r ~ Gamma(2, 1), beta ~ U(0, 1) and ln c, c ~ Gamma(2, 1), for each slot and sample. Different bits of a
+    shingle's name lead to its slots in the three tables, so hardly two shingles draw all three alike, and every task draws the same."""
     if not _draws:
         rng = np.random.default_rng(_SEED)
         shape = (1 << _SLOT_BITS, BANDS * ROWS)
         r = rng.gamma(2.0, size=shape).astype(np.float32)
         _draws.extend([r, rng.random(shape, np.float32), np.log(rng.gamma(2.0, size=shape)).astype(np.float32)])
-    return tuple(_draws)
+    return _draws
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,22 +86,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_names(prefix_sums(low), starts, ends), np.searchsorted(starts, offsets)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray):
-    """For each row: its distinct shingles' names in order, and their weights."""
+def shingle_names(data: np.ndarray, offsets: np.ndarray):
+    """For each row: its distinct shingles' names in order, and how often each occurs."""
     names, before = words(data, offsets)
     sums = prefix_sums(names)
-    rare = np.concatenate([[0], np.cumsum(idf[(names >> np.uint64(64 - WORD_BITS)).astype(np.int64)], dtype=np.float64)])
     n = np.diff(before)
     size = np.minimum(SHINGLE, n)
     count = np.where(n > 0, n - size + 1, 0)
     row = np.repeat(np.arange(len(n)), count)
     first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + before[row]
     name = span_names(sums, first, first + size[row])
-    mean = (rare[first + size[row]] - rare[first]) / size[row]
     cut = np.concatenate([[0], np.cumsum(count)])
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        own, at, tf = np.unique(name[a:b], return_index=True, return_counts=True)
-        yield own, tf * mean[a:b][at]
+        yield np.unique(name[a:b], return_counts=True)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, idf: Idf):
+    """For each row: its distinct shingles' names in order, and their weights."""
+    for name, count in shingle_names(data, offsets):
+        yield name, count * idf.of(name)
 
 
 def sample(name: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +114,12 @@ def sample(name: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     best, shingle, level = np.full(len(columns), np.inf, np.float32), np.zeros(len(columns), np.uint64), np.zeros(len(columns), np.int64)
     for k in range(0, len(name), _AT_ONCE):
         own = name[k : k + _AT_ONCE]
-        slot = (own >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        slot, slot_b, slot_c = ((own >> np.uint64(64 - k * _SLOT_BITS)).astype(np.int64) & ((1 << _SLOT_BITS) - 1) for k in (1, 2, 3))
         log_w = np.log(weight[k : k + _AT_ONCE]).astype(np.float32)[:, None]
         own_r = r[slot]
-        t = log_w / own_r + beta[slot]
+        t = log_w / own_r + beta[slot_b]
         floor = np.floor(t)
-        log_a = log_c[slot] - log_w - own_r * (1 - (t - floor))
+        log_a = log_c[slot_c] - log_w - own_r * (1 - (t - floor))
         at = log_a.argmin(axis=0)
         least = log_a[at, columns]
         won = least < best
@@ -100,25 +129,38 @@ def sample(name: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return shingle, level
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """ln((1 + documents) / (1 + documents with the word)) + 1 for each hashed word, over all of docs(text)."""
+def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
+    """Document frequencies over all of docs(text), in two passes. A shingle that `common` of all documents hold must reach that share in
+    some unit of them, so each unit names its candidates; then all candidates are counted in all documents."""
+    docs, total = docs.select("text"), docs.count()
+
+    def candidates(batches):
+        held, n, size = [], 0, 0
+
+        def named():
+            name, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"name": signed(name[count >= common * n])})
 
-    def count(batches):
-        total = np.zeros((1 << WORD_BITS) + 1, np.int64)
         for batch, data, offsets in slices(batches):
-            names, before = words(data, offsets)
-            slot = (names >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(before))
-            total[:-1] += np.bincount(np.unique(row << WORD_BITS | slot) & ((1 << WORD_BITS) - 1), minlength=1 << WORD_BITS)
-            total[-1] += batch.num_rows
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"slot": some.astype(np.int32), "n": total[some]})
+            for name, _ in shingle_names(data, offsets):
+                held.append(name)
+                n, size = n + 1, size + len(name)
+                if n >= _UNIT_TEXTS or size >= _UNIT_SHINGLES:
+                    yield named()
+                    held, n, size = [], 0, 0
+        if n:
+            yield named()
+
+    def run(batch, data, offsets):
+        return pa.RecordBatch.from_pydict({"name": signed(np.concatenate([name for name, _ in shingle_names(data, offsets)]))})
 
-    # At most 2**WORD_BITS + 1 rows reach the driver.
-    got = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros((1 << WORD_BITS) + 1)
-    total[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return (np.log((1 + total[-1]) / (1 + total[:-1])) + 1).astype(np.float32)
+    with Steps(docs.sparkSession) as step:
+        likely = step.stored(docs.mapInArrow(candidates, "name long").distinct())
+        counted = map_text(docs, run, "name long").join(likely, "name").groupBy("name").agg(F.count("*").alias("df")).where(F.col("df") >= common * total)
+        # As many rows as the mean text has shingles, divided by `common`, at most.
+        got = counted.toPandas().sort_values("name", key=lambda x: x.astype("uint64"))
+    names = got["name"].to_numpy(np.int64).view(np.uint64)
+    return Idf(names, np.log((1 + total) / (1 + got["df"].to_numpy(np.float64))) + 1, float(np.log((1 + total) / (1 + common * total)) + 1))
 
 
 def signatures(docs: DataFrame, shared) -> DataFrame:
@@ -143,13 +185,13 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
 
 def distances(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     """(a, b, d) for pairs(a, b), one minus weighted Jaccard of texts(node, text). The join on a comes last: rows of one a
-    are then neighbours, and its shingles are made once."""
-    joined = pairs.join(texts.selectExpr("node as b", "text as text_b").hint("merge"), "b").join(texts.selectExpr("node as a", "text as text_a").hint("merge"), "a")
+    are then mostly neighbours, and its shingles are made once."""
+    joined = pairs.join(texts.selectExpr("node as b", "text as text_b"), "b").join(texts.selectExpr("node as a", "text as text_a"), "a")
 
     def run(batches):
         last: tuple = (None, None)
         for batch, data, offsets in slices(batches, "text_b"):
-            a, d = batch.column("a").to_pylist(), np.empty(batch.num_rows)
+            a, d = list(zip(*(batch.column("a").field(k).to_pylist() for k in range(3)), strict=True)), np.empty(batch.num_rows)
             for k, (name, weight) in enumerate(shingles(data, offsets, shared.value)):
                 if a[k] != last[0]:
                     raw = np.frombuffer(batch.column("text_a")[k].as_py().encode(), np.uint8)
@@ -160,7 +202,39 @@ def distances(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
                 d[k] = 1 - least / (weight.sum() + heavy.sum() - least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d)], ["a", "b", "d"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d double")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {_NODE}, b {_NODE}, d double")
+
+
+def compare(texts: list[str], side: np.ndarray, own: list, idf: Idf, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join components `own`, between texts on this side and on the other. Only shingles that two of the texts share
+    count for similarities; they are held as one list, text after text."""
+    raw = [t.encode() for t in texts]
+    got = list(shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), idf))
+    total = np.array([w.sum() for _, w in got])
+    row = np.repeat(np.arange(len(got)), [len(n) for n, _ in got])
+    names, at, seen = np.unique(np.concatenate([n for n, _ in got]), return_inverse=True, return_counts=True)
+    keep = seen[at] > 1
+    row, at, weight = row[keep], at[keep], np.concatenate([w for _, w in got])[keep]
+    first = np.searchsorted(row, np.arange(len(got) + 1))
+    links, top = [], {c: c for c in own}
+
+    def find(c):
+        while top[c] != c:
+            c = top[c]
+        return c
+
+    mine = np.zeros(len(names))
+    for i in np.flatnonzero(side):
+        of = slice(first[i], first[i + 1])
+        mine[at[of]] = weight[of]
+        least = np.bincount(row, np.minimum(mine[at], weight), len(got))
+        mine[at[of]] = 0
+        for j in np.flatnonzero((least >= similarity * (total[i] + total - least) - 1e-9) & ~side):
+            a, b = find(own[i]), find(own[j])
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                links.append((int(i), int(j)))
+    return links
 
 
 def cross_links(members: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
@@ -172,75 +246,68 @@ def cross_links(members: DataFrame, texts: DataFrame, shared, similarity: float)
     each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
     one = placed.withColumns({"o": each("o_blocks"), "m": block("m_blocks"), "side": F.lit(False)})
     other = placed.where("outside").withColumns({"o": block("o_blocks"), "m": each("m_blocks"), "side": F.lit(True)})
-    dealt = one.unionByName(other).select(F.xxhash64("band", "name", "o", "m").alias("task"), "side", "node", "own").join(texts.hint("merge"), "node")
-
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        idf, side, node, own = shared.value, *(np.array([r[k] for r in rows]) for k in (1, 2, 3))
-        raw = [r[4].encode() for r in rows]
-        got = list(shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), idf))
-        total = np.array([w.sum() for _, w in got])
-        # Only shingles that two of the rows share can add to a similarity.
-        names, seen = np.unique(np.concatenate([n for n, _ in got]), return_counts=True)
-        names = names[seen > 1]
-        x = np.zeros((len(rows), len(names)))
-        for k, (n, w) in enumerate(got):
-            at = np.minimum(np.searchsorted(names, n), max(0, len(names) - 1))
-            hit = names[at] == n if len(names) else np.zeros(len(n), bool)
-            x[k, at[hit]] = w[hit]
-        links, top = [], {c: c for c in own.tolist()}
-
-        def find(c):
-            while top[c] != c:
-                c = top[c]
-            return c
-
-        them = np.flatnonzero(~side)
-        for i in np.flatnonzero(side):
-            least = np.minimum(x[i], x[them]).sum(axis=1)
-            for j in them[(least >= similarity * (total[i] + total[them] - least) - 1e-9) & (own[them] != own[i])]:
-                a, b = find(own[i]), find(own[j])
-                if a != b:
-                    top[max(a, b)] = min(a, b)
-                    links.append((int(node[i]), int(node[j])))
-        return links
+    dealt = one.unionByName(other).select(F.xxhash64("band", "name", "o", "m").alias("task"), "side", "node", "own").join(texts, "node")
+    tuples = lambda column: list(zip(*(column.field(k).to_pylist() for k in range(3)), strict=True))
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "own", "text")), strict=True):
+            rows = zip(batch.column("task").to_pylist(), batch.column("side").to_pylist(), tuples(batch.column("node")), tuples(batch.column("own")), batch.column("text").to_pylist(), strict=True)
+            for row in rows:
                 if held and held[0][0] != row[0]:
-                    yield out(compare(held))
+                    yield out(held)
                     held = []
                 held.append(row)
         if held:
-            yield out(compare(held))
+            yield out(held)
 
-    def out(links):
-        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    def out(rows):
+        links = compare([r[4] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows], shared.value, similarity)
+        node = pa.struct([("o", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64())])
+        ends = [pa.array([dict(zip(("o", "h0", "h1"), rows[link[k]][2], strict=True)) for link in links], node) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    return dealt.select("task", "side", "node", "own", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return dealt.select("task", "side", "node", "own", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, f"a {_NODE}, b {_NODE}")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, kept) of every row of docs(doc_id, text): class_id is the least doc_id that links reach."""
+    """(doc_id, class_id, kept, h0, h1) of every row of docs(doc_id, text): class_id is the least doc_id that links reach, kept says
+    whether the row stands for its class, and h0, h1 name its text."""
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))
-    apart = 1 - similarity + 1e-9
-    signed_ = stored(signatures(docs, shared))
-    classes = stored(signed_.where("size(bands) > 0 and doc_id is not null").groupBy("h0", "h1").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    members = classes.select("node", F.posexplode("bands").alias("band", "name"))
-    least = members.groupBy("band", "name").agg(F.min("node").alias("pivot"), F.max("node").alias("hi")).where("pivot < hi").drop("hi")
-    met = stored(members.join(least, ["band", "name"]))
-    stars = met.where("node <> pivot").selectExpr("pivot as a", "node as b").distinct()
-    wanted = met.select("node").distinct()
-    # Texts are merged by id at every size; a plan that broadcasts ids while they are few would not tell how it grows.
-    texts = stored(docs.hint("merge").join(wanted.hint("merge"), docs.doc_id == wanted.node).select("node", "text").dropDuplicates(["node"]))
-    links = stored(distances(stars, texts, shared).where(F.col("d") <= apart).select("a", "b"))
-    reached = components(links)
-    of = met.join(reached.selectExpr("node", "component as own"), "node", "left").join(reached.selectExpr("node as pivot", "component as main"), "pivot", "left")
-    of = of.where("node <> pivot").withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "pivot")})
-    second = stored(cross_links(of.withColumn("outside", F.col("own") != F.col("main")).select("band", "name", "node", "own", "outside"), texts, shared, similarity))
-    if second.limit(1).count():
-        reached = components(links.unionByName(second))
-    of = classes.select("h0", "h1", "node").join(reached, "node", "left").select("h0", "h1", F.coalesce("component", "node").alias("class_id"))
-    return signed_.select("doc_id", "h0", "h1").join(of, ["h0", "h1"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    spark, apart = docs.sparkSession, 1 - similarity + 1e-9
+    shared = spark.sparkContext.broadcast(inverse_frequencies(docs))
+    order = F.coalesce("doc_id", F.lit(int(_LAST)))
+    with Steps(spark) as step:
+        signed_ = step.stored(signatures(docs, shared))
+        made = signed_.where("size(bands) > 0").groupBy("h0", "h1").agg(F.min(order).alias("o"), F.first("bands").alias("bands"))
+        classes = step.stored(made.select(F.struct("o", "h0", "h1").alias("node"), "bands"))
+        members = classes.select("node", F.posexplode("bands").alias("band", "name"))
+        least = members.groupBy("band", "name").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+        met = step.stored(members.join(least, ["band", "name"]))
+        wanted = met.select("node").distinct().select("node", "node.*")
+        keyed = docs.select(order.alias("o"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text")
+        texts = step.stored(keyed.join(wanted, ["o", "h0", "h1"]).dropDuplicates(["o", "h0", "h1"]).select("node", "text"))
+
+        def verified(stars: DataFrame) -> DataFrame:
+            return step.stored(distances(stars.distinct(), texts, shared).where(F.col("d") <= apart).select("a", "b"))
+
+        links = verified(met.where("node <> pivot").selectExpr("pivot as a", "node as b"))
+        for again in (True, False):
+            reached = components(links)
+            own = met.join(reached, "node", "left").select("band", "name", "node", F.coalesce("component", "node").alias("own"))
+            parts = own.groupBy("band", "name", "own").agg(F.count("*").alias("n")).groupBy("band", "name").agg(F.max(F.struct("n", "own")).alias("most"), F.sum("n").alias("all"))
+            apart_in = parts.where("all > most.n").select("band", "name", F.col("most.own").alias("main"), (F.col("all") - F.col("most.n")).alias("outsiders"))
+            own = step.stored(own.join(apart_in, ["band", "name"]).withColumn("outside", F.col("own") != F.col("main")).drop("main"))
+            crowd = own.where(F.col("outside") & (F.col("outsiders") > BLOCK))
+            if not again or crowd.isEmpty():
+                break
+            first = crowd.groupBy("band", "name").agg(F.min("node").alias("pivot"))
+            links = links.unionByName(verified(crowd.join(first, ["band", "name"]).where("node <> pivot").selectExpr("pivot as a", "node as b")))
+        second = step.stored(cross_links(own.drop("outsiders"), texts, shared, similarity))
+        if not second.isEmpty():
+            reached = components(links.unionByName(second))
+        of = classes.select("node", "node.h0", "node.h1").join(reached, "node", "left").select("h0", "h1", F.col("node.o").alias("own"), F.coalesce("component", "node").alias("top"))
+        rows = signed_.select("doc_id", "h0", "h1").join(of, ["h0", "h1"], "left")
+        kept = F.coalesce((order == F.col("own")) & (F.col("top.h0") == F.col("h0")) & (F.col("top.h1") == F.col("h1")), F.lit(True))
+        class_id = F.coalesce(F.when(F.col("top.o") != int(_LAST), F.col("top.o")), F.when(F.col("top").isNull(), F.col("doc_id")))
+        return stored(rows.select("doc_id", class_id.alias("class_id"), kept.alias("kept"), "h0", "h1"))

@@ -1,7 +1,9 @@
 """Near duplicates, secrets, contamination, lines, quality, language, mixing."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -21,41 +23,101 @@ def _words(rng, n, alphabet="abcdefghij"):
     return ["".join(rng.choices(alphabet, k=rng.randint(2, 7))) for _ in range(n)]
 
 
-def test_near_copies_in_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+def _tfidf(texts, common):
+    """Weights of each text's shingles, said without the library."""
+    bags = []
+    for t in texts:
+        w = ["".join(c.lower() if c.isascii() else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        n = min(5, len(w))
+        bags.append(Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else Counter())
+    df = Counter(s for bag in bags for s in bag)
+    idf = {s: math.log((1 + len(texts)) / (1 + max(n, common * len(texts)))) + 1 for s, n in df.items()}
+    return [{s: n * idf[s] for s, n in bag.items()} for bag in bags]
+
+
+def _linked(weights, i, j):
+    a, b = weights[i], weights[j]
+    least = sum(min(x, b[s]) for s, x in a.items() if s in b)
+    return least > 0 and least / (sum(a.values()) + sum(b.values()) - least) >= 0.8 - 1e-9
+
+
+def _classes(weights):
+    top = list(range(len(weights)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    pairs = [(i, j) for i in range(len(weights)) for j in range(i) if _linked(weights, i, j)]
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        top[max(x, y)] = min(x, y)
+    return pairs, {k: find(k) for k in range(len(weights))}
+
+
+@pytest.mark.parametrize("block", [4, 8, 256])
+def test_near_copies_in_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
     rng = random.Random(1)
-    base = _words(rng, 80)
-    texts = []
+    base, other = _words(rng, 80), _words(rng, 5)
+    texts = [" ".join(base[:40] + _words(rng, 40))]  # the least of its buckets, and far from most of them
     for k in range(90):
         w = list(base)
         for p in rng.sample(range(80), k % 7):
             w[p] = f"edit{rng.randrange(9999)}"
         texts.append(" ".join(w))
-    texts += [" ".join(_words(rng, 60)) for _ in range(30)] + [texts[5]] * 3 + ["one two", "One  two", "", None]
+    texts += [" ".join(other + _words(rng, 60)) for _ in range(30)] + [texts[5]] * 3 + ["one two", "One  two", "", None]
     docs = _docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
-    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
-    idf = near_duplicates.inverse_frequencies(docs)
-    raw = [(t or "").encode() for t in texts]
-    sets = list(near_duplicates.shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), idf))
-    top = list(range(len(texts)))
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            _, a, b = np.intersect1d(sets[i][0], sets[j][0], return_indices=True)
-            least = np.minimum(sets[i][1][a], sets[j][1][b]).sum()
-            if least and least / (sets[i][1].sum() + sets[j][1].sum() - least) >= 0.8 - 1e-9:
-                x, y = find(i), find(j)
-                top[max(x, y)] = min(x, y)
-    want = {k: find(k) for k in range(len(texts))}
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs.repartition(3)).collect()}
+    pairs, want = _classes(_tfidf(texts, near_duplicates.COMMON))
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
     assert sum(got[k] != want[k] for k in want) <= 2  # samples may miss a pair at the threshold
     assert got[len(texts) - 1] == len(texts) - 1 and got[len(texts) - 4] == got[len(texts) - 3]
 
 
+def test_document_frequencies(spark, monkeypatch):
+    rng = random.Random(14)
+    notice, lines = " ".join(_words(rng, 9)), [" ".join(_words(rng, 7)) for _ in range(8)]
+    texts = [" ".join([notice] * (k % 3 == 0) + [lines[k % 8]] + _words(rng, 12)) for k in range(120)] + ["", None]
+    idf = near_duplicates.inverse_frequencies(_docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]).repartition(5), common=0.1)
+    want = _tfidf(texts, 0.1)
+    for text, weights in zip(texts, want, strict=True):
+        raw = (text or "").encode()
+        name, weight = next(iter(near_duplicates.shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), idf)))
+        assert np.allclose(sorted(weight), sorted(weights.values()))
+    assert len(idf.names) == sum(n >= 12.2 for n in Counter(s for w in want for s in w).values()) > 0
+
+
+def test_recall_against_all_rows(spark, sf):
+    """Queries: every row whose id is divisible by 100 (ten times as many, to have some), against all rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    weights = _tfidf([r.text for r in rows], near_duplicates.COMMON)
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
+    pairs = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) if rows[i].doc_id % 10 == 0 for j in range(len(rows)) if i != j and _linked(weights, i, j)]
+    assert pairs and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_near_duplicates_are_told_apart_by_row(spark):
+    rng = random.Random(15)
+    a, b = (" ".join(_words(rng, 50)) for _ in range(2))
+    rows = [(5, a), (5, b), (5, a), (None, a + " end"), (None, b), (None, "only here twice"), (None, "only here twice"), (7, "only " + a), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("x"))
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in near_duplicates.near_duplicates(docs).collect())
+    assert got == sorted([(5, 5, True)] * 3 + [(0, 5, False)] * 2 + [(0, 0, True)] * 2 + [(7, 5, False), (8, 8, True), (9, 9, True)])
+    assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_compared(spark):
+    rng = random.Random(16)
+    words = _words(rng, 60_000)
+    copy = list(words)
+    copy[::2000] = ["edit"] * 30
+    docs = _docs(spark, [(1, " ".join(words), "en", "s"), (2, " ".join(copy), "en", "s"), (3, " ".join(words[:30_000]), "en", "s")])
+    assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     names = rng.integers(1, 2**63, 400).astype(np.uint64)
