@@ -166,15 +166,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     with Steps(docs.sparkSession) as step:
         rows = step.stored(map_text(docs, file, filed_schema))
-        symbols = rows.where("not done").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-        shared = step.stored(rows.where("not done").join(symbols.select("key"), "key"))
+        # Names are stored before they are joined: both sides of the join are then dealt for it, and a frequent name can be split.
+        symbols = step.stored(rows.where("not done").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
+        shared = step.stored(rows.where("not done").join(symbols, "key"))
         carried = step.stored(shared.groupBy("key", "span").agg(F.min("doc").alias("least")))
         judged = step.stored(shared.join(carried, ["key", "span"]).select("key", "r0", "r1", "at", "count", (F.col("least") < F.col("doc")).alias("settled")))
-        several = carried.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        several = step.stored(carried.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         # Equal rows have one name and equal spans: a set of them is bounded by one text.
         opened = judged.where("not settled").join(several, "key").groupBy("r0", "r1").agg(F.collect_set(F.struct("at", "count")).alias("open"))
         windows = step.stored(map_text(docs.join(opened, ["r0", "r1"]), single, window_schema))
-        least = windows.groupBy("w0", "w1").agg(F.min("doc").alias("least"))
+        least = step.stored(windows.groupBy("w0", "w1").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
         late = windows.where("not done").join(least, ["w0", "w1"]).where("least < doc")
         hits = windows.where("done").select("r0", "r1", "at").unionByName(late.select("r0", "r1", "at"))
         whole = rows.where("done").select("r0", "r1", "at", "count").unionByName(judged.where("settled").select("r0", "r1", "at", "count"))

@@ -225,10 +225,11 @@ def settle(step: Steps, rows: DataFrame, window: int, carried: tuple[str, ...] =
     key with others, with the number of classes there."""
     place = ["r0", "r1", "at", "count", "anchor", *carried]
     rows = step.stored(rows)
-    alone = rows.where("n > 0").groupBy("key").agg(F.sum("n").alias("members"))
-    met = step.stored(rows.where("n > 0").join(alone.where("members > 1").select("key"), "key"))
+    # Tables of keys are stored before they are joined: both sides of the join are then dealt for it, and a frequent key can be split.
+    several = step.stored(rows.where("n > 0").groupBy("key").agg(F.sum("n").alias("members")).where("members > 1").select("key"))
+    met = step.stored(rows.where("n > 0").join(several, "key"))
     classes = step.stored(met.groupBy("key", "span").agg(F.sum("n").alias("members"), F.min(F.struct(*place)).alias("one")))
-    shared = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
+    shared = step.stored(classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1"))
     open_ = classes.join(shared, "key").select("key", "classes", *(F.col("one").getField(c).alias(c) for c in place))
     twice = met.join(classes.where("members > 1").select("key", "span"), ["key", "span"])
     spans = rows.where("n = 0").select("r0", "r1", "at", "count").unionByName(twice.select("r0", "r1", "at", "count"))
