@@ -11,8 +11,12 @@ In each stratum of encoding and length, the lowest threshold is taken at which t
 among the accepted is at most FALSE_SHARE; a stratum without such a threshold accepts none. What is expected comes from
 data that the threshold doesn't fix: how often structured tokens reach it is read off those that share their first
 PREFIX_BITS bits with a different token, as random ones don't; how many structured tokens there are, off the p-values under REFUTED.
+A stratum of under SMALL tokens takes the threshold of its encoding at all lengths, or that of all tokens if its encoding is as small; a single
+token in its stratum is tested so too. No threshold is below the least of THRESHOLDS, so a token that the battery refutes is never added.
 
-Null text is empty: no spans. Positions are code points, ends exclusive. A span of kind assign is the whole match.
+Null and empty texts have no spans. Positions are code points, ends exclusive. A span of kind assign is the whole match. Every row is
+scanned for itself and gives one row, also where rows repeat or share a doc_id; an empty table gives an empty result, and other columns are left
+out, whatever their names. A task holds one whole text and its tokens.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ PREFIX_BITS = 40
 REFUTED = 0.001
 #: The rate at which all structured tokens reach a threshold counts as so many of a stratum's own.
 POOLED = 10
-THRESHOLDS = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
+SMALL = 30
+THRESHOLDS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
 
 # The three patterns of the base scan, as the contract states them; (?i:) holds for A-Z only.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -118,17 +123,26 @@ def thresholds(tokens: DataFrame, false_share: float = FALSE_SHARE) -> dict[tupl
     """The accepting threshold of each (encoding, band) stratum that has one. There are twelve encodings and one band for
     each doubling of the length, so what reaches the driver is a few dozen rows."""
     levels = range(len(THRESHOLDS))
-    alike = tokens.groupBy("encoding", "band", "prefix").agg(*(F.count_if(F.col("p") >= t).alias(f"r{k}") for k, t in enumerate(THRESHOLDS)), F.count_if(F.col("p") < REFUTED).alias("refuted"), (F.min("whole") < F.max("whole")).alias("shared"))
-    known = [F.sum(F.when(F.col("shared"), F.col(f"r{k}")).otherwise(0)).alias(f"s{k}") for k in levels]
-    rows = alike.groupBy("encoding", "band").agg(*(F.sum(f"r{k}").alias(f"r{k}") for k in levels), *known, F.sum("refuted").alias("refuted")).collect()
-    every = [sum(row[f"s{k}"] for row in rows) for k in levels]
+    alike = tokens.groupBy("encoding", "band", "prefix").agg(F.count("*").alias("n"), *(F.count_if(F.col("p") >= t).alias(f"r{k}") for k, t in enumerate(THRESHOLDS)), F.count_if(F.col("p") < REFUTED).alias("refuted"), (F.min("whole") < F.max("whole")).alias("shared"))
+    known = [F.sum(F.when(F.col("shared"), F.col(c)).otherwise(0)).alias(f"known_{c}") for c in ("n", *(f"r{k}" for k in levels))]
+    rows = alike.groupBy("encoding", "band").agg(F.sum("n").alias("n"), *(F.sum(f"r{k}").alias(f"r{k}") for k in levels), *known, F.sum("refuted").alias("refuted")).collect()
+
+    def pooled(same) -> dict[str, int]:
+        return {c: sum(row[c] for row in rows if same(row)) for c in (rows[0].asDict() if rows else ()) if c not in ("encoding", "band")}
+
+    every = pooled(lambda row: True)
     out = {}
     for row in rows:
+        own = row.asDict()
+        if own["n"] < SMALL:
+            own = pooled(lambda other, row=row: other["encoding"] == row["encoding"])
+        if own["n"] < SMALL:
+            own = every
         # Shares of structured tokens that reach each threshold; with no such token known they are a half.
-        reach = [(row[f"s{k}"] + POOLED * (every[k] + 1) / (every[0] + 2)) / (row["s0"] + POOLED) for k in levels]
-        structured = min(row["r0"], max(0.0, row["refuted"] + 1 - REFUTED * row["r0"]) / (1 - reach[THRESHOLDS.index(REFUTED)]))
+        reach = [(own[f"known_r{k}"] + POOLED * (every[f"known_r{k}"] + 1) / (every["known_n"] + 2)) / (own["known_n"] + POOLED) for k in levels]
+        structured = min(own["n"], max(0.0, own["refuted"] + 1 - REFUTED * own["n"]) / (1 - reach[THRESHOLDS.index(REFUTED)]))
         for k, t in enumerate(THRESHOLDS):
-            if row[f"r{k}"] and structured * (reach[k] if k else 1.0) <= false_share * row[f"r{k}"]:
+            if own[f"r{k}"] and structured * reach[k] <= false_share * own[f"r{k}"]:
                 out[row["encoding"], row["band"]] = t
                 break
     return out

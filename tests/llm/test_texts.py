@@ -1,5 +1,6 @@
 """Near duplicates, secrets, contamination, lines, quality, language, mixing."""
 
+import hashlib
 import math
 import random
 import re
@@ -169,6 +170,66 @@ def test_structured_strata_accept_none(spark):
     assert set(lines) == {("base62", 4)} and lines["base62", 4] <= 0.05
 
 
+def test_base_spans_of_all_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in secrets.digest(secrets.scan(docs)).collect():
+        own = _base(texts[r.doc_id] or "")
+        assert ",".join(x for x in r.spans.split(",") if x and not x.startswith("random")) == own
+        assert r.base_sha256 == hashlib.sha256(own.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [own.count(k) for k in ("assign:", "access:", "hex:")]
+
+
+def test_battery_against_numpy(spark):
+    rng = random.Random(18)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    pools = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base62": letters + digits, "lower": letters[26:], "base64": letters + digits + "+/"}
+    bodies = []
+    for name, pool in pools.items():
+        for k in range(30):
+            body = "".join(rng.choices(pool, k=rng.randint(20, 70)))
+            bodies.append((name, body if k % 3 else body[:10] + body[10] * (len(body) - 10) if k % 2 else "".join(sorted(body))))
+    docs = spark.createDataFrame([(k, [(0, len(b), b)]) for k, (_, b) in enumerate(bodies)], "doc_id long, tokens array<struct<start:int,end:int,body:string>>")
+    signs = {name: alphabet for name, _, alphabet in secrets.ENCODINGS}
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    seen = 0
+    for r in secrets.battery(docs).collect():
+        body = bodies[r.doc_id][1]
+        for t in r.tokens:
+            seen += 1
+            x = np.array([signs[t.encoding].index(c) for c in body], float)
+            n, a = len(x), len(signs[t.encoding])
+            pairs = sum(c * (c - 1) / 2 for c in Counter(body).values())
+            mean = n * (n - 1) / 2 / a
+            high = x * 2 >= a
+            h, runs = high.sum(), 1 + (high[1:] != high[:-1]).sum()
+            both = 2.0 * h * (n - h)
+            z_runs = (runs - 1 - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1))) if both > n else 40.0
+            dev = x - x.mean()
+            z_serial = (dev[1:] * dev[:-1]).sum() / (dev**2).sum() * math.sqrt(n) if (dev**2).sum() > 0 else 40.0
+            ps = [upper((pairs - mean) / math.sqrt(mean * (1 - 1 / a))), min(1, 2 * upper(abs(z_runs))), min(1, 2 * upper(abs(z_serial)))]
+            want = 0.5 - math.atan(sum(math.tan(math.pi * (0.5 - (p * 0.9998 + 0.0001))) for p in ps) / 3) / math.pi
+            assert abs(t.p - want) < 0.01 and t.band == int(math.log2(n))
+    assert seen >= 140
+
+
+def test_small_strata_share_thresholds(spark):
+    rng = random.Random(19)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    draw = lambda pool, n, must="": "".join(rng.sample([*rng.choices(pool, k=n - len(must)), *must], n))
+    few = [draw(digits + "ABCDEF", 40) for _ in range(10)] + [draw(letters + digits + "+/", 44, "+/") for _ in range(6)] + [draw(letters[26:] + digits, 70, "z0")]
+    many = [draw(letters + digits, 24, "Zz0") for _ in range(120)]
+    structured = [f"archive-{k:06d}-{k:06d}-item" for k in range(80)] + ["x" * 30, "abcabcabcabcabcabcabcabc", "0" * 40]
+    texts = [f"see {t} here" for t in few + many + structured] + [None, ""] + [f"see {few[0]} here"]
+    docs = _docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]).withColumn("spans", F.lit(0))
+    rows = secrets.digest(secrets.scan(docs.repartition(3))).collect()
+    found = {r.doc_id: "random:4:" in r.spans for r in rows}
+    assert len(rows) == len(texts) and found[0] == found[len(texts) - 1]
+    assert sum(found[k] for k in range(17)) >= 14 and sum(found[k] for k in range(17, 137)) >= 110
+    added = sum(found[k] for k in range(137, 220))
+    assert added <= 0.1 * (added + sum(found[k] for k in range(137)))
+
+
 def test_planted_secrets_are_found(spark):
     rng = random.Random(12)
     letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
