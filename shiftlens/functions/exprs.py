@@ -163,3 +163,13 @@ def file_date(path, modified) -> Column:
     """Date in a file's name (yyyymmdd), else the day of its last change."""
     digits = F.regexp_extract(F.substring_index(col(path), "/", -1), r"(\d{8})", 1)
     return F.coalesce(F.try_to_timestamp(F.when(digits != "", digits), F.lit("yyyyMMdd")).cast("date"), col(modified).cast("date"))
+
+
+def json_field(text: Column | str, name: str, kind: str = "string") -> Column:
+    """One field of a JSON object; null where the text is no object or lacks it."""
+    return F.from_json(text, f"`{name}` {kind}")[name]
+
+
+def state_json(**fields: Column) -> Column:
+    """A JSON object of the fields that are not null, as before and after states are kept."""
+    return F.to_json(F.struct(*(value.alias(name) for name, value in fields.items())))

@@ -38,11 +38,14 @@ def _fixed16(*fields: str) -> str:
     return f"concat_ws('§', {_HEAD}, {', '.join(padded)})"
 
 
-@query("SELECT 'db' || (s_nationkey % 3) AS database_name, 'own§er' || s_suppkey AS owner_name, CAST(s_suppkey * 1000 AS BIGINT) AS perm_space, 'line one' || chr(10) || s_name AS comment_string FROM supplier")
+@query("SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'run two' ELSE '20240131T120000Z' END AS extract_run_id, 'db' || (s_nationkey % 3) AS database_name, 'own§er' || s_suppkey AS owner_name, CAST(s_suppkey * 1000 AS BIGINT) AS perm_space, 'line one' || chr(10) || s_name AS comment_string FROM supplier")
 def src1_read_fixed16(d):
+    """Files of two runs side by side."""
     record = _fixed16("concat('db', s_nationkey % 3)", "concat('own\\\\§er', s_suppkey)", "''", "'2024-01-01 00:00:00'", "''", "''", "concat('line one\n', s_name)", "format_number(s_suppkey * 1000, 0)")
-    path = _written(d.supplier.repartition(2), record, _folder(d.spark), "databases")
-    return readers.read_view(d.spark, path, "databases").select("database_name", "owner_name", "perm_space", "comment_string")
+    folder = _folder(d.spark)
+    _written(d.supplier.where("s_suppkey % 3 <> 0").repartition(2), record, folder, "a")
+    _written(d.supplier.where("s_suppkey % 3 = 0").repartition(2), record.replace("20240131T120000Z", "run two"), folder, "b")
+    return readers.read_view(d.spark, [f"{folder}/a", f"{folder}/b"], "databases").select("extract_run_id", "database_name", "owner_name", "perm_space", "comment_string")
 
 
 @query("SELECT 't' || conv_id AS table_name, turn AS request_text_seq, text AS request_text FROM conversations WHERE text IS NOT NULL AND text <> ''")
@@ -85,10 +88,16 @@ def _document(d) -> DataFrame:
 SELECT step_key, tier, count(*) AS n FROM (SELECT step_key, 'FACT' AS tier FROM lineage WHERE transformation_type = 'A' AND step_key >= 'step5' UNION ALL SELECT step_key, tier FROM lineage WHERE step_key NOT IN (FROM f)) GROUP BY ALL"""
 )
 def src5_read_lineage_json(d):
-    path = f"{_folder(d.spark)}/lineage"
-    _document(d).repartition(2).write.json(path)
-    docs = d.spark.read.schema(readers.LINEAGE_SCHEMA).json(path)
-    return readers.lineage_frames(docs)["attribute_edges"].groupBy(F.col("stepNaturalKey").alias("step_key"), "tier").agg(F.count("*").alias("n"))
+    documents = _document(d)
+    unnamed = documents.limit(1).withColumn("parseRunId", F.lit(None).cast("string"))  # left out by the reader
+    path = _document_files(documents.unionByName(unnamed), f"{_folder(d.spark)}/lineage")
+    return readers.read_lineage(d.spark, path)["attribute_edges"].groupBy(F.col("stepNaturalKey").alias("step_key"), "tier").agg(F.count("*").alias("n"))
+
+
+def _document_files(documents: DataFrame, path: str) -> str:
+    """Each document in a file of its own."""
+    documents.withColumn("file", F.coalesce("parseRunId", F.lit("none"))).repartition("file").write.partitionBy("file").json(path)
+    return path
 
 
 @query("SELECT object_name, query_count, user_count, CAST(last_accessed AS VARCHAR) AS last_accessed FROM (SELECT object_name, sum(query_count)::BIGINT AS query_count, count(*) AS user_count, TIMESTAMP '2024-05-01 10:00:00' AS last_accessed FROM usage GROUP BY 1)")
@@ -107,21 +116,26 @@ def src7_read_org_csv(d):
     return readers.read_org_csv(d.spark, path, "username", ["username", "display_name", "team", "email"])
 
 
-@query()
+@query("SELECT DISTINCT 'flat' AS format, 'object_usage' AS content_type, 'medium' AS confidence FROM usage UNION SELECT DISTINCT 'json', 'lineage', 'high' FROM lineage UNION SELECT DISTINCT 'flat', 'tables', 'high' FROM supplier")
 def src8_detect_content(d):
     folder = _folder(d.spark)
     _written(d.usage.repartition(3), _OBJECT_USAGE, folder, "x")
-    _document(d).repartition(2).write.json(f"{folder}/y")
-    files = readers.read_files(d.spark, folder, "part-*").select("path", "content")
-    return readers.detect_content(files).groupBy("format", "content_type", "confidence").agg(F.count("*").alias("n"))
+    _document_files(_document(d), f"{folder}/y")
+    _written(d.supplier.repartition(2), _fixed16("'db'", "concat('T', s_suppkey)", "'T'"), folder, "z")
+    _rename(d.spark, f"{folder}/z", folder, "tablesv_full")
+    return readers.detect_content(readers.read_files(d.spark, folder, "{part-*,tablesv_*}").select("path", "content")).select("format", "content_type", "confidence").distinct()
 
 
-@query()
+@query("SELECT 'k=' || k AS folder, k <> 2 AS archived, k = 1 AS imported, true AS filled, count(*) AS n FROM (SELECT DISTINCT event_id % 3 AS k FROM usage) GROUP BY ALL")
 def src9_list_landing(d):
+    """Three folders with a file each, two of them archived and one of those imported before."""
     folder = _folder(d.spark)
-    d.usage.select(F.expr(_OBJECT_USAGE).alias("value")).repartition(2).write.option("encoding", "UTF-8").text(f"{folder}/archive/run1")
-    listed = readers.read_files(d.spark, folder, "part-*").select("path", "modificationTime", "length")
-    return listed.select(F.lower("path").contains("/archive/").alias("archived"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), (F.col("length") > 0).alias("filled")).groupBy("archived", "folder", "filled").agg(F.count("*").alias("n"))
+    rows = d.usage.select((F.col("event_id") % 3).alias("k"), "object_name").repartition("k")
+    rows.where("k <> 2").write.partitionBy("k").json(f"{folder}/Archive")
+    rows.where("k = 2").write.partitionBy("k").json(f"{folder}/usage")
+    done = readers.list_landing(d.spark, folder).where(F.contains("path", F.lit("k=1"))).select("path")
+    listed = readers.list_landing(d.spark, folder, done)
+    return listed.groupBy("folder", "archived", "imported", (F.col("length") > 0).alias("filled")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT schema_name, table_name, object_type FROM tabs WHERE snapshot_id = 4")
@@ -433,14 +447,78 @@ def ing1_counts(d):
     return ingest.build_snapshot(1, *_extracts(d))["counts"]
 
 
-@query("WITH ds AS (SELECT DISTINCT 'Q' || (l_suppkey % 40) || '.B' AS k FROM lineitem) SELECT split_part(k, '.', 1) AS schema_name, split_part(k, '.', 2) AS table_name, 'TABLE' AS object_type FROM ds")
-def ing2_ingest_lineage(d):
-    ds = d.lineitem.select(F.expr("'Q' || (l_suppkey % 40) || '.B'").alias("datasetNaturalKey")).distinct().withColumns({"containerNaturalKey": F.lit("c"), "datasetType": F.lit(" table")})
+def _more_extracts(d):
+    """Indices, partitioning and DDL fragments, some of them of unknown tables."""
+    own = (F.col("p_brand").alias("database_name"), F.expr("'T' || (p_partkey % 120)").alias("table_name"))
+    indices = d.part.select(*own, F.expr("'I' || p_partkey").alias("index_name"), F.col("p_size").cast("bigint").alias("index_number"), F.lit("P").alias("index_type"), F.lit("Y").alias("unique_flag"), F.expr("'C' || p_partkey").alias("column_name"), F.lit(1).cast("bigint").alias("column_position"))
+    partitioning = d.part.where("p_size % 5 = 0").select(*own, F.lit("Q").alias("constraint_type"), F.concat(F.lit("RANGE_N("), "p_name", F.lit(")")).alias("constraint_text"))
+    texts = d.part.select(*own, F.expr("nullif(p_partkey, 7)").alias("request_text_seq"), F.concat("p_name", F.lit(";")).alias("request_text"))
+    return indices, partitioning, texts
+
+
+_MORE = """t AS (SELECT DISTINCT p_brand AS s, 'T' || (p_partkey % 100) AS t FROM part), x AS (SELECT p_brand AS s, 'T' || (p_partkey % 120) AS t, * FROM part)"""
+
+
+@query(
+    f"""WITH {_MORE} SELECT 'indices' AS kind, s AS schema_name, t AS table_name, 'I' || p_partkey AS item, CAST(p_size AS BIGINT) AS n FROM x SEMI JOIN t USING (s, t)
+UNION ALL SELECT 'partitioning', s, t, 'RANGE_N(' || p_name || ')', 1 FROM x SEMI JOIN t USING (s, t) WHERE p_size % 5 = 0
+UNION ALL SELECT 'ddl', s, t, string_agg(p_name || ';', '' ORDER BY coalesce(nullif(p_partkey, 7), 0), p_name), count(*) FROM x SEMI JOIN t USING (s, t) GROUP BY ALL"""
+)
+def ing1_details(d):
+    made = ingest.build_snapshot(1, *_extracts(d), *_more_extracts(d))
+    row = lambda kind, item, n: made[kind].select(F.lit(kind).alias("kind"), "schema_name", "table_name", F.col(item).alias("item"), n.cast("long").alias("n"))
+    return row("indices", "index_name", F.col("index_number")).unionByName(row("partitioning", "constraint_text", F.lit(1))).unionByName(row("ddl", "ddl", F.col("fragments")))
+
+
+def _lineage_payload(d):
+    ds = d.lineitem.select(F.expr("'Q' || (l_suppkey % 40) || '.B'").alias("datasetNaturalKey")).union(d.lineitem.select(F.expr("'P' || (l_partkey % 50) || '.A'"))).distinct().withColumns({"containerNaturalKey": F.lit("c"), "datasetType": F.lit(" table")})
     attributes = ds.select("datasetNaturalKey", "containerNaturalKey", F.concat("datasetNaturalKey", F.lit("|c1")).alias("attributeNaturalKey"), F.lit("string").alias("dataType"), F.lit(True).alias("nullable"), F.lit(None).cast("long").alias("ordinalPosition"), F.lit(None).cast("string").alias("attributeClass"))
     edges = d.lineage.select(F.col("source_key").alias("sourceAttributeNaturalKey"), F.col("target_key").alias("targetAttributeNaturalKey"), "tier", F.col("transformation_type").alias("transformationType"), "expression", F.col("step_key").alias("stepNaturalKey"))
-    tier3 = d.lineage.select(F.substring_index("source_key", "|", 1).alias("sourceDatasetNaturalKey"), F.substring_index("target_key", "|", 1).alias("targetDatasetNaturalKey"), F.col("step_key").alias("stepNaturalKey"))
-    frames = {"containers": ds.select("containerNaturalKey").distinct(), "datasets": ds, "attributes": attributes, "attribute_edges": edges, "tier3DatasetLineage": tier3}
-    return ingest.ingest_lineage(frames, 9)["tables"].drop("snapshot_id")
+    tier3 = d.lineage.select(F.expr("if(tier = 'TIER1', substring_index(source_key, '|', 1), concat('UNKNOWN.', substring_index(source_key, '|', 1)))").alias("sourceDatasetNaturalKey"), F.substring_index("target_key", "|", 1).alias("targetDatasetNaturalKey"), F.col("step_key").alias("stepNaturalKey"))
+    processes = d.lineage.select(F.concat(F.lit("p"), F.substring("step_key", 5, 1)).alias("processNaturalKey"), F.lit("SQL").alias("processType"), F.lit("g").alias("processGroupNaturalKey")).distinct()
+    steps = d.lineage.select(F.col("step_key").alias("stepNaturalKey"), F.concat(F.lit("p"), F.right("step_key", F.lit(1))).alias("processNaturalKey"), F.lit("1").alias("stepLevel"), F.lit("INSERT").alias("stepType"), F.lit(None).cast("string").alias("parentStepNaturalKey")).distinct()
+    return {"containers": ds.select("containerNaturalKey").distinct(), "datasets": ds, "attributes": attributes, "attribute_edges": edges, "tier3DatasetLineage": tier3, "processes": processes, "steps": steps}
+
+
+_PAYLOAD = """ds AS (SELECT DISTINCT 'Q' || (l_suppkey % 40) || '.B' AS k FROM lineitem UNION SELECT 'P' || (l_partkey % 50) || '.A' FROM lineitem), old AS (SELECT * FROM ds WHERE k < 'P3'),
+told AS (SELECT DISTINCT CASE WHEN tier = 'TIER1' THEN split_part(source_key, '|', 1) ELSE 'UNKNOWN.' || split_part(source_key, '|', 1) END AS s, split_part(target_key, '|', 1) AS t, step_key FROM lineage),
+st AS (SELECT DISTINCT step_key, 'p' || right(step_key, 1) AS p FROM lineage), pr AS (SELECT DISTINCT 'p' || substr(step_key, 5, 1) AS p FROM lineage)"""
+
+
+@query(
+    f"""WITH {_PAYLOAD} SELECT 'table' AS kind, k AS a, '' AS b FROM ds ANTI JOIN old USING (k) UNION ALL SELECT 'node', upper(k), '' FROM ds ANTI JOIN old USING (k) UNION ALL SELECT 'edge', s, t FROM (SELECT DISTINCT s, t FROM told) WHERE s IN (FROM ds) AND t IN (FROM ds)
+UNION ALL SELECT 'process', p, '' FROM pr UNION ALL SELECT 'step', step_key, p FROM st SEMI JOIN pr USING (p) UNION ALL SELECT 'lost edges', CAST(count(*) AS VARCHAR), '' FROM told WHERE s NOT IN (FROM ds) OR t NOT IN (FROM ds) UNION ALL SELECT 'lost steps', CAST(count(*) AS VARCHAR), '' FROM st ANTI JOIN pr USING (p)"""
+)
+def ing2_ingest_lineage(d):
+    """A payload attached to a snapshot that has some of its tables already."""
+    frames = _lineage_payload(d)
+    frames["tier3DatasetLineage"] = frames["tier3DatasetLineage"].distinct()
+    old = frames["datasets"].where("datasetNaturalKey < 'P3'").select(F.substring_index("datasetNaturalKey", ".", 1).alias("schema_name"), F.substring_index("datasetNaturalKey", ".", -1).alias("table_name"))
+    made = ingest.ingest_lineage(frames, 9, attach_to=old)
+    row = lambda kind, df, a, b=None: df.select(F.lit(kind).alias("kind"), a.alias("a"), (F.lit("") if b is None else F.col(b)).alias("b"))
+    lost = made["orphans"].select(F.when(F.col("kind") == "steps", "lost steps").otherwise("lost edges").alias("kind"), F.col("n").cast("string").alias("a"), F.lit("").alias("b"))
+    parts = [row("table", made["tables"], F.concat_ws(".", "schema_name", "table_name")), row("node", made["nodes"], F.col("object_name")), row("edge", made["edges"], F.col("src_name"), "dst_name"), row("process", made["processes"], F.col("process_key")), row("step", made["steps"], F.col("step_key"), "process_key")]
+    for part in parts:
+        lost = lost.unionByName(part)
+    return lost
+
+
+_REPAIR = "n AS (SELECT upper(split_part(k, '.', 2)) AS bare, min(k) AS full_name FROM ds GROUP BY 1 HAVING count(*) = 1)"
+
+
+@query(
+    f"""WITH ds AS (SELECT DISTINCT 'Q' || (l_suppkey % 40) || '.B' || (l_suppkey % 40) AS k FROM lineitem), {_REPAIR}, told AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'UNKNOWN.B' || (l_suppkey % 40) ELSE 'Q' || (l_suppkey % 40) || '.B' || (l_suppkey % 40) END AS s, 'Q' || (l_partkey % 40) || '.B' || (l_partkey % 40) AS t FROM lineitem),
+r AS (SELECT DISTINCT coalesce(full_name, s) AS s, t FROM told LEFT JOIN n ON s LIKE 'UNKNOWN.%' AND bare = upper(split_part(s, '.', 2)))
+SELECT s AS src_name, t AS dst_name FROM r WHERE s <> t AND s IN (FROM ds) AND t IN (FROM ds)"""
+)
+def ing2_repaired_edges(d):
+    """Ends that are UNKNOWN.<name> get the one name they can stand for."""
+    key = lambda c: F.expr(f"'Q' || ({c} % 40) || '.B' || ({c} % 40)")
+    frames = _lineage_payload(d)
+    ds = d.lineitem.select(key("l_suppkey").alias("datasetNaturalKey")).distinct()
+    frames["datasets"] = ds.withColumns({"containerNaturalKey": F.lit("c"), "datasetType": F.lit("table")})
+    frames["tier3DatasetLineage"] = d.lineitem.select(F.when(F.col("l_linenumber") == 1, F.expr("'UNKNOWN.B' || (l_suppkey % 40)")).otherwise(key("l_suppkey")).alias("sourceDatasetNaturalKey"), key("l_partkey").alias("targetDatasetNaturalKey"), F.lit("s").alias("stepNaturalKey")).distinct()
+    return ingest.ingest_lineage(frames, 9, names=ds.select(F.col("datasetNaturalKey").alias("object_name")))["edges"].select("src_name", "dst_name")
 
 
 @query("SELECT 'object' AS mode, schema_name, table_name FROM tabs WHERE snapshot_id = 1 AND (schema_name < 'Brand#3' OR table_name LIKE 'T1%') OR (snapshot_id = 2 AND (schema_name, table_name) NOT IN (SELECT (schema_name, table_name) FROM tabs WHERE snapshot_id = 1 AND (schema_name < 'Brand#3' OR table_name LIKE 'T1%')))")
@@ -454,10 +532,18 @@ def ing3_backfill_schemas(d):
     return ingest.incremental_backfill(d.tabs.where("snapshot_id = 1 and schema_name < 'Brand#3'").select("schema_name", "table_name"), d.tabs.where("snapshot_id = 2"), "schema")
 
 
-@query("SELECT snapshot_id, count(DISTINCT schema_name) AS schemas, count(*) FILTER (WHERE object_type <> 'VIEW') AS tables, count(*) FILTER (WHERE object_type = 'VIEW') AS views, (SELECT count(*) FROM cols WHERE snapshot_id = 3) AS columns FROM tabs WHERE snapshot_id = 3 GROUP BY 1")
+@query(
+    """WITH t AS (SELECT * FROM tabs WHERE snapshot_id = 3), cum AS (SELECT count(*) AS n FROM (SELECT DISTINCT schema_name, table_name FROM tabs WHERE snapshot_id BETWEEN 2 AND 3))
+SELECT 'schemas' AS what, count(DISTINCT schema_name) AS n FROM t UNION ALL SELECT 'views', count(*) FROM t WHERE object_type = 'VIEW' UNION ALL SELECT 'columns', count(*) FROM cols WHERE snapshot_id = 3
+UNION ALL SELECT 'nodes', (SELECT count(DISTINCT upper(schema_name || '.' || table_name)) FROM t) + (SELECT count(DISTINCT upper(schema_name)) FROM t)
+UNION ALL SELECT 'duplicates', count(*) FROM (SELECT 1 FROM t GROUP BY schema_name, table_name HAVING count(*) > 1)"""
+)
 def ing4_post_ingest(d):
     done = ingest.post_ingest(d.tabs, d.cols, d.snap.withColumn("is_baseline", F.col("snapshot_id") == 2), 2, 3)
-    return done["metrics"].drop("total")
+    m = done["metrics"].select(F.expr("stack(3, 'schemas', schemas, 'views', views, 'columns', columns) as (what, n)"))
+    nodes = done["nodes"].agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "n")
+    twice = done["validation"].where("issue = 'DUPLICATE_TABLE'").agg(F.count("*").alias("n")).select(F.lit("duplicates").alias("what"), "n")
+    return m.unionByName(nodes).unionByName(twice)
 
 
 @query(
@@ -471,6 +557,26 @@ def ing6_ingest_people(d):
     return ingest.ingest_people(existing, incoming)
 
 
+@query(
+    """WITH i AS (SELECT 'A' || (c_custkey % 300) AS a, c_name AS ds, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 's' || (c_custkey % 11) END AS s, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 't' || (c_custkey % 70) END AS t, n_name AS o, c_custkey AS pos FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 2 = 0 WHERE c_custkey % 13 <> 0),
+f AS (SELECT a, arg_min({'ds': ds, 'o': o}, pos) AS x FROM i GROUP BY 1), e AS (SELECT 'A' || s_suppkey AS a, s_name AS ds, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'BRAZIL' END AS o FROM supplier)
+SELECT 'application' AS kind, coalesce(e.a, f.a) AS a, CASE WHEN e.a IS NOT NULL THEN e.ds ELSE f.x.ds END AS b, coalesce(e.o, f.x.o) AS c FROM e FULL JOIN f USING (a)
+UNION ALL SELECT DISTINCT 'schema', upper(s), a, NULL FROM i WHERE s IS NOT NULL UNION ALL SELECT DISTINCT 'table', upper(s), upper(t), a FROM i WHERE s IS NOT NULL AND t IS NOT NULL"""
+)
+def ing6_ingest_applications(d):
+    existing = d.supplier.select(F.expr("'A' || s_suppkey").alias("application"), F.col("s_name").alias("description"), F.expr("if(s_suppkey % 2 = 0, null, 'BRAZIL')").alias("owner_team"))
+    named = d.customer.join(F.broadcast(d.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    incoming = named.select(
+        F.expr("if(c_custkey % 13 = 0, null, 'A' || (c_custkey % 300))").alias("application_name"), F.col("c_name").alias("description"), F.expr("if(c_custkey % 4 = 0, null, 's' || (c_custkey % 11))").alias("schema_name"),
+        F.expr("if(c_custkey % 3 = 0, null, 't' || (c_custkey % 70))").alias("table_name"), F.col("n_name").alias("owner_team"), F.col("c_custkey").alias("_pos"),
+    )
+    made = ingest.ingest_applications(existing, incoming, d.team.where("team_id % 2 = 0"))
+    none = F.lit(None).cast("string")
+    out = made["applications"].select(F.lit("application").alias("kind"), F.col("application").alias("a"), F.col("description").alias("b"), F.col("owner_team").alias("c"))
+    out = out.unionByName(made["schema_map"].select(F.lit("schema").alias("kind"), F.col("schema_name").alias("a"), F.col("application").alias("b"), none.alias("c")))
+    return out.unionByName(made["table_map"].select(F.lit("table").alias("kind"), F.col("schema_name").alias("a"), F.col("table_name").alias("b"), F.col("application").alias("c")))
+
+
 _REC = "SELECT schema_name AS database_name, split_part(object_name, '.', 2) AS table_name, CAST(NULL AS STRING) AS column_name, CASE event_id % 4 WHEN 0 THEN 'Tab' WHEN 1 THEN 'Viw' WHEN 2 THEN 'UDF' ELSE 'SP' END AS object_type, query_count, user_count AS distinct_user_count, CASE WHEN event_id % 13 = 0 THEN NULL ELSE last_accessed END AS last_accessed FROM {usage}"
 
 
@@ -482,37 +588,61 @@ def ing7_ingest_usage(d):
     return kept.groupBy("schema_name", "object_name", "object_type").agg(F.sum("query_count").alias("total"), F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT DISTINCT 'S' || (s_suppkey % 12) || '.T' || s_suppkey AS name FROM supplier) SELECT count(*) AS objects, (SELECT CAST(sum(query_count) AS BIGINT) FROM usage WHERE event_id % 4 <> 2 AND object_name IN (SELECT name FROM t)) AS queries FROM t")
+@query(
+    """WITH t AS (SELECT DISTINCT 'S' || (s_suppkey % 12) || '.T' || s_suppkey AS name FROM supplier), l AS (SELECT DISTINCT k FROM (SELECT 'P' || (l_partkey % 50) || '.A' AS k FROM lineitem UNION SELECT 'Q' || (l_suppkey % 40) || '.B' FROM lineitem)),
+e AS (SELECT DISTINCT 'P' || (l_partkey % 50) || '.A' AS s, 'Q' || (l_suppkey % 40) || '.B' AS t FROM lineitem)
+SELECT 'tables' AS what, count(*) AS n FROM t UNION ALL SELECT 'queries', CAST(sum(query_count) AS BIGINT) FROM usage WHERE event_id % 4 <> 2 AND object_name IN (SELECT name FROM t) UNION ALL SELECT 'indices', count(*) FROM supplier UNION ALL SELECT 'lineage tables', count(*) FROM l
+UNION ALL SELECT 'nodes', (SELECT count(*) FROM t) + (SELECT count(DISTINCT s_suppkey % 12) FROM supplier) + (SELECT count(*) FROM l) UNION ALL SELECT 'feeds', count(*) FROM e UNION ALL SELECT 'scored', (SELECT count(*) FROM t) + (SELECT count(DISTINCT s_suppkey % 12) FROM supplier) + (SELECT count(*) FROM l)"""
+)
 def ing8_unified_import(d):
+    """A landing folder with catalog, usage and lineage files, each kind in several files."""
     folder = _folder(d.spark)
-    name = lambda files, new: _rename(d.spark, f"{folder}/{files}", folder, new)
-    head = _fixed16("concat('S', s_suppkey % 12)", "''", "''", "'2024-01-01 00:00:00'")
-    _written(d.supplier.coalesce(1), head, folder, "a")
-    _written(d.supplier.coalesce(1), _fixed16("concat('S', s_suppkey % 12)", "concat('T', s_suppkey)", "'T'"), folder, "b")
-    _written(d.supplier.coalesce(1), _fixed16("concat('S', s_suppkey % 12)", "concat('T', s_suppkey)", "concat('C', s_suppkey)", "'1'", "'I'", "''", "''", "''", "'Y'"), folder, "c")
-    _written(d.usage.coalesce(1), _OBJECT_USAGE, folder, "e")
-    for files, new in (("a", "databasesv_full"), ("b", "tablesv_full"), ("c", "columnsv_full"), ("e", "pdcr_object_usage_1")):
-        name(files, new)
+    own = ("concat('S', s_suppkey % 12)", "concat('T', s_suppkey)")
+    _written(d.supplier, _fixed16(own[0], "''", "''", "'2024-01-01 00:00:00'"), folder, "a")
+    _written(d.supplier.repartition(3), _fixed16(*own, "'T'"), folder, "b")
+    _written(d.supplier, _fixed16(*own, "concat('C', s_suppkey)", "'1'", "'I'", "''", "''", "''", "'Y'"), folder, "c")
+    _written(d.supplier, _fixed16(*own, "'ix'", "'1'", "'P'", "'Y'", "concat('C', s_suppkey)", "'1'"), folder, "i")
+    _written(d.usage, _OBJECT_USAGE, folder, "e")
+    for files, new in (("a", "databasesv_full"), ("b", "tablesv_full"), ("c", "columnsv_full"), ("i", "indicesv_full"), ("e", "pdcr_object_usage_1")):
+        _rename(d.spark, f"{folder}/{files}", folder, new)
+    pairs = d.lineitem.select(F.expr("'P' || (l_partkey % 50) || '.A'").alias("s"), F.expr("'Q' || (l_suppkey % 40) || '.B'").alias("t")).distinct()
+    ends = pairs.select(F.col("s").alias("k")).union(pairs.select("t")).distinct()
+    edge = F.collect_list(F.struct(F.col("s").alias("sourceDatasetNaturalKey"), F.col("t").alias("targetDatasetNaturalKey"), F.lit("s1").alias("stepNaturalKey"), F.lit("D").alias("impactType")))
+    dataset = F.collect_list(F.struct(F.col("k").alias("datasetNaturalKey"), F.lit("c").alias("containerNaturalKey"), F.lit("table").alias("datasetType")))
+    document = pairs.agg(edge.alias("tier3DatasetLineage")).join(F.broadcast(ends.agg(dataset.alias("datasets"))))  # at most 50 * 40 pairs
+    head = {"parseRunId": F.lit("r"), "parseTimestamp": F.lit("t"), "platform": F.expr("named_struct('platformNaturalKey', 'p', 'technology', 't')"), "containers": F.expr("array(named_struct('containerNaturalKey', 'c'))")}
+    document.withColumns(head).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/l")
+    _rename(d.spark, f"{folder}/l", folder, "lineage", "json")
     made = ingest.unified_import(d.spark, folder, 1)
-    return made["tables"].agg(F.count("*").alias("objects")).join(F.broadcast(made["usage"].agg(F.sum("query_count").alias("queries"))))
+    one = lambda name, df: df.select(F.lit(name).alias("what"), F.col("n").cast("long").alias("n"))
+    count = lambda name, df: one(name, df.agg(F.count("*").alias("n")))
+    out = count("tables", made["tables"]).unionByName(one("queries", made["usage"].agg(F.sum("query_count").alias("n"))))
+    for name, df in (("indices", made["indices"]), ("lineage tables", made["lineage_tables"]), ("nodes", made["nodes"]), ("feeds", made["edges"].where("relationship_type = 'FEEDS'")), ("scored", made["criticality"])):
+        out = out.unionByName(count(name, df))
+    return out
 
 
-def _rename(spark: SparkSession, files: str, folder: str, name: str) -> None:
-    """Move the one part file below `files` to folder/name.dat."""
+def _rename(spark: SparkSession, files: str, folder: str, name: str, kind: str = "dat") -> None:
+    """Move the part files below `files` to folder/name_<k>.<kind>."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(files).getFileSystem(spark._jsc.hadoopConfiguration())
     for k, status in enumerate(fs.globStatus(path(f"{files}/part-*"))):
-        fs.rename(status.getPath(), path(f"{folder}/{name}_{k}.dat"))
+        fs.rename(status.getPath(), path(f"{folder}/{name}_{k}.{kind}"))
 
 
-@query()
+@query("SELECT snapshot_id, count(DISTINCT s_suppkey % 12) AS schemas, count(*) AS tables, count(*) AS columns FROM (SELECT *, CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS snapshot_id FROM supplier) GROUP BY 1")
 def str1_stream_landing(d):
+    """Two landings, each of which becomes a snapshot; a third run finds nothing new."""
     folder = _folder(d.spark)
-    _written(d.usage, _OBJECT_USAGE, folder, "in")
-    seen = f"{folder}/seen"
-    for _ in range(2):  # the second run finds nothing new
-        jobs.stream_landing(d.spark, f"{folder}/in", f"{folder}/checkpoint", lambda df, k: df.write.mode("append").parquet(seen), "part-*").awaitTermination()
-    return d.spark.read.parquet(seen).agg(F.count("*").alias("lines"))
+    own = ("concat('S', s_suppkey % 12)", "concat('T', s_suppkey)")
+    for k, rows in ((1, d.supplier.where("s_suppkey % 4 <> 0")), (2, d.supplier.where("s_suppkey % 4 = 0")), (3, None)):
+        if rows is not None:
+            for name, record in (("databases", _fixed16(own[0])), ("tables", _fixed16(*own, "'T'")), ("columns", _fixed16(*own, "'C'", "'1'", "'I'", "''", "''", "''", "'Y'"))):
+                _written(rows, record.replace("20240131", f"2024013{k}"), folder, f"{name}{k}")
+                _rename_all(d.spark, f"{folder}/{name}{k}", f"{folder}/landing", f"{name}v_{k}")
+        jobs.stream_snapshots(d.spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    per = lambda name, as_: d.spark.read.parquet(f"{folder}/out/{name}").groupBy("snapshot_id").agg(F.count("*").alias(as_))
+    return per("schemas", "schemas").join(per("tables", "tables"), "snapshot_id").join(per("columns", "columns"), "snapshot_id")
 
 
 @query("SELECT CASE WHEN event_id % 4 = 2 THEN 'unmapped_type' WHEN node_id IS NULL OR event_id % 4 = 3 THEN 'orphan' ELSE 'inserted' END AS outcome, count(*) AS n FROM usage u LEFT JOIN (SELECT object_name, max(node_id) AS node_id FROM node WHERE node_id % 4 <> 1 GROUP BY 1) USING (object_name) GROUP BY 1")
@@ -524,20 +654,21 @@ def str2_stream_usage(d):
     return d.spark.read.parquet(f"{folder}/out").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def _rename_all(spark: SparkSession, files: str, folder: str) -> None:
+def _rename_all(spark: SparkSession, files: str, folder: str, name: str = "part") -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path
     path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path(folder))
-    _rename(spark, files, folder, "part")
+    _rename(spark, files, folder, name)
 
 
-@query()
+@query("SELECT conv_id AS query_id, CAST(sum(length(text)) AS BIGINT) AS length, count(*) AS fragments FROM (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def str3_stream_query_log(d):
     folder = _folder(d.spark)
     record = "concat(concat_ws('§', 'td', '2024/05/12', '7', date_format(timestamp_seconds(1700000000 + conv_id * 60), 'yyyy-MM-dd HH:mm:ss'), conv_id, turn, text, 'db', '', ''), 'ENDREC')"
-    _written(d.conversations.where("text is not null").repartition(1).sortWithinPartitions("conv_id", "turn"), record, folder, "in")
+    _written(d.conversations.where("text is not null").repartition("conv_id"), record, folder, "in")
     _rename_all(d.spark, f"{folder}/in", f"{folder}/landing")
-    jobs.stream_query_log(d.spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return d.spark.read.parquet(f"{folder}/out").select("query_id", F.length("sql_text").alias("length"), "fragments")
+    ended = jobs.stream_query_log(d.spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint")
+    ended.awaitTermination()
+    return jobs.query_log(d.spark, f"{folder}/landing", f"{folder}/out", ended).select("query_id", F.length("sql_text").cast("long").alias("length"), "fragments")
 
 
 @query("SELECT p_partkey AS id, 'a§b' || p_size AS first, p_name AS second, 2 AS n FROM part")
@@ -613,8 +744,8 @@ def fn13_score_math(d):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"a\":\"' || event_type || '\",\"k\":' || json_extract_string(props, '$.k') || '}' AS merged FROM events WHERE props IS NOT NULL")
 def fn14_json(d):
-    parsed = F.from_json("props", "k long")
-    return d.events.where("props is not null").select("event_id", parsed["k"].alias("k"), F.to_json(F.struct(F.col("event_type").alias("a"), parsed["k"].alias("k"))).alias("merged"))
+    k = exprs.json_field("props", "k", "long")
+    return d.events.where("props is not null").select("event_id", k.alias("k"), exprs.state_json(a=F.col("event_type"), k=k).alias("merged"))
 
 
 @query("SELECT o_orderkey AS id, strftime(CASE WHEN o_orderkey % 2 = 0 THEN DATE '2024-03-09' ELSE CAST(o_orderdate AS DATE) END, '%Y-%m-%d') AS day FROM orders")

@@ -1,11 +1,14 @@
 """Readers of catalog extracts (.dat), usage logs, lineage and usage JSON, organisation CSV, landing folders and live catalogs.
 
 Flat files have fields between § (escaped \\§). 16-field catalog files are split at record starts, so that records may run over
-lines; the others end records with ENDREC. Records of another arity come out of `violations`, never silently.
+lines; the others end records with ENDREC. A record of another arity is an error, or comes out of `violations`.
 """
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +32,24 @@ ARITY = dict.fromkeys(FIXED16, 16) | {"partitioning": 9, "tabletext": 9, "query_
 _KINDS = {"ts": parse_catalog_ts, "uts": parse_usage_ts, "date": parse_log_date, "int": parse_int_lenient, "": blank_to_null}
 
 
-def _records(spark: SparkSession, path: str, view: str) -> DataFrame:
+def _heads(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files below path, by the source and run id with which all their records begin. A listing of files, as the driver makes it anyway."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    first = lines.where(F.contains("value", F.lit(DELIMITER)) & (F.col("block") == 0)).groupBy("file").agg(F.min_by("value", "n").alias("value"))
+    out: dict[str, list[str]] = {}
+    for row in first.collect():
+        out.setdefault(DELIMITER.join(row["value"].split(DELIMITER)[:2]) + DELIMITER, []).append(unquote(row["file"]))
+    return out
+
+
+def _records(spark: SparkSession, path: str | list[str], view: str) -> DataFrame:
     """(record, fields): raw records, split."""
     if view in FIXED16:
-        first = spark.read.text(path).where(F.contains("value", F.lit(DELIMITER))).first()
-        if first is None:
-            raw = spark.read.text(path).limit(0)
-        else:
-            # All records of a batch begin with its source and run id, the one place where a new record may be told from a continued one.
-            head = DELIMITER.join(first[0].split(DELIMITER)[:2]) + DELIMITER
-            raw = spark.read.option("lineSep", "\n" + head).text(path).withColumn("value", F.when(F.startswith("value", F.lit(head)), F.col("value")).otherwise(F.concat(F.lit(head), F.col("value"))))
+        # All records of a file begin with its source and run id, the one place where a new record may be told from a continued one.
+        raw = spark.createDataFrame([], "value string")
+        for head, files in sorted(_heads(spark, path).items()):
+            own = spark.read.option("lineSep", "\n" + head).text(sorted(files))
+            raw = raw.unionByName(own.select(F.when(F.startswith("value", F.lit(head)), F.col("value")).otherwise(F.concat(F.lit(head), F.col("value"))).alias("value")))
         raw = raw.withColumn("value", F.regexp_replace("value", r"[\r\n]+$", ""))
     else:
         raw = spark.read.option("lineSep", "ENDREC").text(path).withColumn("value", F.regexp_replace("value", r"^[\r\n]+|[\r\n]+$", ""))
@@ -46,18 +57,28 @@ def _records(spark: SparkSession, path: str, view: str) -> DataFrame:
     return raw.withColumn("fields", split_escaped("record"))
 
 
-def read_view(spark: SparkSession, path: str, view: str) -> DataFrame:
-    """Typed rows of one of the views in FIXED16 and ENDREC; blanks are null, bad bytes are replaced, unreadable numbers and times are null."""
-    rows = _records(spark, path, view).where(F.size("fields") == ARITY[view])
+def typed(records: DataFrame, view: str) -> DataFrame:
+    """Rows of a view from records(fields)."""
     out = []
     for k, spec in enumerate((FIXED16 | ENDREC)[view]):
         name, _, kind = spec.partition(":")
         field = F.get("fields", F.lit(k))
         out.append((field if name in ("request_text", "sql_text_info", "constraint_text") else _KINDS[kind](field)).alias(name))
-    return rows.select(out)
+    return records.select(out)
+
+
+def read_view(spark: SparkSession, path: str | list[str], view: str, strict: bool = True) -> DataFrame:
+    """Typed rows of one of the views in FIXED16 and ENDREC; blanks are null, bad bytes are replaced, unreadable numbers and times are null.
+    A record of another arity is an error when it is read; with strict=False it is left out, for `violations` to list. Files of several runs may
+    lie side by side. No files give no rows."""
+    if isinstance(path, list) and not path:
+        return typed(spark.createDataFrame([], "fields array<string>"), view)
+    fits = F.size("fields") == ARITY[view]
+    wrong = F.raise_error(F.format_string(f"{view}: a record of %d fields instead of {ARITY[view]}: %s", F.size("fields"), F.left("record", F.lit(200))))
+    return typed(_records(spark, path, view).where(F.when(fits, F.lit(True)).otherwise(wrong) if strict else fits), view)
 
 
-def violations(spark: SparkSession, path: str, view: str) -> DataFrame:
+def violations(spark: SparkSession, path: str | list[str], view: str) -> DataFrame:
     """(view, n_fields, record) of records whose arity is not the view's."""
     return _records(spark, path, view).where(F.size("fields") != ARITY[view]).select(F.lit(view).alias("view"), F.size("fields").alias("n_fields"), "record")
 
@@ -83,7 +104,7 @@ def lineage_frames(documents: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def read_lineage(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_lineage(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
     docs = spark.read.schema(LINEAGE_SCHEMA).option("multiLine", True).json(path)
     return lineage_frames(docs.where("parseRunId is not null and parseTimestamp is not null and platform is not null"))
 
@@ -110,13 +131,9 @@ ALIASES = {
 def read_org_csv(spark: SparkSession, path: str, key: str, wanted: list[str]) -> DataFrame:
     """Columns under their canonical names, the first header that fits each; rows with a blank key are left out."""
     raw = spark.read.csv(path, header=True)
-    found: dict[str, str] = {}
-    for header in raw.columns:
-        name = header.strip().lower().replace(" ", "_")
-        for canonical, others in ALIASES.items():
-            if name in others:
-                found.setdefault(canonical, header)
-                break
+    canonical = {alias: name for name, aliases in reversed(ALIASES.items()) for alias in aliases}
+    named = {header: canonical.get(re.sub(" ", "_", header.strip().lower())) for header in raw.columns}
+    found = {name: header for header, name in reversed(named.items()) if name}
     out = raw.select(*(blank_to_null(F.col(f"`{found[w]}`")).alias(w) if w in found else F.lit(None).cast("string").alias(w) for w in wanted))
     return out.where(F.col(key).isNotNull())
 

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shiftlens.functions.exprs import USAGE_TYPES, parse_int_lenient, parse_usage_ts, split_escaped
 from shiftlens.operators import metrics
+from shiftlens.plans import ingest
+from shiftlens.sources import readers
+
+_FRAGMENT = ["query_id", "collect_ts", "sql_row_no"]
 
 
 def _records(spark: SparkSession, root: str, arity: int, glob: str = "*.dat") -> DataFrame:
     raw = spark.readStream.option("lineSep", "ENDREC").option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(root)
+    return _split(raw, arity)
+
+
+def _split(raw: DataFrame, arity: int) -> DataFrame:
     raw = raw.withColumn("value", F.regexp_replace("value", r"^[\r\n]+|[\r\n]+$", "")).where(F.trim("value") != "")
     return raw.withColumn("fields", split_escaped("value")).where(F.size("fields") == arity)
 
@@ -25,6 +34,20 @@ def stream_landing(spark: SparkSession, root: str, checkpoint: str, ingest: Call
     return lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(ingest).start()
 
 
+def stream_snapshots(spark: SparkSession, root: str, out: str, checkpoint: str, first: int = 1) -> StreamingQuery:
+    """Every batch of new catalog files becomes a snapshot, numbered on from `first`: schemas, tables and columns go to out/<name>/snapshot_id=<n>.
+    A batch that is run again writes over its own snapshot."""
+
+    def ingest_batch(lines: DataFrame, batch: int) -> None:
+        files = [unquote(r["path"]) for r in lines.select("path").distinct().collect()]  # the new files of the landing folder
+        view = lambda name: readers.read_view(spark, [f for f in files if f.rsplit("/", 1)[-1].lower().startswith(f"{name}v_")], name)
+        made = ingest.build_snapshot(first + batch, view("databases"), view("tables"), view("columns"))
+        for name in ("schemas", "tables", "columns"):
+            made[name].drop("snapshot_id").write.mode("overwrite").parquet(f"{out}/{name}/snapshot_id={first + batch}")
+
+    return stream_landing(spark, root, checkpoint, ingest_batch)
+
+
 def usage_events(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """Usage records of 12 fields with their node and outcome; nodes are a static side."""
     at = lambda k: F.get("fields", F.lit(k))
@@ -41,13 +64,23 @@ def query_fragments(records: DataFrame) -> DataFrame:
     return records.select(parse_usage_ts(at(3)).cast("timestamp").alias("collect_ts"), parse_int_lenient(at(4)).alias("query_id"), parse_int_lenient(at(5)).alias("sql_row_no"), at(6).alias("sql_text"), at(7).alias("default_database")).where("collect_ts is not null and query_id is not null")
 
 
-def reassembled(fragments: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One row a query once the watermark has passed its time; repeated fragments count once, later ones are dropped by the watermark."""
-    once = fragments.withWatermark("collect_ts", delay).dropDuplicatesWithinWatermark(["query_id", "collect_ts", "sql_row_no"])
+def reassembled(fragments: DataFrame) -> DataFrame:
+    """One row a query; fragments are told apart already."""
     parts = F.array_sort(F.collect_list(F.struct(F.col("sql_row_no").isNull().alias("x"), F.col("sql_row_no").alias("n"), F.col("sql_text").alias("t"))))
-    return once.groupBy("query_id", "collect_ts").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("sql_text"), F.count("*").alias("fragments"))
+    return fragments.groupBy("query_id", "collect_ts").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("sql_text"), F.count("*").alias("fragments"))
 
 
 def stream_query_log(spark: SparkSession, root: str, out: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    done = reassembled(query_fragments(_records(spark, root, 10)), delay)
-    return done.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append a query to `out` once the watermark has passed its time; repeated fragments count once, later ones are dropped by the watermark.
+    What the watermark has not passed at the end of the input comes out of `query_log`."""
+    once = query_fragments(_records(spark, root, 10)).withWatermark("collect_ts", delay).dropDuplicatesWithinWatermark(_FRAGMENT)
+    return reassembled(once).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def query_log(spark: SparkSession, root: str, out: str, ended: StreamingQuery) -> DataFrame:
+    """All queries after a run of stream_query_log has ended: those it has written, and those still open, whose time its watermark has not passed,
+    read from the landing folder again. Open ones may still grow."""
+    reached = F.lit((ended.lastProgress or {}).get("eventTime", {}).get("watermark", "1970-01-01T00:00:00Z")).cast("timestamp")
+    raw = spark.read.option("lineSep", "ENDREC").option("pathGlobFilter", "*.dat").option("recursiveFileLookup", True).text(root)
+    late = query_fragments(_split(raw, 10)).where(F.col("collect_ts") > reached).dropDuplicates(_FRAGMENT)
+    return spark.read.parquet(out).unionByName(reassembled(late))

@@ -37,7 +37,3 @@ def test_against_sql(spark, sf, name):
 def test_runs(spark, sf, name):
     assert __spark_entry__.queries()[name](spark, sf).count() > 0
 
-
-def test_streamed_log_is_whole(spark, sf):
-    got = catalogue.QUERIES["str3_stream_query_log"](spark, sf).agg({"fragments": "sum"}).first()[0]
-    assert got > 0
