@@ -101,29 +101,60 @@ def walk(edges: DataFrame, starts: DataFrame, max_depth: int, edge_types: list[s
     grown = lambda node, path: F.array_insert(path, F.lit(1), node) if upstream else F.array_append(path, node)
     now = starts.select("start").distinct().join(step, F.col("start") == F.col("_a")).select("start", F.col("_b").alias("node"))
     now = now.withColumn("path", F.array("node", "start") if upstream else F.array("start", "node"))
-    levels = [now.withColumn("depth", F.lit(1))]
+    out = now.withColumn("depth", F.lit(1))
     for depth in range(2, max_depth + 1):
+        # Each level is written once and read by the next, so that a plan has one join a level.
+        now = cut(now)
+        if depth == 2:
+            out = now.withColumn("depth", F.lit(1))
+        if now.isEmpty():
+            break
         now = now.join(step, F.col("node") == F.col("_a")).where(~F.array_contains("path", F.col("_b"))).select("start", F.col("_b").alias("node"), grown(F.col("_b"), F.col("path")).alias("path"))
-        levels.append(now.withColumn("depth", F.lit(depth)))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+        if depth < max_depth:
+            now = cut(now)
+        out = out.unionByName(now.withColumn("depth", F.lit(depth)))
     return out.select("start", "node", "depth", "path", F.round(1 / F.col("depth"), 4).alias("score"))
 
 
-def impact_summaries(changes: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(change_id, direct, indirect, score, max_depth) of every change, from walks of its distinct linked nodes both ways.
-    Changes that no node stands for get zeros."""
-    linked = link_changes(changes.select("change_id", "object_type", "object_identifier"), nodes).select("change_id", "node_id")
-    starts = linked.select(F.col("node_id").alias("start")).distinct()
-    down = walk(edges, starts, max_depth).withColumn("way", F.lit("down"))
-    both = down.unionByName(walk(edges, starts, max_depth, upstream=True).withColumn("way", F.lit("up")))
-    of = both.groupBy("start").agg(
-        F.count_if(F.expr("way = 'down' and depth = 1")).alias("direct"), F.count_if(F.expr("way = 'down' and depth > 1")).alias("indirect"),
-        F.round(F.sum("score"), 4).alias("score"), F.max("depth").alias("max_depth"),
-    )
-    out = changes.select("change_id").join(linked, "change_id", "left").join(of.withColumnRenamed("start", "node_id"), "node_id", "left")
-    return out.select("change_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("direct", "indirect", "score", "max_depth")))
+def path_counts(edges: DataFrame) -> DataFrame:
+    """(node, d1, d2, d3): how many simple paths of one, two and three steps start at each node, as walk() has them, without making the paths.
+
+    Paths of two steps are the targets' out-degrees less the way back; those of three steps are sums of that over neighbours, less the ways back and the
+    closed triangles. A triangle is found from its corner of least degree, which keeps hubs from being multiplied out. Paths that begin with a
+    loop on the start go on from it as from a new start."""
+    parallel = edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
+    loops = parallel.where("src = dst").select(F.col("src").alias("node"), F.col("m").alias("loops"))
+    e = cut(parallel.where("src <> dst"))
+    out = e.groupBy(F.col("src").alias("dst")).agg(F.sum("m").alias("o"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("m").alias("back"))
+    both = e.join(back, ["src", "dst"], "left").join(out, "dst", "left").na.fill(0, ["back", "o"])
+    w = cut(both.withColumn("w", F.col("m") * (F.col("o") - F.col("back"))))
+    two = w.groupBy(F.col("src").alias("dst")).agg(F.sum("w").alias("two"))
+    there = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("w_back"))
+    three = w.join(there, ["src", "dst"], "left").join(two, "dst", "left").na.fill(0, ["w_back", "two"])
+    three = three.groupBy(F.col("src").alias("node")).agg(F.sum("m").alias("o"), F.sum("w").alias("two"), F.sum(F.col("m") * (F.col("two") - F.col("w_back"))).alias("three"))
+    degree = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    rank = lambda c: degree.select(F.col("node").alias(c), F.struct("n", "node").alias(f"rank_{c}"))
+    ranked = e.join(rank("src"), "src").join(rank("dst"), "dst")
+    first = ranked.where("rank_src < rank_dst").select(F.col("src").alias("p"), F.col("dst").alias("a"), F.col("m").alias("m1"))
+    last = ranked.where("rank_dst < rank_src").select(F.col("dst").alias("p"), F.col("src").alias("b"), F.col("m").alias("m3"))
+    closed = first.join(last, "p").join(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("m").alias("m2")), ["a", "b"])
+    triangles = closed.select(F.explode(F.array("p", "a", "b")).alias("node"), (F.col("m1") * F.col("m2") * F.col("m3")).alias("t")).groupBy("node").agg(F.sum("t").alias("t"))
+    all_ = three.join(loops, "node", "full_outer").join(triangles, "node", "left").na.fill(0, ["o", "two", "three", "loops", "t"])
+    return all_.select("node", (F.col("o") + F.col("loops")).alias("d1"), (F.col("two") + F.col("loops") * F.col("o")).alias("d2"), (F.col("three") - F.col("t") + F.col("loops") * F.col("two")).alias("d3"))
+
+
+def impact_summaries(changes: DataFrame, nodes: DataFrame, edges: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(change_id, direct, indirect, score, max_depth) of every change: its node's paths of up to three steps down, and up for score and depth. They are
+    counted for all nodes at once. Changes that no node stands for get zeros; those in done(change_id) are left out."""
+    if done is not None:
+        changes = changes.join(done.select("change_id").distinct(), "change_id", "left_anti")
+    linked = link_changes(changes.select("change_id", "object_type", "object_identifier"), nodes).select("change_id", F.col("node_id").alias("node"))
+    up = path_counts(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).toDF("node", "u1", "u2", "u3")
+    out = changes.select("change_id").join(linked, "change_id", "left").join(path_counts(edges), "node", "left").join(up, "node", "left").na.fill(0, ["d1", "d2", "d3", "u1", "u2", "u3"])
+    score = F.round((F.col("d1") + F.col("u1")) * 1.0 + (F.col("d2") + F.col("u2")) * 0.5 + (F.col("d3") + F.col("u3")) * 0.3333, 4)
+    depth = F.when(F.col("d3") + F.col("u3") > 0, 3).when(F.col("d2") + F.col("u2") > 0, 2).when(F.col("d1") + F.col("u1") > 0, 1).otherwise(0)
+    return out.select("change_id", F.col("d1").alias("direct"), (F.col("d2") + F.col("d3")).alias("indirect"), score.alias("score"), depth.alias("max_depth"))
 
 
 def impact_of(start: int, nodes: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -134,14 +165,17 @@ def impact_of(start: int, nodes: DataFrame, edges: DataFrame, max_depth: int = 8
     return root.unionByName(down).unionByName(up).join(nodes.select(F.col("node_id").alias("node"), "object_name", "object_type"), "node", "left")
 
 
-def hops(edges: DataFrame, start: int, most: int, direction: str = "both", max_nodes: int | None = None) -> DataFrame:
-    """(node, hop): shortest distances from start, by frontiers; each hop keeps at most max_nodes nodes in all, the smallest first."""
+def hops(edges: DataFrame, start: int, most: int, direction: str = "both", max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
+    """(node, hop): shortest distances from start, by frontiers; each hop keeps at most max_nodes nodes in all, the smallest first, out of its first
+    max_edges edges a direction."""
     spark = edges.sparkSession
     down, up = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    step = {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
+    steps = {"downstream": [down], "upstream": [up], "both": [down, up]}[direction]
+    first = lambda df: df.orderBy("a", "b").limit(max_edges) if max_edges else df
     seen = frontier = spark.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("hop"))
     for hop in range(1, most + 1):
-        frontier = frontier.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
+        found = [first(step.join(frontier.select(F.col("node").alias("a")), "a")).select(F.col("b").alias("node")) for step in steps]
+        frontier = (found[0] if len(found) == 1 else found[0].unionByName(found[1])).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
         if max_nodes:
             frontier = frontier.orderBy("node").limit(max_nodes)
         seen = seen.unionByName(frontier)
@@ -161,11 +195,14 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "relationship_type").distinct()
 
 
-def focus_subgraph(edges: DataFrame, start: int, most: int = 2, max_nodes: int = 1000, edge_types: list[str] | None = None, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+def focus_subgraph(edges: DataFrame, start: int, most: int = 2, max_nodes: int = 1000, edge_types: list[str] | None = None, direction: str = "both") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, hop) around start, the distinct edges between them, and whether they were capped, as one row (capped). A hop looks at its first
+    10 * max_nodes edges a direction, in order."""
     if edge_types:
         edges = edges.where(F.col("relationship_type").isin(edge_types))
-    near = hops(edges, start, most, direction, max_nodes)
-    return near, induced(edges, near)
+    wide = hops(edges, start, most, direction, max_nodes + 1, 10 * max_nodes)
+    near = wide.orderBy("hop", "node").limit(max_nodes)
+    return near, induced(edges, near), wide.agg((F.count("*") > max_nodes).alias("capped"))
 
 
 def graph_meta(nodes: DataFrame, edges: DataFrame, cap: int = 5000) -> DataFrame:
@@ -173,6 +210,13 @@ def graph_meta(nodes: DataFrame, edges: DataFrame, cap: int = 5000) -> DataFrame
     return n.join(F.broadcast(m)).withColumn("truncated", F.col("node_count") > cap)
 
 
+def full_graph(nodes: DataFrame, edges: DataFrame, cap: int = 5000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All nodes and edges, or none of either if there are more nodes than the cap, and graph_meta. Its one row decides while the frames are read."""
+    meta = graph_meta(nodes, edges, cap)
+    whole = F.broadcast(meta.where("not truncated").select(F.lit(True).alias("_whole")))
+    return nodes.join(whole).drop("_whole"), edges.join(whole).drop("_whole"), meta
+
+
 def column_lineage(lineage: DataFrame, table: str) -> DataFrame:
     """(column_name, direction, partner, tier): direct edges of a table's columns, one for each partner, and its predicates (targets
     NOT APPLICABLE) as direction indirect, all of them."""
@@ -255,8 +299,9 @@ def proactive_alerts(nodes: DataFrame, edges: DataFrame, changes: DataFrame, cap
 
 
 def what_if(hypothetical: DataFrame, nodes: DataFrame, edges: DataFrame, usage: DataFrame, depth: int = 8, context: int = 10) -> DataFrame:
-    """Impact of hypothetical changes (hyp_id, change_type, object_name): direct and indirect paths down, the first upstream
-    paths as context, queries over the affected names, and the risk. Column changes are anchored at their table."""
+    """Impact of hypothetical changes (hyp_id, change_type, object_name): direct and indirect paths down, the first upstream paths as context, queries and
+    users over the affected names, and the risk. Column changes are anchored at their table. Names without usage of their own take that of the first
+    name with the same last part."""
     anchor = F.when(F.col("change_type").startswith("COLUMN"), F.substring_index("object_name", ".", 2)).otherwise(F.col("object_name"))
     breaking = F.col("change_type").isin("TABLE_REMOVED", "TABLE_TYPE_CHANGED", "COLUMN_REMOVED", "COLUMN_TYPE_CHANGED")
     ids = nodes.groupBy(F.lower("object_name").alias("_n")).agg(F.max("node_id").alias("start"))
@@ -265,13 +310,16 @@ def what_if(hypothetical: DataFrame, nodes: DataFrame, edges: DataFrame, usage:
     down = walk(edges, starts, depth)
     up = walk(edges, starts, depth, upstream=True).withColumn("_r", F.row_number().over(Window.partitionBy("start").orderBy("depth", "node", "path"))).where(F.col("_r") <= context)
     names = nodes.select(F.col("node_id").alias("node"), F.lower("object_name").alias("name"))
-    load = usage.groupBy(F.lower("object_name").alias("name")).agg(F.sum("query_count").alias("q"))
-    touched = down.select("start", "node").unionByName(starts.select("start", F.col("start").alias("node"))).distinct().join(names, "node").join(load, "name", "left").groupBy("start").agg(F.coalesce(F.sum("q"), F.lit(0)).alias("total_queries"))
+    full = usage.groupBy(F.lower("object_name").alias("name")).agg(F.sum("query_count").alias("q"), F.sum("user_count").alias("u"))
+    short = full.groupBy(leaf("name").alias("short")).agg(F.min_by(F.struct("q", "u"), "name").alias("s"))
+    affected = down.select("start", "node").unionByName(up.select("start", "node")).unionByName(starts.select("start", F.col("start").alias("node"))).distinct()
+    used = affected.join(names, "node").join(full, "name", "left").join(short, leaf("name") == F.col("short"), "left")
+    touched = used.groupBy("start").agg(F.sum(F.coalesce("q", "s.q")).alias("total_queries"), F.sum(F.coalesce("u", "s.u")).alias("total_users"))
     paths = down.groupBy("start").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
-    out = base.join(paths, "start", "left").join(up.groupBy("start").agg(F.count("*").alias("upstream")), "start", "left").join(touched, "start", "left").na.fill(0, ["direct", "indirect", "upstream", "total_queries"])
-    n, q = F.col("direct") + F.col("indirect"), F.col("total_queries")
+    out = base.join(paths, "start", "left").join(up.groupBy("start").agg(F.count("*").alias("upstream")), "start", "left").join(touched, "start", "left").na.fill(0, ["direct", "indirect", "upstream", "total_queries", "total_users"])
+    n, q = F.col("direct") + F.col("indirect") + F.col("upstream"), F.col("total_queries")
     risk = F.when(F.col("is_breaking") & ((n >= 3) | (q >= 5000)), "HIGH").when(F.col("is_breaking") | (n >= 5) | (q >= 1000), "MEDIUM").otherwise("LOW")
-    return out.select("hyp_id", "change_type", "object_name", "is_breaking", "direct", "indirect", "upstream", "total_queries", risk.alias("risk"))
+    return out.select("hyp_id", "change_type", "object_name", "is_breaking", "direct", "indirect", "upstream", "total_queries", "total_users", risk.alias("risk"))
 
 
 def chain_check(chain: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -283,11 +331,14 @@ def chain_check(chain: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
 
 
 def tier_support(lineage: DataFrame, tier3: DataFrame) -> DataFrame:
-    """(check, source_key, target_key): tier-2 edges without tier 1, and dataset pairs of tier 1 or 2 without a tier-3 edge(source_table, target_table)."""
+    """(check, source_key, target_key): tier-2 edges without tier 1, facts without either, and dataset pairs of tier 1 or 2 without a tier-3
+    edge(source_table, target_table)."""
     pair = ["source_key", "target_key"]
-    t1, t2 = lineage.where("tier = 'TIER1'").select(pair).distinct(), lineage.where("tier = 'TIER2'").select(pair).distinct()
-    rolled = lineage.select(F.substring_index("source_key", "|", 1).alias("source_key"), F.substring_index("target_key", "|", 1).alias("target_key")).distinct()
-    return t2.subtract(t1).withColumn("check", F.lit("tier2_without_tier1")).unionByName(rolled.subtract(tier3.toDF(*pair)).withColumn("check", F.lit("missing_tier3")))
+    at = lambda *tiers: lineage.where(F.col("tier").isin(*tiers)).select(pair)
+    named = lambda df, check: df.withColumn("check", F.lit(check))
+    rolled = at("TIER1", "TIER2").select(F.substring_index("source_key", "|", 1).alias("source_key"), F.substring_index("target_key", "|", 1).alias("target_key"))
+    missing = named(rolled.subtract(tier3.toDF(*pair)), "missing_tier3")
+    return named(at("TIER2").subtract(at("TIER1")), "tier2_without_tier1").unionByName(named(at("FACT").subtract(at("TIER1", "TIER2")), "fact_without_tiers")).unionByName(missing)
 
 
 def neighbourhood_roles(edges: DataFrame, root: int, most: int) -> DataFrame:
@@ -322,3 +373,10 @@ def isolation_check(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     problem = F.when(F.col("_s").isNull() | F.col("_d").isNull(), "missing endpoint").when((F.col("_s") != F.col("snapshot_id")) | (F.col("_d") != F.col("snapshot_id")), "other snapshot")
     return both.withColumn("problem", problem).where("problem is not null").select("snapshot_id", "src", "dst", "problem")
 
+
+
+def alignment_check(impacts: DataFrame, changes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(change_id, node_id, snapshot_id, problem) for impacts whose change is missing or led to another snapshot, or whose node is missing or of another."""
+    both = impacts.join(changes.select("change_id", F.col("snapshot_to").alias("_to")), "change_id", "left").join(nodes.select("node_id", F.col("snapshot_id").alias("_at")), "node_id", "left")
+    problem = F.when(F.col("_to").isNull(), "missing change").when(F.col("_to") != F.col("snapshot_id"), "change of another snapshot").when(F.col("_at").isNull(), "missing node").when(F.col("_at") != F.col("snapshot_id"), "node of another snapshot")
+    return both.withColumn("problem", problem).where("problem is not null").select("change_id", "node_id", "snapshot_id", "problem")

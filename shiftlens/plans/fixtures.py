@@ -36,7 +36,7 @@ FIXTURES = {
                            'S' || (o_custkey % 12) AS s, 'T' || (o_custkey % 60) AS t, 'C' || (o_custkey % 7) AS c,
                            CASE o_orderkey % 11 WHEN 0 THEN 'TABLE_ADDED' WHEN 1 THEN 'TABLE_REMOVED' WHEN 2 THEN 'TABLE_TYPE_CHANGED' WHEN 3 THEN 'TABLE_DDL_CHANGED' WHEN 4 THEN 'COLUMN_ADDED'
                                 WHEN 5 THEN 'COLUMN_REMOVED' WHEN 6 THEN 'COLUMN_TYPE_CHANGED' WHEN 7 THEN 'COLUMN_NULLABILITY_CHANGED' WHEN 8 THEN 'COLUMN_POSITION_CHANGED' WHEN 9 THEN 'SCHEMA_ADDED' ELSE 'SCHEMA_REMOVED' END AS change_type
-                    FROM {orders} WHERE o_orderkey % 5 < 4) AS o1) AS o2""",
+                    FROM {orders}) AS o1) AS o2""",
     "months": "SELECT DISTINCT CAST(month(o_orderdate) AS BIGINT) AS snapshot_id, CAST('2024-01-01' AS DATE) + CAST(7 * month(o_orderdate) AS INT) AS snapshot_date FROM {orders}",
     "node": """
         SELECT CAST(p_partkey AS BIGINT) AS node_id, 'S' || (p_partkey % 12) || '.T' || p_partkey AS object_name, 'S' || (p_partkey % 12) AS schema_name,

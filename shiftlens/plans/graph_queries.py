@@ -10,37 +10,33 @@ from shiftlens.plans.registry import query
 
 
 def _catalog(d):
-    tables = d.tabs.where("snapshot_id = 2").drop("snapshot_id")
-    # Columns whose names refer to tables: of every third part, a key to table T<n>.
-    columns = d.cols.where("snapshot_id = 2").select("schema_name", "table_name", F.expr("CASE WHEN ordinal_position % 3 = 0 THEN table_name || '_id' WHEN ordinal_position % 3 = 1 THEN 'T' || (ordinal_position * 4 - 3) || '_id' ELSE column_name END").alias("column_name"))
-    return tables, columns
+    """Tables whose names end in their schema's number, so that a name is found in one schema, and columns that refer to tables by name."""
+    name = F.concat("table_name", F.lit("B"), F.right("schema_name", F.lit(2)))
+    tables = d.tabs.where("snapshot_id = 2").select("schema_name", name.alias("table_name"), "object_type")
+    column = F.expr("CASE WHEN ordinal_position % 3 = 0 THEN table_name || 'B' || right(schema_name, 2) || '_id' WHEN ordinal_position % 3 = 1 THEN 'T' || (ordinal_position * 4 - 3) || 'B' || right(schema_name, 2) || '_id' ELSE column_name END")
+    return tables, d.cols.where("snapshot_id = 2").select("schema_name", name.alias("table_name"), column.alias("column_name"))
 
 
-_CATALOG = """WITH t AS (SELECT schema_name, table_name, object_type FROM tabs WHERE snapshot_id = 2 AND schema_name < 'Brand#12'),
-c AS (SELECT schema_name, table_name, CASE WHEN ordinal_position % 3 = 0 THEN table_name || '_id' WHEN ordinal_position % 3 = 1 THEN 'T' || (ordinal_position * 4 - 3) || '_id' ELSE column_name END AS column_name FROM cols WHERE snapshot_id = 2),
+_CATALOG = """WITH t AS (SELECT schema_name, table_name || 'B' || right(schema_name, 2) AS table_name, object_type FROM tabs WHERE snapshot_id = 2),
+c AS (SELECT schema_name, table_name || 'B' || right(schema_name, 2) AS table_name, CASE WHEN ordinal_position % 3 = 0 THEN table_name || 'B' || right(schema_name, 2) || '_id' WHEN ordinal_position % 3 = 1 THEN 'T' || (ordinal_position * 4 - 3) || 'B' || right(schema_name, 2) || '_id' ELSE column_name END AS column_name FROM cols WHERE snapshot_id = 2),
 alone AS (SELECT lower(table_name) AS name, min(schema_name || '.' || table_name) AS referenced FROM t GROUP BY 1 HAVING count(*) = 1),
 w AS (SELECT schema_name || '.' || table_name AS holder, column_name, unnest([0, 1, 2]) AS rank, lower(regexp_replace(column_name, '_id$', '')) || unnest(['', 's', 'es']) AS name FROM c WHERE lower(column_name) LIKE '_%\\_id' ESCAPE '\\'),
 fk AS (SELECT holder, column_name, arg_min(referenced, rank) AS referenced FROM w JOIN alone USING (name) WHERE holder <> referenced GROUP BY 1, 2)"""
 
 
-def _one_schema(d):
-    tables, columns = _catalog(d)
-    return tables.where("schema_name < 'Brand#12'"), columns
-
-
 @query(
     _CATALOG
     + """SELECT 'node' AS kind, upper(schema_name || '.' || table_name) AS a, min(object_type) AS b FROM t GROUP BY 2 UNION ALL SELECT DISTINCT 'node', upper(schema_name), 'SCHEMA' FROM t
 UNION ALL SELECT DISTINCT 'DEPENDS_ON', upper(schema_name || '.' || table_name), upper(schema_name) FROM t UNION ALL SELECT DISTINCT 'FEEDS', upper(referenced), upper(holder) FROM fk"""
 )
 def gra1_build_graph(d):
-    nodes, edges = graph.build_graph(*_one_schema(d))
+    nodes, edges = graph.build_graph(*_catalog(d))
     return nodes.select(F.lit("node").alias("kind"), F.col("object_name").alias("a"), F.col("object_type").alias("b")).unionByName(edges.select(F.col("relationship_type").alias("kind"), F.col("src_name").alias("a"), F.col("dst_name").alias("b")))
 
 
 @query(_CATALOG + "SELECT * FROM fk")
 def jn11_fk_name_match(d):
-    tables, columns = _one_schema(d)
+    tables, columns = _catalog(d)
     return graph.fk_name_match(columns, tables)
 
 
@@ -82,19 +78,19 @@ _ROW = "SELECT start, node, depth, array_to_string(path, '>') AS path, round(1 /
 
 
 def _starts(d):
-    return d.node.where("node_id % 100 = 1").select(F.col("node_id").alias("start"))
+    return d.node.where("node_id % 100 = 0").select(F.col("node_id").alias("start"))
 
 
 def _paths(df):
     return df.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
-@query(_DOWN.format(starts="SELECT node_id FROM node WHERE node_id % 100 = 1", depth=4) + _ROW + "w")
+@query(_DOWN.format(starts="SELECT node_id FROM node WHERE node_id % 100 = 0", depth=4) + _ROW + "w")
 def gra3_downstream(d):
     return _paths(graph.walk(d.edge, _starts(d), 4))
 
 
-@query(_DOWN.format(starts="SELECT node_id FROM node WHERE node_id % 100 = 1", depth=3) + _ROW + "u")
+@query(_DOWN.format(starts="SELECT node_id FROM node WHERE node_id % 100 = 0", depth=3) + _ROW + "u")
 def gra4_upstream(d):
     return _paths(graph.walk(d.edge, _starts(d), 3, upstream=True))
 
@@ -147,6 +143,23 @@ def gra8_graph_meta(d):
     return graph.graph_meta(d.node, d.edge, 500)
 
 
+@query("WITH m AS (SELECT count(*) AS n FROM node) SELECT 'whole' AS cap, (FROM m) AS nodes, (SELECT count(*) FROM edge) AS edges, false AS truncated UNION ALL SELECT 'small', 0, 0, true")
+def gra8_full_graph(d):
+    """A cap above the number of nodes, and one below it."""
+    out = None
+    for name, cap in (("whole", 1 << 40), ("small", 10)):
+        nodes, edges, meta = graph.full_graph(d.node, d.edge, cap)
+        one = nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(edges.agg(F.count("*").alias("edges")))).join(F.broadcast(meta.select("truncated"))).select(F.lit(name).alias("cap"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_NEAR + ", b AS (SELECT * FROM near ORDER BY hop, node LIMIT 12) SELECT node, hop, (SELECT count(*) > 12 FROM near) AS capped FROM b")
+def gra7_capped_subgraph(d):
+    near, _, capped = graph.focus_subgraph(d.edge, 3, 2, max_nodes=12)
+    return near.join(F.broadcast(capped))
+
+
 @query(
     """SELECT split_part(source_key, '|', 2) AS column_name, 'downstream' AS direction, target_key AS partner, min(tier) AS tier FROM lineage WHERE source_key LIKE 'P7.A|%' AND target_key <> 'NOT APPLICABLE' GROUP BY 1, 2, 3
 UNION ALL SELECT split_part(target_key, '|', 2), 'upstream', source_key, min(tier) FROM lineage WHERE target_key LIKE 'P7.A|%' GROUP BY 1, 2, 3
@@ -156,7 +169,7 @@ def gra9_column_lineage(d):
     return graph.column_lineage(d.lineage, "p7.a")
 
 
-_CHAIN = "SELECT 'N' || (l_partkey % 90) AS source_key, CASE WHEN l_suppkey % 9 = 0 THEN 'NOT APPLICABLE' ELSE 'N' || (l_partkey % 90 + l_linenumber) END AS target_key FROM lineitem WHERE l_partkey % 90 % 4 = 0"
+_CHAIN = "SELECT 'N' || (l_partkey % 90) AS source_key, CASE WHEN l_suppkey % 9 = 0 THEN 'NOT APPLICABLE' ELSE 'N' || (l_partkey % 90 + l_linenumber) END AS target_key FROM lineitem"
 
 
 @query(
@@ -164,7 +177,7 @@ _CHAIN = "SELECT 'N' || (l_partkey % 90) AS source_key, CASE WHEN l_suppkey % 9
 SELECT k AS column_key, depth, array_to_string(min(path), '>') AS path FROM t JOIN (SELECT k, min(depth) AS depth FROM t GROUP BY 1) USING (k, depth) WHERE depth > 0 GROUP BY 1, 2"""
 )
 def gra10_traverse_columns(d):
-    edges = d.lineitem.where("l_partkey % 90 % 4 = 0").select(F.expr("'N' || (l_partkey % 90)").alias("source_key"), F.expr("CASE WHEN l_suppkey % 9 = 0 THEN 'NOT APPLICABLE' ELSE 'N' || (l_partkey % 90 + l_linenumber) END").alias("target_key"))
+    edges = d.lineitem.select(F.expr("'N' || (l_partkey % 90)").alias("source_key"), F.expr("CASE WHEN l_suppkey % 9 = 0 THEN 'NOT APPLICABLE' ELSE 'N' || (l_partkey % 90 + l_linenumber) END").alias("target_key"))
     return graph.traverse_columns(edges, "N4", max_depth=5).withColumn("path", F.array_join("path", ">"))
 
 
@@ -213,17 +226,18 @@ def agg5_node_metrics(d):
     return graph.node_metrics(d.node, d.edge).select("node_id", "in_degree", "out_degree", "fragility", "is_hub")
 
 
-_HYP = "SELECT c_custkey AS hyp_id, CASE c_custkey % 5 WHEN 0 THEN 'TABLE_REMOVED' WHEN 1 THEN 'TABLE_TYPE_CHANGED' WHEN 2 THEN 'COLUMN_REMOVED' WHEN 3 THEN 'COLUMN_TYPE_CHANGED' ELSE 'COLUMN_NULLABILITY_CHANGED' END AS change_type, CASE WHEN c_custkey % 5 < 2 THEN 'S' || (c_custkey % 60 % 12) || '.T' || (c_custkey % 60) ELSE 'S' || (c_custkey % 60 % 12) || '.T' || (c_custkey % 60) || '.C1' END AS object_name FROM {customer} WHERE c_custkey < 300"
+_HYP = "SELECT c_custkey AS hyp_id, CASE c_custkey % 5 WHEN 0 THEN 'TABLE_REMOVED' WHEN 1 THEN 'TABLE_TYPE_CHANGED' WHEN 2 THEN 'COLUMN_REMOVED' WHEN 3 THEN 'COLUMN_TYPE_CHANGED' ELSE 'COLUMN_NULLABILITY_CHANGED' END AS change_type, CASE WHEN c_custkey % 5 < 2 THEN 'S' || (c_custkey % 60 % 12) || '.T' || (c_custkey % 60) ELSE 'S' || (c_custkey % 60 % 12) || '.T' || (c_custkey % 60) || '.C1' END AS object_name FROM {customer}"
 
 
 @query(
     "WITH RECURSIVE hyp AS (" + _HYP.replace("{customer}", "customer") + """), a AS (SELECT hyp.*, node_id AS start FROM hyp LEFT JOIN node n ON lower(n.object_name) = lower(split_part(hyp.object_name, '.', 1) || '.' || split_part(hyp.object_name, '.', 2))),
 w(start, node, depth, path) AS (SELECT src, dst, 1, [src, dst] FROM edge WHERE src IN (SELECT start FROM a) UNION ALL SELECT start, dst, depth + 1, list_append(path, dst) FROM w JOIN edge ON src = node WHERE depth < 4 AND NOT list_contains(path, dst)),
 u(start, node, depth, path) AS (SELECT dst, src, 1, [src, dst] FROM edge WHERE dst IN (SELECT start FROM a) UNION ALL SELECT start, src, depth + 1, list_prepend(src, path) FROM u JOIN edge ON dst = node WHERE depth < 4 AND NOT list_contains(path, src)),
-p AS (SELECT start, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect FROM w GROUP BY 1), q AS (SELECT start, least(count(*), 10) AS upstream FROM u GROUP BY 1),
-t AS (SELECT start, sum(q) AS total FROM (SELECT start, node FROM w UNION SELECT start, start FROM a) JOIN node ON node_id = node JOIN (SELECT lower(object_name) AS nm, sum(query_count) AS q FROM usage GROUP BY 1) ON nm = lower(object_name) GROUP BY 1),
-r AS (SELECT hyp_id, change_type, object_name, change_type <> 'COLUMN_NULLABILITY_CHANGED' AS is_breaking, coalesce(direct, 0) AS direct, coalesce(indirect, 0) AS indirect, coalesce(upstream, 0) AS upstream, CAST(coalesce(total, 0) AS BIGINT) AS total_queries FROM a LEFT JOIN p USING (start) LEFT JOIN q USING (start) LEFT JOIN t USING (start))
-SELECT *, CASE WHEN is_breaking AND (direct + indirect >= 3 OR total_queries >= 5000) THEN 'HIGH' WHEN is_breaking OR direct + indirect >= 5 OR total_queries >= 1000 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM r"""
+p AS (SELECT start, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect FROM w GROUP BY 1), u10 AS (SELECT start, node FROM u QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, node, path) <= 10), q AS (SELECT start, count(*) AS upstream FROM u10 GROUP BY 1),
+fu AS (SELECT lower(object_name) AS nm, sum(query_count) AS q, sum(user_count) AS us FROM usage GROUP BY 1), sh AS (SELECT split_part(nm, '.', -1) AS leaf, arg_min({'q': q, 'us': us}, nm) AS x FROM fu GROUP BY 1),
+t AS (SELECT start, sum(coalesce(fu.q, sh.x.q)) AS total, sum(coalesce(fu.us, sh.x.us)) AS users FROM (SELECT start, node FROM w UNION SELECT start, node FROM u10 UNION SELECT start, start FROM a) JOIN node ON node_id = node LEFT JOIN fu ON nm = lower(object_name) LEFT JOIN sh ON leaf = split_part(lower(object_name), '.', -1) GROUP BY 1),
+r AS (SELECT hyp_id, change_type, object_name, change_type <> 'COLUMN_NULLABILITY_CHANGED' AS is_breaking, coalesce(direct, 0) AS direct, coalesce(indirect, 0) AS indirect, coalesce(upstream, 0) AS upstream, CAST(coalesce(total, 0) AS BIGINT) AS total_queries, CAST(coalesce(users, 0) AS BIGINT) AS total_users FROM a LEFT JOIN p USING (start) LEFT JOIN q USING (start) LEFT JOIN t USING (start))
+SELECT *, CASE WHEN is_breaking AND (direct + indirect + upstream >= 3 OR total_queries >= 5000) THEN 'HIGH' WHEN is_breaking OR direct + indirect + upstream >= 5 OR total_queries >= 1000 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM r"""
 )
 def gra13_what_if(d):
     hyp = d.spark.sql(_HYP, customer=d.customer)
@@ -231,22 +245,27 @@ def gra13_what_if(d):
 
 
 @query(
-    """WITH c AS (SELECT p_partkey AS pos, 'S' || (p_partkey % 12) || '.T' || (CASE WHEN p_partkey % 9 = 8 THEN -1 ELSE p_partkey END) AS object_name FROM part WHERE p_partkey < 64), s AS (SELECT *, lead(object_name) OVER (ORDER BY pos) AS next_name FROM c)
+    """WITH c AS (SELECT p_partkey AS pos, 'S' || (p_partkey % 12) || '.T' || (CASE WHEN p_partkey % 9 = 8 THEN -1 ELSE p_partkey END) AS object_name FROM part), s AS (SELECT *, lead(object_name) OVER (ORDER BY pos) AS next_name FROM c)
 SELECT pos, s.object_name, next_name, a.node_id IS NOT NULL AS found, EXISTS (SELECT 1 FROM edge WHERE src = a.node_id AND dst = b.node_id) AS linked FROM s LEFT JOIN node a ON lower(a.object_name) = lower(s.object_name) LEFT JOIN node b ON lower(b.object_name) = lower(next_name)"""
 )
 def gra14_chain_check(d):
-    chain = d.part.where("p_partkey < 64").select(F.col("p_partkey").alias("pos"), F.expr("'S' || (p_partkey % 12) || '.T' || (CASE WHEN p_partkey % 9 = 8 THEN -1 ELSE p_partkey END)").alias("object_name"))
+    chain = d.part.select(F.col("p_partkey").alias("pos"), F.expr("'S' || (p_partkey % 12) || '.T' || (CASE WHEN p_partkey % 9 = 8 THEN -1 ELSE p_partkey END)").alias("object_name"))
     return graph.chain_check(chain, d.node, d.edge)
 
 
+_TIERS = "SELECT source_key, target_key, CASE WHEN transformation_type = 'A' AND expression = 'O' THEN 'FACT' ELSE tier END AS tier, step_key FROM {lineage}"
+
+
 @query(
-    """WITH t3 AS (SELECT DISTINCT split_part(source_key, '|', 1) AS s, split_part(target_key, '|', 1) AS t FROM lineage WHERE step_key < 'step15')
-SELECT 'tier2_without_tier1' AS "check", * FROM (SELECT source_key, target_key FROM lineage WHERE tier = 'TIER2' EXCEPT SELECT source_key, target_key FROM lineage WHERE tier = 'TIER1')
-UNION ALL SELECT 'missing_tier3', * FROM (SELECT split_part(source_key, '|', 1), split_part(target_key, '|', 1) FROM lineage EXCEPT SELECT s, t FROM t3)"""
+    "WITH l AS (" + _TIERS.replace("{lineage}", "lineage") + """), t3 AS (SELECT DISTINCT split_part(source_key, '|', 1) AS s, split_part(target_key, '|', 1) AS t FROM l WHERE step_key < 'step15')
+SELECT 'tier2_without_tier1' AS "check", * FROM (SELECT source_key, target_key FROM l WHERE tier = 'TIER2' EXCEPT SELECT source_key, target_key FROM l WHERE tier = 'TIER1')
+UNION ALL SELECT 'fact_without_tiers', * FROM (SELECT source_key, target_key FROM l WHERE tier = 'FACT' EXCEPT SELECT source_key, target_key FROM l WHERE tier <> 'FACT')
+UNION ALL SELECT 'missing_tier3', * FROM (SELECT split_part(source_key, '|', 1), split_part(target_key, '|', 1) FROM l WHERE tier <> 'FACT' EXCEPT SELECT s, t FROM t3)"""
 )
 def gra15_tier_support(d):
-    t3 = d.lineage.where("step_key < 'step15'").select(F.substring_index("source_key", "|", 1).alias("s"), F.substring_index("target_key", "|", 1).alias("t")).distinct()
-    return graph.tier_support(d.lineage, t3)
+    lineage = d.spark.sql(_TIERS, lineage=d.lineage)
+    t3 = lineage.where("step_key < 'step15'").select(F.substring_index("source_key", "|", 1).alias("s"), F.substring_index("target_key", "|", 1).alias("t")).distinct()
+    return graph.tier_support(lineage, t3)
 
 
 @query(
@@ -280,6 +299,15 @@ def jn14_isolation_check(d):
     return graph.isolation_check(d.edge.withColumn("snapshot_id", F.col("src") % 7), d.node.where("node_id % 50 <> 3").withColumn("snapshot_id", F.col("node_id") % 7))
 
 
+@query(
+    """WITH i AS (SELECT change_id, change_id % 400 AS node_id, snapshot_to + CASE WHEN change_id % 7 = 0 THEN 1 ELSE 0 END AS snapshot_id FROM chg), c AS (SELECT * FROM chg WHERE change_id % 5 <> 0), n AS (SELECT node_id, node_id % 12 + 1 AS snap FROM node WHERE node_id % 50 <> 3)
+SELECT * FROM (SELECT change_id, node_id, i.snapshot_id, CASE WHEN c.snapshot_to IS NULL THEN 'missing change' WHEN c.snapshot_to <> i.snapshot_id THEN 'change of another snapshot' WHEN snap IS NULL THEN 'missing node' WHEN snap <> i.snapshot_id THEN 'node of another snapshot' END AS problem FROM i LEFT JOIN c USING (change_id) LEFT JOIN n USING (node_id)) WHERE problem IS NOT NULL"""
+)
+def jn14_alignment_check(d):
+    impacts = d.chg.select("change_id", (F.col("change_id") % 400).alias("node_id"), (F.col("snapshot_to") + F.when(F.col("change_id") % 7 == 0, 1).otherwise(0)).alias("snapshot_id"))
+    return graph.alignment_check(impacts, d.chg.where("change_id % 5 <> 0"), d.node.where("node_id % 50 <> 3").withColumn("snapshot_id", F.col("node_id") % 12 + 1))
+
+
 @query("SELECT src, dst, relationship_type FROM edge WHERE src <> dst")
 def flt2_drop_self_loops(d):
     return graph.drop_self_loops(d.edge)

@@ -31,6 +31,21 @@ def test_cycle_and_loop(spark):
     assert [r.cycle for r in graph.detect_cycles(two).orderBy("cycle").collect()] == [[1, 2], [5]]
 
 
+def test_paths_are_counted_as_walked(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(rng.randrange(14), rng.randrange(14), rng.choice("FD")) for _ in range(60)] + [(3, 3, "F")], "src long, dst long, relationship_type string")
+    walked = {(r.start, r.depth): r["count"] for r in graph.walk(edges, _starts(spark, *range(14)), 3).groupBy("start", "depth").count().collect()}
+    counted = {r.node: (r.d1, r.d2, r.d3) for r in graph.path_counts(edges).collect()}
+    assert {k: counted.get(k, (0, 0, 0)) for k in range(14)} == {k: tuple(walked.get((k, d), 0) for d in (1, 2, 3)) for k in range(14)}
+
+
+def test_plan_has_one_join_a_level(spark, chain):
+    plan = graph.walk(chain, _starts(spark, 1), 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 8
+
+
 def test_isolated_node(spark, chain):
     assert graph.walk(chain, _starts(spark, 9), 3).count() == 0
 
