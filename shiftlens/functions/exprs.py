@@ -29,7 +29,7 @@ TYPE_CODES = {
 # Table kinds and usage object types.
 TABLE_KINDS = {
     "T": "TABLE", "O": "TABLE", "Q": "TABLE", "V": "VIEW", "M": "MACRO", "P": "STORED_PROCEDURE", "E": "STORED_PROCEDURE",
-    "F": "FUNCTION", "R": "FUNCTION", "A": "FUNCTION", "B": "FUNCTION", "I": "TRIGGER", "G": "TRIGGER", "J": "TRIGGER", "N": "SEQUENCE", "X": "INDEX",
+    "F": "FUNCTION", "R": "FUNCTION", "A": "FUNCTION", "B": "FUNCTION", "I": "TRIGGER", "G": "TRIGGER", "N": "SEQUENCE", "J": "TRIGGER", "X": "INDEX",
 }
 USAGE_TYPES = {"Col": "COLUMN", "Tab": "TABLE", "Viw": "VIEW", "Idx": "INDEX", "Mac": "MACRO", "Vol": "VOLATILE"}
 # Base names of known column types.

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlens.sources.shared import cut
+
+# The severity of change types, the rest being LOW, and those that break.
 HIGH = ["TABLE_REMOVED", "SCHEMA_REMOVED", "COLUMN_REMOVED", "TABLE_TYPE_CHANGED"]
 MEDIUM = ["COLUMN_TYPE_CHANGED", "COLUMN_NULLABILITY_CHANGED", "TABLE_DDL_CHANGED"]
 BREAKING = ["TABLE_REMOVED", "COLUMN_REMOVED", "COLUMN_TYPE_CHANGED", "SCHEMA_REMOVED", "TABLE_TYPE_CHANGED"]
@@ -107,17 +110,20 @@ def reverse(changes: DataFrame) -> DataFrame:
 
 def compute_diff(tables: DataFrame, columns: DataFrame, first: int, second: int) -> DataFrame:
     """Classified changes from snapshot `first` to `second`, of frames that hold snapshot_id. The pair is compared from the
-    lower to the higher id and turned around if asked the other way; ordered by type, identifier and change type."""
+    lower to the higher id and turned around if asked the other way. The pair's rows are written once and read by every comparison; the
+    result has no order (`diff_page` gives one)."""
     if first == second:
         raise ValueError("a diff needs two snapshots")
     lo, hi = sorted((first, second))
     at = lambda df, k: df.where(F.col("snapshot_id") == k).drop("snapshot_id")
+    pair = lambda df: cut(df.where(F.col("snapshot_id").isin(lo, hi)))
+    tables, columns = pair(tables), pair(columns)
     ta, tb, ca, cb = at(tables, lo), at(tables, hi), at(columns, lo), at(columns, hi)
     inside = ta.select(TABLE_KEY).intersect(tb.select(TABLE_KEY))
     changes = diff_schemas(ta, tb).unionByName(diff_tables(ta, tb)).unionByName(diff_columns(ca, cb, inside))
     if first > second:
         changes = reverse(changes)
-    return classify(changes).withColumns({"snapshot_from": F.lit(first).cast("long"), "snapshot_to": F.lit(second).cast("long")}).orderBy("object_type", "object_identifier", "change_type")
+    return classify(changes).withColumns({"snapshot_from": F.lit(first).cast("long"), "snapshot_to": F.lit(second).cast("long")})
 
 
 def consecutive_pairs(snapshots: DataFrame) -> DataFrame:
@@ -173,8 +179,17 @@ def summary(changes: DataFrame) -> DataFrame:
     )
 
 
-def generate_ddl(changes: DataFrame) -> DataFrame:
-    """Advisory statements for each change, as an array and joined. What the states don't say is left open in comments."""
+# Fixed values below: the texts of the statements, with their comments.
+def generate_ddl(changes: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Advisory statements for each change, as an array and joined. What the states don't say is left open in comments. With columns(schema_name,
+    table_name, column_name, data_type, nullable, ordinal_position) of the later snapshot new tables are created with their columns."""
+    if columns is not None:
+        line = F.concat(F.lit("    "), "column_name", F.lit(" "), "data_type", F.when(F.col("nullable"), "").otherwise(" NOT NULL"))
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal_position", "column_name", line.alias("line")))), lambda x: x["line"]), ",\n")
+        new = columns.groupBy(F.concat_ws(".", *TABLE_KEY).alias("object_identifier"), F.lit("TABLE_ADDED").alias("change_type")).agg(listed.alias("_columns"))
+        changes = changes.join(new, ["object_identifier", "change_type"], "left")
+    else:
+        changes = changes.withColumn("_columns", F.lit(None).cast("string"))
     ident, kind = F.col("object_identifier"), F.col("change_type")
     part = lambda k: F.get(F.split(ident, r"\."), F.lit(k))
     schema, table = part(0), F.concat_ws(".", part(0), part(1))
@@ -186,7 +201,7 @@ def generate_ddl(changes: DataFrame) -> DataFrame:
     null_of = F.when(after("nullable", "true") == "false", " NOT NULL").otherwise("")
     new_type = after("object_type", "VIEW")
     statements = (
-        F.when(kind == "TABLE_ADDED", F.array(F.when(after("object_type", "TABLE") == "VIEW", view).otherwise(text("CREATE TABLE %s (\n    -- columns to be defined\n);", table))))
+        F.when(kind == "TABLE_ADDED", F.array(F.when(after("object_type", "TABLE") == "VIEW", view).otherwise(text("CREATE TABLE %s (\n%s\n);", table, F.coalesce("_columns", F.lit("    -- columns to be defined"))))))
         .when(kind == "TABLE_REMOVED", F.array(text("DROP %s IF EXISTS %s;", before("object_type", "TABLE"), table)))
         .when(
             kind == "TABLE_TYPE_CHANGED",
@@ -213,7 +228,7 @@ def generate_ddl(changes: DataFrame) -> DataFrame:
         .when(kind == "SCHEMA_REMOVED", F.array(text("DROP SCHEMA IF EXISTS %s CASCADE;", schema)))
         .otherwise(F.array(text("-- Unsupported change type: %s on %s", kind, ident)))
     )
-    return changes.withColumn("ddl_statements", statements).withColumn("ddl_combined", F.array_join("ddl_statements", "\n"))
+    return changes.withColumn("ddl_statements", statements).withColumn("ddl_combined", F.array_join("ddl_statements", "\n")).drop("_columns")
 
 
 def payload_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -232,14 +247,25 @@ def change_outcome(changes: DataFrame, ident: str) -> DataFrame:
     ).withColumn("object_identifier", F.lit(ident))
 
 
-def status_overlay(tables: DataFrame, changes: DataFrame) -> DataFrame:
-    """(object_identifier, status) for the tables of a snapshot and those that changes removed: added, removed, modified or
-    unchanged. A table with column changes alone is modified."""
-    ident = F.substring_index("object_identifier", ".", 2)
-    kind = F.col("change_type")
-    table_level = F.col("object_type") == "TABLE"
-    strength = F.when(table_level & (kind == "TABLE_ADDED"), 0).when(table_level & (kind == "TABLE_REMOVED"), 1).otherwise(2)
-    own = changes.where(F.col("object_type").isin("TABLE", "COLUMN")).groupBy(ident.alias("object_identifier")).agg(F.min(strength).alias("s"), F.bool_or(~table_level).alias("has_column_changes"))
-    both = tables.select(F.concat_ws(".", *TABLE_KEY).alias("object_identifier")).distinct().withColumn("here", F.lit(True)).join(own, "object_identifier", "full_outer")
-    status = F.when(F.col("s") == 0, "added").when(F.col("s") == 1, "removed").when(F.col("s") == 2, "modified").otherwise("unchanged")
-    return both.where("here or s = 1").select("object_identifier", status.alias("status"), F.coalesce("has_column_changes", F.lit(False)).alias("has_column_changes"))
+def status_overlay(tables: DataFrame, changes: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """(level, object_identifier, status, has_column_changes) for schemas, tables and, if given, columns of a snapshot and those that changes removed:
+    added, removed, modified or unchanged. A table with column changes alone is modified, and so is a schema with changes below it alone."""
+    kind, deep = F.col("change_type"), {"SCHEMA": 1, "TABLE": 2, "COLUMN": 3}
+    here = {"SCHEMA": tables.select(F.col("schema_name").alias("object_identifier")), "TABLE": tables.select(F.concat_ws(".", *TABLE_KEY).alias("object_identifier"))}
+    if columns is not None:
+        here["COLUMN"] = columns.select(F.concat_ws(".", *TABLE_KEY, "column_name").alias("object_identifier"))
+    out = None
+    for level, names in here.items():
+        own = F.col("object_type") == level
+        strength = F.when(own & (kind == f"{level}_ADDED"), 0).when(own & (kind == f"{level}_REMOVED"), 1).otherwise(2)
+        below = changes.where(F.col("object_type").isin([k for k, n in deep.items() if n >= deep[level]]))
+        told = below.groupBy(F.substring_index("object_identifier", ".", deep[level]).alias("object_identifier")).agg(F.min(strength).alias("s"), F.bool_or(F.col("object_type") == "COLUMN").alias("has_column_changes"))
+        both = names.distinct().withColumn("here", F.lit(True)).join(told, "object_identifier", "full_outer")
+        status = F.when(F.col("s") == 0, "added").when(F.col("s") == 1, "removed").when(F.col("s") == 2, "modified").otherwise("unchanged")
+        rows = both.where("here or s = 1").select(F.lit(level).alias("level"), "object_identifier", status.alias("status"), F.coalesce("has_column_changes", F.lit(False)).alias("has_column_changes"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def status_counts(overlay: DataFrame) -> DataFrame:
+    return overlay.groupBy("level", "status").agg(F.count("*").alias("n"))

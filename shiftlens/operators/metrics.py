@@ -109,9 +109,10 @@ def domain_risk(schemas: DataFrame, changes: DataFrame, impacts: DataFrame, scor
     c = changes.join(impacts.select("change_id", (F.col("direct") + F.col("indirect")).alias("_i")), "change_id", "left").groupBy(dom("object_identifier")).agg(F.count("*").alias("changes"), F.count_if("is_breaking").alias("breaking"), F.coalesce(F.sum("_i"), F.lit(0)).alias("impacts"))
     h = scores.where("level = 'HIGH'").groupBy(dom("object_name")).agg(F.count("*").alias("high_objects"))
     both = schemas.select("schema_name").distinct().join(c, "schema_name", "left").join(h, "schema_name", "left").na.fill(0)
-    total = F.greatest(F.sum("changes").over(Window.partitionBy()), F.lit(1))
+    both = both.join(F.broadcast(both.agg(F.greatest(F.sum("changes"), F.lit(1)).alias("_total"))))
+    total = F.col("_total")
     score = 0.3 * F.col("changes") / total + 0.3 * F.col("breaking") / F.greatest("changes", F.lit(1)) + 0.2 * F.least(F.col("impacts") / 10, F.lit(1.0)) + 0.2 * F.least(F.col("high_objects") / 3, F.lit(1.0))
-    out = both.withColumn("score", F.round(score, 4))
+    out = both.withColumn("score", F.round(score, 4)).drop("_total")
     return out.withColumn("level", F.when(F.col("score") >= 0.5, "HIGH").when(F.col("score") >= 0.2, "MEDIUM").otherwise("LOW"))
 
 
@@ -150,11 +151,18 @@ def batch_impact(changes: DataFrame, impacts: DataFrame, usage: DataFrame) -> tu
     return total, sets.select(named.alias("dimension"), F.coalesce(*dims).alias("value"), "n").orderBy("dimension", severity_rank("value"), F.desc("n"), "value")
 
 
-def landscape(nodes: DataFrame, scores: DataFrame, changes: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row: the latest snapshot, objects, HIGH objects, and changes into that snapshot."""
+def landscape(nodes: DataFrame, scores: DataFrame, changes: DataFrame, snapshots: DataFrame, entities: DataFrame | None = None, teams: DataFrame | None = None, apps: DataFrame | None = None) -> DataFrame:
+    """One row: the latest snapshot, objects, HIGH objects, and changes into that snapshot; with them given also entities and those that are
+    active, teams and applications."""
     latest = snapshots.agg(F.max_by("snapshot_id", F.struct("snapshot_date", "snapshot_id")).alias("snapshot_id"))
     n = changes.join(F.broadcast(latest), changes.snapshot_to == latest.snapshot_id, "left_semi").agg(F.count("*").alias("changes"))
-    return latest.join(F.broadcast(nodes.agg(F.count("*").alias("objects")))).join(F.broadcast(scores.agg(F.count_if(F.col("level") == "HIGH").alias("high_objects")))).join(F.broadcast(n))
+    out = latest.join(F.broadcast(nodes.agg(F.count("*").alias("objects")))).join(F.broadcast(scores.agg(F.count_if(F.col("level") == "HIGH").alias("high_objects")))).join(F.broadcast(n))
+    if entities is not None:
+        out = out.join(F.broadcast(entities.agg(F.count("*").alias("entities"), F.count_if("is_active").alias("active_entities"))))
+    for name, df in (("teams", teams), ("applications", apps)):
+        if df is not None:
+            out = out.join(F.broadcast(df.agg(F.count("*").alias(name))))
+    return out
 
 
 def changed_high_risk(scores: DataFrame, changes: DataFrame) -> DataFrame:
@@ -284,10 +292,16 @@ def ordinal_backfill(attributes: DataFrame) -> DataFrame:
     return attributes.withColumn("ordinal", F.coalesce("ordinal", F.row_number().over(by).cast("long")))
 
 
-def entity_history(changes: DataFrame, usage: DataFrame, name: str) -> DataFrame:
-    """One row: the number of changes and of snapshots they led to, and the queries by day as a series."""
+def entity_history(changes: DataFrame, usage: DataFrame, name: str, scores: DataFrame | None = None) -> DataFrame:
+    """One row: the number of changes and of snapshots they led to, and the queries by day as a series; with scores(snapshot_id, object_name,
+    combined, level) also the criticality by snapshot as a series."""
     c = changes.where(F.lower("object_identifier") == name.lower()).agg(F.count("*").alias("changes"), F.count_distinct("snapshot_to").alias("snapshots"))
     day = usage.where(F.lower("object_name") == name.lower()).groupBy(F.to_date("last_accessed").cast("string").alias("day")).agg(F.sum("query_count").alias("q"))
     series = day.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "q"))), lambda x: F.concat(x["day"], F.lit("="), x["q"].cast("string"))), ",").alias("series"))
-    return c.join(F.broadcast(series)).withColumn("object_name", F.lit(name))
+    out = c.join(F.broadcast(series)).withColumn("object_name", F.lit(name))
+    if scores is None:
+        return out
+    point = lambda x: F.concat(x["snapshot_id"].cast("string"), F.lit("="), F.format_string("%.4f", x["combined"]), F.lit(" "), x["level"])
+    own = scores.where(F.lower("object_name") == name.lower())
+    return out.join(F.broadcast(own.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("snapshot_id", "combined", "level"))), point), ",").alias("criticality"))))
 

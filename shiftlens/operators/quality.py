@@ -66,6 +66,16 @@ def validate_snapshot(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return twice.unionByName(bare).unionByName(odd)
 
 
+def staged(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged rows of tables with row_status and its reason: all rows of a table that is there twice are rejected, the others accepted. And
+    one row (import_status, accepted, rejected): a snapshot with rejected rows has failed."""
+    twice = tables.groupBy(F.col("schema_name").alias("_s"), F.col("table_name").alias("_t")).agg(F.count("*").alias("_n")).where("_n > 1")
+    same = F.col("schema_name").eqNullSafe(F.col("_s")) & F.col("table_name").eqNullSafe(F.col("_t"))
+    rows = tables.join(twice, same, "left").select(*tables.columns, F.when(F.col("_n").isNull(), "accepted").otherwise("rejected").alias("row_status"), F.when(F.col("_n").isNotNull(), "DUPLICATE_TABLE").alias("reason"))
+    ended = rows.agg(F.count_if(F.col("row_status") == "accepted").alias("accepted"), F.count_if(F.col("row_status") == "rejected").alias("rejected"))
+    return rows, ended.select(F.when(F.col("rejected") > 0, "failed").otherwise("committed").alias("import_status"), "accepted", "rejected")
+
+
 def snapshot_integrity(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """One row: schemas, tables, columns without their table, columns without a position, and whether all is well."""
     t = tables.agg(F.count_distinct("schema_name").alias("schemas"), F.count("*").alias("tables"))
@@ -87,17 +97,22 @@ def orphan_check(relations: list[tuple[str, DataFrame, DataFrame, list[str]]]) -
     out = None
     for name, child, parent, keys in relations:
         lost = child.join(parent.select(keys).distinct(), keys, "left_anti").select(F.concat_ws(".", *keys).alias("key"))
-        ranked = lost.groupBy("key").agg(F.count("*").alias("n")).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")))
-        one = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= 3, F.col("key")))), ",").alias("samples")).select(F.lit(name).alias("relation"), "n", "samples")
+        few = lost.distinct().orderBy("key").limit(3).agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("samples"))
+        one = lost.agg(F.count("*").alias("n")).join(F.broadcast(few)).select(F.lit(name).alias("relation"), "n", "samples")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def ingest_preview(counts: dict[str, DataFrame], relations: list[tuple[str, DataFrame, DataFrame, list[str]]]) -> DataFrame:
-    """A dry run: (item, n, samples) with the rows that would be stored and the orphans that would be dropped."""
+def ingest_preview(counts: dict[str, DataFrame], relations: list[tuple[str, DataFrame, DataFrame, list[str]]], stubs: dict[str, tuple[DataFrame, str]] | None = None, samples: int = 5) -> DataFrame:
+    """A dry run: (item, n, samples) with the rows that would be stored and the first of them, the orphans that would be dropped, and rows of
+    stubs (name: frame and field) whose field says nothing and would be stored as UNKNOWN."""
     out = orphan_check(relations).withColumn("item", F.concat(F.lit("orphans: "), F.col("relation"))).select("item", "n", "samples")
     for name, df in counts.items():
-        out = out.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n", F.lit("").alias("samples")))
+        few = df.select(F.concat_ws(".", *(F.col(c).cast("string") for c in df.columns[:3])).alias("key")).distinct().orderBy("key").limit(samples)
+        first = few.agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("samples"))
+        out = out.unionByName(df.agg(F.count("*").alias("n")).join(F.broadcast(first)).select(F.lit(name).alias("item"), "n", "samples"))
+    for name, (df, field) in (stubs or {}).items():
+        out = out.unionByName(df.agg(F.count_if(F.coalesce(F.trim(field), F.lit("")) == "").alias("n")).select(F.lit(f"stub types: {name}").alias("item"), "n", F.lit("").alias("samples")))
     return out
 
 

@@ -123,6 +123,18 @@ def dif10_generate_ddl(d):
     return diff.generate_ddl(diff.compute_diff(d.tabs, d.cols, 3, 4)).select("object_identifier", "change_type", "ddl_combined")
 
 
+@query(
+    """WITH c AS (SELECT schema_name || '.' || table_name AS object_identifier, string_agg('    ' || column_name || ' ' || data_type || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END, ',' || chr(10) ORDER BY ordinal_position, column_name) AS x FROM cols WHERE snapshot_id = 4 GROUP BY 1),
+a AS (SELECT schema_name || '.' || table_name AS object_identifier FROM tabs WHERE snapshot_id = 4 AND object_type = 'TABLE')
+SELECT object_identifier, 'CREATE TABLE ' || object_identifier || ' (' || chr(10) || coalesce(x, '    -- columns to be defined') || chr(10) || ');' AS ddl_combined FROM a LEFT JOIN c USING (object_identifier)"""
+)
+def dif10_create_tables(d):
+    """All tables of a snapshot as if they were new, with their columns."""
+    tables = _at(d.tabs, 4).where("object_type = 'TABLE'")
+    new = tables.select(F.concat_ws(".", "schema_name", "table_name").alias("object_identifier"), F.lit("TABLE_ADDED").alias("change_type"), F.lit(None).cast("string").alias("before_state"), F.lit('{"object_type":"TABLE"}').alias("after_state"))
+    return diff.generate_ddl(new, _at(d.cols, 4)).select("object_identifier", "ddl_combined")
+
+
 _SIGNS = "SELECT tier AS collection, source_key || '>' || target_key AS signature FROM lineage WHERE step_key {} 'step9'"
 
 
@@ -147,13 +159,29 @@ def dif12_change_outcome(d):
     """WITH t AS (SELECT DISTINCT schema_name || '.' || table_name AS object_identifier FROM tabs WHERE snapshot_id = 2),
 c AS (SELECT 'Brand#' || (11 + change_id % 15) || '.T' || (change_id % 45) AS object_identifier, object_type, change_type FROM chg WHERE object_type <> 'SCHEMA'),
 o AS (SELECT object_identifier, min(CASE WHEN change_type = 'TABLE_ADDED' THEN 0 WHEN change_type = 'TABLE_REMOVED' THEN 1 ELSE 2 END) AS s, bool_or(object_type = 'COLUMN') AS has_column_changes FROM c GROUP BY 1)
-SELECT coalesce(t.object_identifier, o.object_identifier) AS object_identifier, CASE s WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'modified' ELSE 'unchanged' END AS status, coalesce(has_column_changes, false) AS has_column_changes
+SELECT 'TABLE' AS level, coalesce(t.object_identifier, o.object_identifier) AS object_identifier, CASE s WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'modified' ELSE 'unchanged' END AS status, coalesce(has_column_changes, false) AS has_column_changes
 FROM t FULL JOIN o ON t.object_identifier = o.object_identifier WHERE t.object_identifier IS NOT NULL OR s = 1"""
 )
 def dif13_status_overlay(d):
     ident = F.expr("'Brand#' || (11 + change_id % 15) || '.T' || (change_id % 45)")
     changes = d.chg.where("object_type <> 'SCHEMA'").withColumn("object_identifier", F.when(F.col("object_type") == "COLUMN", F.concat(ident, F.lit(".C"))).otherwise(ident))
-    return diff.status_overlay(_at(d.tabs, 2), changes)
+    return diff.status_overlay(_at(d.tabs, 2), changes).where("level = 'TABLE'")
+
+
+_OVER = """ch AS (SELECT CASE object_type WHEN 'SCHEMA' THEN 'Brand#' || (11 + change_id % 15) WHEN 'TABLE' THEN 'Brand#' || (11 + change_id % 15) || '.T' || (change_id % 45) ELSE 'Brand#' || (11 + change_id % 15) || '.T' || (change_id % 45) || '.C' || (change_id % 300) END AS k, object_type, change_type FROM {chg}),
+o AS (SELECT 'SCHEMA' AS level, split_part(k, '.', 1) AS k, min(CASE change_type WHEN 'SCHEMA_ADDED' THEN 0 WHEN 'SCHEMA_REMOVED' THEN 1 ELSE 2 END) AS s FROM ch GROUP BY 2
+UNION ALL SELECT 'TABLE', split_part(k, '.', 1) || '.' || split_part(k, '.', 2), min(CASE change_type WHEN 'TABLE_ADDED' THEN 0 WHEN 'TABLE_REMOVED' THEN 1 ELSE 2 END) FROM ch WHERE object_type <> 'SCHEMA' GROUP BY 2
+UNION ALL SELECT 'COLUMN', k, min(CASE change_type WHEN 'COLUMN_ADDED' THEN 0 WHEN 'COLUMN_REMOVED' THEN 1 ELSE 2 END) FROM ch WHERE object_type = 'COLUMN' GROUP BY 2),
+h AS (SELECT DISTINCT 'SCHEMA' AS level, schema_name AS k FROM tabs WHERE snapshot_id = 2 UNION ALL SELECT DISTINCT 'TABLE', schema_name || '.' || table_name FROM tabs WHERE snapshot_id = 2 UNION ALL SELECT DISTINCT 'COLUMN', schema_name || '.' || table_name || '.' || column_name FROM cols WHERE snapshot_id = 2)"""
+
+
+@query("WITH " + _OVER.replace("{chg}", "chg") + " SELECT level, CASE s WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'modified' ELSE 'unchanged' END AS status, count(*) AS n FROM h FULL JOIN o USING (level, k) WHERE h.k IS NOT NULL OR s = 1 GROUP BY 1, 2")
+def dif13_status_counts(d):
+    """Schemas, tables and columns."""
+    own = F.expr("'Brand#' || (11 + change_id % 15)")
+    table = F.concat(own, F.expr("'.T' || (change_id % 45)"))
+    ident = F.when(F.col("object_type") == "SCHEMA", own).when(F.col("object_type") == "TABLE", table).otherwise(F.concat(table, F.expr("'.C' || (change_id % 300)")))
+    return diff.status_counts(diff.status_overlay(_at(d.tabs, 2), d.chg.withColumn("object_identifier", ident), _at(d.cols, 2)))
 
 
 @query(

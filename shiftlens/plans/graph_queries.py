@@ -111,12 +111,14 @@ def jn3_duplicate_nodes(d):
     return graph.duplicate_nodes(d.node.withColumn("object_name", F.col("schema_name")))
 
 
-@query(
-    _DOWN.format(starts="SELECT node_id FROM l WHERE node_id IS NOT NULL", depth=3).replace("WITH RECURSIVE", "WITH RECURSIVE " + _LINK + ",")
+SUMMARIES = (
+    _LINK + ", " + _DOWN.format(starts="SELECT node_id FROM l WHERE node_id IS NOT NULL", depth=3).replace("WITH RECURSIVE ", "")
     + """, b AS (SELECT start, depth, 'd' AS way FROM w UNION ALL SELECT start, depth, 'u' FROM u),
-s AS (SELECT start, count(*) FILTER (WHERE way = 'd' AND depth = 1) AS direct, count(*) FILTER (WHERE way = 'd' AND depth > 1) AS indirect, round(sum(round(1 / depth, 4)), 4) AS score, max(depth) AS max_depth FROM b GROUP BY 1)
-SELECT change_id, coalesce(direct, 0) AS direct, coalesce(indirect, 0) AS indirect, coalesce(score, 0) AS score, coalesce(max_depth, 0) AS max_depth FROM l LEFT JOIN s ON start = node_id"""
-)
+s AS (SELECT start, count(*) FILTER (WHERE way = 'd' AND depth = 1) AS direct, count(*) FILTER (WHERE way = 'd' AND depth > 1) AS indirect, round(sum(round(1 / depth, 4)), 4) AS score, max(depth) AS max_depth FROM b GROUP BY 1)"""
+)
+
+
+@query(f"WITH RECURSIVE {SUMMARIES} SELECT change_id, coalesce(direct, 0) AS direct, coalesce(indirect, 0) AS indirect, coalesce(score, 0) AS score, coalesce(max_depth, 0) AS max_depth FROM l LEFT JOIN s ON start = node_id")
 def gra5_impact_summaries(d):
     return graph.impact_summaries(d.chg, d.node, d.edge)
 

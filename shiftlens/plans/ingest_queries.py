@@ -323,10 +323,15 @@ def jn13_orphan_check(d):
     return quality.orphan_check([("columns->tables", d.cols.where("snapshot_id = 2"), tables, ["schema_name", "table_name"])])
 
 
-@query(f"WITH {_LOST} SELECT 'orphans: columns->tables' AS item, CAST(sum(n) AS BIGINT) AS n, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM lk ORDER BY k LIMIT 3)) AS samples FROM lk UNION ALL SELECT 'columns', count(*), '' FROM cols WHERE snapshot_id = 2")
+@query(
+    f"""WITH {_LOST}, five AS (SELECT DISTINCT schema_name || '.' || table_name || '.' || column_name AS k FROM cols WHERE snapshot_id = 2 ORDER BY k LIMIT 5)
+SELECT 'orphans: columns->tables' AS item, CAST(sum(n) AS BIGINT) AS n, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM lk ORDER BY k LIMIT 3)) AS samples FROM lk UNION ALL SELECT 'columns', count(*), (SELECT string_agg(k, ',' ORDER BY k) FROM five) FROM cols WHERE snapshot_id = 2
+UNION ALL SELECT 'stub types: columns', count(*), '' FROM cols WHERE snapshot_id = 2 AND data_type LIKE 'DEC%'"""
+)
 def val6_ingest_preview(d):
-    tables, columns = d.tabs.where("snapshot_id = 2 and table_name not like 'T2%'"), d.cols.where("snapshot_id = 2")
-    return quality.ingest_preview({"columns": columns}, [("columns->tables", columns, tables, ["schema_name", "table_name"])])
+    tables, columns = d.tabs.where("snapshot_id = 2 and table_name not like 'T2%'"), d.cols.where("snapshot_id = 2").select("schema_name", "table_name", "column_name", "data_type")
+    untyped = columns.withColumn("data_type", F.when(~F.startswith("data_type", F.lit("DEC")), F.col("data_type")))
+    return quality.ingest_preview({"columns": columns}, [("columns->tables", columns, tables, ["schema_name", "table_name"])], {"columns": (untyped, "data_type")})
 
 
 _HEADERS = "SELECT 'f' || (p_partkey % 20) AS file, p_partkey AS pos, CASE WHEN p_partkey % 20 = 7 THEN 'B' ELSE 'A' END AS source_system_name, CASE WHEN p_partkey % 20 = 3 AND p_partkey % 3 = 0 THEN 'r2' ELSE 'r1' END AS extract_run_id, CAST(CAST('2024-01-31' AS DATE) AS TIMESTAMP) AS extracted_at, '2024-01-31' AS snapshot_date FROM {part}"
@@ -353,6 +358,17 @@ def val3_validate_snapshot(d):
     return quality.validate_snapshot(tables, d.part.select(F.col("p_type").alias("data_type")))
 
 
+@query(
+    """WITH t AS (SELECT CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE p_brand END AS s, 'T' || (p_partkey % 700) AS t FROM part), x AS (SELECT s, t, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT 'accepted' AS row_status, coalesce(sum(n) FILTER (WHERE n = 1), 0)::BIGINT AS n, CASE WHEN max(n) > 1 THEN 'failed' ELSE 'committed' END AS import_status FROM x UNION ALL SELECT 'rejected', coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT, CASE WHEN max(n) > 1 THEN 'failed' ELSE 'committed' END FROM x"""
+)
+def val3_staged_rows(d):
+    tables = d.part.select(F.expr("CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE p_brand END").alias("schema_name"), F.expr("'T' || (p_partkey % 700)").alias("table_name"))
+    rows, ended = quality.staged(tables)
+    kinds = ended.select("import_status", F.expr("stack(2, 'accepted', accepted, 'rejected', rejected) as (row_status, n)"))
+    return kinds.join(rows.groupBy("row_status").agg(F.count("*").alias("_rows")), "row_status", "left").where("n = coalesce(_rows, 0)").select("row_status", "n", "import_status")
+
+
 @query("SELECT count(DISTINCT schema_name) AS schemas, count(*) AS tables, (SELECT count(*) FROM cols WHERE snapshot_id = 2 AND table_name LIKE 'T2%') AS orphan_columns, CAST(0 AS BIGINT) AS no_position, false AS valid FROM tabs WHERE snapshot_id = 2 AND table_name NOT LIKE 'T2%'")
 def val4_snapshot_integrity(d):
     return quality.snapshot_integrity(d.tabs.where("snapshot_id = 2 and table_name not like 'T2%'"), d.cols.where("snapshot_id = 2"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions import exprs
 from shiftlens.operators import diff, graph, metrics, mining
+from shiftlens.plans import ingest
+from shiftlens.plans.graph_queries import SUMMARIES as _SUMMARIES
 from shiftlens.plans.registry import query
 
 _SM = """sm AS (SELECT snapshot_id, schemas, tables, views, coalesce(columns, 0) AS columns, schemas + tables + views AS total FROM (SELECT snapshot_id, count(DISTINCT schema_name) AS schemas, count(*) FILTER (WHERE object_type <> 'VIEW') AS tables, count(*) FILTER (WHERE object_type = 'VIEW') AS views FROM tabs GROUP BY 1)
@@ -97,12 +99,13 @@ def agg10_domain_risk(d):
 
 
 @query(
-    f"""WITH {_CR}, o AS (SELECT 0.05 AS volatility, (SELECT count(*) FROM chg WHERE is_breaking AND change_id % 1000 = 1) AS breaking, (SELECT count(*) FROM cr WHERE level = 'HIGH') AS high_objects)
+    f"""WITH {_CR}, {_SM}, pr AS (SELECT snapshot_id AS snapshot_from, lead(snapshot_id) OVER (ORDER BY snapshot_date, snapshot_id) AS snapshot_to FROM snap QUALIFY snapshot_to IS NOT NULL), vc AS (SELECT snapshot_from, snapshot_to, count(*) AS n FROM chg GROUP BY 1, 2),
+v AS (SELECT round(coalesce(avg(coalesce(n, 0) / greatest(total, 1)), 0), 6) AS volatility FROM pr LEFT JOIN vc USING (snapshot_from, snapshot_to) LEFT JOIN sm ON snapshot_id = pr.snapshot_to), o AS (SELECT volatility, (SELECT count(*) FROM chg WHERE is_breaking) AS breaking, (SELECT count(*) FROM cr WHERE level = 'HIGH') AS high_objects FROM v)
 SELECT CAST(volatility AS DOUBLE) AS volatility, breaking, high_objects, CAST(round(greatest(0, 1 - least(2 * volatility, 0.3) - least(0.1 * breaking, 0.3) - least(0.05 * high_objects, 0.2)), 4) AS DOUBLE) AS health,
 CASE WHEN greatest(0, 1 - least(2 * volatility, 0.3) - least(0.1 * breaking, 0.3) - least(0.05 * high_objects, 0.2)) >= 0.7 THEN 'HEALTHY' WHEN greatest(0, 1 - least(2 * volatility, 0.3) - least(0.1 * breaking, 0.3) - least(0.05 * high_objects, 0.2)) >= 0.4 THEN 'AT_RISK' ELSE 'CRITICAL' END AS status FROM o"""
 )
 def agg11_governance_scorecard(d):
-    return metrics.governance_scorecard(d.spark.range(1).select(F.lit(0.05).alias("volatility")), d.chg.where("change_id % 1000 = 1"), _scores(d))
+    return metrics.governance_scorecard(metrics.volatility_index(d.chg, d.snap, _metrics(d)), d.chg, _scores(d))
 
 
 @query(
@@ -123,12 +126,12 @@ def jn5_attach_usage(d):
 
 
 @query(
-    f"""WITH {_AU}, {_IMPACTS} SELECT count(*) AS changes, CAST(sum(direct) AS BIGINT) AS direct, CAST(sum(indirect) AS BIGINT) AS indirect, max(max_depth) AS max_depth, round(sum(score), 2) AS score, count(DISTINCT upper(split_part(object_identifier, '.', 1))) AS schemas,
+    f"""WITH RECURSIVE {_SUMMARIES}, {_AU}, im AS (SELECT change_id, coalesce(direct, 0) AS direct, coalesce(indirect, 0) AS indirect, coalesce(max_depth, 0) AS max_depth, coalesce(score, 0) AS score FROM l LEFT JOIN s ON start = node_id) SELECT count(*) AS changes, CAST(sum(direct) AS BIGINT) AS direct, CAST(sum(indirect) AS BIGINT) AS indirect, max(max_depth) AS max_depth, round(sum(score), 2) AS score, count(DISTINCT upper(split_part(object_identifier, '.', 1))) AS schemas,
 count(DISTINCT CASE WHEN object_type <> 'SCHEMA' THEN upper(split_part(object_identifier, '.', 1) || '.' || split_part(object_identifier, '.', 2)) END) AS tables, CAST(coalesce(sum(query_count), 0) AS BIGINT) AS total_queries,
 CASE WHEN count(*) FILTER (WHERE is_breaking) >= 3 OR bool_or(severity = 'HIGH' AND is_breaking) THEN 'HIGH' WHEN bool_or(is_breaking) OR bool_or(severity = 'HIGH') THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM au JOIN im USING (change_id)"""
 )
 def agg14_batch_impact(d):
-    return metrics.batch_impact(d.chg, _impacts(d), d.usage)[0]
+    return metrics.batch_impact(d.chg, graph.impact_summaries(d.chg, d.node, d.edge), d.usage)[0]
 
 
 @query(
@@ -144,6 +147,15 @@ def agg15_landscape(d):
     return metrics.landscape(d.node, _scores(d), d.chg, d.months)
 
 
+_ACTIVE = """se AS (SELECT source_system, upper(schema_name || '.' || table_name) AS k, max(snapshot_id) AS last_seen FROM tabs JOIN snap USING (snapshot_id) WHERE NOT (snapshot_id > 3 AND table_name LIKE 'T1%') GROUP BY 1, 2), ba AS (SELECT source_system, max(snapshot_id) AS b FROM snap WHERE snapshot_id IN (1, 4, 6) GROUP BY 1)"""
+
+
+@query(f"WITH {_CR}, {_ACTIVE}, l AS (SELECT snapshot_id FROM months ORDER BY snapshot_date DESC LIMIT 1) SELECT (FROM l) AS snapshot_id, (SELECT count(*) FROM node) AS objects, (SELECT count(*) FROM cr WHERE level = 'HIGH') AS high_objects, (SELECT count(*) FROM chg WHERE snapshot_to = (FROM l)) AS changes, (SELECT count(*) FROM se) AS entities, (SELECT count(*) FROM se LEFT JOIN ba USING (source_system) WHERE last_seen >= coalesce(b, 0)) AS active_entities, (SELECT count(*) FROM team) AS teams, (SELECT count(*) FROM app) AS applications")
+def agg15_landscape_whole(d):
+    entities = ingest.resolve_entities(d.tabs.where("not (snapshot_id > 3 and table_name like 'T1%')"), d.snap.withColumn("is_baseline", F.col("snapshot_id").isin(1, 4, 6)))
+    return metrics.landscape(d.node, _scores(d), d.chg, d.months, entities, d.team, d.app)
+
+
 @query(
     f"""WITH {_CR}, t AS (SELECT object_name, combined FROM cr ORDER BY combined DESC, object_name LIMIT 10) SELECT 'level' AS section, level AS name, CAST(count(*) AS DOUBLE) AS value FROM cr GROUP BY 2 UNION ALL SELECT 'top', object_name, combined FROM t
 UNION ALL SELECT 'changed', object_name, combined FROM cr WHERE level = 'HIGH' AND lower(object_name) IN (SELECT lower(object_identifier) FROM chg)"""
@@ -273,6 +285,13 @@ def win6_entity_history(d):
     return metrics.entity_history(d.chg, d.usage, "s5.t5")
 
 
+@query("SELECT 's5.t5' AS object_name, (SELECT count(*) FROM chg WHERE lower(object_identifier) = 's5.t5') AS changes, (SELECT string_agg(snapshot_id || '=' || printf('%.4f', combined) || ' ' || level, ',' ORDER BY snapshot_id) FROM (SELECT month(last_accessed) AS snapshot_id, round(avg(query_count), 4) AS combined, CASE WHEN avg(query_count) > 48 THEN 'HIGH' ELSE 'LOW' END AS level FROM usage WHERE lower(object_name) = 's5.t5' GROUP BY 1)) AS criticality")
+def win6_criticality_series(d):
+    """Criticality by month, here the mean of the queries."""
+    scores = d.usage.groupBy(F.month("last_accessed").alias("snapshot_id"), "object_name").agg(F.avg("query_count").alias("m")).select("snapshot_id", "object_name", F.round("m", 4).alias("combined"), F.when(F.col("m") > 48, "HIGH").otherwise("LOW").alias("level"))
+    return metrics.entity_history(d.chg, d.usage, "s5.t5", scores).select("object_name", "changes", "criticality")
+
+
 @query(
     """WITH c AS (SELECT split_part(object_identifier, '.', 1) AS schema_name, snapshot_to, count(*) AS n FROM chg GROUP BY 1, 2),
 g AS (SELECT s.schema_name, m.snapshot_id AS snapshot_to, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT schema_name FROM c) s CROSS JOIN months m LEFT JOIN c ON c.schema_name = s.schema_name AND c.snapshot_to = m.snapshot_id),
@@ -284,7 +303,8 @@ def min1_change_anomalies(d):
     return mining.change_anomalies(d.chg, d.months, 1.5)
 
 
-_RULES = "SELECT * FROM chg WHERE change_id % 37 = 0"
+#: Snapshots of two hundred orders each: their number grows with the orders, not their size.
+_RULES = "SELECT change_id, change_id // 200 - 1 AS snapshot_from, change_id // 200 AS snapshot_to, object_type, object_identifier FROM chg"
 
 
 @query(
@@ -294,7 +314,8 @@ s AS (SELECT CASE WHEN na.n <= nb.n THEN a ELSE b END AS antecedent, CASE WHEN n
 SELECT * FROM s WHERE lift >= 1.5 ORDER BY lift DESC, confidence DESC, antecedent, consequent LIMIT 50"""
 )
 def min2_cochange_rules(d):
-    return mining.cochange_rules(d.chg.where("change_id % 37 = 0"))
+    pair = F.expr("change_id div 200")
+    return mining.cochange_rules(d.chg.withColumns({"snapshot_from": pair - 1, "snapshot_to": pair}))
 
 
 _NAMES = "SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'email_addr' WHEN 1 THEN 'ssn' WHEN 2 THEN 'birth_dt' WHEN 3 THEN 'phone_no' WHEN 4 THEN 'zip_code' WHEN 5 THEN 'cust_name' WHEN 6 THEN 'iban' WHEN 7 THEN 'user_id' ELSE replace(p_name, ' ', '_') END || '_' || p_size AS column_name FROM {part}"
