@@ -43,6 +43,7 @@ _AT_ONCE = 4096
 BLOCK = 256
 #: Texts among which shingles are counted before they are sent on.
 _UNIT_TEXTS, _UNIT_SHINGLES = 2000, 2_000_000
+_SLOT = 22
 _SEED = 20240301
 _LAST = np.iinfo(np.int64).max
 _NODE = "struct<o:long,h0:long,h1:long>"
@@ -131,34 +132,44 @@ def sample(name: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
     """Document frequencies over all of docs(text), in two passes. A shingle that `common` of all documents hold must reach that share in
-    some unit of them, so each unit names its candidates; then all candidates are counted in all documents."""
+    some unit of them, so each unit names its candidates by the first _SLOT bits of their names; then all shingles with such bits are counted in all
+    documents. Slots that other shingles share with a candidate cost counts, but change none."""
     docs, total = docs.select("text"), docs.count()
 
     def candidates(batches):
-        held, n, size = [], 0, 0
+        units, held, n, size = [], [], 0, 0  # a unit waits for the next one, so that the last is not a small rest
 
-        def named():
+        def named(n, held):
             name, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"name": signed(name[count >= common * n])})
+            return pa.RecordBatch.from_pydict({"slot": np.unique(name[count >= common * n] >> np.uint64(64 - _SLOT)).astype(np.int32)})
 
         for batch, data, offsets in slices(batches):
             for name, _ in shingle_names(data, offsets):
                 held.append(name)
                 n, size = n + 1, size + len(name)
                 if n >= _UNIT_TEXTS or size >= _UNIT_SHINGLES:
-                    yield named()
+                    if units:
+                        yield named(*units.pop())
+                    units.append((n, held))
                     held, n, size = [], 0, 0
-        if n:
-            yield named()
+        rest = units.pop() if units else (0, [])
+        if n + rest[0]:
+            yield named(n + rest[0], rest[1] + held)
 
-    def run(batch, data, offsets):
-        return pa.RecordBatch.from_pydict({"name": signed(np.concatenate([name for name, _ in shingle_names(data, offsets)]))})
+    # At most 2**_SLOT numbers reach the driver, and go back as as many flags.
+    slots = np.zeros(1 << _SLOT, bool)
+    slots[docs.mapInArrow(candidates, "slot int").distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(slots)
 
-    with Steps(docs.sparkSession) as step:
-        likely = step.stored(docs.mapInArrow(candidates, "name long").distinct())
-        counted = map_text(docs, run, "name long").join(likely, "name").groupBy("name").agg(F.count("*").alias("df")).where(F.col("df") >= common * total)
-        # As many rows as the mean text has shingles, divided by `common`, at most.
-        got = counted.toPandas().sort_values("name", key=lambda x: x.astype("uint64"))
+    def run(batch, data, offsets):
+        names = np.concatenate([name for name, _ in shingle_names(data, offsets)])
+        name, count = np.unique(names[shared.value[(names >> np.uint64(64 - _SLOT)).astype(np.int64)]], return_counts=True)
+        return pa.RecordBatch.from_pydict({"name": signed(name), "n": count})
+
+    counted = map_text(docs, run, "name long, n long").groupBy("name").agg(F.sum("n").alias("df")).where(F.col("df") >= common * total)
+    # As many rows as the mean text has shingles, divided by `common`, at most.
+    got = counted.toPandas().sort_values("name", key=lambda x: x.astype("uint64"))
+    shared.destroy()
     names = got["name"].to_numpy(np.int64).view(np.uint64)
     return Idf(names, np.log((1 + total) / (1 + got["df"].to_numpy(np.float64))) + 1, float(np.log((1 + total) / (1 + common * total)) + 1))
 
