@@ -2,11 +2,13 @@
 
 A word is a run of ASCII letters (A-Z lower-cased) and non-ASCII bytes. Its score for a language sums the weights of its
 prefixes and suffixes, of its lexicon entry, and the mean weight of its byte trigrams; learned transitions join it to the word
-before. Chains are lines, cut after CHAIN words. Forward-backward gives each word's posterior; a text's language is
-the one of greatest mean posterior over all its words, and that mean is its score.
+before. Chains are lines. They run side by side in pieces of CHAIN words; what a piece passes on to its neighbours is found first, from
+products of its matrices, so that the result is that of the whole line. Forward-backward gives each word's posterior; a text's language is
+the one of greatest mean posterior over all its words, and that mean is its score. `label_words` gives the words' own labels.
 
 Null text and text without any letter: `und`, score 0. With no labelled rows to learn from every text is `und`. Ties go to
-the language first in order.
+the language first in order. Every row is labelled for itself and gives one row, also where rows repeat or share a doc_id; an empty table gives an
+empty result; other columns are left out, whatever their names. A task holds one whole text with some 60 times its words' number in 8-byte fields.
 """
 
 from __future__ import annotations
@@ -56,8 +58,12 @@ class Words:
         place = np.arange(len(starts)) - np.repeat(begin, np.diff(np.append(begin, len(starts))))
         begin = np.flatnonzero(place % CHAIN == 0)
         long = np.diff(np.append(begin, len(starts)))
-        order = np.argsort(-long, kind="stable")
-        self.begin, self.long = begin[order], long[order]
+        self.order = np.argsort(-long, kind="stable")
+        self.begin, self.long = begin[self.order], long[self.order]
+        #: How many pieces of the same chain stand before each piece, in the order of the text.
+        self.rank = place[begin] // CHAIN
+        self.starts, self.ends = starts, ends
+        self.inside = np.flatnonzero(place)  # words with a word before them in the chain
 
 
 def entries(words: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -79,17 +85,43 @@ def emissions(words: Words, entry: np.ndarray, theta: np.ndarray, lexical: np.nd
     return out
 
 
+def passed_on(words: Words, psi: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each piece of a chain from the words before it and from those after it."""
+    k, n = psi.shape[1], len(words.begin)
+    before, after = np.ones((n, k)), np.ones((n, k))
+    several = np.flatnonzero((words.rank > 0) | (np.append(words.rank[1:], 0) > 0))
+    if len(several):
+        begin, long = np.empty(n, np.int64), np.empty(n, np.int64)
+        begin[words.order], long[words.order] = words.begin, words.long
+        through = np.zeros((n, k, k))
+        through[several] = psi[begin[several]][:, :, None] * np.eye(k)
+        for t in range(1, int(long[several].max())):
+            live = several[long[several] > t]
+            now = (through[live] @ step) * psi[begin[live] + t][:, None, :]
+            through[live] = now / now.max(axis=(1, 2), keepdims=True)
+        scaled = lambda x: x / x.sum(axis=1, keepdims=True)
+        for r in range(1, int(words.rank.max()) + 1):
+            at = np.flatnonzero(words.rank == r)
+            before[at] = scaled((before[at - 1][:, None, :] @ through[at - 1])[:, 0] @ step)
+        for r in range(int(words.rank.max()), 0, -1):
+            at = np.flatnonzero(words.rank == r)
+            after[at - 1] = scaled((through[at] @ after[at][:, :, None])[:, :, 0] @ step.T)
+    return before[words.order], after[words.order]
+
+
 def forward_backward(words: Words, emission: np.ndarray, transition: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of every word, and expected transitions if asked for. Chains run side by side, the longest first."""
+    """Posterior of every word, and expected transitions if asked for. Pieces of chains run side by side, the longest first."""
     k = emission.shape[1]
     psi = np.exp(emission - emission.max(axis=1, keepdims=True))[words.kind] if len(words.kind) else np.zeros((0, k))
     step = np.exp(transition)
     ahead, behind = np.empty_like(psi), np.ones_like(psi)
+    before_piece, after_piece = passed_on(words, psi, step)
+    behind[words.begin + words.long - 1] = after_piece
     top = int(words.long.max(initial=0))
     live = [int(np.searchsorted(-words.long, -t, "left")) for t in range(top + 1)]  # chains longer than t
     for t in range(top):
         at = words.begin[: live[t]] + t
-        now = psi[at] if t == 0 else ahead[at - 1] @ step * psi[at]
+        now = psi[at] * (before_piece[: live[t]] if t == 0 else ahead[at - 1] @ step)
         ahead[at] = now / now.sum(axis=1, keepdims=True)
     moved = np.zeros((k, k))
     for t in range(top - 1, 0, -1):
@@ -100,6 +132,10 @@ def forward_backward(words: Words, emission: np.ndarray, transition: np.ndarray,
             moved += before.T @ back * step
         now = back @ step.T
         behind[at - 1] = now / now.sum(axis=1, keepdims=True)
+    if expect:
+        at = words.begin[words.rank[words.order] > 0]
+        back = behind[at] * psi[at]
+        moved += (ahead[at - 1] / np.maximum((ahead[at - 1] @ step * back).sum(axis=1, keepdims=True), 1e-30)).T @ back * step
     post = ahead * behind
     return post / post.sum(axis=1, keepdims=True), moved
 
@@ -139,9 +175,8 @@ def learn(words: Words, label: np.ndarray, k: int, rounds: int, rate: float, dec
     weights = [theta, lexical, transition]
     grown = [np.full_like(w, 1e-6) for w in weights]
     entry, n = entries(words, lexicon), len(words.kind)
-    inside = np.concatenate([np.arange(b + 1, b + m) for b, m in zip(words.begin, words.long, strict=True)]) if n else np.zeros(0, np.int64)
     seen = np.zeros((k, k))
-    np.add.at(seen, (label[inside - 1], label[inside]), 1)
+    np.add.at(seen, (label[words.inside - 1], label[words.inside]), 1)
     tri_n = np.diff(words.tri_from)
     tri_of = np.repeat(np.arange(len(tri_n)), tri_n)
     for _ in range(rounds):
@@ -158,16 +193,16 @@ def learn(words: Words, label: np.ndarray, k: int, rounds: int, rate: float, dec
     return Model(theta=theta.astype(np.float32), lexical=lexical, transition=transition, known=lexicon[0], slot=lexicon[1])
 
 
-def fit(labelled: DataFrame, rows_per_language: int = 250, rounds: int = 25, rate: float = 0.3, decay: float = 1e-7) -> tuple[list[str], bytes | None]:
-    """Languages and packed model from (doc_id, text, lang): of each language the `rows_per_language` rows of smallest hash,
-    a bounded sample that one task fits."""
+def fit(labelled: DataFrame, rows_per_language: int = 250, most_languages: int = 64, rounds: int = 25, rate: float = 0.3, decay: float = 1e-7) -> tuple[list[str], bytes | None]:
+    """Languages and packed model from (doc_id, text, lang): the `most_languages` most frequent ones (the first by name of equals), and of each the
+    `rows_per_language` rows of smallest hash, a bounded sample that one task fits."""
     good = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     order = Window.partitionBy("lang").orderBy(sample_order(9, "doc_id"), "doc_id", "text")
-    totals = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language, as the model has
+    totals = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not totals:
         return [], None
     total = F.create_map(*(F.lit(x) for kv in totals.items() for x in kv))[F.col("lang")]
-    some = good.where(likely_sampled(9, rows_per_language, total, "doc_id"))
+    some = good.where(F.col("lang").isin(list(totals))).where(likely_sampled(9, rows_per_language, total, "doc_id"))
     rows = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
     sample = rows.select("text", "lang").toArrow()  # rows_per_language rows for each language, to be dealt to one task again
     languages = sorted(set(sample.column("lang").to_pylist()))
@@ -208,6 +243,25 @@ def identify(docs: DataFrame, languages: list[str], packed: bytes | None) -> Dat
     return map_text(docs, run, "doc_id long, lang_pred string, score double")
 
 
+def label_words(docs: DataFrame, languages: list[str], packed: bytes) -> DataFrame:
+    """(doc_id, words) of every row of docs(doc_id, text): for each word its bytes in the text from start to end, its language and the posterior."""
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    models: list[Model] = []
+
+    def run(batch, data, offsets):
+        if not models:
+            models.append(Model.unpack(shared.value))
+        words = Words(data, offsets)
+        post = models[0].posteriors(words)
+        best = post.argmax(axis=1)
+        at = [(x - offsets[words.row]).astype(np.int32) for x in (words.starts, words.ends)]
+        told = pa.StructArray.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array([languages[b] for b in best], pa.string()), pa.array(post.max(axis=1, initial=0))], ["start", "end", "lang", "score"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(words.row, np.arange(batch.num_rows + 1)).astype(np.int32)), told)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "words"])
+
+    return map_text(docs.select("doc_id", "text"), run, "doc_id long, words array<struct<start:int,end:int,lang:string,score:double>>")
+
+
 def language_id(docs: DataFrame, rows_per_language: int = 250) -> DataFrame:
     """Learn from documents outside the held-out fold (crc32(doc_id) mod 3 = 1), then label all: (doc_id, held_out, lang_pred, score)."""
     languages, packed = fit(docs.select("doc_id", "text", "lang").where(~held_out(1, 3)), rows_per_language)

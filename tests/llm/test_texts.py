@@ -346,6 +346,39 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[begin : begin + long], want)
 
 
+def test_long_lines_are_one_chain(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = b"aa bb cc dd ee ff gg hh ii jj\nkk ll mm\n" + b" ".join(b"%c%c" % (97 + k % 26, 97 + k % 7) for k in range(23))
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = language.Words(data, offsets)
+    emission, transition = rng.normal(size=(len(whole.names), 3)), rng.normal(size=(3, 3))
+    want = language.forward_backward(whole, emission, transition, expect=True)
+    for chain in (1, 2, 4, 7):
+        monkeypatch.setattr(language, "CHAIN", chain)
+        got = language.forward_backward(language.Words(data, offsets), emission, transition, expect=True)
+        assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+def test_words_of_switched_text(spark):
+    rng = random.Random(20)
+    signs = {"aa": "abcde", "bb": "defgh", "cc": "ghijü"}
+    rows = [(k, ". ".join(" ".join(_words(rng, 6, signs[lang])) for _ in range(12)), lang, "s") for k, lang in enumerate(list(signs) * 40)]
+    languages, packed = language.fit(_docs(spark, rows).select("doc_id", "text", "lang"))
+    spliced, want = [], []
+    for k in range(60):
+        parts = [(lang, w) for lang in rng.choices(list(signs), k=40) for w in _words(rng, 5, signs[lang])]
+        spliced.append((k, " ".join(w for _, w in parts), None, "s"))
+        want.append(parts)
+    docs = _docs(spark, spliced + [(900, None, None, "s"), (901, "", None, "s")])
+    got = {r.doc_id: r.words for r in language.label_words(docs, languages, packed).collect()}
+    assert got[900] == got[901] == []
+    right = [w.lang == lang for k, parts in enumerate(want) for w, (lang, _) in zip(got[k], parts, strict=True)]
+    assert sum(right) / len(right) > 0.85
+    raw = spliced[3][1].encode()
+    assert [raw[w.start : w.end].decode() for w in got[3]] == [w for _, w in want[3]]
+    assert language.fit(_docs(spark, rows).select("doc_id", "text", "lang"), most_languages=2)[0] == ["aa", "bb"]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(10)
     rows = [(k, " ".join(_words(rng, 30, "abcd" if k % 4 else "wxyz")), "en", "s") for k in range(200)]
