@@ -9,19 +9,22 @@ The classifier is multinomial logistic regression on signs of style and on evide
 tell the domains apart in a bounded sample. Null and empty texts have no tokens; they get the posterior of an empty
 text and a rate that changes no total. Documents labelled more than once count under each label. A target domain
 without labelled rows gets no posterior, so its target can't be met and the others come as near as least squares allows;
-with no labelled rows at all posteriors are uniform.
+with no labelled rows at all posteriors are uniform. Targets that are not met when the steps end are told by a warning. Every row gives one row, also where
+rows repeat or share a doc_id; an empty table gives an empty result. Other columns are carried along, but for those called like an added one, which
+are replaced. A task holds one whole text and its words. Fitting runs jobs when called.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.sampling import likely_sampled, sample_order
-from shiftlens.llm.stored import stored
+from shiftlens.llm.stored import Steps, stored
 
 #: Shares of the corpus's tokens that the mixed corpus is to give to each domain.
 TARGETS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
@@ -89,27 +92,28 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_
     k, base = len(domains), _base(docs)
     known = labelled.where(F.col("domain").isin(domains))
     chosen = known.where(likely_sampled(11, sample_rows, known.count(), "doc_id")).orderBy(sample_order(11, "doc_id"), "doc_id", "domain").limit(sample_rows)
-    sample = stored(_base(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "words", "style"))
-    if not sample.limit(1).count():
-        return base.withColumn("p", F.array_repeat(F.lit(1.0 / k), k)).drop("n", "words", "style")
-    evidence = lexicon(sample, domains, per_domain)
-    rows = stored(_features(sample, evidence, k).select("domain", "x"))
-    d = len(_STYLE) + k
-    stats = rows.agg(F.count("*").alias("n"), *(F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d))).first()
-    mean, scale = [stats[f"m{i}"] for i in range(d)], [stats[f"s{i}"] or 1.0 for i in range(d)]
-    rows = stored(rows.select(_scaled("x", mean, scale).alias("z"), *((F.col("domain") == name).cast("double").alias(f"is{c}") for c, name in enumerate(domains))))
-    weights, speed = [[0.0] * (d + 1) for _ in domains], [[0.0] * (d + 1) for _ in domains]
-    rate = 2.0 / (d + 1)
-    for _ in range(rounds):
-        ahead = [[w + 0.9 * v for w, v in zip(a, b, strict=True)] for a, b in zip(weights, speed, strict=True)]
-        # The gradient's parts come from one projection of the scores and one aggregation of k * (d + 1) sums.
-        scored = rows.select("*", *(_dot("z", w).alias(f"s{c}") for c, w in enumerate(ahead)))
-        off = scored.select("z", *((q - F.col(f"is{c}")).alias(f"o{c}") for c, q in enumerate(_softmax([F.col(f"s{c}") for c in range(k)]))))
-        g = off.agg(*(F.avg(F.col(f"o{c}") * F.get("z", F.lit(i))).alias(f"g{c}_{i}") for c in range(k) for i in range(d + 1))).first()
-        for c in range(k):
-            for i in range(d + 1):
-                speed[c][i] = 0.9 * speed[c][i] - rate * (g[f"g{c}_{i}"] + decay * ahead[c][i])
-                weights[c][i] += speed[c][i]
+    with Steps(docs.sparkSession) as step:
+        sample = step.stored(_base(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "words", "style"))
+        if not sample.limit(1).count():
+            return base.withColumn("p", F.array_repeat(F.lit(1.0 / k), k)).drop("n", "words", "style")
+        evidence = lexicon(sample, domains, per_domain)
+        rows = step.stored(_features(sample, evidence, k).select("domain", "x"))
+        d = len(_STYLE) + k
+        stats = rows.agg(F.count("*").alias("n"), *(F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d))).first()
+        mean, scale = [stats[f"m{i}"] for i in range(d)], [stats[f"s{i}"] or 1.0 for i in range(d)]
+        rows = step.stored(rows.select(_scaled("x", mean, scale).alias("z"), *((F.col("domain") == name).cast("double").alias(f"is{c}") for c, name in enumerate(domains))))
+        weights, speed = [[0.0] * (d + 1) for _ in domains], [[0.0] * (d + 1) for _ in domains]
+        rate = 2.0 / (d + 1)
+        for _ in range(rounds):
+            ahead = [[w + 0.9 * v for w, v in zip(a, b, strict=True)] for a, b in zip(weights, speed, strict=True)]
+            # The gradient's parts come from one projection of the scores and one aggregation of k * (d + 1) sums.
+            scored = rows.select("*", *(_dot("z", w).alias(f"s{c}") for c, w in enumerate(ahead)))
+            off = scored.select("z", *((q - F.col(f"is{c}")).alias(f"o{c}") for c, q in enumerate(_softmax([F.col(f"s{c}") for c in range(k)]))))
+            g = off.agg(*(F.avg(F.col(f"o{c}") * F.get("z", F.lit(i))).alias(f"g{c}_{i}") for c in range(k) for i in range(d + 1))).first()
+            for c in range(k):
+                for i in range(d + 1):
+                    speed[c][i] = 0.9 * speed[c][i] - rate * (g[f"g{c}_{i}"] + decay * ahead[c][i])
+                    weights[c][i] += speed[c][i]
     scored = _features(base, evidence, k).withColumn("z", _scaled("x", mean, scale)).withColumns({f"s{c}": _dot("z", w) for c, w in enumerate(weights)})
     return scored.withColumn("p", F.array(*_softmax([F.col(f"s{c}") for c in range(k)]))).drop("n", "words", "style", "x", "z", *(f"s{c}" for c in range(k)))
 
@@ -130,23 +134,29 @@ def fit_steps(soft: DataFrame, targets: list[float], tolerance: float = 5e-4, mo
     rate = 1 / max(sum(first[f"h{i}_{j}"] for j in range(k)) / tokens for i in range(k))
     steps: list[tuple[list[float], float]] = []
     momentum, before = 1.0, math.inf
-    for n in range(most):
-        sums = now.agg(*(F.sum(F.col("n_tokens") * F.col(v) * F.get("p", F.lit(i))).alias(f"{v}{i}") for v in ("r", "y") for i in range(k))).first()
-        off = [sums[f"r{i}"] / tokens - goal[i] for i in range(k)]
-        error = sum(x * x for x in off)
-        if max(map(abs, off)) <= tolerance:
-            break
-        if error > before:  # overshot: momentum starts anew
-            momentum = 1.0
-        before = error
-        grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        step = ([rate * (sums[f"y{i}"] / tokens - goal[i]) for i in range(k)], (momentum - 1) / grown)
-        steps.append(step)
-        momentum = grown
-        now = now.withColumn("s", F.greatest(F.lit(0.0), F.col("y") - _dot("p", step[0])))
-        now = now.select("n_tokens", "p", F.col("s").alias("r"), (F.col("s") + _dot(F.array(F.col("s") - F.col("r")), [step[1]])).alias("y"))
-        if n % every == every - 1:
-            now = stored(now)
+    with Steps(soft.sparkSession) as kept:
+        for n in range(most):
+            sums = now.agg(*(F.sum(F.col("n_tokens") * F.col(v) * F.get("p", F.lit(i))).alias(f"{v}{i}") for v in ("r", "y") for i in range(k))).first()
+            off = [sums[f"r{i}"] / tokens - goal[i] for i in range(k)]
+            error = sum(x * x for x in off)
+            if max(map(abs, off)) <= tolerance:
+                break
+            if error > before:  # overshot: momentum starts anew
+                momentum = 1.0
+            before = error
+            grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+            step = ([rate * (sums[f"y{i}"] / tokens - goal[i]) for i in range(k)], (momentum - 1) / grown)
+            steps.append(step)
+            momentum = grown
+            now = now.withColumn("s", F.greatest(F.lit(0.0), F.col("y") - _dot("p", step[0])))
+            now = now.select("n_tokens", "p", F.col("s").alias("r"), (F.col("s") + _dot(F.array(F.col("s") - F.col("r")), [step[1]])).alias("y"))
+            if n % every == every - 1:
+                now = kept.stored(now)
+        else:
+            sums = now.agg(*(F.sum(F.col("n_tokens") * F.col("r") * F.get("p", F.lit(i))).alias(f"r{i}") for i in range(k))).first()
+            off = [sums[f"r{i}"] / tokens - goal[i] for i in range(k)]
+            if max(map(abs, off)) > tolerance:
+                warnings.warn(f"after {most} steps the domains' shares are off their targets by {[round(x, 4) for x in off]}", stacklevel=2)
     return steps
 
 
@@ -176,7 +186,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample_
     soft = stored(posteriors(body, labelled, domains, sample_rows).select("doc_id", "n_tokens", "p", "_row"))
     rate = apply_steps(fit_steps(soft, [targets[d] for d in domains]))
     shares = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)]
-    return soft.select("doc_id", *(F.col("_row").getField(f"_{c}").alias(c) for c in kept), "n_tokens", *shares, rate.alias("rate"))
+    # In two steps: a carried column may be called p.
+    fitted = soft.select("doc_id", "_row", "n_tokens", *shares, rate.alias("rate"))
+    return fitted.select("doc_id", *(F.col("_row").getField(f"_{c}").alias(c) for c in kept), "n_tokens", *(f"p_{d}" for d in domains), "rate")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

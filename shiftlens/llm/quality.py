@@ -3,6 +3,10 @@
 A token is a maximal run of letters and digits, or of other non-space signs. Unigrams, bigrams and repetitions are hashed
 into 2**BITS weights; a text's score is the logistic of the mean weight of its n-grams plus a bias, that is a
 sparse dot product. Empty and null texts score the bias alone, or what the fit learned from empty ones.
+
+Every row is scored for itself and gives one row, also where rows repeat or share a doc_id; rows of the training sample that share a doc_id all take
+its label. An empty table gives an empty result. `score` carries all columns of other names; `classify` leaves other columns out. A task holds one whole
+text with some 40 times its tokens' number in 8-byte fields.
 """
 
 from __future__ import annotations

@@ -346,6 +346,71 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[begin : begin + long], want)
 
 
+def test_follow_the_leader_by_hand():
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        at = np.append(np.sort(rng.choice(40, 6, replace=False)), quality.BIAS)
+        rows.append((at, np.append(rng.random(6), 1.0), k % 2))
+    z, n, w = {}, {}, {}
+    alpha, beta, l1, l2 = 2.0, 0.01, 0.002, 0.001
+    for _ in range(3):
+        for at, x, label in rows:
+            p = 1 / (1 + math.exp(-sum(w.get(i, 0.0) * v for i, v in zip(at.tolist(), x.tolist(), strict=True))))
+            for i, v in zip(at.tolist(), x.tolist(), strict=True):
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w.get(i, 0.0)
+                n[i] = n.get(i, 0.0) + g * g
+                w[i] = 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    got = quality._follow_leader(rows, 3, alpha, beta, l1, l2)
+    assert np.allclose([got[i] for i in w], list(w.values())) and np.count_nonzero(got) == sum(v != 0 for v in w.values())
+
+
+def test_scores_by_hand(spark):
+    rng = np.random.default_rng(7)
+    weights = rng.normal(size=quality.BIAS + 1)
+    texts = ["one two two, three! two", "one", "", None, "!! ??"]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights).collect()}
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        at, _ = quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        tokens = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", text or "")
+        assert len(at) >= 2 * len(tokens) - 1  # every word and pair; repetitions besides
+        mean = sum(weights[a] for a in at) / max(1, len(at))
+        assert abs(got[k] - 1 / (1 + math.exp(-mean - weights[quality.BIAS]))) < 1e-9
+
+
+def test_rates_by_hand(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 80)
+    tokens = rng.integers(0, 50, 80)
+    soft = spark.createDataFrame([(k, int(n), q.tolist()) for k, (n, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, p array<double>")
+    goal = np.array([0.1, 0.2, 0.7])
+    got = {r.doc_id: r.rate for r in soft.select("doc_id", mixing.apply_steps(mixing.fit_steps(soft, goal.tolist())).alias("rate")).collect()}
+    share = tokens / tokens.sum()
+    rate = 1 / (np.einsum("n,ni,nj->ij", share, p, p).sum(axis=1).max())
+    r = y = np.ones(80)
+    momentum, before = 1.0, np.inf
+    for _ in range(60):
+        off = (share * r) @ p - goal
+        if np.abs(off).max() <= 5e-4:
+            break
+        if off @ off > before:
+            momentum = 1.0
+        before, grown = off @ off, (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        moved = np.maximum(0, y - rate * p @ ((share * y) @ p - goal))
+        y, r, momentum = moved + (momentum - 1) / grown * (moved - r), moved, grown
+    assert np.abs((share * r) @ p - goal).max() <= 5e-4
+    assert np.allclose([got[k] for k in range(80)], r, atol=1e-6)
+
+
+def test_unmet_targets_are_told(spark):
+    soft = spark.createDataFrame([(1, 10, [1.0, 0.0])], "doc_id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.fit_steps(soft, [0.5, 0.5], most=6)
+
+
 def test_long_lines_are_one_chain(monkeypatch):
     rng = np.random.default_rng(4)
     text = b"aa bb cc dd ee ff gg hh ii jj\nkk ll mm\n" + b" ".join(b"%c%c" % (97 + k % 26, 97 + k % 7) for k in range(23))
