@@ -46,7 +46,6 @@ _UNIT_TEXTS, _UNIT_SHINGLES = 2000, 2_000_000
 _SLOT = 22
 _SEED = 20240301
 _LAST = np.iinfo(np.int64).max
-_NODE = "struct<o:long,h0:long,h1:long>"
 _NOT_SPACE = ~SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -202,7 +201,7 @@ def distances(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     def run(batches):
         last: tuple = (None, None)
         for batch, data, offsets in slices(batches, "text_b"):
-            a, d = list(zip(*(batch.column("a").field(k).to_pylist() for k in range(3)), strict=True)), np.empty(batch.num_rows)
+            a, d = batch.column("a").to_pylist(), np.empty(batch.num_rows)
             for k, (name, weight) in enumerate(shingles(data, offsets, shared.value)):
                 if a[k] != last[0]:
                     raw = np.frombuffer(batch.column("text_a")[k].as_py().encode(), np.uint8)
@@ -213,7 +212,7 @@ def distances(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
                 d[k] = 1 - least / (weight.sum() + heavy.sum() - least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d)], ["a", "b", "d"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {_NODE}, b {_NODE}, d double")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d double")
 
 
 def compare(texts: list[str], side: np.ndarray, own: list, idf: Idf, similarity: float) -> list[tuple[int, int]]:
@@ -258,13 +257,11 @@ def cross_links(members: DataFrame, texts: DataFrame, shared, similarity: float)
     one = placed.withColumns({"o": each("o_blocks"), "m": block("m_blocks"), "side": F.lit(False)})
     other = placed.where("outside").withColumns({"o": block("o_blocks"), "m": each("m_blocks"), "side": F.lit(True)})
     dealt = one.unionByName(other).select(F.xxhash64("band", "name", "o", "m").alias("task"), "side", "node", "own").join(texts, "node")
-    tuples = lambda column: list(zip(*(column.field(k).to_pylist() for k in range(3)), strict=True))
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            rows = zip(batch.column("task").to_pylist(), batch.column("side").to_pylist(), tuples(batch.column("node")), tuples(batch.column("own")), batch.column("text").to_pylist(), strict=True)
-            for row in rows:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "own", "text")), strict=True):
                 if held and held[0][0] != row[0]:
                     yield out(held)
                     held = []
@@ -274,11 +271,9 @@ def cross_links(members: DataFrame, texts: DataFrame, shared, similarity: float)
 
     def out(rows):
         links = compare([r[4] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows], shared.value, similarity)
-        node = pa.struct([("o", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64())])
-        ends = [pa.array([dict(zip(("o", "h0", "h1"), rows[link[k]][2], strict=True)) for link in links], node) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[link[k]][2] for link in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.select("task", "side", "node", "own", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, f"a {_NODE}, b {_NODE}")
+    return dealt.select("task", "side", "node", "own", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -291,11 +286,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     with Steps(spark) as step:
         signed_ = step.stored(signatures(docs, shared))
         made = signed_.where("size(bands) > 0").groupBy("h0", "h1").agg(F.min(order).alias("o"), F.first("bands").alias("bands"))
-        classes = step.stored(made.select(F.struct("o", "h0", "h1").alias("node"), "bands"))
+        classes = step.stored(made.withColumn("node", F.monotonically_increasing_id()))  # numbered as they are written
         members = classes.select("node", F.posexplode("bands").alias("band", "name"))
         least = members.groupBy("band", "name").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
         met = step.stored(members.join(least, ["band", "name"]))
-        wanted = met.select("node").distinct().select("node", "node.*")
+        wanted = classes.select("node", "o", "h0", "h1").join(met.select("node").distinct(), "node", "left_semi")
         keyed = docs.select(order.alias("o"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text")
         texts = step.stored(keyed.join(wanted, ["o", "h0", "h1"]).dropDuplicates(["o", "h0", "h1"]).select("node", "text"))
 
@@ -317,7 +312,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         second = step.stored(cross_links(own.drop("outsiders"), texts, shared, similarity))
         if not second.isEmpty():
             reached = components(links.unionByName(second))
-        of = classes.select("node", "node.h0", "node.h1").join(reached, "node", "left").select("h0", "h1", F.col("node.o").alias("own"), F.coalesce("component", "node").alias("top"))
+        linked = step.stored(classes.select("node", "o", "h0", "h1").join(reached, "node", "left"))
+        tops = step.stored(linked.where("component is not null").groupBy("component").agg(F.min(F.struct("o", "h0", "h1")).alias("top")))
+        of = linked.join(tops, "component", "left").select("h0", "h1", F.col("o").alias("own"), F.coalesce("top", F.struct("o", "h0", "h1")).alias("top"))
         rows = signed_.select("doc_id", "h0", "h1").join(of, ["h0", "h1"], "left")
         kept = F.coalesce((order == F.col("own")) & (F.col("top.h0") == F.col("h0")) & (F.col("top.h1") == F.col("h1")), F.lit(True))
         class_id = F.coalesce(F.when(F.col("top.o") != int(_LAST), F.col("top.o")), F.when(F.col("top").isNull(), F.col("doc_id")))
