@@ -247,10 +247,10 @@ def compare(texts: list[str], side: np.ndarray, own: list, idf: Idf, similarity:
     return links
 
 
-def cross_links(members: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
+def cross_links(step: Steps, members: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
     """(a, b): links between components, of members(band, name, node, own, outside): `own` is the component of a bucket's
     class, and those marked outside are compared with the whole bucket."""
-    sizes = members.groupBy("band", "name").agg(F.ceil(F.count_if("outside") / BLOCK).alias("o_blocks"), F.ceil(F.count("*") / BLOCK).alias("m_blocks")).where("o_blocks > 0")
+    sizes = step.stored(members.groupBy("band", "name").agg(F.ceil(F.count_if("outside") / BLOCK).alias("o_blocks"), F.ceil(F.count("*") / BLOCK).alias("m_blocks")).where("o_blocks > 0"))
     placed = members.join(sizes, ["band", "name"])
     block = lambda of: F.pmod(F.xxhash64("node"), of)
     each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         made = signed_.where("size(bands) > 0").groupBy("h0", "h1").agg(F.min(order).alias("o"), F.first("bands").alias("bands"))
         classes = step.stored(made.withColumn("node", F.monotonically_increasing_id()))  # numbered as they are written
         members = classes.select("node", F.posexplode("bands").alias("band", "name"))
-        least = members.groupBy("band", "name").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+        # Tables of buckets are stored before classes are joined to them: Spark then knows their size, and can split a large bucket in the join.
+        least = step.stored(members.groupBy("band", "name").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
         met = step.stored(members.join(least, ["band", "name"]))
         wanted = classes.select("node", "o", "h0", "h1").join(met.select("node").distinct(), "node", "left_semi")
         keyed = docs.select(order.alias("o"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text")
@@ -300,16 +301,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         links = verified(met.where("node <> pivot").selectExpr("pivot as a", "node as b"))
         for again in (True, False):
             reached = components(links)
-            own = met.join(reached, "node", "left").select("band", "name", "node", F.coalesce("component", "node").alias("own"))
+            own = step.stored(met.join(reached, "node", "left").select("band", "name", "node", F.coalesce("component", "node").alias("own")))
             parts = own.groupBy("band", "name", "own").agg(F.count("*").alias("n")).groupBy("band", "name").agg(F.max(F.struct("n", "own")).alias("most"), F.sum("n").alias("all"))
-            apart_in = parts.where("all > most.n").select("band", "name", F.col("most.own").alias("main"), (F.col("all") - F.col("most.n")).alias("outsiders"))
+            apart_in = step.stored(parts.where("all > most.n").select("band", "name", F.col("most.own").alias("main"), (F.col("all") - F.col("most.n")).alias("outsiders")))
             own = step.stored(own.join(apart_in, ["band", "name"]).withColumn("outside", F.col("own") != F.col("main")).drop("main"))
             crowd = own.where(F.col("outside") & (F.col("outsiders") > BLOCK))
             if not again or crowd.isEmpty():
                 break
             first = crowd.groupBy("band", "name").agg(F.min("node").alias("pivot"))
             links = links.unionByName(verified(crowd.join(first, ["band", "name"]).where("node <> pivot").selectExpr("pivot as a", "node as b")))
-        second = step.stored(cross_links(own.drop("outsiders"), texts, shared, similarity))
+        second = step.stored(cross_links(step, own.drop("outsiders"), texts, shared, similarity))
         if not second.isEmpty():
             reached = components(links.unionByName(second))
         linked = step.stored(classes.select("node", "o", "h0", "h1").join(reached, "node", "left"))
