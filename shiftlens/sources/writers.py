@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlens.sources.shared import cut
+
 
 def _read(df: DataFrame, path: str) -> DataFrame | None:
     spark = df.sparkSession
@@ -17,10 +19,12 @@ def _read(df: DataFrame, path: str) -> DataFrame | None:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> bool:
-    """Append the rows whose keys no stored row has; False if there were none. Keys of a batch are few next to its rows."""
+    """Append the rows whose keys no stored row has; False if there were none. Keys of a batch are few next to its rows. The rows are computed once. Runs
+    that append to one path must come one after the other; a run that fails while its files are committed has to be cleared by hand."""
     before = _read(df, path)
     if before is not None:
         df = df.join(before.select(keys).distinct(), keys, "left_anti")
+    df = cut(df)
     if df.isEmpty():
         return False
     df.write.partitionBy(*partition_by).mode("append").parquet(path)
