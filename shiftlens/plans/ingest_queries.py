@@ -48,6 +48,28 @@ def src1_read_fixed16(d):
     return readers.read_view(d.spark, [f"{folder}/a", f"{folder}/b"], "databases").select("extract_run_id", "database_name", "owner_name", "perm_space", "comment_string")
 
 
+_COLUMN_FILE = _fixed16("concat('S', l_suppkey % 12)", "concat('T', l_partkey)", "concat('C', l_orderkey, '_', l_linenumber)", "format_number(l_linenumber, 0)", "if(l_returnflag = 'A', 'CV', 'D')", "format_number(cast(l_quantity as bigint) * 100, 0)", "'18'", "'2'", "if(l_linestatus = 'O', 'N', 'Y')")
+
+
+@query("SELECT 'S' || (l_suppkey % 12) AS database_name, CASE WHEN l_returnflag = 'A' THEN 'CV' ELSE 'D' END AS column_type, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'Y' END AS nullable, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT) * 100) AS BIGINT) AS lengths, CAST(sum(l_linenumber) AS BIGINT) AS ids, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1, 2, 3")
+def src1_parse_columns(d):
+    """A columns extract with a row for every line of the orders."""
+    path = _written(d.lineitem, _COLUMN_FILE, _folder(d.spark), "columns")
+    rows = readers.read_view(d.spark, path, "columns")
+    name = F.substring_index(F.substring("column_name", 2, 100), "_", 1)
+    return rows.groupBy("database_name", "column_type", "nullable").agg(F.count("*").alias("n"), F.sum("column_length").alias("lengths"), F.sum("column_id").alias("ids"), F.count_distinct(name).alias("orders"))
+
+
+@query("SELECT count(*) AS stored, count(DISTINCT l_partkey) AS tables FROM lineitem")
+def snk1_persist_columns(d):
+    """A columns extract parsed, typed and written as a snapshot's columns."""
+    root = _folder(d.spark)
+    rows = readers.read_view(d.spark, _written(d.lineitem, _COLUMN_FILE, root, "extract"), "columns")
+    typed = rows.select(F.col("source_system_name").alias("source_system"), "extract_run_id", F.lit(1).alias("snapshot_id"), "database_name", "table_name", "column_name", exprs.format_type("column_type", "column_length", "decimal_total_digits", "decimal_fractional_digits").alias("data_type"), "column_id")
+    writers.write_snapshot(typed, root)
+    return d.spark.read.parquet(f"{root}/snapshot_rows").agg(F.count("*").alias("stored"), F.count_distinct("table_name").alias("tables"))
+
+
 @query("SELECT 't' || conv_id AS table_name, turn AS request_text_seq, text AS request_text FROM conversations WHERE text IS NOT NULL AND text <> ''")
 def src2_read_endrec(d):
     rows = d.conversations.where("text is not null and text <> ''")
