@@ -39,6 +39,10 @@ from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs
 WINDOW = 13
 _ROUNDS = 2
 _LAST = np.iinfo(np.int64).max
+#: What names a row: a hash of doc_id and text, and the doc_id, or a second hash where there is none.
+_ROW = ["r0", "doc", "none"]
+_SCHEMA = "r0 long, doc long, none boolean"
+_ORDER = f"if(none, {_LAST}L, doc)"
 _NOT_SPACE = ~SPACE
 
 
@@ -129,27 +133,27 @@ def combined(doc: np.ndarray, *names: np.ndarray) -> np.ndarray:
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").fill_null(_LAST).to_numpy()
+    return np.where(batch.column("none").to_numpy(zero_copy_only=False), _LAST, batch.column("doc").to_numpy())
 
 
 def _batch(schema: str, batch: pa.RecordBatch, of: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Columns, preceded by the names r0, r1 of the rows `of` that they belong to."""
-    rows = [batch.column(c).take(pa.array(of)) for c in ("r0", "r1")]
+    """Columns, preceded by the names of the rows `of` that they belong to."""
+    rows = [batch.column(c).take(pa.array(of)) for c in _ROW]
     return pa.RecordBatch.from_arrays([*rows, *(pa.array(signed(c) if c.dtype == np.uint64 else c) for c in columns)], [x.split()[0] for x in schema.split(", ")])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(r0, r1, from, to): word spans of docs(doc_id, r0, r1, text) that windows repeated from smaller documents cover. Runs its jobs when called."""
-    docs = docs.select("doc_id", "r0", "r1", "text")
-    filed_schema = "r0 long, r1 long, key long, span long, doc long, at int, count int, done boolean"
+    """(r0, doc, none, from, to): word spans of docs(r0, doc, none, text) that windows repeated from smaller documents cover. Runs its jobs when called."""
+    docs, order = docs.select(*_ROW, "text"), F.expr(_ORDER)
+    filed_schema = f"{_SCHEMA}, key long, span long, at int, count int, done boolean"
 
     def file(batch, data, offsets):
         f = filed(data, offsets, window)
         doc = _ids(batch)[f["row"]]
         done = combined(doc, f["key"].view(np.uint64), f["span"].view(np.uint64))
-        return _batch(filed_schema, batch, f["row"], f["key"], f["span"], doc, f["first"].astype(np.int32), f["count"].astype(np.int32), done)
+        return _batch(filed_schema, batch, f["row"], f["key"], f["span"], f["first"].astype(np.int32), f["count"].astype(np.int32), done)
 
-    window_schema = "r0 long, r1 long, w0 long, w1 long, doc long, at int, done boolean"
+    window_schema = f"{_SCHEMA}, w0 long, w1 long, at int, done boolean"
 
     def single(batch, data, offsets):
         starts, ends, before = words(data, offsets)
@@ -161,32 +165,31 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         of = np.repeat(of, count)
         p = at + before[of]
         w0, w1 = (span_names(prefix_sums(x), p, p + window) for x in (names, mix(names)))
-        doc = _ids(batch)[of]
-        return _batch(window_schema, batch, of, w0, w1, doc, at.astype(np.int32), combined(doc, w0, w1))
+        return _batch(window_schema, batch, of, w0, w1, at.astype(np.int32), combined(_ids(batch)[of], w0, w1))
 
     with Steps(docs.sparkSession) as step:
         rows = step.stored(map_text(docs, file, filed_schema))
         # Names are stored before they are joined: both sides of the join are then dealt for it, and a frequent name can be split.
-        symbols = step.stored(rows.where("not done").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
+        symbols = step.stored(rows.where("not done").groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("key"))
         shared = step.stored(rows.where("not done").join(symbols, "key"))
-        carried = step.stored(shared.groupBy("key", "span").agg(F.min("doc").alias("least")))
-        judged = step.stored(shared.join(carried, ["key", "span"]).select("key", "r0", "r1", "at", "count", (F.col("least") < F.col("doc")).alias("settled")))
+        carried = step.stored(shared.groupBy("key", "span").agg(F.min(order).alias("least")))
+        judged = step.stored(shared.join(carried, ["key", "span"]).select("key", *_ROW, "at", "count", (F.col("least") < order).alias("settled")))
         several = step.stored(carried.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         # Equal rows have one name and equal spans: a set of them is bounded by one text.
-        opened = judged.where("not settled").join(several, "key").groupBy("r0", "r1").agg(F.collect_set(F.struct("at", "count")).alias("open"))
-        windows = step.stored(map_text(docs.join(opened, ["r0", "r1"]), single, window_schema))
-        least = step.stored(windows.groupBy("w0", "w1").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
-        late = windows.where("not done").join(least, ["w0", "w1"]).where("least < doc")
-        hits = windows.where("done").select("r0", "r1", "at").unionByName(late.select("r0", "r1", "at"))
-        whole = rows.where("done").select("r0", "r1", "at", "count").unionByName(judged.where("settled").select("r0", "r1", "at", "count"))
-        spans = whole.selectExpr("r0", "r1", "at as from", f"at + count + {window - 1} as to").unionByName(hits.selectExpr("r0", "r1", "at as from", f"at + {window} as to"))
+        opened = judged.where("not settled").join(several, "key").groupBy(_ROW).agg(F.collect_set(F.struct("at", "count")).alias("open"))
+        windows = step.stored(map_text(docs.join(opened, _ROW), single, window_schema))
+        least = step.stored(windows.groupBy("w0", "w1").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").drop("most"))
+        late = windows.where("not done").join(least, ["w0", "w1"]).where(F.col("least") < order)
+        hits = windows.where("done").select(*_ROW, "at").unionByName(late.select(*_ROW, "at"))
+        whole = rows.where("done").select(*_ROW, "at", "count").unionByName(judged.where("settled").select(*_ROW, "at", "count"))
+        spans = whole.selectExpr(*_ROW, "at as from", f"at + count + {window - 1} as to").unionByName(hits.selectExpr(*_ROW, "at as from", f"at + {window} as to"))
         return stored(spans)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): docs(doc_id, r0, r1, text) without the words in spans(r0, r1, from, to)."""
-    lists = spans.groupBy("r0", "r1").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    joined = docs.join(lists, ["r0", "r1"], "left").select("doc_id", "text", "spans")
+    """(doc_id, n_words, n_removed, kept_sha256, kept): docs(doc_id, r0, doc, none, text) without the words in spans(r0, doc, none, from, to)."""
+    lists = spans.groupBy(_ROW).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    joined = docs.join(lists, _ROW, "left").select("doc_id", "text", "spans")
 
     def run(batch, data, offsets):
         starts, ends, before = words(data, offsets)
@@ -219,5 +222,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document, with the words that are left joined by spaces in `kept`."""
-    docs = docs.select("doc_id", *row_name("doc_id", "text"), "text")
+    r0, r1 = row_name("doc_id", "text")
+    docs = docs.select("doc_id", r0.alias("r0"), F.coalesce("doc_id", r1).alias("doc"), F.col("doc_id").isNull().alias("none"), "text")
     return remove_spans(docs, repeated_spans(docs, window))
