@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shiftlens.llm.stored import Steps, stored
 
 _MOST_ROUNDS = 60
+#: From so many links on a round's minima are stored before links are joined to them, so that a centre's links can be split in the join.
+_MANY = 5_000_000
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(step: Steps, edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored links, and their number and a sum of their hashes, observed while they are written."""
+    seen = Observation()
+    now = step.stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")))
+    return now, (seen.get["n"], seen.get["hashes"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,18 +27,18 @@ def components(edges: DataFrame) -> DataFrame:
     aggregated before they are dealt, and no neighbourhood is gathered in one place. Isolated nodes don't appear. Nodes may have any
     type with an order."""
     with Steps(edges.sparkSession) as step:
-        now = step.stored(edges.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct())
-        state = _state(now)
+        now, state = _written(step, edges.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct())
         for _ in range(_MOST_ROUNDS):
             if not state[0]:
                 break
+            table = step.stored if state[0] >= _MANY else lambda df: df
             both = now.unionByName(now.selectExpr("v as u", "u as v"))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            least = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
             large = both.where("v > u").join(least, "u").selectExpr("v as u", "m as v").distinct()
-            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            least = table(large.groupBy("u").agg(F.min("v").alias("m")))
             small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v"))
-            now = step.stored(small.distinct())
-            before, state = state, _state(now)
+            before = state
+            now, state = _written(step, small.distinct())
             if before == state:
                 break
         else:

@@ -92,7 +92,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
         kind = dict(rows.dtypes)["embedding"]
         signed = step.stored(classes.select("node", "weight", "embedding").mapInArrow(sign, f"node long, weight long, embedding {kind}, names array<long>"))
         members = signed.select("node", F.size("embedding").alias("d"), F.posexplode("names").alias("t", "name"))
-        sizes = members.groupBy("d", "t", "name").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+        sizes = step.stored(members.groupBy("d", "t", "name").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1"))
         # A class goes to a block of its bucket by hash, and to a task for each pair of blocks that its own is in.
         placed = signed.select("node", "weight", "embedding", "names", F.size("embedding").alias("d"), F.posexplode("names").alias("t", "name")).join(sizes, ["d", "t", "name"])
         placed = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), "blocks"))

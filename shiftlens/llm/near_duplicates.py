@@ -8,7 +8,7 @@ only the common ones need a table, and there are at most (shingles of a mean doc
 Each of ROWS * BANDS samples draws a shingle and a quantised weight with the probability that two texts share; texts that
 agree on all samples of a band meet in a bucket. Similarity is the weighted Jaccard of two texts: sum of minima over sum of maxima.
 
-Identical texts are one class. In a bucket every class is verified against the bucket's least. If more than BLOCK classes of a bucket are then
+Identical texts are one class. In a bucket every class is verified against the bucket's least. If more than CROWD classes of a bucket are then
 outside its largest component, they are verified against their own least too. Classes that are still outside are compared with all the rest
 of their bucket, block against block within tasks, of which only links that join components come out. So no link between
 components is lost among classes that share a bucket, pairs are never listed, and a large bucket is work for many tasks.
@@ -41,6 +41,8 @@ _SLOT_BITS = 14
 _AT_ONCE = 4096
 #: Classes in a block of the last round: a task holds the texts of two blocks.
 BLOCK = 256
+#: Below so many classes outside, each text of a bucket goes to 16 blocks at most, and another round of stars would save little.
+CROWD = 16 * BLOCK
 #: Texts among which shingles are counted before they are sent on.
 _UNIT_TEXTS, _UNIT_SHINGLES = 2000, 2_000_000
 _SLOT = 22
@@ -305,7 +307,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             parts = own.groupBy("band", "name", "own").agg(F.count("*").alias("n")).groupBy("band", "name").agg(F.max(F.struct("n", "own")).alias("most"), F.sum("n").alias("all"))
             apart_in = step.stored(parts.where("all > most.n").select("band", "name", F.col("most.own").alias("main"), (F.col("all") - F.col("most.n")).alias("outsiders")))
             own = step.stored(own.join(apart_in, ["band", "name"]).withColumn("outside", F.col("own") != F.col("main")).drop("main"))
-            crowd = own.where(F.col("outside") & (F.col("outsiders") > BLOCK))
+            crowd = own.where(F.col("outside") & (F.col("outsiders") > CROWD))
             if not again or crowd.isEmpty():
                 break
             first = crowd.groupBy("band", "name").agg(F.min("node").alias("pivot"))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from plain import classes, linked, tfidf
 from pyspark.sql import functions as F
 
 from shiftlens.llm import boilerplate, components, decontaminate, language, mixing, near_duplicates, quality, secrets
@@ -24,42 +25,10 @@ def _words(rng, n, alphabet="abcdefghij"):
     return ["".join(rng.choices(alphabet, k=rng.randint(2, 7))) for _ in range(n)]
 
 
-def _tfidf(texts, common):
-    """Weights of each text's shingles, said without the library."""
-    bags = []
-    for t in texts:
-        w = ["".join(c.lower() if c.isascii() else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
-        n = min(5, len(w))
-        bags.append(Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else Counter())
-    df = Counter(s for bag in bags for s in bag)
-    idf = {s: math.log((1 + len(texts)) / (1 + max(n, common * len(texts)))) + 1 for s, n in df.items()}
-    return [{s: n * idf[s] for s, n in bag.items()} for bag in bags]
-
-
-def _linked(weights, i, j):
-    a, b = weights[i], weights[j]
-    least = sum(min(x, b[s]) for s, x in a.items() if s in b)
-    return least > 0 and least / (sum(a.values()) + sum(b.values()) - least) >= 0.8 - 1e-9
-
-
-def _classes(weights):
-    top = list(range(len(weights)))
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    pairs = [(i, j) for i in range(len(weights)) for j in range(i) if _linked(weights, i, j)]
-    for i, j in pairs:
-        x, y = find(i), find(j)
-        top[max(x, y)] = min(x, y)
-    return pairs, {k: find(k) for k in range(len(weights))}
-
-
 @pytest.mark.parametrize("block", [4, 8, 256])
 def test_near_copies_in_a_large_group(spark, monkeypatch, block):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "CROWD", block)
     rng = random.Random(1)
     base, other = _words(rng, 80), _words(rng, 5)
     texts = [" ".join(base[:40] + _words(rng, 40))]  # the least of its buckets, and far from most of them
@@ -71,7 +40,7 @@ def test_near_copies_in_a_large_group(spark, monkeypatch, block):
     texts += [" ".join(other + _words(rng, 60)) for _ in range(30)] + [texts[5]] * 3 + ["one two", "One  two", "", None]
     docs = _docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
     got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs.repartition(3)).collect()}
-    pairs, want = _classes(_tfidf(texts, near_duplicates.COMMON))
+    pairs, want = classes(tfidf(texts, near_duplicates.COMMON))
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
     assert sum(got[k] != want[k] for k in want) <= 2  # samples may miss a pair at the threshold
     assert got[len(texts) - 1] == len(texts) - 1 and got[len(texts) - 4] == got[len(texts) - 3]
@@ -82,7 +51,7 @@ def test_document_frequencies(spark, monkeypatch):
     notice, lines = " ".join(_words(rng, 9)), [" ".join(_words(rng, 7)) for _ in range(8)]
     texts = [" ".join([notice] * (k % 3 == 0) + [lines[k % 8]] + _words(rng, 12)) for k in range(120)] + ["", None]
     idf = near_duplicates.inverse_frequencies(_docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]).repartition(5), common=0.1)
-    want = _tfidf(texts, 0.1)
+    want = tfidf(texts, 0.1)
     for text, weights in zip(texts, want, strict=True):
         raw = (text or "").encode()
         name, weight = next(iter(near_duplicates.shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), idf)))
@@ -94,9 +63,9 @@ def test_recall_against_all_rows(spark, sf):
     """Queries: every row whose id is divisible by 100 (ten times as many, to have some), against all rows."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
-    weights = _tfidf([r.text for r in rows], near_duplicates.COMMON)
+    weights = tfidf([r.text for r in rows], near_duplicates.COMMON)
     got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
-    pairs = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) if rows[i].doc_id % 10 == 0 for j in range(len(rows)) if i != j and _linked(weights, i, j)]
+    pairs = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) if rows[i].doc_id % 10 == 0 for j in range(len(rows)) if i != j and linked(weights, i, j)]
     assert pairs and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
@@ -132,7 +101,9 @@ def test_sampling_estimates_weighted_jaccard():
     assert abs(agree - heavy[40:].sum() / heavy.sum()) < 0.06
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("many", [1, 1 << 40])
+def test_components_of_a_long_chain(spark, monkeypatch, many):
+    monkeypatch.setattr(components, "_MANY", many)
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
