@@ -123,6 +123,12 @@ def gra5_impact_summaries(d):
     return graph.impact_summaries(d.chg, d.node, d.edge)
 
 
+@query(f"WITH RECURSIVE {SUMMARIES} SELECT change_id, coalesce(direct, 0) AS direct, coalesce(indirect, 0) AS indirect FROM l LEFT JOIN s ON start = node_id WHERE change_id % 3 <> 0")
+def gra5_new_impacts(d):
+    """Changes that have their impacts already are left out."""
+    return graph.impact_summaries(d.chg, d.node, d.edge, d.chg.where("change_id % 3 = 0")).select("change_id", "direct", "indirect")
+
+
 @query(
     _DOWN.format(starts="7", depth=5)
     + """SELECT x.node, x.depth, x.way, x.score, object_name FROM (SELECT 7 AS node, 0 AS depth, 'root' AS way, 1.0 AS score UNION ALL SELECT node, depth, 'down', round(1 / depth, 4) FROM w UNION ALL SELECT node, depth, 'up', round(1 / depth, 4) FROM u) x LEFT JOIN node ON node_id = x.node"""
