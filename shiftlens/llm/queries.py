@@ -86,9 +86,12 @@ isl AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDE
 span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM isl GROUP BY doc_id, k),
 gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM span UNION ALL SELECT doc_id, max(b), 1000000000 FROM span GROUP BY doc_id),
 cut AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
-n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
-SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
-FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN n USING (doc_id)""",
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id),
+pwin AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 480)) AS s FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 239)) AS i FROM d WHERE strlen(h) >= 480)),
+ptwice AS (SELECT s FROM pwin GROUP BY s HAVING count(*) > 1),
+p AS (SELECT doc_id, sum(least(240, i - before)) AS n_passage FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -240) AS before FROM pwin SEMI JOIN ptwice USING (s)) GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256, CAST(coalesce(n_passage, 0) AS BIGINT) AS n_passage
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN p USING (doc_id)""",
     "op3_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
