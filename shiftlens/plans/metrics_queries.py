@@ -303,8 +303,8 @@ def min1_change_anomalies(d):
     return mining.change_anomalies(d.chg, d.months, 1.5)
 
 
-#: Snapshots of two hundred orders each: their number grows with the orders, not their size.
-_RULES = "SELECT change_id, change_id // 200 - 1 AS snapshot_from, change_id // 200 AS snapshot_to, object_type, object_identifier FROM chg"
+#: Snapshots of twenty orders each: their number grows with the orders, not their size.
+_RULES = "SELECT change_id, change_id // 20 - 1 AS snapshot_from, change_id // 20 AS snapshot_to, object_type, object_identifier FROM chg"
 
 
 @query(
@@ -314,7 +314,7 @@ s AS (SELECT CASE WHEN na.n <= nb.n THEN a ELSE b END AS antecedent, CASE WHEN n
 SELECT * FROM s WHERE lift >= 1.5 ORDER BY lift DESC, confidence DESC, antecedent, consequent LIMIT 50"""
 )
 def min2_cochange_rules(d):
-    pair = F.expr("change_id div 200")
+    pair = F.expr("change_id div 20")
     return mining.cochange_rules(d.chg.withColumns({"snapshot_from": pair - 1, "snapshot_to": pair}))
 
 
