@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import boilerplate, decontaminate, embeddings, filters, language, mixing, near_duplicates, quality, secrets, substrings, suffixes
+from shiftlens.llm import boilerplate, decontaminate, embeddings, encoding, filters, language, mixing, near_duplicates, quality, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the ids and of the decoded text of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    coded = encoding.encode(docs, encoding.build_lexicon(docs), decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_embedding_dedup": op8_embedding_dedup,
@@ -72,6 +79,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op7_quality": op7_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_bpe_encode": op12_bpe_encode,
 }
 ORACLES: dict[str, str] = {
     "op8_embedding_dedup": r"""
