@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import boilerplate, decontaminate, embeddings, encoding, filters, language, mixing, near_duplicates, quality, secrets, substrings, suffixes
+from shiftlens.llm import alignment, boilerplate, decontaminate, embeddings, encoding, filters, language, mixing, near_duplicates, quality, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_embedding_dedup": op8_embedding_dedup,
@@ -80,6 +84,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op11_filter_audit": op11_filter_audit,
     "op12_bpe_encode": op12_bpe_encode,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op8_embedding_dedup": r"""
