@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.stored import Steps, row_name, stored
-from shiftlens.llm.tokens import map_text, mix, owners, prefix_sums, runs, span_names, text_bytes
+from shiftlens.llm.tokens import distinct_words, map_text, mix, owners, prefix_sums, runs, span_names, text_bytes
 
 WINDOW = 10
 #: Benchmark text that one search holds in memory; larger benchmarks are searched in several passes, one after the other.
@@ -54,15 +54,11 @@ class Patterns:
 
     def __init__(self, text: Text, at: np.ndarray, length: int, ids: list[str | None]):
         self.text, self.length = text, length
-        sums = [prefix_sums(x) for x in (text.names, mix(text.names))]
-        order = np.lexsort([span_names(x, at, at + length) for x in sums])
-        at = at[order]
-        same = np.ones(len(at), bool)
-        for x in sums:
-            name = span_names(x, at, at + length)
-            same[1:] &= name[1:] == name[:-1]
-        same[:1] = False
-        edge = np.flatnonzero(~same)
+        codes, _ = distinct_words(text.low, text.starts, text.ends)
+        windows = np.ascontiguousarray(codes[at[:, None] + np.arange(length)])
+        order = np.argsort(windows.view(np.dtype((np.void, windows.itemsize * length))).ravel(), kind="stable")
+        at, windows = at[order], windows[order]
+        edge = np.flatnonzero(np.append(np.ones(min(len(at), 1), bool), (windows[1:] != windows[:-1]).any(axis=1)))
         #: Each window once, by its first word, and the ids of the items that hold it.
         self.at = at[edge]
         rows = np.split(text.row[at], edge[1:])

@@ -5,7 +5,8 @@ that covers it also starts in a document with a smaller doc_id.
 
 Recompression: runs of one word get a symbol, then two rounds pair neighbouring symbols: in each round the symbol's own
 name says whether it may stand left or right in a pair. A symbol's name is a 64-bit fingerprint of its parts, so all
-tasks give it the same one before they have met. Whether a symbol arises depends on its own words and its nearest neighbours only
+tasks give it the same one before they have met. What decides are two independent names of 64 bits, made from two halves of each word's
+cryptographic digest: one of a symbol's context and one of the span filed with it, or both of a window. Whether a symbol arises depends on its own words and its nearest neighbours only
 (its context), so equal substrings have equal symbols inside. Every window is filed under the least-named symbol whose
 context it holds; consecutive windows share one, so about one row for five words reaches Spark. There
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.llm.stored import Steps, row_name, stored
-from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs, signed, span_names
+from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs, signed, span_names, word_names
 
 WINDOW = 13
 _ROUNDS = 2
@@ -100,7 +101,7 @@ def choose(first: np.ndarray, window: int, symbols: np.ndarray, lo: np.ndarray,
 def filed(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Rows (doc row, first window, number of windows, key, span): consecutive windows that are filed together."""
     starts, ends, before = words(data, offsets)
-    names = span_names(prefix_sums(data), starts, ends)
+    names, others = word_names(data, starts, ends)
     row = owners(starts, offsets)
     first = np.arange(len(names))
     first = first[first + window <= before[1:][row]]
@@ -111,10 +112,10 @@ def filed(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.nd
     edge = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (best[1:] < 0) | (first[1:] != first[:-1] + 1)]))
     p, count, best = first[edge], np.diff(np.append(edge, len(first))), best[edge]
     sums, found = prefix_sums(names), best >= 0
-    whole = span_names(sums, p, p + count + window - 1)
-    key = whole.copy()
-    key[found] = span_names(sums, lo[best[found]], hi[best[found]])
-    offset = np.where(found, p - lo[best], 0).astype(np.uint64)
+    whole = span_names(prefix_sums(others), p, p + count + window - 1)
+    lo, hi = np.where(found, lo[best], p), np.where(found, hi[best], p + window)
+    key = span_names(sums, lo, hi)
+    offset = (p - lo).astype(np.uint64)
     return {"row": row[p], "first": p - before[row[p]], "count": count, "key": key, "span": mix(whole + offset * np.uint64(0x9E6C63D0876A9A35)), "names": names, "before": before}
 
 
@@ -123,9 +124,12 @@ def combined(doc: np.ndarray, *names: np.ndarray) -> np.ndarray:
     Only the others need to go on, so a class that fills the slice leaves one document's rows."""
     if not len(doc):
         return np.zeros(0, bool)
-    same = names[0] if len(names) == 1 else mix(names[0] * np.uint64(3) + names[1])
-    order = np.argsort(same, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+    order = np.argsort(mix(names[0] * np.uint64(3) + names[1]), kind="stable")
+    edge = np.zeros(len(doc), bool)
+    edge[0] = True
+    for name in names:
+        edge[1:] |= name[order][1:] != name[order][:-1]
+    edge = np.flatnonzero(edge)
     least = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(doc))))
     out = np.empty(len(doc), bool)
     out[order] = doc[order] > least
@@ -157,14 +161,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def single(batch, data, offsets):
         starts, ends, before = words(data, offsets)
-        names = span_names(prefix_sums(data), starts, ends)
+        names = word_names(data, starts, ends)
         open_ = batch.column("open")
         spans, of = open_.flatten(), np.repeat(np.arange(batch.num_rows), open_.value_lengths().to_numpy())
         count = spans.field("count").to_numpy().astype(np.int64)
         at = np.repeat(spans.field("at").to_numpy() - np.cumsum(count) + count, count) + np.arange(count.sum())
         of = np.repeat(of, count)
         p = at + before[of]
-        w0, w1 = (span_names(prefix_sums(x), p, p + window) for x in (names, mix(names)))
+        w0, w1 = (span_names(prefix_sums(x), p, p + window) for x in names)
         return _batch(window_schema, batch, of, w0, w1, at.astype(np.int32), combined(_ids(batch)[of], w0, w1))
 
     with Steps(docs.sparkSession) as step:

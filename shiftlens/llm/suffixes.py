@@ -192,11 +192,14 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int, piece: int) -> Iterat
 
 def combine(*names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct combination of names, and for every place how many share it there (0 at the others)."""
-    same = mix(names[0] * np.uint64(3) + names[1])
-    order = np.argsort(same, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(same) else np.zeros(0, np.int64)
-    n = np.zeros(len(same), np.int32)
-    n[order[edge]] = np.diff(np.append(edge, len(same)))
+    order = np.argsort(mix(names[0] * np.uint64(3) + names[1]), kind="stable")
+    edge = np.zeros(len(order), bool)
+    edge[:1] = True
+    for name in names:
+        edge[1:] |= name[order][1:] != name[order][:-1]
+    edge = np.flatnonzero(edge)
+    n = np.zeros(len(order), np.int32)
+    n[order[edge]] = np.diff(np.append(edge, len(order)))
     return order[edge], n
 
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from shiftlens.llm import substrings, suffixes
+from shiftlens.llm import decontaminate, substrings, suffixes
 
 D = "doc_id long, text string, extra string"
 
@@ -137,3 +137,15 @@ def test_symbols_agree_inside_equal_substrings():
         symbols, lo, hi = substrings.recompress(names, np.zeros(len(names), np.int64))
         found.append({(int(s), int(a - 9), int(b - 9)) for s, a, b in zip(symbols, lo, hi, strict=True) if a >= 9 and b <= 49})
     assert found[0] == found[1] and found[0]
+
+
+def test_words_made_to_collide(spark):
+    """Complementary sequences that no sum of powers modulo 2**64 tells apart, as words."""
+    for k in (10, 11, 12):
+        bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+        a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+        docs = spark.createDataFrame([(1, " ".join([a] * 12 + [b])), (2, " ".join([a] * 13)), (3, " ".join([b] * 13))], "doc_id long, text string")
+        assert [r.n_removed for r in substrings.substring_dedup(docs).orderBy("doc_id").collect()] == [0, 0, 0]
+        items = spark.createDataFrame([(1, " ".join([a] * 10)), (2, " ".join([b] * 10))], "item_id long, text string")
+        found = decontaminate.contamination(docs, items).orderBy("doc_id").collect()
+        assert [(r.n_hit, r["items"]) for r in found] == [(12, ["1"]), (13, ["1"]), (13, ["2"])]
