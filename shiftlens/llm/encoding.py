@@ -8,7 +8,7 @@ adding special tokens: special tokens in a text are cut out, what lies between i
 2. Every task memory-maps that file and looks its distinct words up in it. A word that it doesn't hold is merged then, exactly.
 
 Texts are taken apart at white space first, as no word holds any; what stands between, a chunk, is normalised and split once for each of its forms in a
-slice. Chunks of printable ASCII signs are split by a pattern; others by the library's own normaliser and splitter, so that both follow one Unicode version.
+slice. Chunks of printable ASCII and Latin-1 letters are split by a pattern; others by the library's own normaliser and splitter, so that both follow one Unicode version.
 
 Null text is empty: no ids. Every input row gives one row; rows that share a doc_id or have none are like others. An empty table gives an empty result;
 other columns are left out, whatever their names. A task holds a slice of 4 MB or one whole text with some 30 times its bytes, and up to 300,000
@@ -40,8 +40,10 @@ WORDS, LONGEST = 1 << 17, 64
 _SLICE = 4 << 20
 _MEMO = 300_000
 _CLASSES = 16
-_ASCII = re.compile(rb"[\x21-\x7E]*")
-_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Signs that are composed already and whose kinds and lower cases are the same in all versions of Unicode: printable ASCII, and U+00C0 to U+00FF.
+_PLAIN = re.compile(rb"(?:[\x21-\x7E]|\xC3[\x80-\xBF])*")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_WHITE = b" \t\n\v\f\r"
 
 
 def vocabulary_path() -> str:
@@ -72,11 +74,12 @@ class Vocabulary:
         signs = byte_signs()
         self.first = [ids[s] for s in signs]
         self.last = [ids[s + self.end] for s in signs]
-        self.ranks: dict[tuple[int, int], int] = {}
+        #: By both ids in one number.
+        self.ranks: dict[int, int] = {}
         self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((ids[a], ids[b]), rank)
+            self.ranks.setdefault(ids[a] << 32 | ids[b], rank)
             self.made.append(ids[a + b])
         self.special = {t["content"].encode(): t["id"] for t in held["added_tokens"]}
         self.cut = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
@@ -91,8 +94,8 @@ class Vocabulary:
         if self.cut and b"<" in chunk and self.cut.search(chunk):
             parts = self.cut.split(chunk)
             return [w for p in parts for w in ([self.special[p]] if p in self.special else self.words(p) if p else [])]
-        if _ASCII.fullmatch(chunk):
-            return _SPLIT.findall(chunk.lower())
+        if _PLAIN.fullmatch(chunk):
+            return [w.encode() for w in _SPLIT.findall(chunk.decode().lower())]
         return [bytes(map(self.byte.__getitem__, piece)) for piece, _ in self.pieces(self.normalise(chunk.decode()))]
 
     def merge(self, word: bytes) -> list[int]:
@@ -102,33 +105,33 @@ class Vocabulary:
         return self._merge_short(symbols) if len(symbols) <= 256 else self._merge_long(symbols)
 
     def _merge_short(self, symbols: list[int]) -> list[int]:
-        rank, none = self.ranks.get, len(self.made)
-        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]  # noqa: B905
+        rank, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
         while ranks and (least := min(ranks)) < none:
             k = ranks.index(least)
-            symbols[k : k + 2] = [self.made[least]]
-            del ranks[k]
+            symbols[k] = new = made[least]
+            del symbols[k + 1], ranks[k]
             if k:
-                ranks[k - 1] = rank((symbols[k - 1], symbols[k]), none)
+                ranks[k - 1] = rank(symbols[k - 1] << 32 | new, none)
             if k < len(ranks):
-                ranks[k] = rank((symbols[k], symbols[k + 1]), none)
+                ranks[k] = rank(new << 32 | symbols[k + 1], none)
         return symbols
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         n, rank = len(symbols), self.ranks.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, k) for k in range(n - 1) if (r := rank((symbols[k], symbols[k + 1]))) is not None]
+        heap = [(r, k) for k in range(n - 1) if (r := rank(symbols[k] << 32 | symbols[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, k = heapq.heappop(heap)
             after = right[k]
-            if symbols[k] < 0 or after >= n or rank((symbols[k], symbols[after])) != r:
+            if symbols[k] < 0 or after >= n or rank(symbols[k] << 32 | symbols[after]) != r:
                 continue
             symbols[k], symbols[after], right[k] = self.made[r], -1, right[after]
             if right[k] < n:
                 left[right[k]] = k
             for a, b in ((left[k], k), (k, right[k])):
-                if a >= 0 and b < n and (new := rank((symbols[a], symbols[b]))) is not None:
+                if a >= 0 and b < n and (new := rank(symbols[a] << 32 | symbols[b])) is not None:
                     heapq.heappush(heap, (new, a))
         return [s for s in symbols if s >= 0]
 
@@ -169,20 +172,24 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
     """(word, n): the words of all docs(text), as bytes, with how often they stand there."""
 
     def run(batches):
-        voc, counts = vocabulary(path), {}
+        voc, held = vocabulary(path), {}
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            counts: dict[bytes, int] = {}
+            for chunk, n in held.items():
+                for word in voc.words(chunk):
+                    counts[word] = counts.get(word, 0) + n
+            words = [w for w in counts if isinstance(w, bytes)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
 
         for _, data, offsets in slices(batches, most=_SLICE):
             codes, chunks, _ = _chunks(data, offsets)
             for chunk, n in zip(chunks, np.bincount(codes, minlength=len(chunks)).tolist(), strict=True):
-                for word in voc.words(chunk.strip(b" \t\n\v\f\r")):
-                    if isinstance(word, bytes):
-                        counts[word] = counts.get(word, 0) + n
-            if len(counts) > _MEMO:
+                chunk = chunk.strip(_WHITE)
+                held[chunk] = held.get(chunk, 0) + n
+            if len(held) > 2 * _MEMO:
                 yield rows()
-                counts = {}
+                held = {}
         yield rows()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -224,19 +231,31 @@ class _Encoder:
         self.voc, self.lexicon, self.memo = vocabulary(path), lexicon, {}
 
     def ids(self, chunks: list[bytes]) -> list[bytes]:
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        new = [c for c in chunks if c not in self.memo]
+        memo = self.memo
+        if len(memo) > _MEMO:
+            memo.clear()
+        new = [c for c in chunks if c not in memo]
         if new:
-            split = [self.voc.words(c.strip(b" \t\n\v\f\r")) for c in new]
-            number = {w: k for k, w in enumerate(dict.fromkeys(w for words in split for w in words if isinstance(w, bytes)))}
-            known, flat, at = self.lexicon.look_up(list(number))
-            flat, at = flat.astype("<u4").tobytes(), (4 * at).tolist()
-            by_word = {w: flat[at[k] : at[k + 1]] if known[k] else np.array(self.voc.merge(w), "<u4").tobytes() for w, k in number.items()}
-            by_word |= {k: np.array([k], "<u4").tobytes() for k in self.voc.special.values()}
-            for chunk, words in zip(new, split, strict=True):
-                self.memo[chunk] = b"".join([by_word[w] for w in words])
-        return [self.memo[c] for c in chunks]
+            number: dict[bytes | int, int] = {}
+            split = [[number.setdefault(w, len(number)) for w in self.voc.words(c.strip(_WHITE))] for c in new]
+            flat, at = self._words(list(number))
+            blob = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            memo.update(zip(new, [blob[k[0]] if len(k) == 1 else b"".join([blob[x] for x in k]) for k in split], strict=True))
+        return [memo[c] for c in chunks]
+
+    def _words(self, words: list[bytes | int]) -> tuple[bytes, list[int]]:
+        """Ids of distinct words in a row, and where each one's begin: out of the lexicon, else by merging; a special token is its own id."""
+        known, flat, at = self.lexicon.look_up([w if isinstance(w, bytes) else b"" for w in words])
+        if known.all():
+            return flat.astype("<u4").tobytes(), (4 * at).tolist()
+        missing = np.flatnonzero(~known).tolist()
+        made = [self.voc.merge(w) if isinstance(w := words[k], bytes) else [w] for k in missing]
+        sizes = np.diff(at)
+        sizes[missing] = [len(x) for x in made]
+        to = np.cumsum(sizes)
+        out, merged = np.empty(int(to[-1]), "<u4"), np.repeat(~known, sizes)
+        out[~merged], out[merged] = flat, [k for own in made for k in own]
+        return out.tobytes(), [0, *(4 * to).tolist()]
 
 
 def _decoded(voc: Vocabulary, ids: bytes) -> str:
