@@ -33,7 +33,7 @@ from shiftlens.llm.encoding import byte_signs, distinct_chunks
 from shiftlens.llm.stored import Steps, stored
 from shiftlens.llm.tokens import slices
 
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 _SLICE = 2 << 20
 #: Ids of B follow those of A in a window's key; an id pair is one number.
 _SHIFT = 24
