@@ -43,11 +43,13 @@ def noise_filter(containers: DataFrame, datasets: DataFrame, attributes: DataFra
 
 
 def batch_identity(headers: DataFrame) -> DataFrame:
-    """Violations (file, problem) of headers(file, source_system_name, extract_run_id): more than one identity in a file, or files that differ."""
+    """Violations (file, problem) of headers(file, source_system_name, extract_run_id): more than one identity in a file, files that differ, or no records at all,
+    which has no file."""
     identity = F.struct("source_system_name", "extract_run_id")
     per = headers.groupBy("file").agg(F.count_distinct("source_system_name", "extract_run_id").alias("n"), F.min(identity).alias("own"))
-    whole = per.agg(F.min("own").alias("lead"))
-    return per.join(F.broadcast(whole)).select("file", F.when(F.col("n") != 1, "several identities").when(F.col("own") != F.col("lead"), "differs from the batch").alias("problem")).where("problem is not null")
+    whole = per.agg(F.min("own").alias("lead"), F.count("*").alias("files"))
+    told = per.join(F.broadcast(whole)).select("file", F.when(F.col("n") != 1, "several identities").when(F.col("own") != F.col("lead"), "differs from the batch").alias("problem")).where("problem is not null")
+    return told.unionByName(whole.where("files = 0").select(F.lit(None).cast("string").alias("file"), F.lit("empty batch").alias("problem")))
 
 
 def temporal_coherence(headers: DataFrame, most_hours: float = 2.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.functions.exprs import USAGE_TYPES, format_type, is_nullable, lookup, map_dataset_type, object_type_from_kind
@@ -14,12 +14,17 @@ from shiftlens.sources import readers
 log = logging.getLogger(__name__)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with their `position`; where they have none, in the order in which the frame lists them."""
+    return rows if "position" in rows.columns else rows.withColumn("position", F.monotonically_increasing_id())
+
+
 def build_snapshot(snapshot_id: int, databases: DataFrame, tables: DataFrame, columns: DataFrame, indices: DataFrame | None = None, partitioning: DataFrame | None = None, tabletext: DataFrame | None = None) -> dict[str, DataFrame]:
     """schemas, tables and columns of a snapshot from extract rows, and `counts` (kind, seen, created); with their extracts also indices,
-    partitioning and ddl (one text an object, from its fragments). Of tables listed twice the last altered counts; what belongs to unknown
-    tables is dropped and counted; types are named; a missing position is 0."""
+    partitioning and ddl (one text an object, from its fragments). Of tables listed twice the last altered counts, of equal ones the first by `position`, as
+    readers give it (without one, as the frame lists them); what belongs to unknown tables is dropped and counted; types are named; a missing ordinal is 0."""
     at = F.lit(snapshot_id).cast("long").alias("snapshot_id")
-    t = metrics.dedup_latest(tables.where("database_name is not null and table_name is not null"), ["database_name", "table_name"], "last_alter_timestamp", "table_kind")
+    t = metrics.dedup_latest(_placed(tables).where("database_name is not null and table_name is not null"), ["database_name", "table_name"], "last_alter_timestamp", "position")
     t = t.select(at, F.col("database_name").alias("schema_name"), "table_name", object_type_from_kind("table_kind").alias("object_type"), F.col("last_alter_timestamp").cast("string").alias("ddl_alter_timestamp"))
     s = databases.select("database_name").unionByName(tables.select("database_name")).where("database_name is not null").distinct().select(at, F.col("database_name").alias("schema_name"))
     known = lambda df, *fields: df.select(at, F.col("database_name").alias("schema_name"), "table_name", *fields).join(t.select("schema_name", "table_name"), ["schema_name", "table_name"], "left_semi")
@@ -105,18 +110,17 @@ def ingest_usage(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
 
 
 def ingest_people(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """People by user name: first row wins, filled in only where nothing is known."""
-    numbered = incoming.withColumn("_pos", F.row_number().over(Window.partitionBy(F.upper("username")).orderBy(F.struct(*incoming.columns)))) if "_pos" not in incoming.columns else incoming
-    return org.merge_first(existing, numbered, "username", "_pos")
+    """People by user name: the first row by `position` wins, filled in only where nothing is known."""
+    return org.merge_first(existing, _placed(incoming), "username", "position")
 
 
 def ingest_applications(existing: DataFrame, incoming: DataFrame, teams: DataFrame) -> dict[str, DataFrame]:
     """applications(application, description, owner_team), schema_map and table_map after incoming(application_name, description, schema_name,
-    table_name, owner_team, _pos). Of a new application the first row counts; a known one only gets an owner that it lacks. Owners must be known teams.
+    table_name, owner_team, position). Of a new application the first row counts; a known one only gets an owner that it lacks. Owners must be known teams.
     Every schema named is mapped, a table only together with its schema; names are upper-cased."""
-    rows = incoming.where("application_name is not null").join(teams.select(F.col("team").alias("owner_team"), F.lit(True).alias("_known")).distinct(), "owner_team", "left")
+    rows = _placed(incoming).where("application_name is not null").join(teams.select(F.col("team").alias("owner_team"), F.lit(True).alias("_known")).distinct(), "owner_team", "left")
     rows = rows.withColumn("owner_team", F.when(F.col("_known"), F.col("owner_team")))
-    first = rows.groupBy(F.col("application_name").alias("application")).agg(F.min_by(F.struct("description", "owner_team"), "_pos").alias("new"))
+    first = rows.groupBy(F.col("application_name").alias("application")).agg(F.min_by(F.struct("description", "owner_team"), "position").alias("new"))
     both = existing.withColumn("_old", F.lit(True)).join(first, "application", "full_outer")
     apps = both.select("application", F.when(F.col("_old"), F.col("description")).otherwise(F.col("new.description")).alias("description"), F.coalesce("owner_team", "new.owner_team").alias("owner_team"))
     mapped = rows.where("schema_name is not null").select(F.upper("schema_name").alias("schema_name"), F.upper("table_name").alias("table_name"), F.col("application_name").alias("application"))
@@ -167,9 +171,9 @@ def unified_import(spark: SparkSession, landing: str, snapshot_id: int) -> dict[
     """A landing folder with catalog, usage and lineage files as one snapshot: the catalog's frames, then usage resolved to its nodes, then
     lineage documents (lineage*.json) attached to the same snapshot. Files that are not there give empty frames; without lineage there are no
     lineage_* frames. Criticality counts usage if there are any usage rows. A record of a wrong arity makes the frame it belongs to fail."""
-    view = lambda pattern, name: readers.read_view(spark, _some(spark, f"{landing}/{pattern}"), name)
+    view = lambda pattern, name, **more: readers.read_view(spark, _some(spark, f"{landing}/{pattern}"), name, **more)
     made = build_snapshot(
-        snapshot_id, view("databasesv_*.dat", "databases"), view("tablesv_*.dat", "tables"), view("columnsv_*.dat", "columns"), view("indicesv_*.dat", "indices"), view("partitioningconstraintsv_*.dat", "partitioning"),
+        snapshot_id, view("databasesv_*.dat", "databases"), view("tablesv_*.dat", "tables", position=True), view("columnsv_*.dat", "columns"), view("indicesv_*.dat", "indices"), view("partitioningconstraintsv_*.dat", "partitioning"),
         view("tabletextv_*.dat", "tabletext"),
     )
     nodes, edges = graph.build_graph(made["tables"], made["columns"])

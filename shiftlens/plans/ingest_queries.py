@@ -48,6 +48,31 @@ def src1_read_fixed16(d):
     return readers.read_view(d.spark, [f"{folder}/a", f"{folder}/b"], "databases").select("extract_run_id", "database_name", "owner_name", "perm_space", "comment_string")
 
 
+@query(
+    """SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'run two' ELSE '20240131T120000Z' END AS extract_run_id, 'db' || s_suppkey AS database_name, CASE WHEN s_suppkey % 2 = 0 THEN 'line one' || chr(10) || chr(10) || 'td§20240131T120000Z§' || s_name END AS comment_string FROM supplier"""
+)
+def src1_mixed_runs(d):
+    """Files of two runs in turn, with blank lines before records, comments over several lines, and lines in them that begin as records do."""
+    record = _fixed16("concat('db', s_suppkey)", "''", "''", "''", "''", "''", "if(s_suppkey % 2 = 0, concat('line one\n\ntd\\\\§20240131T120000Z\\\\§', s_name), '')")
+    record = f"concat(if(s_suppkey % 5 = 0, ' \n\n', ''), if(s_suppkey % 3 = 0, replace({record}, 'td§20240131T120000Z', 'td§run two'), {record}))"
+    path = _written(d.supplier.repartition(3, "s_nationkey").sortWithinPartitions("s_suppkey"), record, _folder(d.spark), "mixed")
+    return readers.read_view(d.spark, path, "databases").select("extract_run_id", "database_name", "comment_string")
+
+
+@query(
+    """WITH o AS (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, s_nationkey, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+SELECT 'databases' AS view, CAST(max(r) AS BIGINT) AS number, 6 AS n_fields, 'td§20240131T120000Z§2024-01-31T12:00:00§2024-01-31§db' || max(s_suppkey) || '§cut' AS record FROM o WHERE r = n GROUP BY s_nationkey HAVING max(n) > 0"""
+)
+def src1_violations(d):
+    """Files that end in the midst of a record, by number."""
+    whole, cut_ = _fixed16("concat('db', s_suppkey)", "''", "''", "''", "''", "''", "'a\nb'"), f"concat_ws('§', {_HEAD}, concat('db', s_suppkey), 'cut')"
+    rows = d.supplier.withColumn("_last", F.expr("row_number() over (partition by s_nationkey order by s_suppkey desc) = 1"))
+    folder = _folder(d.spark)
+    lines = rows.select("s_nationkey", "s_suppkey", F.when(F.col("_last"), F.expr(cut_)).otherwise(F.expr(whole)).alias("value"))
+    lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").select("s_nationkey", "value").write.partitionBy("s_nationkey").text(f"{folder}/cut")
+    return readers.violations(d.spark, f"{folder}/cut", "databases").select("view", "number", "n_fields", "record")
+
+
 _COLUMN_FILE = _fixed16("concat('S', l_suppkey % 12)", "concat('T', l_partkey)", "concat('C', l_orderkey, '_', l_linenumber)", "format_number(l_linenumber, 0)", "if(l_returnflag = 'A', 'CV', 'D')", "format_number(cast(l_quantity as bigint) * 100, 0)", "'18'", "'2'", "if(l_linestatus = 'O', 'N', 'Y')")
 
 
@@ -66,7 +91,7 @@ def snk1_persist_columns(d):
     root = _folder(d.spark)
     rows = readers.read_view(d.spark, _written(d.lineitem, _COLUMN_FILE, root, "extract"), "columns")
     typed = rows.select(F.col("source_system_name").alias("source_system"), "extract_run_id", F.lit(1).alias("snapshot_id"), "database_name", "table_name", "column_name", exprs.format_type("column_type", "column_length", "decimal_total_digits", "decimal_fractional_digits").alias("data_type"), "column_id")
-    writers.write_snapshot(typed, root)
+    writers.persist_run({"snapshot_rows": typed}, root, "td", "20240131T120000Z")
     return d.spark.read.parquet(f"{root}/snapshot_rows").agg(F.count("*").alias("stored"), F.count_distinct("table_name").alias("tables"))
 
 
@@ -179,15 +204,37 @@ def src11_capture_catalog(d):
         d.spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
-@query("SELECT snapshot_id, count(*) AS n FROM tabs WHERE snapshot_id IN (1, 2) GROUP BY 1")
+@query("SELECT CASE WHEN k = 3 THEN 'A r1' ELSE 'A r' || k END AS run, CAST(k AS BIGINT) AS snapshot_id, count(*) AS n FROM tabs JOIN (SELECT unnest([1, 2, 3]) AS k) ON snapshot_id = CASE WHEN k = 3 THEN 1 ELSE k END GROUP BY 1, 2")
 def snk1_write_snapshot(d):
+    """Two runs, the first of them once more, which does nothing, and once more by force, which gives a third snapshot."""
+    root = _folder(d.spark)
+    for k, force in ((1, False), (2, False), (1, False), (1, True)):
+        writers.persist_run({"snapshot_rows": d.tabs.where(F.col("snapshot_id") == k)}, root, "A", f"r{k}", force)
+    runs = writers.ledger(d.spark, root).select(F.concat_ws(" ", "source_system", "extract_run_id").alias("run"), "snapshot_id")
+    rows = d.spark.read.parquet(f"{root}/snapshot_rows").groupBy(F.col("snapshot_id").cast("long").alias("snapshot_id")).agg(F.count("*").alias("n"))
+    return runs.join(rows, "snapshot_id").select("run", "snapshot_id", "n")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS snapshot_id, count(*) AS n FROM tabs WHERE snapshot_id = 2")
+def snk1_after_a_killed_run(d):
+    """A run that died before its line in the ledger: its rows go, and the next one takes its id."""
     root = _folder(d.spark)
-    rows = d.tabs.withColumns({"source_system": F.lit("A"), "extract_run_id": F.concat(F.lit("r"), F.col("snapshot_id").cast("string"))})
-    for k in (1, 2, 1):  # the third run is stored already
-        writers.write_snapshot(rows.where(F.col("snapshot_id") == k), root)
+    d.tabs.where("snapshot_id = 1").drop("snapshot_id").write.parquet(f"{root}/snapshot_rows/snapshot_id=1")
+    writers.persist_run({"snapshot_rows": d.tabs.where("snapshot_id = 2")}, root, "A", "r1")
     return d.spark.read.parquet(f"{root}/snapshot_rows").groupBy(F.col("snapshot_id").cast("long").alias("snapshot_id")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(snapshot_from AS BIGINT) AS snapshot_from, CAST(snapshot_to AS BIGINT) AS snapshot_to, change_id, change_type, CAST(change_id % 2 AS BIGINT) AS version FROM chg WHERE snapshot_from = 2 AND change_id % 2 = 0")
+def snk2_stored_pair(d):
+    """A pair's changes, asked for twice: what the second call would make is never made."""
+    root = _folder(d.spark)
+    own = d.chg.where("snapshot_from = 2")
+    pair = own.select("snapshot_from", "snapshot_to").first()
+    for odd in (0, 1):
+        found = writers.changes_between(d.spark, root, *pair, lambda odd=odd: own.where(F.col("change_id") % 2 == odd).withColumn("version", F.lit(odd).cast("long")))
+    return found.select(F.col("snapshot_from").cast("long").alias("snapshot_from"), F.col("snapshot_to").cast("long").alias("snapshot_to"), "change_id", "change_type", "version")
+
+
 @query("SELECT CAST(snapshot_from AS BIGINT) AS snapshot_from, count(*) AS n FROM chg WHERE snapshot_from < 4 GROUP BY 1")
 def snk2_append_changes(d):
     root = _folder(d.spark)
@@ -364,6 +411,19 @@ def val1_batch_identity(d):
     return quality.batch_identity(d.spark.sql(_HEADERS, part=d.part))
 
 
+@query("SELECT CASE WHEN s_nationkey % 5 = 1 THEN 'several identities' ELSE 'differs from the batch' END AS problem, count(DISTINCT s_nationkey) AS files FROM supplier WHERE s_nationkey % 5 IN (1, 2) GROUP BY 1 HAVING count(*) > 0 UNION ALL SELECT 'empty batch', 1")
+def val1_files(d):
+    """Identities of files as they lie there, one of whose kinds holds two runs; and a batch without records."""
+    record = f"replace({_fixed16('s_suppkey')}, '20240131T120000Z', case when s_nationkey % 5 = 2 or (s_nationkey % 5 = 1 and first) then 'r2' else 'r1' end)"
+    rows = d.supplier.withColumn("first", F.expr("row_number() over (partition by s_nationkey order by s_suppkey) = 1"))
+    own = rows.where("s_nationkey % 5 <> 1").unionByName(rows.where("s_nationkey % 5 = 1")).unionByName(rows.where("s_nationkey % 5 = 1 and first").withColumn("first", F.lit(False)))
+    path = f"{_folder(d.spark)}/batch"
+    own.select("s_nationkey", F.expr(record).alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    told = quality.batch_identity(readers.headers(d.spark, path, "databases"))
+    empty = quality.batch_identity(readers.headers(d.spark, [], "databases"))
+    return told.unionByName(empty).groupBy("problem").agg(F.count("*").alias("files"))
+
+
 @query("SELECT count(*) AS files, count(DISTINCT d) AS dates, CAST(date_diff('minute', min(ts), max(ts)) / 60 AS DOUBLE) AS hours, date_diff('minute', min(ts), max(ts)) <= 120 AND count(DISTINCT d) = 1 AS coherent FROM (SELECT event_id % 30 AS f, arg_min(date_trunc('minute', ts), event_id) AS ts, '2024' AS d FROM events GROUP BY 1)")
 def val2_temporal_coherence(d):
     headers = d.events.select((F.col("event_id") % 30).alias("file"), F.col("event_id").alias("pos"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("extracted_at"), F.lit("2024").alias("snapshot_date"))
@@ -485,6 +545,19 @@ def ing1_counts(d):
     return ingest.build_snapshot(1, *_extracts(d))["counts"]
 
 
+@query(
+    """WITH t AS (SELECT p_brand AS schema_name, 'T' || (p_partkey % 100) AS table_name, p_partkey AS pos, p_size % 4 AS kind, p_partkey % 3 = 0 AS stamped FROM part)
+SELECT schema_name, table_name, CASE arg_min(kind, CASE WHEN stamped THEN pos ELSE 1000000000 + pos END) WHEN 0 THEN 'VIEW' WHEN 1 THEN 'TABLE' WHEN 2 THEN 'MACRO' ELSE 'UNKNOWN' END AS object_type FROM t GROUP BY 1, 2"""
+)
+def ing1_first_of_ties(d):
+    """Tables listed several times, read from files: of equal times the first one in its file counts."""
+    record = _fixed16("p_brand", "concat('T', p_partkey % 100)", "element_at(array('V', 'T', 'M', 'zz'), cast(p_size % 4 + 1 as int))", "''", "''", "''", "if(p_partkey % 3 = 0, '2024-01-01 00:00:00', '')", "if(p_size % 3 = 0, 'two\nlines', '')")
+    path = _written(d.part.repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey"), record, _folder(d.spark), "tables")
+    tables = readers.read_view(d.spark, path, "tables", position=True)
+    none = readers.read_view(d.spark, [], "columns")
+    return ingest.build_snapshot(1, readers.read_view(d.spark, [], "databases"), tables, none)["tables"].select("schema_name", "table_name", "object_type")
+
+
 def _more_extracts(d):
     """Indices, partitioning and DDL fragments, some of them of unknown tables."""
     own = (F.col("p_brand").alias("database_name"), F.expr("'T' || (p_partkey % 120)").alias("table_name"))
@@ -591,7 +664,7 @@ SELECT coalesce(e.username, f.username) AS username, coalesce(e.display_name, f.
 )
 def ing6_ingest_people(d):
     existing = d.supplier.select(F.expr("'u' || s_suppkey").alias("username"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_name END").alias("display_name"), F.lit(None).cast("string").alias("team"))
-    incoming = d.customer.select(F.expr("'u' || (c_custkey % 500)").alias("username"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END").alias("display_name"), F.col("c_mktsegment").alias("team"), F.col("c_custkey").alias("_pos"))
+    incoming = d.customer.select(F.expr("'u' || (c_custkey % 500)").alias("username"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END").alias("display_name"), F.col("c_mktsegment").alias("team"), F.col("c_custkey").alias("position"))
     return ingest.ingest_people(existing, incoming)
 
 
@@ -606,7 +679,7 @@ def ing6_ingest_applications(d):
     named = d.customer.join(F.broadcast(d.nation), F.col("n_nationkey") == F.col("c_nationkey"))
     incoming = named.select(
         F.expr("if(c_custkey % 13 = 0, null, 'A' || (c_custkey % 300))").alias("application_name"), F.col("c_name").alias("description"), F.expr("if(c_custkey % 4 = 0, null, 's' || (c_custkey % 11))").alias("schema_name"),
-        F.expr("if(c_custkey % 3 = 0, null, 't' || (c_custkey % 70))").alias("table_name"), F.col("n_name").alias("owner_team"), F.col("c_custkey").alias("_pos"),
+        F.expr("if(c_custkey % 3 = 0, null, 't' || (c_custkey % 70))").alias("table_name"), F.col("n_name").alias("owner_team"), F.col("c_custkey").alias("position"),
     )
     made = ingest.ingest_applications(existing, incoming, d.team.where("team_id % 2 = 0"))
     none = F.lit(None).cast("string")
@@ -668,19 +741,28 @@ def _rename(spark: SparkSession, files: str, folder: str, name: str, kind: str =
         fs.rename(status.getPath(), path(f"{folder}/{name}_{k}.{kind}"))
 
 
-@query("SELECT snapshot_id, count(DISTINCT s_suppkey % 12) AS schemas, count(*) AS tables, count(*) AS columns FROM (SELECT *, CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS snapshot_id FROM supplier) GROUP BY 1")
+@query(
+    """WITH s AS (SELECT *, CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS snapshot_id FROM supplier)
+SELECT snapshot_id, count(DISTINCT s_suppkey % 12) AS schemas, count(*) AS tables, count(*) AS columns, count(*) AS indices, count(*) AS partitioning, CAST(sum(length(s_name)) AS BIGINT) AS ddl FROM s GROUP BY 1"""
+)
 def str1_stream_landing(d):
-    """Two landings, each of which becomes a snapshot; a third run finds nothing new."""
+    """Two landings, each of which becomes a snapshot with all its views; a third run finds nothing new, and a fourth a run that is stored already."""
     folder = _folder(d.spark)
     own = ("concat('S', s_suppkey % 12)", "concat('T', s_suppkey)")
-    for k, rows in ((1, d.supplier.where("s_suppkey % 4 <> 0")), (2, d.supplier.where("s_suppkey % 4 = 0")), (3, None)):
+    head = f"{_HEAD}, {', '.join(own)}"
+    views = {
+        "databases": _fixed16(own[0]), "tables": _fixed16(*own, "'T'"), "columns": _fixed16(*own, "'C'", "'1'", "'I'", "''", "''", "''", "'Y'"), "indices": _fixed16(*own, "'I'", "'1'", "'P'", "'Y'", "'C'", "'1'"),
+        "partitioningconstraints": f"concat(concat_ws('§', {head}, 'Q', 'RANGE_N(a)', ''), 'ENDREC')", "tabletext": f"concat(concat_ws('§', {head}, 'T', '1', s_name), 'ENDREC')",
+    }
+    for k, rows in ((1, d.supplier.where("s_suppkey % 4 <> 0")), (2, d.supplier.where("s_suppkey % 4 = 0")), (3, None), (4, d.supplier)):
         if rows is not None:
-            for name, record in (("databases", _fixed16(own[0])), ("tables", _fixed16(*own, "'T'")), ("columns", _fixed16(*own, "'C'", "'1'", "'I'", "''", "''", "''", "'Y'"))):
-                _written(rows, record.replace("20240131", f"2024013{k}"), folder, f"{name}{k}")
+            for name, record in views.items():
+                _written(rows, record.replace("20240131T", f"2024013{min(k, 2)}T"), folder, f"{name}{k}")
                 _rename_all(d.spark, f"{folder}/{name}{k}", f"{folder}/landing", f"{name}v_{k}")
         jobs.stream_snapshots(d.spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    per = lambda name, as_: d.spark.read.parquet(f"{folder}/out/{name}").groupBy("snapshot_id").agg(F.count("*").alias(as_))
-    return per("schemas", "schemas").join(per("tables", "tables"), "snapshot_id").join(per("columns", "columns"), "snapshot_id")
+    per = lambda name, of=None: d.spark.read.parquet(f"{folder}/out/{name}").groupBy("snapshot_id").agg((F.count("*") if of is None else F.sum(of)).alias(name))
+    out = per("schemas").join(per("tables"), "snapshot_id").join(per("columns"), "snapshot_id")
+    return out.join(per("indices"), "snapshot_id").join(per("partitioning"), "snapshot_id").join(per("ddl", F.length("ddl")), "snapshot_id")
 
 
 @query("SELECT CASE WHEN event_id % 4 = 2 THEN 'unmapped_type' WHEN node_id IS NULL OR event_id % 4 = 3 THEN 'orphan' ELSE 'inserted' END AS outcome, count(*) AS n FROM usage u LEFT JOIN (SELECT object_name, max(node_id) AS node_id FROM node WHERE node_id % 4 <> 1 GROUP BY 1) USING (object_name) GROUP BY 1")
@@ -700,13 +782,14 @@ def _rename_all(spark: SparkSession, files: str, folder: str, name: str = "part"
 
 @query("SELECT conv_id AS query_id, CAST(sum(length(text)) AS BIGINT) AS length, count(*) AS fragments FROM (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def str3_stream_query_log(d):
+    """Fragments of all queries in two landings, odd turns first, and the first landing once more under other names."""
     folder = _folder(d.spark)
-    record = "concat(concat_ws('§', 'td', '2024/05/12', '7', date_format(timestamp_seconds(1700000000 + conv_id * 60), 'yyyy-MM-dd HH:mm:ss'), conv_id, turn, text, 'db', '', ''), 'ENDREC')"
-    _written(d.conversations.where("text is not null").repartition("conv_id"), record, folder, "in")
-    _rename_all(d.spark, f"{folder}/in", f"{folder}/landing")
-    ended = jobs.stream_query_log(d.spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint")
-    ended.awaitTermination()
-    return jobs.query_log(d.spark, f"{folder}/landing", f"{folder}/out", ended).select("query_id", F.length("sql_text").cast("long").alias("length"), "fragments")
+    record = "concat(concat_ws('§', 'td', '2024/05/12', '7', date_format(timestamp_seconds(1700000000 + conv_id), 'yyyy-MM-dd HH:mm:ss'), conv_id, turn, text, 'db', '', ''), 'ENDREC')"
+    for k, own in enumerate(("turn % 2 = 1", "turn % 2 = 0", "turn % 2 = 1")):
+        _written(d.conversations.where("text is not null").where(own).repartition("conv_id"), record, folder, f"in{k}")
+        _rename_all(d.spark, f"{folder}/in{k}", f"{folder}/landing", f"log{k}")
+        jobs.stream_query_log(d.spark, f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint", open_for="30 days").awaitTermination()
+    return jobs.query_log(d.spark, f"{folder}/out").select("query_id", F.length("sql_text").cast("long").alias("length"), "fragments")
 
 
 @query("SELECT p_partkey AS id, 'a§b' || p_size AS first, p_name AS second, 2 AS n FROM part")

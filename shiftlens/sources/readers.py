@@ -1,15 +1,14 @@
 """Readers of catalog extracts (.dat), usage logs, lineage and usage JSON, organisation CSV, landing folders and live catalogs.
 
-Flat files have fields between § (escaped \\§). 16-field catalog files are split at record starts, so that records may run over
-lines; the others end records with ENDREC. A record of another arity is an error, or comes out of `violations`.
+Flat files have fields between § (escaped \\§). A record of a 16-field catalog file ends with the line that brings its sixteenth field, so it may run
+over lines, and a file may hold several runs; the others end records with ENDREC. A record of another arity is an error, or comes out of `violations`.
 """
 
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.exprs import DELIMITER, blank_to_null, parse_catalog_ts, parse_int_lenient, parse_log_date, parse_usage_ts, split_escaped
@@ -32,55 +31,83 @@ ARITY = dict.fromkeys(FIXED16, 16) | {"partitioning": 9, "tabletext": 9, "query_
 _KINDS = {"ts": parse_catalog_ts, "uts": parse_usage_ts, "date": parse_log_date, "int": parse_int_lenient, "": blank_to_null}
 
 
-def _heads(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """The files below path, by the source and run id with which all their records begin. A listing of files, as the driver makes it anyway."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    first = lines.where(F.contains("value", F.lit(DELIMITER)) & (F.col("block") == 0)).groupBy("file").agg(F.min_by("value", "n").alias("value"))
-    out: dict[str, list[str]] = {}
-    for row in first.collect():
-        out.setdefault(DELIMITER.join(row["value"].split(DELIMITER)[:2]) + DELIMITER, []).append(unquote(row["file"]))
-    return out
+def _pieces(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """(value, file, block, n): pieces of text files, numbered in the order of each block."""
+    raw = spark.read.options(**options).text(path)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+
+
+def _line_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(record, file, block, n, number): records that end with the line of their sixteenth field. Blank lines before a record don't belong to it.
+
+    A file in which every line is blank or a record is read as it is. In others a line's record is told by the delimiters that come before it: they are
+    summed within the file's blocks, each block starts from the sum of those before it, and 15 make a record. A task sorts one block; a record's lines
+    meet in one task."""
+    lines = _pieces(spark, path)
+    here = F.length("value") - F.length(F.replace("value", F.lit(DELIMITER), F.lit("")))
+    escaped = (F.length("value") - F.length(F.replace("value", F.lit(f"\\{DELIMITER}"), F.lit("")))) / 2
+    lines = lines.withColumn("delimiters", (here - escaped).cast("long")).withColumn("blank", F.trim(F.col("value"), F.lit("\t ")) == "")
+    odd = [r["file"] for r in lines.where("not blank and delimiters <> 15").select("file").distinct().collect()]  # of a listing of files
+    whole = lines.where(~F.col("file").isin(odd) & ~F.col("blank")) if odd else lines.where("not blank")
+    out = whole.select("value", "file", "block", "n", F.lit(None).cast("long").alias("number"))
+    if odd:
+        runs = lines.where(F.col("file").isin(odd))
+        by_block = Window.partitionBy("file", "block").orderBy("n")
+        by_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        before = runs.groupBy("file", "block").agg(F.sum("delimiters").alias("total")).select("file", "block", F.coalesce(F.sum("total").over(by_file), F.lit(0)).alias("before"))
+        runs = runs.withColumn("own", F.sum("delimiters").over(by_block) - F.col("delimiters")).join(before, ["file", "block"])
+        runs = runs.withColumn("number", F.floor((F.col("before") + F.col("own")) / 15))
+        parts = runs.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "n", "blank", "value"))).alias("lines"))
+        first = F.expr("filter(lines, x -> not x.blank)[0]")  # null where all are blank
+        text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+        out = out.unionByName(parts.select(text.alias("value"), "file", first["block"].alias("block"), first["n"].alias("n"), (F.col("number") + 1).alias("number")).where("n is not null"))
+    return out.withColumn("value", F.regexp_replace("value", r"^[\r\n\t ]+|[\r\n\t ]+$", ""))
 
 
 def _records(spark: SparkSession, path: str | list[str], view: str) -> DataFrame:
-    """(record, fields): raw records, split."""
+    """(record, fields, position, number): raw records, split. number: of the record in its file, where records run over lines."""
     if view in FIXED16:
-        # All records of a file begin with its source and run id, the one place where a new record may be told from a continued one.
-        raw = spark.createDataFrame([], "value string")
-        for head, files in sorted(_heads(spark, path).items()):
-            own = spark.read.option("lineSep", "\n" + head).text(sorted(files))
-            raw = raw.unionByName(own.select(F.when(F.startswith("value", F.lit(head)), F.col("value")).otherwise(F.concat(F.lit(head), F.col("value"))).alias("value")))
-        raw = raw.withColumn("value", F.regexp_replace("value", r"[\r\n]+$", ""))
+        raw = _line_records(spark, path)
     else:
-        raw = spark.read.option("lineSep", "ENDREC").text(path).withColumn("value", F.regexp_replace("value", r"^[\r\n]+|[\r\n]+$", ""))
-    raw = raw.where(F.trim("value") != "").select(F.make_valid_utf8("value").alias("record"))
+        raw = _pieces(spark, path, lineSep="ENDREC").withColumns({"value": F.regexp_replace("value", r"^[\r\n]+|[\r\n]+$", ""), "number": F.lit(None).cast("long")}).where(F.trim("value") != "")
+    raw = raw.select(F.make_valid_utf8("value").alias("record"), F.struct("file", "block", "n").alias("position"), "number")
     return raw.withColumn("fields", split_escaped("record"))
 
 
-def typed(records: DataFrame, view: str) -> DataFrame:
-    """Rows of a view from records(fields)."""
+def typed(records: DataFrame, view: str, *more: str) -> DataFrame:
+    """Rows of a view from records(fields), with more of its columns."""
     out = []
     for k, spec in enumerate((FIXED16 | ENDREC)[view]):
         name, _, kind = spec.partition(":")
         field = F.get("fields", F.lit(k))
         out.append((field if name in ("request_text", "sql_text_info", "constraint_text") else _KINDS[kind](field)).alias(name))
-    return records.select(out)
+    return records.select(*out, *more)
 
 
-def read_view(spark: SparkSession, path: str | list[str], view: str, strict: bool = True) -> DataFrame:
+def read_view(spark: SparkSession, path: str | list[str], view: str, strict: bool = True, position: bool = False) -> DataFrame:
     """Typed rows of one of the views in FIXED16 and ENDREC; blanks are null, bad bytes are replaced, unreadable numbers and times are null.
     A record of another arity is an error when it is read; with strict=False it is left out, for `violations` to list. Files of several runs may
-    lie side by side. No files give no rows."""
+    lie side by side, and runs one after the other in a file. With position=True rows carry (file, block, n), which sorts a file's rows in its order.
+    No files give no rows. Of 16-field views the lines are counted when this is called."""
+    more = ["position"] * position
     if isinstance(path, list) and not path:
-        return typed(spark.createDataFrame([], "fields array<string>"), view)
+        return typed(spark.createDataFrame([], "fields array<string>, position struct<file:string,block:long,n:long>"), view, *more)
     fits = F.size("fields") == ARITY[view]
-    wrong = F.raise_error(F.format_string(f"{view}: a record of %d fields instead of {ARITY[view]}: %s", F.size("fields"), F.left("record", F.lit(200))))
-    return typed(_records(spark, path, view).where(F.when(fits, F.lit(True)).otherwise(wrong) if strict else fits), view)
+    where = F.concat(F.substring_index("position.file", "/", -1), F.coalesce(F.concat(F.lit(", record "), F.col("number").cast("string")), F.lit("")))
+    wrong = F.raise_error(F.format_string(f"{view}: %s: a record of %d fields instead of {ARITY[view]}: %s", where, F.size("fields"), F.left("record", F.lit(200))))
+    return typed(_records(spark, path, view).where(F.when(fits, F.lit(True)).otherwise(wrong) if strict else fits), view, *more)
 
 
 def violations(spark: SparkSession, path: str | list[str], view: str) -> DataFrame:
-    """(view, n_fields, record) of records whose arity is not the view's."""
-    return _records(spark, path, view).where(F.size("fields") != ARITY[view]).select(F.lit(view).alias("view"), F.size("fields").alias("n_fields"), "record")
+    """(view, file, number, n_fields, record) of records whose arity is not the view's."""
+    bad = _records(spark, path, view).where(F.size("fields") != ARITY[view])
+    return bad.select(F.lit(view).alias("view"), "position.file", "number", F.size("fields").alias("n_fields"), "record")
+
+
+def headers(spark: SparkSession, path: str | list[str], view: str) -> DataFrame:
+    """(file, pos, source_system_name, extract_run_id, extracted_at, snapshot_date) of all records of a view's files, for the checks of a batch."""
+    rows = read_view(spark, path, view, strict=False, position=True)
+    return rows.select("position.file", F.struct("position.block", "position.n").alias("pos"), "source_system_name", "extract_run_id", F.to_timestamp("extracted_at_utc").alias("extracted_at"), "snapshot_date")
 
 
 _EDGE = "array<struct<sourceAttributeNaturalKey:string,sourceDatasetNaturalKey:string,targetAttributeNaturalKey:string,targetDatasetNaturalKey:string,stepNaturalKey:string,expression:string,transformationType:string>>"
@@ -128,16 +155,19 @@ ALIASES = {
 }
 
 
-def read_org_csv(spark: SparkSession, path: str, key: str, wanted: list[str]) -> DataFrame:
-    """Columns under their canonical names, the first header that fits each; rows with a blank key are left out."""
+def read_org_csv(spark: SparkSession, path: str, key: str, wanted: list[str], position: bool = False) -> DataFrame:
+    """Columns under their canonical names, the first header that fits each; rows with a blank key are left out. With position=True rows
+    carry (file, block, n), which sorts a file's rows in its order."""
     raw = spark.read.csv(path, header=True)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("position")
     canonical = {alias: name for name, aliases in reversed(ALIASES.items()) for alias in aliases}
     named = {header: canonical.get(re.sub(" ", "_", header.strip().lower())) for header in raw.columns}
     found = {name: header for header, name in reversed(named.items()) if name}
-    out = raw.select(*(blank_to_null(F.col(f"`{found[w]}`")).alias(w) if w in found else F.lit(None).cast("string").alias(w) for w in wanted))
+    out = raw.select(*(blank_to_null(F.col(f"`{found[w]}`")).alias(w) if w in found else F.lit(None).cast("string").alias(w) for w in wanted), *[at] * position)
     return out.where(F.col(key).isNotNull())
 
 
+# How files of each view are named.
 PREFIXES = {"databasesv_": "databases", "tablesv_": "tables", "columnsv_": "columns", "indicesv_": "indices", "partitioningconstraintsv_": "partitioning", "tabletextv_": "tabletext", "pdcr_log_": "query_log", "pdcr_object_usage_": "object_usage"}
 
 

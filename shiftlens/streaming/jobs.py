@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from shiftlens.functions.exprs import USAGE_TYPES, parse_int_lenient, parse_usage_ts, split_escaped
 from shiftlens.operators import metrics
 from shiftlens.plans import ingest
-from shiftlens.sources import readers
+from shiftlens.sources import readers, writers
+from shiftlens.sources.shared import Steps
 
 _FRAGMENT = ["query_id", "collect_ts", "sql_row_no"]
 
@@ -28,22 +28,36 @@ def _split(raw: DataFrame, arity: int) -> DataFrame:
     return raw.withColumn("fields", split_escaped("value")).where(F.size("fields") == arity)
 
 
-def stream_landing(spark: SparkSession, root: str, checkpoint: str, ingest: Callable[[DataFrame, int], None], glob: str = "*.dat") -> StreamingQuery:
-    """Call ingest(lines, batch_id) for files that are new since the last run; a file is handed over once."""
-    lines = spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(root).withColumn("path", F.col("_metadata.file_path"))
-    return lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(ingest).start()
-
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+_VIEWS = ("databases", "tables", "columns", "indices", "partitioning", "tabletext")
 
-def stream_snapshots(spark: SparkSession, root: str, out: str, checkpoint: str, first: int = 1) -> StreamingQuery:
-    """Every batch of new catalog files becomes a snapshot, numbered on from `first`: schemas, tables and columns go to out/<name>/snapshot_id=<n>.
-    A batch that is run again writes over its own snapshot."""
 
-    def ingest_batch(lines: DataFrame, batch: int) -> None:
-        files = [unquote(r["path"]) for r in lines.select("path").distinct().collect()]  # the new files of the landing folder
-        view = lambda name: readers.read_view(spark, [f for f in files if f.rsplit("/", 1)[-1].lower().startswith(f"{name}v_")], name)
-        made = ingest.build_snapshot(first + batch, view("databases"), view("tables"), view("columns"))
-        for name in ("schemas", "tables", "columns"):
-            made[name].drop("snapshot_id").write.mode("overwrite").parquet(f"{out}/{name}/snapshot_id={first + batch}")
+def stream_landing(spark: SparkSession, root: str, checkpoint: str, ingest: Callable[[DataFrame, int], None], glob: str = "*.dat") -> StreamingQuery:
+    """Call ingest(files(path, modificationTime, length), batch_id) for files that are new since the last run; a file is handed over once. Files are
+    listed, not read."""
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(ingest).start()
+
+
+def stream_snapshots(spark: SparkSession, root: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Every batch of new catalog files becomes a snapshot in the tables schemas, tables, columns, indices, partitioning and ddl below `out`, and a line of
+    its ledger. Files of a view that are not there give an empty table. A batch is left alone if none of its files is newer than the last import, or if the ledger
+    knows its run; so one that is run again stores nothing twice. All tables of a batch must be of one run."""
+
+    def ingest_batch(listed: DataFrame, batch: int) -> None:
+        files = {r["path"]: r["modificationTime"] for r in listed.collect()}  # the new files of the landing folder
+        last = writers.ledger(spark, out).agg(F.max("imported_at")).first()[0]
+        if not files or (last is not None and max(files.values()) <= last):
+            return
+        prefix = {view: name for name, view in readers.PREFIXES.items()}
+        view = lambda name, **more: readers.read_view(spark, [f for f in files if f.rsplit("/", 1)[-1].lower().startswith(prefix[name])], name, **more)
+        tables = view("tables", position=True)
+        runs = tables.select("source_system_name", "extract_run_id").distinct().limit(2).collect()
+        if len(runs) != 1:
+            raise ValueError(f"{len(runs)} runs in one batch of tables" if runs else "a batch without tables")
+        made = ingest.build_snapshot(0, view("databases"), tables, *(view(name) for name in _VIEWS[2:]))
+        made.pop("counts")
+        writers.persist_run(made, out, *runs[0])
 
     return stream_landing(spark, root, checkpoint, ingest_batch)
 
@@ -70,17 +84,42 @@ def reassembled(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("query_id", "collect_ts").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("sql_text"), F.count("*").alias("fragments"))
 
 
-def stream_query_log(spark: SparkSession, root: str, out: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Append a query to `out` once the watermark has passed its time; repeated fragments count once, later ones are dropped by the watermark.
-    What the watermark has not passed at the end of the input comes out of `query_log`."""
-    once = query_fragments(_records(spark, root, 10)).withWatermark("collect_ts", delay).dropDuplicatesWithinWatermark(_FRAGMENT)
-    return reassembled(once).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_query_log(spark: SparkSession, root: str, out: str, checkpoint: str, open_for: str = "10 minutes") -> StreamingQuery:
+    """Put queries together from fragments, each counted once, and write them to out/queries as soon as they are older than the latest fragment by
+    `open_for`. Those that may still grow stay as fragments in out/open, which every batch reads and writes anew: the landing folder is read once, and
+    the table of open fragments is bounded by that time. Fragments of a query that is written already change nothing, also days later."""
+
+    def merge(new: DataFrame, batch: int) -> None:
+        before = _open_fragments(spark, out, batch)
+        with Steps(spark) as step:
+            both = step.stored((new if before is None else before.unionByName(new)).dropDuplicates(_FRAGMENT))
+            first, last = both.agg(F.min("collect_ts"), F.max("collect_ts")).first()
+            due = F.coalesce(F.col("collect_ts") < F.lit(last) - F.expr(f"interval {open_for}"), F.lit(False))
+            closed = _written_queries(spark, out, batch)
+            if closed is not None:
+                both = both.join(closed.where(F.col("collect_ts").between(F.lit(first), F.lit(last))), ["query_id", "collect_ts"], "left_anti")
+            reassembled(both.where(due)).write.mode("overwrite").parquet(f"{out}/queries/batch={batch}")
+            both.where(~due).write.mode("overwrite").parquet(f"{out}/open/batch={batch}")
+        for k in sorted(k for (k,) in writers.partitions(spark, f"{out}/open", "batch"))[:-2]:
+            writers.remove(spark, f"{out}/open/batch={k}")
+
+    return query_fragments(_records(spark, root, 10)).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+
+
+def _open_fragments(spark: SparkSession, out: str, batch: int) -> DataFrame | None:
+    """The fragments that the last batch before `batch` left open."""
+    done = [k for (k,) in writers.partitions(spark, f"{out}/open", "batch") if k < batch]
+    return spark.read.parquet(f"{out}/open/batch={max(done)}") if done else None
+
+
+def _written_queries(spark: SparkSession, out: str, batch: int) -> DataFrame | None:
+    """The keys of queries that batches before `batch` wrote."""
+    done = [f"{out}/queries/batch={k}" for (k,) in writers.partitions(spark, f"{out}/queries", "batch") if k < batch]
+    return spark.read.parquet(*done).select("query_id", "collect_ts") if done else None
 
 
-def query_log(spark: SparkSession, root: str, out: str, ended: StreamingQuery) -> DataFrame:
-    """All queries after a run of stream_query_log has ended: those it has written, and those still open, whose time its watermark has not passed,
-    read from the landing folder again. Open ones may still grow."""
-    reached = F.lit((ended.lastProgress or {}).get("eventTime", {}).get("watermark", "1970-01-01T00:00:00Z")).cast("timestamp")
-    raw = spark.read.option("lineSep", "ENDREC").option("pathGlobFilter", "*.dat").option("recursiveFileLookup", True).text(root)
-    late = query_fragments(_split(raw, 10)).where(F.col("collect_ts") > reached).dropDuplicates(_FRAGMENT)
-    return spark.read.parquet(out).unionByName(reassembled(late))
+def query_log(spark: SparkSession, out: str) -> DataFrame:
+    """All queries that stream_query_log has met: those it has written, and those still open, which may grow."""
+    queries = spark.read.parquet(f"{out}/queries").drop("batch")
+    left = _open_fragments(spark, out, 1 << 62)
+    return queries if left is None else queries.unionByName(reassembled(left))

@@ -1,9 +1,14 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from shiftlens.functions import exprs
 from shiftlens.operators import quality
+from shiftlens.plans import ingest
 from shiftlens.sources import readers, writers
+from shiftlens.streaming import jobs
 
 
 def test_records_run_over_lines(spark, tmp_path):
@@ -73,3 +78,108 @@ def test_literals_and_temporary_datasets_go(spark):
     kept = quality.noise_filter(c, d, a, e)
     assert [r.attributeNaturalKey for r in kept["attributes"].collect()] == ["S.T|c"]
     assert kept["edges"].count() == 0 and quality.noise_filter(c, d, a, e, self_loops=True)["edges"].count() == 1
+
+
+def _plain_records(text):
+    """Records by field count, line after line; what is left at the end, or has too many fields, is None."""
+    out, held = [], ""
+    for line in text.splitlines(keepends=True):
+        held += line
+        if not held.strip("\r\n\t "):
+            held = ""
+        elif (n := len(fields := re.split(r"(?<!\\)§", held.strip("\r\n\t ")))) >= 16:
+            out.append([f.replace("\\§", "§") for f in fields] if n == 16 else None)
+            held = ""
+            if n > 16:
+                return out
+    return out + [None] * bool(held.strip("\r\n\t "))
+
+
+def test_records_by_field_count_over_blocks(spark, tmp_path):
+    rng = random.Random(21)
+    texts = {}
+    for k in range(8):
+        fields = lambda: [rng.choice(["td", "r\\§1", "", "x\ny", "td§r1"[:2], " z\n\nmore", "é"]) for _ in range(16)]
+        lines = [rng.choice(["\n", " \n\n", ""]) + "§".join(x if k % 2 else x.replace("\n", " ") for x in fields()) + "\n" for _ in range(rng.randint(1, 30))]
+        texts[f"f{k}.dat"] = "".join(lines) + ("cut§short" if k == 5 else "")
+        (tmp_path / f"f{k}.dat").write_text(texts[f"f{k}.dat"])
+    small = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = {}
+        for r in readers._records(spark, str(tmp_path), "columns").collect():
+            got.setdefault(r.position.file.rsplit("/", 1)[1], []).append((r.position.block, r.position.n, r.fields if len(r.fields) == 16 else None))
+        bad = readers.violations(spark, str(tmp_path), "columns").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(b for rows in got.values() for b, _, _ in rows) > 200
+    broken = set()
+    for name, text in texts.items():
+        rows, want = [f for _, _, f in sorted(got[name], key=lambda r: r[:2])], _plain_records(text)
+        if None in want:
+            broken.add(name)
+            want = want[: want.index(None)]
+        assert rows[: len(want)] == want and (name in broken or len(rows) == len(want))
+    assert {b.file.rsplit("/", 1)[1] for b in bad} == broken and all(b.number >= 1 for b in bad)
+
+
+def test_errors_name_file_and_record(spark, tmp_path):
+    whole = "td§r1§a§b§db§o§§§§§line one\nline two§1§§§§\n"
+    (tmp_path / "databasesv_7.dat").write_text("\n" + whole * 3 + whole.replace("§o§", "§o§x§") + whole)
+    with pytest.raises(Exception, match=r"databasesv_7.dat, record 4: a record of 17 fields instead of 16"):
+        readers.read_view(spark, str(tmp_path), "databases").collect()
+
+
+def test_a_killed_import_is_run_again(spark, tmp_path):
+    root, rows = str(tmp_path), spark.createDataFrame([("a",), ("b",)], "c string")
+    broken = spark.createDataFrame([("a",)], "c string").select(F.raise_error(F.lit("killed")).cast("string").alias("c"))
+    assert writers.persist_run({"tables": rows, "columns": rows}, root, "A", "r1") == (1, True)
+    with pytest.raises(Exception, match="killed"):
+        writers.persist_run({"tables": rows, "columns": broken}, root, "A", "r2")
+    assert spark.read.parquet(f"{root}/tables").where("snapshot_id = 2").count() == 2 and writers.ledger(spark, root).count() == 1
+    assert writers.clear_unfinished(spark, root, ["tables", "columns"]) == [2]
+    assert writers.persist_run({"tables": rows, "columns": rows}, root, "A", "r2") == (2, True)
+    # A stored run's frames are not even computed; by force it gets a new id.
+    assert writers.persist_run({"tables": broken, "columns": broken}, root, "A", "r1") == (1, False)
+    assert writers.persist_run({"tables": rows, "columns": rows}, root, "A", "r1", force=True) == (3, True)
+    assert {r.snapshot_id: r.extract_run_id for r in writers.ledger(spark, root).collect()} == {1: "r1", 2: "r2", 3: "r1"}
+    assert sorted(r.snapshot_id for r in spark.read.parquet(f"{root}/columns").collect()) == [1, 1, 2, 2, 3, 3]
+    assert writers.delete_snapshot(spark, root, ["tables", "columns"], 3, 3) == {"tables": 2, "columns": 2}
+    assert writers.ledger(spark, root).count() == 2
+
+
+def test_a_pair_is_made_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, "x"), (1, 3, "y")], "snapshot_from long, snapshot_to long, c string")
+    asked = []
+    make = lambda: asked.append(1) or rows
+    for _ in range(2):
+        assert [r.c for r in writers.changes_between(spark, str(tmp_path), 1, 2, make).collect()] == ["x"]
+    assert len(asked) == 1
+    assert writers.append_changes(rows, str(tmp_path)) and not writers.append_changes(rows, str(tmp_path))
+    assert sorted(r.c for r in spark.read.parquet(f"{tmp_path}/change_event").collect()) == ["x", "y"]
+    assert writers.changes_between(spark, str(tmp_path), 8, 9, make).count() == 0
+
+
+def test_first_of_equal_times(spark):
+    tables = spark.createDataFrame([("d", "t", "V", 2), ("d", "t", "T", 1), ("d", "u", "T", 3), ("d", "u", "V", 4)], "database_name string, table_name string, table_kind string, position long")
+    tables = tables.withColumn("last_alter_timestamp", F.lit(None).cast("timestamp_ntz"))
+    none = readers.read_view(spark, [], "columns")
+    made = lambda rows: {r.table_name: r.object_type for r in ingest.build_snapshot(1, readers.read_view(spark, [], "databases"), rows, none)["tables"].collect()}
+    assert made(tables) == {"t": "TABLE", "u": "TABLE"}
+    assert made(tables.drop("position").coalesce(1)) == {"t": "VIEW", "u": "TABLE"}
+
+
+def test_query_log_over_days(spark, tmp_path):
+    def land(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.dat").write_text("".join(f"td§2024/05/12§7§2024-05-{day:02d} 10:00:00§{q}§{n}§{text}§db§§ENDREC" for day, q, n, text in rows))
+        jobs.stream_query_log(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return {(r.query_id, r.sql_text, r.fragments) for r in jobs.query_log(spark, str(tmp_path / "out")).collect()}
+
+    assert land("a", [(1, 1, 1, "select "), (1, 2, 1, "one")]) == {(1, "select ", 1), (2, "one", 1)}
+    assert land("b", [(1, 1, 2, "x"), (3, 3, 1, "late")]) == {(1, "select x", 2), (2, "one", 1), (3, "late", 1)}
+    # Days later: queries that are written stay as they are, open ones grow.
+    assert land("c", [(1, 1, 1, "select "), (1, 1, 3, "!"), (3, 3, 2, "r")]) == {(1, "select x", 2), (2, "one", 1), (3, "later", 2)}
