@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.exprs import leaf
+from shiftlens.operators.components import strong_components
 from shiftlens.sources.shared import cut
 
 
-def build_graph(tables: DataFrame, columns: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build_graph(tables: DataFrame, columns: DataFrame, existing: DataFrame | None = None, existing_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (object_type, object_name) of a snapshot's schemas and objects, upper-cased and distinct, and edges
     (src_name, dst_name, relationship_type): DEPENDS_ON from each object to its schema, FEEDS from what a column's name
-    refers to. Nodes that `existing` has under their key are left out; its UNKNOWN ones take their real type."""
+    refers to. Nodes that `existing` has under their key are left out; its UNKNOWN ones take their real type. Edges that
+    `existing_edges` has (names in any case, and type) are left out."""
     name = F.upper(F.concat_ws(".", "schema_name", "table_name"))
     objects = tables.groupBy(name.alias("object_name")).agg(F.min("object_type").alias("object_type"))
     schemas = tables.select(F.upper("schema_name").alias("object_name")).distinct().withColumn("object_type", F.lit("SCHEMA"))
@@ -26,7 +28,11 @@ def build_graph(tables: DataFrame, columns: DataFrame, existing: DataFrame | Non
         nodes = nodes.join(known, "object_name", "left").where("known is null or known = 'UNKNOWN'").drop("known")
     depends = tables.select(name.alias("src_name"), F.upper("schema_name").alias("dst_name"), F.lit("DEPENDS_ON").alias("relationship_type")).distinct()
     feeds = fk_name_match(columns, tables).select(F.upper("referenced").alias("src_name"), F.upper("holder").alias("dst_name"), F.lit("FEEDS").alias("relationship_type")).distinct()
-    return nodes, depends.unionByName(feeds)
+    edges = depends.unionByName(feeds)
+    if existing_edges is not None:
+        stored_ = existing_edges.select(F.upper("src_name").alias("src_name"), F.upper("dst_name").alias("dst_name"), "relationship_type")
+        edges = edges.join(stored_, ["src_name", "dst_name", "relationship_type"], "left_anti")
+    return nodes, edges
 
 
 def fk_name_match(columns: DataFrame, tables: DataFrame) -> DataFrame:
@@ -101,12 +107,10 @@ def walk(edges: DataFrame, starts: DataFrame, max_depth: int, edge_types: list[s
     grown = lambda node, path: F.array_insert(path, F.lit(1), node) if upstream else F.array_append(path, node)
     now = starts.select("start").distinct().join(step, F.col("start") == F.col("_a")).select("start", F.col("_b").alias("node"))
     now = now.withColumn("path", F.array("node", "start") if upstream else F.array("start", "node"))
+    # Each level but the last is written once and read by the next, so that a plan has one join a level.
+    now = cut(now) if max_depth > 1 else now
     out = now.withColumn("depth", F.lit(1))
     for depth in range(2, max_depth + 1):
-        # Each level is written once and read by the next, so that a plan has one join a level.
-        now = cut(now)
-        if depth == 2:
-            out = now.withColumn("depth", F.lit(1))
         if now.isEmpty():
             break
         now = now.join(step, F.col("node") == F.col("_a")).where(~F.array_contains("path", F.col("_b"))).select("start", F.col("_b").alias("node"), grown(F.col("_b"), F.col("path")).alias("path"))
@@ -217,42 +221,46 @@ def full_graph(nodes: DataFrame, edges: DataFrame, cap: int = 5000) -> tuple[Dat
     return nodes.join(whole).drop("_whole"), edges.join(whole).drop("_whole"), meta
 
 
-def column_lineage(lineage: DataFrame, table: str) -> DataFrame:
-    """(column_name, direction, partner, tier): direct edges of a table's columns, one for each partner, and its predicates (targets
-    NOT APPLICABLE) as direction indirect, all of them."""
+def column_lineage(lineage: DataFrame, table: str, tier: str | None = None, most: int = 5000) -> DataFrame:
+    """(column_name, direction, partner, tier, total): direct edges of a table's columns, one for each partner, and its predicates (targets
+    NOT APPLICABLE) as direction indirect, all of them. `total` counts the direct ones. A table's first `most` lineage rows by their keys are read."""
     own = F.upper(F.substring_index("source_key", "|", 1)) == table.upper()
     into = F.upper(F.substring_index("target_key", "|", 1)) == table.upper()
+    if tier is not None:
+        lineage = lineage.where(F.col("tier") == tier.upper())
+    lineage = lineage.where(own | into).orderBy("source_key", "target_key", "tier").limit(most)
     row = lambda df, side, other, way: df.select(F.substring_index(side, "|", -1).alias("column_name"), F.lit(way).alias("direction"), F.col(other).alias("partner"), "tier")
     down = row(lineage.where(own & (F.col("target_key") != "NOT APPLICABLE")), "source_key", "target_key", "downstream")
     up = row(lineage.where(into), "target_key", "source_key", "upstream")
     direct = down.unionByName(up).groupBy("column_name", "direction", "partner").agg(F.min("tier").alias("tier"))
-    return direct.unionByName(row(lineage.where(own & (F.col("target_key") == "NOT APPLICABLE")), "source_key", "target_key", "indirect"))
+    both = direct.unionByName(row(lineage.where(own & (F.col("target_key") == "NOT APPLICABLE")), "source_key", "target_key", "indirect"))
+    return both.join(F.broadcast(direct.agg(F.count("*").alias("total"))))
 
 
-def traverse_columns(lineage: DataFrame, key: str, direction: str = "downstream", max_depth: int = 20) -> DataFrame:
-    """(column_key, depth, path): columns by shortest distance, with the first path in order; predicates are skipped."""
+def traverse_columns(lineage: DataFrame, key: str, direction: str = "downstream", max_depth: int = 20, max_nodes: int = 2000) -> DataFrame:
+    """(column_key, depth, path): columns by shortest distance, with the first path in order; predicates are skipped. Once max_nodes columns are found
+    no further step is taken; the step that finds them is given whole. Each step is written once."""
     real = lineage.where("source_key <> 'NOT APPLICABLE' and target_key <> 'NOT APPLICABLE'").select("source_key", "target_key").distinct()
     step = real.select(F.col("source_key").alias("a"), F.col("target_key").alias("b")) if direction == "downstream" else real.select(F.col("target_key").alias("a"), F.col("source_key").alias("b"))
     seen = frontier = lineage.sparkSession.range(1).select(F.lit(key).alias("column_key"), F.lit(0).alias("depth"), F.array(F.lit(key)).alias("path"))
+    found = 0
     for depth in range(1, max_depth + 1):
         grown = frontier.join(step, F.col("column_key") == F.col("a")).select(F.col("b").alias("column_key"), F.array_append("path", F.col("b")).alias("path"))
-        frontier = grown.groupBy("column_key").agg(F.min("path").alias("path")).join(seen, "column_key", "left_anti").select("column_key", F.lit(depth).alias("depth"), "path")
+        frontier = cut(grown.groupBy("column_key").agg(F.min("path").alias("path")).join(seen, "column_key", "left_anti").select("column_key", F.lit(depth).alias("depth"), "path"))
         seen = seen.unionByName(frontier)
-        if depth % 3 == 0:
-            seen = cut(seen)
-            frontier = seen.where(F.col("depth") == depth)
-            if frontier.isEmpty():
-                break
+        new = frontier.count()
+        found += new
+        if not new or found >= max_nodes:
+            break
     return seen.where("depth > 0")
 
 
-def detect_cycles(edges: DataFrame, max_length: int = 4, trims: int = 3) -> DataFrame:
-    """(cycle, length): simple cycles up to max_length, each once, from its smallest node on. What can't be on a cycle is trimmed first."""
-    step = edges.select("src", "dst").distinct()
-    for _ in range(trims):
-        step = cut(step)
-        step = step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    step = cut(step)
+def detect_cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
+    """(cycle, length): simple cycles up to max_length, each once, from its smallest node on. They are looked for within strong components
+    only, so paths between them are never made; loops are cycles of length 1."""
+    own = strong_components(edges)
+    within = edges.select("src", "dst").distinct().join(own.toDF("src", "_s"), "src", "left").join(own.toDF("dst", "_d"), "dst", "left")
+    step = cut(within.where("_s = _d or src = dst").select("src", "dst"))
     hop = step.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
     now = step.select(F.col("src").alias("first"), F.col("dst").alias("last"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
     out = now.where("first = last").select(F.col("path").alias("cycle"))

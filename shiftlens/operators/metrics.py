@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions.exprs import leaf, parent_object, schema_of, share
 from shiftlens.operators.diff import consecutive_pairs, severity_rank
+from shiftlens.operators.rollups import is_rollup, sums
+
 
 def snapshot_metrics(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Per snapshot_id: schemas, tables (all that isn't a view), views, columns and their total without columns."""
@@ -35,7 +37,7 @@ def change_density(changes: DataFrame, metrics: DataFrame) -> DataFrame:
 def volatility_index(changes: DataFrame, snapshots: DataFrame, metrics: DataFrame) -> DataFrame:
     """Mean over neighbouring snapshots of changes per object of the later one; 0 with fewer than two snapshots."""
     pairs = consecutive_pairs(snapshots)
-    n = changes.groupBy("snapshot_from", "snapshot_to").agg(F.count("*").alias("n"))
+    n = sums(changes, "snapshot_from", "snapshot_to").select("snapshot_from", "snapshot_to", F.col("n_changes").alias("n"))
     both = pairs.join(n, ["snapshot_from", "snapshot_to"], "left").join(metrics.select(F.col("snapshot_id").alias("snapshot_to"), "total"), "snapshot_to", "left")
     return both.agg(F.round(F.coalesce(F.avg(F.coalesce("n", F.lit(0)) / F.greatest(F.coalesce("total", F.lit(0)), F.lit(1))), F.lit(0.0)), 6).alias("volatility"), F.count("*").alias("pairs"))
 
@@ -57,8 +59,10 @@ def criticality(nodes: DataFrame, usage: DataFrame | None, w_usage: float = 0.6,
     return out.withColumn("level", F.when(F.col("combined") >= high, "HIGH").when(F.col("combined") >= medium, "MEDIUM").otherwise("LOW"))
 
 
-def criticality_counts(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("level").agg(F.count("*").alias("n"))
+def criticality_counts(scores: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """(level, n, total): `total` is the number of scores, or the objects of a snapshot's one row of snapshot_metrics()."""
+    total = scores.agg(F.count("*").alias("total")) if metrics is None else metrics.select((F.col("tables") + F.col("views")).alias("total"))
+    return scores.groupBy("level").agg(F.count("*").alias("n")).join(F.broadcast(total))
 
 
 def top_scores(scores: DataFrame, n: int = 10) -> DataFrame:
@@ -73,10 +77,12 @@ def usage_summary(usage: DataFrame, n: int = 50, within: DataFrame | None = None
     return per.orderBy(F.desc("total_queries"), "object_name", "object_type").limit(n)
 
 
-def object_usage_profile(usage: DataFrame, name: str, scores: DataFrame | None = None) -> DataFrame:
-    """Sum of queries, most users and last access of one object: by full name, or by the leaf alone; case doesn't matter."""
+def object_usage_profile(usage: DataFrame, name: str, scores: DataFrame | None = None, schema: str | None = None) -> DataFrame:
+    """Sum of queries, most users and last access of one object: by full name, or by the leaf alone, in a schema if one is given; case doesn't matter."""
     low = F.lower("object_name")
     hit = (low == name.lower()) if "." in name else (F.lower(leaf("object_name")) == name.lower())
+    if schema is not None:
+        hit &= F.lower("schema_name") == schema.lower()
     out = usage.where(hit).agg(F.coalesce(F.sum("query_count"), F.lit(0)).alias("total_queries"), F.max("user_count").alias("max_users"), F.max("last_accessed").alias("last_accessed")).withColumn("object_name", F.lit(name))
     if scores is None:
         return out
@@ -103,10 +109,10 @@ def attach_usage(changes: DataFrame, usage: DataFrame) -> DataFrame:
     return keyed.withColumn("query_count", F.coalesce("q_f", "q_t", "q_s")).drop("_f", "_t", "_s", "q_f", "q_t", "q_s")
 
 
-def domain_risk(schemas: DataFrame, changes: DataFrame, impacts: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per schema: changes, breaking ones, impacts and HIGH objects; their weighted score and level."""
+def domain_risk(schemas: DataFrame, changes: DataFrame, impacts: DataFrame | None, scores: DataFrame) -> DataFrame:
+    """Per schema: changes, breaking ones, impacts and HIGH objects; their weighted score and level. A rollup with n_impacts stands for changes and impacts."""
     dom = lambda c: schema_of(c).alias("schema_name")
-    c = changes.join(impacts.select("change_id", (F.col("direct") + F.col("indirect")).alias("_i")), "change_id", "left").groupBy(dom("object_identifier")).agg(F.count("*").alias("changes"), F.count_if("is_breaking").alias("breaking"), F.coalesce(F.sum("_i"), F.lit(0)).alias("impacts"))
+    c = sums(changes, "schema_name", impacts=impacts).toDF("schema_name", "changes", "breaking", "impacts")
     h = scores.where("level = 'HIGH'").groupBy(dom("object_name")).agg(F.count("*").alias("high_objects"))
     both = schemas.select("schema_name").distinct().join(c, "schema_name", "left").join(h, "schema_name", "left").na.fill(0)
     both = both.join(F.broadcast(both.agg(F.greatest(F.sum("changes"), F.lit(1)).alias("_total"))))
@@ -118,7 +124,7 @@ def domain_risk(schemas: DataFrame, changes: DataFrame, impacts: DataFrame, scor
 
 def governance_scorecard(volatility: DataFrame, changes: DataFrame, scores: DataFrame) -> DataFrame:
     """One row: health = 1 less capped penalties for volatility, breaking changes and HIGH objects, with its level."""
-    one = volatility.select("volatility").join(F.broadcast(changes.agg(F.count_if("is_breaking").alias("breaking")))).join(F.broadcast(scores.agg(F.count_if(F.col("level") == "HIGH").alias("high_objects"))))
+    one = volatility.select("volatility").join(F.broadcast(sums(changes).select(F.coalesce("n_breaking", F.lit(0)).alias("breaking")))).join(F.broadcast(scores.agg(F.count_if(F.col("level") == "HIGH").alias("high_objects"))))
     health = F.greatest(F.lit(0.0), 1 - F.least(2 * F.col("volatility"), F.lit(0.3)) - F.least(0.1 * F.col("breaking"), F.lit(0.3)) - F.least(0.05 * F.col("high_objects"), F.lit(0.2)))
     one = one.withColumn("health", F.round(health, 4))
     return one.withColumn("status", F.when(F.col("health") >= 0.7, "HEALTHY").when(F.col("health") >= 0.4, "AT_RISK").otherwise("CRITICAL"))
@@ -183,6 +189,11 @@ def schema_risk_rollup(scores: DataFrame) -> DataFrame:
     return per.orderBy(F.desc("high"), F.desc("avg_score"), "schema_name")
 
 
+def schema_drill(scores: DataFrame, schema: str, n: int = 100) -> DataFrame:
+    """A schema's objects, the riskiest first."""
+    return scores.where(F.startswith(F.upper("object_name"), F.lit(f"{schema.upper()}."))).orderBy(F.desc("combined"), "object_name").limit(n)
+
+
 def snapshot_detail(**children: DataFrame) -> DataFrame:
     """Rows per snapshot_id of each child table, in one column each."""
     out = None
@@ -262,6 +273,8 @@ def volatility_trend(changes: DataFrame, tables: DataFrame, snapshots: DataFrame
 
 def objects_changed(changes: DataFrame) -> DataFrame:
     """Distinct objects with changes per schema and snapshot_to; columns count as their table."""
+    if is_rollup(changes):
+        return changes.groupBy("schema_name", "snapshot_to").agg(F.count_distinct("object_name").alias("n_objects"))
     return changes.groupBy(schema_of("object_identifier").alias("schema_name"), "snapshot_to").agg(F.count_distinct(parent_object("object_identifier", "object_type")).alias("n_objects"))
 
 

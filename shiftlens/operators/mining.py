@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.functions.exprs import parent_object, schema_of
+from shiftlens.functions.exprs import parent_object
 from shiftlens.operators.diff import BREAKING
+from shiftlens.operators.rollups import sums
 
 # Keywords, label and confidence of personal data, the first group that fits a column's name.
 PII = [
@@ -24,8 +25,8 @@ PII = [
 def change_anomalies(changes: DataFrame, snapshots: DataFrame, z: float = 2.0, min_baseline: int = 3) -> DataFrame:
     """(schema_name, snapshot_to, n, z, severity): counts far from the schema's other snapshots. The mean and population deviation
     leave the snapshot itself out, by sums of n and n²; whether the others are all alike is told in whole numbers."""
-    dom = schema_of("object_identifier")
-    counted = changes.groupBy(F.when(dom == "", "(unknown)").otherwise(dom).alias("schema_name"), "snapshot_to").agg(F.count("*").alias("n"))
+    dom = F.col("schema_name")
+    counted = sums(changes, "schema_name", "snapshot_to").select(F.when(dom == "", "(unknown)").otherwise(dom).alias("schema_name"), "snapshot_to", F.col("n_changes").alias("n"))
     grid = counted.select("schema_name").distinct().crossJoin(F.broadcast(snapshots.select(F.col("snapshot_id").alias("snapshot_to")).distinct()))
     cells = grid.join(counted, ["schema_name", "snapshot_to"], "left").na.fill(0, ["n"])
     by = Window.partitionBy("schema_name")
@@ -54,9 +55,17 @@ def cochange_rules(changes: DataFrame, min_support: int = 2, min_lift: float = 1
     return out.where(F.col("lift") >= min_lift).orderBy(F.desc("lift"), F.desc("confidence"), "antecedent", "consequent").limit(top_n)
 
 
-def pii_classify(columns: DataFrame, force: bool = False) -> DataFrame:
+def pii_classify(columns: DataFrame, force: bool = False, budget: int | None = None, key: tuple[str, ...] = ("schema_name", "table_name", "column_name")) -> DataFrame:
     """columns(column_name[, pii_label]) with pii_label and pii_confidence by the first keyword group in the name; those that have
-    a label keep it unless forced."""
+    a label keep it unless forced. With a budget only so many columns are classified, the first ones by `key`, which tells them apart; the
+    others that have no label stay without one, for the next run."""
+    if budget is not None:
+        named = columns if "pii_label" in columns.columns else columns.withColumns({"pii_label": F.lit(None).cast("string"), "pii_confidence": F.lit(None).cast("double")})
+        todo = F.lit(True) if force else F.col("pii_label").isNull()
+        chosen = named.where(todo).select(*key).orderBy(*key).limit(budget).withColumn("_chosen", F.lit(True))
+        both = named.join(chosen, list(key), "left")
+        done = pii_classify(both.where("_chosen"), force)
+        return done.unionByName(both.where("_chosen is null")).drop("_chosen")
     upper = F.upper("column_name")
     label, sure = F, F
     for words, name, confidence in PII:

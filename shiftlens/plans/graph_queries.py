@@ -34,6 +34,17 @@ def gra1_build_graph(d):
     return nodes.select(F.lit("node").alias("kind"), F.col("object_name").alias("a"), F.col("object_type").alias("b")).unionByName(edges.select(F.col("relationship_type").alias("kind"), F.col("src_name").alias("a"), F.col("dst_name").alias("b")))
 
 
+@query(
+    _CATALOG
+    + """ SELECT * FROM (SELECT DISTINCT 'DEPENDS_ON' AS kind, upper(schema_name || '.' || table_name) AS a, upper(schema_name) AS b FROM t UNION ALL SELECT DISTINCT 'FEEDS', upper(referenced), upper(holder) FROM fk) WHERE NOT (kind = 'DEPENDS_ON' AND a LIKE '%3')"""
+)
+def gra1_existing_edges(d):
+    """The edges that a graph doesn't have yet, when some are stored in lower case."""
+    stored = graph.build_graph(*_catalog(d))[1].where("relationship_type = 'DEPENDS_ON' and src_name like '%3'").withColumn("src_name", F.lower("src_name"))
+    edges = graph.build_graph(*_catalog(d), existing_edges=stored)[1]
+    return edges.select(F.col("relationship_type").alias("kind"), F.col("src_name").alias("a"), F.col("dst_name").alias("b"))
+
+
 @query(_CATALOG + "SELECT * FROM fk")
 def jn11_fk_name_match(d):
     tables, columns = _catalog(d)
@@ -168,15 +179,22 @@ def gra7_capped_subgraph(d):
     return near.join(F.broadcast(capped))
 
 
-@query(
-    """SELECT split_part(source_key, '|', 2) AS column_name, 'downstream' AS direction, target_key AS partner, min(tier) AS tier FROM lineage WHERE source_key LIKE 'P7.A|%' AND target_key <> 'NOT APPLICABLE' GROUP BY 1, 2, 3
-UNION ALL SELECT split_part(target_key, '|', 2), 'upstream', source_key, min(tier) FROM lineage WHERE target_key LIKE 'P7.A|%' GROUP BY 1, 2, 3
-UNION ALL SELECT split_part(source_key, '|', 2), 'indirect', target_key, tier FROM lineage WHERE source_key LIKE 'P7.A|%' AND target_key = 'NOT APPLICABLE'"""
-)
+_OWN = "SELECT *, row_number() OVER (ORDER BY source_key, target_key, tier) AS r FROM lineage WHERE source_key LIKE 'P7.A|%' OR target_key LIKE 'P7.A|%'"
+_COLUMN_LINEAGE = f"""WITH l AS (SELECT * FROM ({_OWN}) WHERE r <= 5000), d AS (SELECT split_part(source_key, '|', 2) AS column_name, 'downstream' AS direction, target_key AS partner, min(tier) AS tier FROM l WHERE source_key LIKE 'P7.A|%' AND target_key <> 'NOT APPLICABLE' GROUP BY 1, 2, 3
+UNION ALL SELECT split_part(target_key, '|', 2), 'upstream', source_key, min(tier) FROM l WHERE target_key LIKE 'P7.A|%' GROUP BY 1, 2, 3)
+SELECT *, (SELECT count(*) FROM d) AS total FROM (FROM d UNION ALL SELECT split_part(source_key, '|', 2), 'indirect', target_key, tier FROM l WHERE source_key LIKE 'P7.A|%' AND target_key = 'NOT APPLICABLE')"""
+
+
+@query(_COLUMN_LINEAGE)
 def gra9_column_lineage(d):
     return graph.column_lineage(d.lineage, "p7.a")
 
 
+@query(_COLUMN_LINEAGE.replace("r <= 5000", "r <= 40"), name="gra9_first_rows")
+def _gra9_first(d):
+    return graph.column_lineage(d.lineage, "p7.a", most=40)
+
+
 _CHAIN = "SELECT 'N' || (l_partkey % 90) AS source_key, CASE WHEN l_suppkey % 9 = 0 THEN 'NOT APPLICABLE' ELSE 'N' || (l_partkey % 90 + l_linenumber) END AS target_key FROM lineitem"
 
 
@@ -189,6 +207,29 @@ def gra10_traverse_columns(d):
     return graph.traverse_columns(edges, "N4", max_depth=5).withColumn("path", F.array_join("path", ">"))
 
 
+@query(
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_CHAIN}) WHERE target_key <> 'NOT APPLICABLE'), t(k, depth, path) AS (SELECT 'N4', 0, ['N4'] UNION ALL SELECT target_key, depth + 1, list_append(path, target_key) FROM t JOIN e ON source_key = k WHERE depth < 5),
+f AS (SELECT k, depth, min(path) AS path FROM t JOIN (SELECT k, min(depth) AS depth FROM t GROUP BY 1) USING (k, depth) WHERE depth > 0 GROUP BY 1, 2), n AS (SELECT depth, (SELECT count(*) FROM f g WHERE g.depth < d.depth) AS before FROM (SELECT DISTINCT depth FROM f) d)
+SELECT k AS column_key, depth, array_to_string(path, '>') AS path FROM f JOIN n USING (depth) WHERE before < 10"""
+)
+def gra10_capped(d):
+    """Steps are taken until ten columns are found."""
+    edges = d.lineitem.select(F.expr("'N' || (l_partkey % 90)").alias("source_key"), F.expr("CASE WHEN l_suppkey % 9 = 0 THEN 'NOT APPLICABLE' ELSE 'N' || (l_partkey % 90 + l_linenumber) END").alias("target_key"))
+    return graph.traverse_columns(edges, "N4", max_depth=5, max_nodes=10).withColumn("path", F.array_join("path", ">"))
+
+
+_DEEP = "SELECT p_partkey AS src, CASE WHEN p_partkey % 10 < 7 THEN p_partkey - p_partkey % 10 + (p_partkey % 10 + 1) % 7 ELSE p_partkey + 1 END AS dst FROM part UNION ALL SELECT p_partkey, p_partkey + 10 FROM part WHERE p_partkey % 30 = 5 UNION ALL SELECT p_partkey, p_partkey - 10 FROM part WHERE p_partkey % 60 = 12"
+
+
+@query(
+    f"""WITH RECURSIVE e AS ({_DEEP}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b)
+SELECT a AS node, greatest(a, max(b)) AS component FROM m GROUP BY a"""
+)
+def gra11_strong_components(d):
+    """Rings of seven, chains that hang on them, and bridges of which some join two rings into one component."""
+    return graph.strong_components(d.spark.sql(_DEEP.replace("FROM part", "FROM {part}"), part=d.part))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edge), c(first, last, path) AS (SELECT src, dst, CASE WHEN src = dst THEN [src] ELSE [src, dst] END FROM e
 UNION ALL SELECT first, dst, CASE WHEN dst = first THEN path ELSE list_append(path, dst) END FROM c JOIN e ON src = last WHERE last > first AND dst >= first AND len(path) <= 4 AND (dst = first OR (NOT list_contains(path, dst) AND len(path) < 4)))

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.functions import exprs
-from shiftlens.operators import org, quality
+from shiftlens.operators import contract, entities, org, quality
 from shiftlens.plans import ingest
 from shiftlens.plans.registry import query
 from shiftlens.sources import readers, writers
-from shiftlens.sources.shared import shared_folder
+from shiftlens.sources.shared import cut, shared_folder
 from shiftlens.streaming import jobs
 
 
@@ -333,6 +333,56 @@ def ing5_resolve_entities(d):
     return _entities(d)
 
 
+_ENTITY_TABLES = "t AS (SELECT DISTINCT snapshot_id, upper(object_type) AS entity_type, schema_name || '.' || table_name AS object_name FROM tabs WHERE snapshot_id IN (1, 2, 3) AND NOT (snapshot_id > 1 AND table_name LIKE 'T1%'))"
+
+
+def _merged(d):
+    """Entities after three snapshots, the last of them a baseline, and those before it. The second snapshot is met twice."""
+    known = d.spark.createDataFrame([], entities.ENTITY)
+    tables = d.tabs.where("not (snapshot_id > 1 and table_name like 'T1%')")
+    before = known
+    for k in (1, 2, 2, 3):
+        before, known = known, cut(entities.merge_entities(known, tables.where(F.col("snapshot_id") == k), k, is_baseline=k == 3))
+    return known, before
+
+
+@query(
+    f"""WITH {_ENTITY_TABLES} SELECT entity_type, object_name, min(snapshot_id) AS first_seen, max(snapshot_id) AS last_seen, object_name IN (SELECT object_name FROM t WHERE snapshot_id = 3) AS is_active,
+min(snapshot_id) < 3 AS kept_id, (SELECT count(DISTINCT (entity_type, object_name)) FROM t) AS ids FROM t GROUP BY 1, 2"""
+)
+def ing5_entity_ids(d):
+    """Ids stay what they were, and number the entities without a gap."""
+    now, before = _merged(d)
+    same = now.join(before.select("entity_type", "object_name", F.col("entity_id").alias("_before")), ["entity_type", "object_name"], "left")
+    ids = now.agg(F.when((F.count_distinct("entity_id") == F.max("entity_id")) & (F.min("entity_id") == 1), F.count("*")).alias("ids"))
+    return same.select("entity_type", "object_name", "first_seen", "last_seen", "is_active", F.coalesce(F.col("_before") == F.col("entity_id"), F.lit(False)).alias("kept_id")).join(F.broadcast(ids))
+
+
+_CHILDREN = """c AS (SELECT 'tables' AS child, upper(object_type) AS k, schema_name || '.' || table_name AS name FROM tabs WHERE snapshot_id = 3 UNION ALL SELECT 'nodes', upper(object_type), schema_name || '.' || split_part(object_name, '.', 2) FROM node
+UNION ALL SELECT 'usage', upper(object_type), object_name FROM usage UNION ALL SELECT 'changes', upper(object_type), object_identifier FROM chg UNION ALL SELECT 'criticality', NULL, object_name FROM node)"""
+_ENTITY_NODES = """e AS (SELECT DISTINCT upper(object_type) AS k, object_name AS name FROM node UNION SELECT DISTINCT upper(object_type), schema_name || '.' || table_name FROM tabs WHERE snapshot_id = 3)"""
+
+
+@query(
+    f"""WITH {_CHILDREN}, {_ENTITY_NODES} SELECT child, count(*) AS n, count(*) FILTER (WHERE CASE WHEN c.k IS NULL THEN c.name IN (SELECT name FROM e) ELSE (c.k, c.name) IN (SELECT (k, name) FROM e) END) AS filled FROM c GROUP BY 1"""
+)
+def ing5_back_fill(d):
+    """Ids on the five tables that name entities, filled in twice; each must be that of the entity of its own name."""
+    tables = d.tabs.where("snapshot_id = 3")
+    own = tables.select("schema_name", "table_name", "object_type").unionByName(d.node.select("schema_name", F.substring_index("object_name", ".", -1).alias("table_name"), "object_type"))
+    known = cut(entities.merge_entities(d.spark.createDataFrame([], entities.ENTITY), own, 1))
+    nodes = d.node.withColumn("object_name", F.substring_index("object_name", ".", -1))
+    children = {"tables": tables, "nodes": nodes, "usage": d.usage, "changes": d.chg, "criticality": d.node.select("object_name")}
+    filled = entities.back_fill_all(known, **entities.back_fill_all(known, **children))
+    names = {"tables": "concat_ws('.', schema_name, table_name)", "nodes": "concat_ws('.', schema_name, object_name)", "changes": "object_identifier"}
+    out = None
+    for child, df in filled.items():
+        told = df.select("entity_id", F.expr(names.get(child, "object_name")).alias("_name")).join(known.select("entity_id", F.col("object_name").alias("_own")), "entity_id", "left")
+        one = told.agg(F.count("*").alias("n"), F.count_if(F.col("_name") == F.col("_own")).alias("filled")).select(F.lit(child).alias("child"), "n", "filled")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH {_ENT} SELECT object_name, entity_type, count(*) OVER () AS total FROM ents WHERE source_system = 'A' AND split_part(object_name, '.', 1) = 'BRAND#12' AND is_active ORDER BY object_name, entity_type LIMIT 10 OFFSET 5")
 def flt6_list_entities(d):
     return org.list_entities(_entities(d).where("source_system = 'A'"), "brand#12", active_only=True, offset=5, limit=10).select("object_name", "entity_type", "total")
@@ -477,6 +527,36 @@ def val7_lineage_contract(d):
     return named.unionByName(ends)
 
 
+_DOCS = "SELECT step_key || ' ' || split_part(source_key, '|', 1) AS document, length(split_part(source_key, '|', 1)) % 2 = 0 AS listed, step_key LIKE 'step1_' AS wrong, * FROM lineage WHERE tier = 'TIER1'"
+
+
+@query(
+    f"""WITH r AS ({_DOCS}), d AS (SELECT DISTINCT document, listed, wrong FROM r), f AS (
+SELECT document, 'WARN' AS level, 'missing collection' AS finding FROM d, (SELECT unnest(range(6))) UNION ALL SELECT document, 'WARN', 'missing collection' FROM d WHERE NOT listed UNION ALL SELECT document, 'FAIL', 'invalid collection' FROM d WHERE wrong
+UNION ALL SELECT document, 'FAIL', 'missing required field' FROM r WHERE transformation_type = 'R'
+UNION ALL SELECT document, 'FAIL', 'undeclared step' FROM r WHERE expression = 'O' UNION ALL SELECT document, 'WARN', 'attribute sentinel' FROM r WHERE listed AND target_key = 'NOT APPLICABLE'
+UNION ALL SELECT document, 'FAIL', 'undeclared attribute' FROM r WHERE listed AND target_key <> 'NOT APPLICABLE')
+SELECT document, level, finding, count(*) AS n FROM f GROUP BY 1, 2, 3"""
+)
+def val7_documents(d):
+    """Documents of a step and a table's sources: some list no attributes, some have a name in place of their datasets, records lack fields and name steps
+    that are not declared."""
+    edge = """named_struct('sourceAttributeNaturalKey', source_key, 'sourceDatasetNaturalKey', substring_index(source_key, '|', 1), 'targetAttributeNaturalKey', target_key,
+    'targetDatasetNaturalKey', if(transformation_type = 'R', null, 't'), 'stepNaturalKey', if(expression = 'O', 'ghost', step_key))"""
+    rows = d.lineage.where("tier = 'TIER1'").withColumn("table", F.substring_index("source_key", "|", 1))
+    docs = rows.groupBy("step_key", "table").agg(
+        F.expr(f"collect_list({edge})").alias("tier1QueryBlockAttributeLineage"), F.expr("array(named_struct('stepNaturalKey', first(step_key)))").alias("steps"),
+        F.expr("if(length(table) % 2 = 0, collect_set(named_struct('attributeNaturalKey', source_key)), null)").alias("attributes"),
+    )
+    wrong = F.when(F.col("step_key").like("step1_"), F.lit('"none"')).otherwise(F.lit("[]"))
+    text = F.to_json(F.struct("tier1QueryBlockAttributeLineage", "steps", "attributes"))
+    text = F.concat(F.lit('{"datasets": '), wrong, F.lit(", "), F.substring(text, 2, 1 << 30))
+    path = f"{_folder(d.spark)}/documents"
+    docs.select(F.concat_ws(" ", "step_key", "table").alias("document"), text.alias("value")).repartition("document").write.partitionBy("document").text(path)
+    found = contract.document_findings(contract.documents(d.spark, path))
+    return found.groupBy(F.url_decode(F.regexp_extract("path", "document=([^/]*)/", 1)).alias("document"), "level", "finding").agg(F.count("*").alias("n"))
+
+
 @query("SELECT 'FAIL' AS status, count(*) AS findings FROM (SELECT ds FROM (" + _DATA.replace("{part}", "part") + ") GROUP BY ds HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'PASS', 0 WHERE NOT EXISTS (SELECT 1 FROM (" + _DATA.replace("{part}", "part") + ") GROUP BY ds HAVING count(*) > 1)")
 def val7_contract_status(d):
     _, datasets, attributes, edges = _payload(d)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions import exprs
-from shiftlens.operators import diff, graph, metrics, mining
+from shiftlens.operators import diff, graph, metrics, mining, rollups
 from shiftlens.plans import ingest
 from shiftlens.plans.graph_queries import SUMMARIES as _SUMMARIES
-from shiftlens.plans.registry import query
+from shiftlens.plans.registry import SQL, query
+from shiftlens.sources import writers
+from shiftlens.sources.shared import shared_folder
 
 _SM = """sm AS (SELECT snapshot_id, schemas, tables, views, coalesce(columns, 0) AS columns, schemas + tables + views AS total FROM (SELECT snapshot_id, count(DISTINCT schema_name) AS schemas, count(*) FILTER (WHERE object_type <> 'VIEW') AS tables, count(*) FILTER (WHERE object_type = 'VIEW') AS views FROM tabs GROUP BY 1)
 LEFT JOIN (SELECT snapshot_id, count(*) AS columns FROM cols GROUP BY 1) USING (snapshot_id))"""
@@ -61,11 +65,17 @@ def agg6_criticality(d):
     return _scores(d).select("node_id", "graph_score", "usage_score", "combined", "level")
 
 
-@query(f"WITH {_CR} SELECT level, count(*) AS n FROM cr GROUP BY 1")
+@query(f"WITH {_CR} SELECT level, count(*) AS n, (SELECT count(*) FROM cr) AS total FROM cr GROUP BY 1")
 def agg7_criticality_counts(d):
     return metrics.criticality_counts(_scores(d))
 
 
+@query(f"WITH {_CR} SELECT level, count(*) AS n, (SELECT count(*) FROM tabs WHERE snapshot_id = 3) AS total FROM cr GROUP BY 1")
+def agg7_counts_of_snapshot(d):
+    """Levels next to the number of objects that the snapshot's metrics give."""
+    return metrics.criticality_counts(_scores(d), metrics.snapshot_metrics(d.tabs.where("snapshot_id = 3"), d.cols.where("snapshot_id = 3")))
+
+
 @query(f"WITH {_CR} SELECT object_name, combined FROM cr ORDER BY combined DESC, object_name LIMIT 10")
 def srt1_top_scores(d):
     return metrics.top_scores(_scores(d)).select("object_name", "combined")
@@ -81,6 +91,11 @@ def agg9_object_usage_profile(d):
     return metrics.object_usage_profile(d.usage, "s3.t3", _scores(d))
 
 
+@query("SELECT 'T3' AS object_name, CAST(sum(query_count) AS BIGINT) AS total_queries, max(user_count) AS max_users, max(last_accessed) AS last_accessed FROM usage WHERE lower(split_part(object_name, '.', 2)) = 't3' AND schema_name = 'S3'")
+def agg9_leaf_in_schema(d):
+    return metrics.object_usage_profile(d.usage, "T3", schema="s3")
+
+
 _IMPACTS = """im AS (SELECT change_id, change_id % 5 AS direct, change_id % 3 AS indirect, change_id % 4 AS max_depth, round(change_id % 7 / 4, 4) AS score FROM chg)"""
 
 
@@ -174,6 +189,11 @@ def agg16_schema_risk_rollup(d):
     return metrics.schema_risk_rollup(_scores(d))
 
 
+@query(f"WITH {_CR} SELECT object_name, combined, level FROM cr WHERE schema_name = 'S3' ORDER BY combined DESC, object_name LIMIT 100")
+def agg16_schema_drill(d):
+    return metrics.schema_drill(_scores(d), "s3").select("object_name", "combined", "level")
+
+
 @query("SELECT snapshot_id, (SELECT count(*) FROM tabs t WHERE t.snapshot_id = s.snapshot_id) AS tables, (SELECT count(*) FROM cols c WHERE c.snapshot_id = s.snapshot_id) AS columns, (SELECT count(*) FROM chg c WHERE c.snapshot_to = s.snapshot_id) AS changes FROM snap s UNION ALL SELECT snapshot_to, 0, 0, count(*) FROM chg WHERE snapshot_to NOT IN (SELECT snapshot_id FROM snap) GROUP BY 1")
 def agg18_snapshot_detail(d):
     return metrics.snapshot_detail(tables=d.tabs, columns=d.cols, changes=d.chg.withColumnRenamed("snapshot_to", "snapshot_id"))
@@ -307,17 +327,25 @@ def min1_change_anomalies(d):
 _RULES = "SELECT change_id, change_id // 20 - 1 AS snapshot_from, change_id // 20 AS snapshot_to, object_type, object_identifier FROM chg"
 
 
-@query(
-    f"""WITH r AS ({_RULES}), p AS (SELECT snapshot_from, snapshot_to FROM r GROUP BY 1, 2 HAVING count(*) <= 500 ORDER BY snapshot_to DESC LIMIT 20), i AS (SELECT DISTINCT snapshot_to, CASE WHEN object_type = 'COLUMN' THEN split_part(object_identifier, '.', 1) || '.' || split_part(object_identifier, '.', 2) ELSE object_identifier END AS item FROM r SEMI JOIN p USING (snapshot_from, snapshot_to)),
+_COCHANGE = f"""WITH r AS ({_RULES}), p AS (SELECT snapshot_from, snapshot_to FROM r GROUP BY 1, 2 HAVING count(*) <= 500 ORDER BY snapshot_to DESC LIMIT 20), i AS (SELECT DISTINCT snapshot_to, CASE WHEN object_type = 'COLUMN' THEN split_part(object_identifier, '.', 1) || '.' || split_part(object_identifier, '.', 2) ELSE object_identifier END AS item FROM r SEMI JOIN p USING (snapshot_from, snapshot_to)),
 b AS (SELECT snapshot_to FROM i GROUP BY 1 HAVING count(*) >= 2), j AS (SELECT * FROM i SEMI JOIN b USING (snapshot_to)), n AS (SELECT item, count(*) AS n FROM j GROUP BY 1), q AS (SELECT x.item AS a, y.item AS b, count(*) AS support FROM j x JOIN j y ON x.snapshot_to = y.snapshot_to AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 2),
 s AS (SELECT CASE WHEN na.n <= nb.n THEN a ELSE b END AS antecedent, CASE WHEN na.n <= nb.n THEN b ELSE a END AS consequent, support, round(support / least(na.n, nb.n), 4) AS confidence, round(support * (SELECT count(*) FROM b) / (na.n * nb.n), 4) AS lift FROM q JOIN n na ON na.item = a JOIN n nb ON nb.item = b)
 SELECT * FROM s WHERE lift >= 1.5 ORDER BY lift DESC, confidence DESC, antecedent, consequent LIMIT 50"""
-)
+
+
+@query(_COCHANGE)
 def min2_cochange_rules(d):
     pair = F.expr("change_id div 20")
     return mining.cochange_rules(d.chg.withColumns({"snapshot_from": pair - 1, "snapshot_to": pair}))
 
 
+@query(_COCHANGE.replace("// 20", "// 480"))
+def min2_large_baskets(d):
+    """Baskets of 480 changes, just below the rule's greatest."""
+    pair = F.expr("change_id div 480")
+    return mining.cochange_rules(d.chg.withColumns({"snapshot_from": pair - 1, "snapshot_to": pair}))
+
+
 _NAMES = "SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'email_addr' WHEN 1 THEN 'ssn' WHEN 2 THEN 'birth_dt' WHEN 3 THEN 'phone_no' WHEN 4 THEN 'zip_code' WHEN 5 THEN 'cust_name' WHEN 6 THEN 'iban' WHEN 7 THEN 'user_id' ELSE replace(p_name, ' ', '_') END || '_' || p_size AS column_name FROM {part}"
 
 
@@ -329,6 +357,14 @@ def min4_pii_classify(d):
     return mining.pii_classify(d.spark.sql(_NAMES, part=d.part)).drop("column_name")
 
 
+@query("WITH c AS (" + _NAMES.replace("{part}", "part") + ") SELECT id, CASE WHEN id % 2 = 0 THEN 'KEPT' WHEN r <= 25 THEN CASE WHEN id % 11 = 1 THEN 'SSN' ELSE 'other' END END AS pii_label FROM (SELECT *, row_number() OVER (PARTITION BY id % 2 ORDER BY id) AS r FROM c)")
+def min4_budget(d):
+    """Labels on all even columns, and a budget for 25 of the others."""
+    named = d.spark.sql(_NAMES, part=d.part).withColumns({"pii_label": F.expr("if(id % 2 = 0, 'KEPT', null)"), "pii_confidence": F.expr("if(id % 2 = 0, 1.0D, null)")})
+    done = mining.pii_classify(named, budget=25, key=("id",))
+    return done.select("id", F.expr("if(pii_label in ('KEPT', 'SSN') or pii_label is null, pii_label, 'other')").alias("pii_label"))
+
+
 @query("SELECT change_type, change_id % 5 AS n_impacts, CASE WHEN is_breaking AND change_id % 5 > 2 THEN 'HIGH' WHEN is_breaking THEN 'MEDIUM' ELSE 'LOW' END AS risk, count(*) AS n FROM chg GROUP BY ALL")
 def min5_change_risk(d):
     return mining.change_risk(d.chg.withColumn("n_impacts", F.col("change_id") % 5)).groupBy("change_type", "n_impacts", "risk").agg(F.count("*").alias("n"))
@@ -355,3 +391,38 @@ def srt3_severity_order(d):
 def srt4_per_group_cap(d):
     by = Window.partitionBy("change_type").orderBy(F.desc("detected_at"), F.desc("change_id"))
     return d.chg.withColumn("_r", F.row_number().over(by)).where("_r <= 5").select("change_type", "change_id")
+
+
+@query("SELECT CAST(snapshot_from AS BIGINT) AS snapshot_from, CAST(snapshot_to AS BIGINT) AS snapshot_to, split_part(object_identifier, '.', 1) AS schema_name, CASE WHEN object_type = 'COLUMN' THEN split_part(object_identifier, '.', 1) || '.' || split_part(object_identifier, '.', 2) ELSE object_identifier END AS object_name, count(*) AS n_changes, count(*) FILTER (WHERE is_breaking) AS n_breaking FROM chg GROUP BY 1, 2, 3, 4")
+def snk2_change_rollup(d):
+    """The rollup that two appends leave, the second of which finds some pairs stored."""
+    return _rollup(d).select(F.col("snapshot_from").cast("long").alias("snapshot_from"), F.col("snapshot_to").cast("long").alias("snapshot_to"), "schema_name", "object_name", "n_changes", "n_breaking")
+
+
+def _rollup(d):
+    root = f"{shared_folder(d.spark)}/files-{uuid.uuid4().hex}"
+    writers.append_changes(d.chg.where("snapshot_to < 6"), root)
+    writers.append_changes(d.chg, root)
+    return d.spark.read.parquet(f"{root}/change_rollup")
+
+
+@query(SQL["win1_volatility_trend"])
+def win1_from_rollup(d):
+    tables = d.node.select((F.col("node_id") % 9 + 1).alias("snapshot_id"), "schema_name")
+    return metrics.volatility_trend(_rollup(d), tables, d.months, 3, 6)
+
+
+@query(SQL["min1_change_anomalies"])
+def min1_from_rollup(d):
+    return mining.change_anomalies(_rollup(d), d.months, 1.5)
+
+
+@query(SQL["agg11_governance_scorecard"])
+def agg11_from_rollup(d):
+    rolled = _rollup(d)
+    return metrics.governance_scorecard(metrics.volatility_index(rolled, d.snap, _metrics(d)), rolled, _scores(d))
+
+
+@query(SQL["agg10_domain_risk"])
+def agg10_from_rollup(d):
+    return metrics.domain_risk(d.node, rollups.change_rollup(d.chg, _impacts(d)), None, _scores(d))

@@ -10,6 +10,8 @@ from shiftlens.plans.fixtures import Domain, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: As given, for queries that must say the same.
+SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -19,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
         QUERIES[key] = lambda spark, sf_dir: fn(Domain(spark, sf_dir))
         if sql is not None:
-            ORACLES[key] = with_fixtures(sql)
+            SQL[key], ORACLES[key] = sql, with_fixtures(sql)
         return fn
 
     return add

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftlens.operators.rollups import change_rollup
 from shiftlens.sources.shared import cut
 
 LEDGER = "run_ledger"
@@ -105,9 +106,18 @@ def append_changes(df: DataFrame, root: str) -> bool:
         stored = spark.createDataFrame(sorted(before), "snapshot_from long, snapshot_to long")
         df = df.join(stored, ["snapshot_from", "snapshot_to"], "left_anti").select(df.columns)
     _write_pairs(df, path)
+    roll_up(spark, root)
     return len(partitions(spark, path, "snapshot_from", "snapshot_to")) > len(before)
 
 
+def roll_up(spark: SparkSession, root: str) -> None:
+    """Keep the table change_rollup up to date: the stored changes of pairs that it lacks are summed by object, those of others are not read."""
+    missing = partitions(spark, f"{root}/change_event", "snapshot_from", "snapshot_to") - partitions(spark, f"{root}/change_rollup", "snapshot_from", "snapshot_to")
+    if missing:
+        paths = [f"{root}/change_event/snapshot_from={a}/snapshot_to={b}" for a, b in sorted(missing)]
+        _write_pairs(change_rollup(spark.read.option("basePath", f"{root}/change_event").parquet(*paths)), f"{root}/change_rollup")
+
+
 def changes_between(spark: SparkSession, root: str, snapshot_from: int, snapshot_to: int, make: Callable[[], DataFrame]) -> DataFrame:
     """The stored changes of a pair. make() gives them where there are none yet, and isn't called otherwise; a pair without changes stores nothing."""
     path, own = f"{root}/change_event", (F.col("snapshot_from") == snapshot_from) & (F.col("snapshot_to") == snapshot_to)
@@ -115,6 +125,7 @@ def changes_between(spark: SparkSession, root: str, snapshot_from: int, snapshot
     if not here:
         made = make().where(own)
         _write_pairs(made, path)
+        roll_up(spark, root)
         if (snapshot_from, snapshot_to) not in partitions(spark, path, "snapshot_from", "snapshot_to"):
             return spark.createDataFrame([], made.schema)
     return spark.read.parquet(path).where(own)
