@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from shiftlens.sources.shared import Steps, stored
 
 
+#: How many hops a round takes before it is stored.
+_HOPS = 3
+
+
 def _trimmed(step: Steps, edges: DataFrame) -> DataFrame:
     """edges(src, dst) without those that no cycle holds because they hang at its end: again and again edges go whose source none enters or whose target none
     leaves, until none goes."""
     n = edges.count()
     while n:
-        entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = step.stored(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi"))
+        for _ in range(_HOPS):
+            entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+            edges = edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi")
+        edges = step.stored(edges)
         before, n = n, edges.count()
         if n == before:
             break
@@ -25,12 +31,28 @@ def _coloured(step: Steps, edges: DataFrame) -> DataFrame:
     """(node, colour): the greatest node from which each one is reached, itself included."""
     colour = step.stored(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
     while True:
-        greatest = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("met"))
-        both = colour.join(greatest, "node", "left").withColumn("next", F.greatest("colour", F.coalesce("met", "colour")))
-        both = step.stored(both.select("node", F.col("next").alias("colour"), (F.col("next") > F.col("colour")).alias("changed")))
-        colour = both.drop("changed")
-        if both.where("changed").isEmpty():
-            return colour
+        now = colour.withColumn("was", F.col("colour"))
+        for _ in range(_HOPS):
+            met = edges.join(now.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("met"))
+            now = now.join(met, "node", "left").select("node", F.greatest("colour", F.coalesce("met", "colour")).alias("colour"), "was")
+        now = step.stored(now)
+        if now.where("colour > was").isEmpty():
+            return now.drop("was")
+        colour = now.drop("was")
+
+
+def _reaching(step: Steps, edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """(node, colour) of the nodes from which the node that names their colour is reached along edges(src, dst)."""
+    state = colour.withColumn("there", F.col("node") == F.col("colour"))
+    while True:
+        now = state.withColumn("was", F.col("there"))
+        for _ in range(_HOPS):
+            back = edges.join(now.where("there").select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().withColumn("met", F.lit(True))
+            now = now.join(back, "node", "left").select("node", "colour", (F.col("there") | F.coalesce("met", F.lit(False))).alias("there"), "was")
+        now = step.stored(now)
+        state = now.drop("was")
+        if now.where("there and not was").isEmpty():
+            return state.where("there").drop("there")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -45,15 +67,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
             if left.isEmpty():
                 break
             colour = _coloured(step, left)
-            inside = left.join(colour.toDF("src", "colour"), "src").join(colour.toDF("dst", "other"), "dst").where("colour = other").select("src", "dst", "colour")
+            inside = left.join(colour.toDF("src", "colour"), "src").join(colour.toDF("dst", "other"), "dst").where("colour = other").select("src", "dst")
             inside = step.stored(inside)
-            reached = now = step.stored(colour.where("node = colour"))
-            while True:
-                back = inside.join(now.withColumnRenamed("node", "dst"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-                now = step.stored(back.join(reached, ["node", "colour"], "left_anti"))
-                if now.isEmpty():
-                    break
-                reached = step.stored(reached.unionByName(now))
+            reached = _reaching(step, inside, colour)
             found = reached if found is None else found.unionByName(reached)
             gone = reached.select("node")
             left = step.stored(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlens.sources.shared import stored
+
 # The collections of a document, the fields that its lineage records need, and attribute names that stand for none.
 COLLECTIONS = [
     "containers", "datasets", "attributes", "processGroups", "processes", "steps", "tier1QueryBlockAttributeLineage", "tier2StatementAttributeLineage", "tier3DatasetLineage", "lineageFactAttribute",
@@ -25,36 +27,39 @@ def documents(spark, path) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
 
 
-def _rows(docs: DataFrame, collection: str) -> DataFrame:
-    """(path, index, row): the records of a collection that are objects."""
-    listed = F.filter(F.try_variant_get("doc", f"$.{collection}", "array<variant>"), lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
-    return docs.select("path", F.posexplode(listed).alias("index", "row"))
+def _records(docs: DataFrame) -> DataFrame:
+    """(path, collection, kind, index, key, fields): the records of all collections that are objects, by place; one row with a null index where a collection has
+    none. kind: what the collection is. key: what a record declares. fields: those that it needs, as JSON and as text."""
+
+    def of(collection: str):
+        json = lambda x, f: F.to_json(F.variant_get(x, f"$.{f}", "variant"))
+        fields = lambda x: [F.struct(F.lit(f).alias("field"), json(x, f).alias("key"), F.coalesce(F.try_variant_get(x, f"$.{f}", "string"), json(x, f)).alias("subject")) for f in REQUIRED.get(collection, [])]
+        declared = {c: f for c, f in _DECLARED.values()}.get(collection)
+        no_fields = F.lit(None).cast("array<struct<field:string,key:string,subject:string>>")
+        record = lambda x: F.struct(json(x, declared).alias("key") if declared else F.lit(None).cast("string").alias("key"), (F.array(*fields(x)) if fields(x) else no_fields).alias("fields"))
+        objects = F.filter(F.try_variant_get("doc", f"$.{collection}", "array<variant>"), lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+        return F.struct(F.lit(collection).alias("collection"), F.schema_of_variant(F.variant_get("doc", f"$.{collection}", "variant")).alias("kind"), F.transform(objects, record).alias("records"))
+
+    each = docs.select("path", F.explode(F.array(*map(of, COLLECTIONS))).alias("c"))
+    return each.select("path", "c.collection", "c.kind", F.posexplode_outer("c.records").alias("index", "r")).select("path", "collection", "kind", "index", "r.key", "r.fields")
 
 
 def document_findings(docs: DataFrame) -> DataFrame:
     """(path, level, finding, collection, index, subject) of docs(path, doc): documents that are no JSON object, collections that are missing (WARN) or no lists,
     lineage records without required fields, and references to steps, datasets and attributes that the document doesn't declare; names that
-    stand for no attribute are a WARN. References are looked for only where a document declares any of their kind. Indices count a collection's objects."""
+    stand for no attribute are a WARN. References are looked for only where a document declares any of their kind. Indices count a collection's objects. Documents
+    are taken apart once, when this is called."""
     whole = F.coalesce(F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT")), F.lit(False))
     finding = lambda level, name, collection, index, subject: [F.lit(level).alias("level") if isinstance(level, str) else level.alias("level"), F.lit(name).alias("finding") if isinstance(name, str) else name.alias("finding"), collection.alias("collection"), index.cast("int").alias("index"), subject.alias("subject")]
     none, no_text = F.lit(None), F.lit(None).cast("string")
     out = docs.where(~whole).select("path", *finding("FAIL", "invalid document", no_text, none, no_text))
-    docs = docs.where(whole)
-    listed = docs.select("path", F.explode(F.array(*(F.struct(F.lit(c).alias("collection"), F.schema_of_variant(F.variant_get("doc", f"$.{c}", "variant")).alias("kind")) for c in COLLECTIONS))).alias("c")).select("path", "c.*")
+    records = stored(_records(docs.where(whole)))
+    listed = records.where("index is null or index = 0")
     out = out.unionByName(listed.where("kind is null").select("path", *finding("WARN", "missing collection", F.col("collection"), none, no_text)))
     out = out.unionByName(listed.where("kind not like 'ARRAY%'").select("path", *finding("FAIL", "invalid collection", F.col("collection"), none, F.col("kind"))))
-    declared = None
-    for kind, (collection, field) in _DECLARED.items():
-        own = _rows(docs, collection).select("path", F.lit(kind).alias("kind"), F.to_json(F.variant_get("row", f"$.{field}", "variant")).alias("key"))
-        declared = own if declared is None else declared.unionByName(own)
-    fields = []
-    for collection, needed in REQUIRED.items():
-        json = lambda f: F.to_json(F.variant_get("row", f"$.{f}", "variant"))
-        each = F.array(*(F.struct(F.lit(f).alias("field"), json(f).alias("key"), F.coalesce(F.try_variant_get("row", f"$.{f}", "string"), json(f)).alias("subject")) for f in needed))
-        fields.append(_rows(docs, collection).select("path", F.lit(collection).alias("collection"), "index", each.alias("fields")))
-    rows = fields[0]
-    for more in fields[1:]:
-        rows = rows.unionByName(more)
+    kind_of = F.when(F.col("collection") == "datasets", "dataset").when(F.col("collection") == "attributes", "attribute").when(F.col("collection") == "steps", "step")
+    declared = records.where("index is not null").select("path", kind_of.alias("kind"), "key").where("kind is not null").distinct()
+    rows = records.where("fields is not null")
     empty = lambda key: key.isNull() | key.isin(_NOTHING)
     missing = rows.withColumn("lost", F.array_join(F.transform(F.filter("fields", lambda f: empty(f["key"])), lambda f: f["field"]), ",")).where("lost <> ''")
     out = out.unionByName(missing.select("path", *finding("FAIL", "missing required field", F.col("collection"), F.col("index"), F.col("lost"))))
@@ -64,5 +69,5 @@ def document_findings(docs: DataFrame) -> DataFrame:
     told = told.join(declared.select("path", "kind").distinct(), ["path", "kind"], "left_semi")
     stands_for_none = (F.col("kind") == "attribute") & (F.col("subject").isin(SENTINELS) | F.endswith("subject", F.lit("|<*>")))
     out = out.unionByName(told.where(stands_for_none).select("path", *finding("WARN", "attribute sentinel", F.col("collection"), F.col("index"), F.col("subject"))))
-    lost = told.where(~stands_for_none).join(declared.distinct(), ["path", "kind", "key"], "left_anti")
+    lost = told.where(~stands_for_none).join(declared, ["path", "kind", "key"], "left_anti")
     return out.unionByName(lost.select("path", *finding("FAIL", F.concat(F.lit("undeclared "), F.col("kind")), F.col("collection"), F.col("index"), F.col("subject"))))

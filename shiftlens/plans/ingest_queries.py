@@ -527,7 +527,7 @@ def val7_lineage_contract(d):
     return named.unionByName(ends)
 
 
-_DOCS = "SELECT step_key || ' ' || split_part(source_key, '|', 1) AS document, length(split_part(source_key, '|', 1)) % 2 = 0 AS listed, step_key LIKE 'step1_' AS wrong, * FROM lineage WHERE tier = 'TIER1'"
+_DOCS = "SELECT step_key || ' ' || length(split_part(source_key, '|', 1)) AS document, length(split_part(source_key, '|', 1)) % 2 = 0 AS listed, step_key LIKE 'step1_' AS wrong, * FROM lineage WHERE tier = 'TIER1'"
 
 
 @query(
@@ -539,14 +539,14 @@ UNION ALL SELECT document, 'FAIL', 'undeclared attribute' FROM r WHERE listed AN
 SELECT document, level, finding, count(*) AS n FROM f GROUP BY 1, 2, 3"""
 )
 def val7_documents(d):
-    """Documents of a step and a table's sources: some list no attributes, some have a name in place of their datasets, records lack fields and name steps
+    """Documents of a step: some list no attributes, some have a name in place of their datasets, records lack fields and name steps
     that are not declared."""
     edge = """named_struct('sourceAttributeNaturalKey', source_key, 'sourceDatasetNaturalKey', substring_index(source_key, '|', 1), 'targetAttributeNaturalKey', target_key,
     'targetDatasetNaturalKey', if(transformation_type = 'R', null, 't'), 'stepNaturalKey', if(expression = 'O', 'ghost', step_key))"""
-    rows = d.lineage.where("tier = 'TIER1'").withColumn("table", F.substring_index("source_key", "|", 1))
+    rows = d.lineage.where("tier = 'TIER1'").withColumn("table", F.length(F.substring_index("source_key", "|", 1)))
     docs = rows.groupBy("step_key", "table").agg(
         F.expr(f"collect_list({edge})").alias("tier1QueryBlockAttributeLineage"), F.expr("array(named_struct('stepNaturalKey', first(step_key)))").alias("steps"),
-        F.expr("if(length(table) % 2 = 0, collect_set(named_struct('attributeNaturalKey', source_key)), null)").alias("attributes"),
+        F.expr("if(table % 2 = 0, collect_set(named_struct('attributeNaturalKey', source_key)), null)").alias("attributes"),
     )
     wrong = F.when(F.col("step_key").like("step1_"), F.lit('"none"')).otherwise(F.lit("[]"))
     text = F.to_json(F.struct("tier1QueryBlockAttributeLineage", "steps", "attributes"))

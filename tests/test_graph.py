@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from shiftlens.operators import graph
 
@@ -66,3 +69,56 @@ def test_fk_names(spark):
     columns = spark.createDataFrame([("s", "orders", "user_id"), ("s", "orders", "box_id"), ("s", "orders", "dup_id"), ("s", "orders", "order_id")], "schema_name string, table_name string, column_name string")
     got = {r.column_name: r.referenced for r in graph.fk_name_match(columns, tables).collect()}
     assert got == {"user_id": "s.users", "box_id": "s.box"}
+
+
+def _plain_components(edges):
+    """Node: greatest node of its strong component, where that has others."""
+    nodes = {x for e in edges for x in e}
+    reach = {n: {n} for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if not reach[b] <= reach[a]:
+                reach[a] |= reach[b]
+                changed = True
+    own = {n: {m for m in reach[n] if n in reach[m]} for n in nodes}
+    return {n: max(c) for n, c in own.items() if len(c) > 1}
+
+
+def test_strong_components_and_cycles(spark):
+    rng = random.Random(11)
+    for n, m in ((1, 1), (12, 15), (40, 60)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(k + 100, k + 101) for k in range(5)} | {(200 + k, 200 + (k + 1) % 7) for k in range(7)}
+        df = spark.createDataFrame(sorted(edges), "src long, dst long")
+        assert {r.node: r.component for r in graph.strong_components(df).collect()} == _plain_components(edges)
+        out = {}
+        for a, b in edges:
+            out.setdefault(a, []).append(b)
+        cycles = set()
+
+        def walk(path):
+            for b in out.get(path[-1], []):  # noqa: B023
+                if b == path[0]:
+                    cycles.add(tuple(path))  # noqa: B023
+                elif b > path[0] and b not in path and len(path) < 4:
+                    walk([*path, b])
+
+        for a in out:
+            walk([a])
+        assert {tuple(r.cycle) for r in graph.detect_cycles(df).collect()} == cycles
+    assert graph.strong_components(df.limit(0)).count() == 0 and graph.detect_cycles(df.limit(0)).count() == 0
+
+
+def test_a_walk_writes_each_level_once(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or df.cache())
+    edges = spark.createDataFrame([(k, k + 1) for k in range(8)], "src long, dst long").withColumn("relationship_type", F.lit("FEEDS"))
+    found = graph.walk(edges, spark.createDataFrame([(0,)], "start long"), 4)
+    assert sorted(r.depth for r in found.collect()) == [1, 2, 3, 4] and len(cuts) == 3
+
+
+def test_traversal_stops_at_its_cap(spark):
+    lineage = spark.createDataFrame([("r", f"a{k}") for k in range(5)] + [(f"a{k}", f"b{k}{j}") for k in range(5) for j in range(5)] + [("b00", "c")], "source_key string, target_key string")
+    depths = lambda cap: sorted(r.depth for r in graph.traverse_columns(lineage, "r", max_nodes=cap).collect())
+    assert depths(5) == [1] * 5 and depths(6) == [1] * 5 + [2] * 25 and depths(2000) == [1] * 5 + [2] * 25 + [3]
