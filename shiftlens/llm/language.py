@@ -2,13 +2,14 @@
 
 A word is a run of ASCII letters (A-Z lower-cased) and non-ASCII bytes. Its score for a language sums the weights of its
 prefixes and suffixes, of its lexicon entry, and the mean weight of its byte trigrams; learned transitions join it to the word
-before. Chains are lines. They run side by side in pieces of CHAIN words; what a piece passes on to its neighbours is found first, from
-products of its matrices, so that the result is that of the whole line. Forward-backward gives each word's posterior; a text's language is
+before. Chains are lines. They run side by side in pieces of CHAIN words; what a piece passes on to its neighbours is found first, by
+products of its matrices or, with over PRODUCTS languages, by carrying vectors along the line, so that the result is that of the whole line. Forward-backward gives each word's posterior; a text's language is
 the one of greatest mean posterior over all its words, and that mean is its score. `label_words` gives the words' own labels.
 
 Null text and text without any letter: `und`, score 0. With no labelled rows to learn from every text is `und`. Ties go to
 the language first in order. Every row is labelled for itself and gives one row, also where rows repeat or share a doc_id; an empty table gives an
-empty result; other columns are left out, whatever their names. A task holds one whole text with some 60 times its words' number in 8-byte fields.
+empty result; other columns are left out, whatever their names. A task holds one whole text with, for each of its words, some 40 fields of 8 bytes and five for each language; at most
+PRODUCTS languages add their square for every CHAIN words of long lines.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from shiftlens.llm.sampling import likely_sampled, sample_order
 from shiftlens.llm.tokens import map_text, mix, owners, prefix_sums, runs, slices, span_names
 
 CHAIN = 64
+#: Up to so many languages a long line's pieces are joined by products of matrices; beyond, vectors are carried along it.
+PRODUCTS = 16
 BITS = 16
 _TEMPLATES = 8  # prefixes of 1-3 bytes, suffixes of 1-4, lexicon entry
 _WORD = np.zeros(256, bool)
@@ -93,22 +96,56 @@ def passed_on(words: Words, psi: np.ndarray, step: np.ndarray) -> tuple[np.ndarr
     if len(several):
         begin, long = np.empty(n, np.int64), np.empty(n, np.int64)
         begin[words.order], long[words.order] = words.begin, words.long
-        through = np.zeros((n, k, k))
-        through[several] = psi[begin[several]][:, :, None] * np.eye(k)
-        for t in range(1, int(long[several].max())):
-            live = several[long[several] > t]
-            now = (through[live] @ step) * psi[begin[live] + t][:, None, :]
-            through[live] = now / now.max(axis=(1, 2), keepdims=True)
-        scaled = lambda x: x / x.sum(axis=1, keepdims=True)
-        for r in range(1, int(words.rank.max()) + 1):
-            at = np.flatnonzero(words.rank == r)
-            before[at] = scaled((before[at - 1][:, None, :] @ through[at - 1])[:, 0] @ step)
-        for r in range(int(words.rank.max()), 0, -1):
-            at = np.flatnonzero(words.rank == r)
-            after[at - 1] = scaled((through[at] @ after[at][:, :, None])[:, :, 0] @ step.T)
+        (_by_products if k <= PRODUCTS else _by_steps)(words, psi, step, begin, long, several, before, after)
     return before[words.order], after[words.order]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def _by_products(words: Words, psi: np.ndarray, step: np.ndarray, begin: np.ndarray, long: np.ndarray, several: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """All pieces' matrices side by side, then their products along the chains: k ** 3 a word, in few steps."""
+    k, n = psi.shape[1], len(begin)
+    through = np.zeros((n, k, k))
+    through[several] = psi[begin[several]][:, :, None] * np.eye(k)
+    for t in range(1, int(long[several].max())):
+        live = several[long[several] > t]
+        now = (through[live] @ step) * psi[begin[live] + t][:, None, :]
+        through[live] = now / now.max(axis=(1, 2), keepdims=True)
+    by_rank = np.argsort(words.rank, kind="stable")
+    bounds = np.searchsorted(words.rank[by_rank], np.arange(int(words.rank.max()) + 2))
+    ranks = [by_rank[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)][1:]
+    for at in ranks:
+        before[at] = _scaled((before[at - 1][:, None, :] @ through[at - 1])[:, 0] @ step)
+    for at in reversed(ranks):
+        after[at - 1] = _scaled((through[at] @ after[at][:, :, None])[:, :, 0] @ step.T)
+
+
+def _by_steps(words: Words, psi: np.ndarray, step: np.ndarray, begin: np.ndarray, long: np.ndarray, several: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """Vectors carried along the long chains, all of them side by side: k ** 2 a word, one step for each word of the longest."""
+    first = several[words.rank[several] == 0]
+    pieces = np.diff(np.append(np.searchsorted(several, first), len(several)))
+    order = np.argsort(-pieces, kind="stable")
+    first, pieces = first[order], pieces[order]  # the chains with most pieces first
+    vector = np.ones((len(first), psi.shape[1]))
+    for r in range(int(pieces[0]) - 1):
+        at = first[: int(np.searchsorted(-pieces, -(r + 1), "left"))] + r  # their pieces of rank r, all CHAIN long, as others follow
+        now = vector[: len(at)]
+        for t in range(CHAIN):
+            now = _scaled((now @ step if t else now) * psi[begin[at] + t])
+        vector[: len(at)] = before[at + 1] = _scaled(now @ step)
+    vector = np.ones((len(first), psi.shape[1]))
+    for r in range(int(pieces[0]) - 1, 0, -1):
+        at = first[: int(np.searchsorted(-pieces, -r, "left"))] + r
+        now = vector[: len(at)]
+        for t in range(int(long[at].max()) - 1, -1, -1):
+            live = t < long[at]
+            moved = _scaled((now * psi[begin[at] + np.minimum(t, long[at] - 1)]) @ step.T)
+            now = np.where(live[:, None], moved, now)
+        vector[: len(at)] = after[at - 1] = now
+
+
 def forward_backward(words: Words, emission: np.ndarray, transition: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of every word, and expected transitions if asked for. Pieces of chains run side by side, the longest first."""
     k = emission.shape[1]

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import time
+import tracemalloc
 import re
 from collections import Counter
 
@@ -390,9 +392,32 @@ def test_long_lines_are_one_chain(monkeypatch):
     emission, transition = rng.normal(size=(len(whole.names), 3)), rng.normal(size=(3, 3))
     want = language.forward_backward(whole, emission, transition, expect=True)
     for chain in (1, 2, 4, 7):
-        monkeypatch.setattr(language, "CHAIN", chain)
-        got = language.forward_backward(language.Words(data, offsets), emission, transition, expect=True)
-        assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+        for products in (0, 16):
+            monkeypatch.setattr(language, "CHAIN", chain)
+            monkeypatch.setattr(language, "PRODUCTS", products)
+            got = language.forward_backward(language.Words(data, offsets), emission, transition, expect=True)
+            assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+@pytest.mark.parametrize("k, size", [(64, 1 << 19), (4, 20 << 20)])
+def test_one_line_of_many_words(k, size):
+    """Time in proportion to the words, and memory to words and languages: posteriors on the way equal those of lines cut where the chain forgets."""
+    rng = np.random.default_rng(6)
+    data = rng.choice(np.frombuffer(b"abcdefgh  ", np.uint8), size)
+    words = language.Words(data, np.array([0, size]))
+    emission, transition = rng.normal(size=(len(words.names), k)), rng.normal(size=(k, k)) / 4
+    began = time.perf_counter()
+    tracemalloc.start()
+    post, _ = language.forward_backward(words, emission, transition)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.perf_counter() - began < 120 and most < (60 + 8 * k) * 8 * len(words.kind)
+    middle = size // 2
+    part = language.Words(data[middle - 4000 : middle + 4000], np.array([0, 8000]))
+    near = language.forward_backward(part, emission[np.searchsorted(words.names, part.names)], transition)[0]
+    at = np.flatnonzero((words.starts > middle - 1000) & (words.ends < middle + 1000))
+    same = np.searchsorted(part.starts, words.starts[at] - middle + 4000)
+    assert len(at) > 200 and np.allclose(post[at], near[same], atol=1e-6)
 
 
 def test_words_of_switched_text(spark):
