@@ -34,10 +34,12 @@ from shiftlens.llm.stored import Steps, stored
 from shiftlens.llm.tokens import slices
 
 BLOCK = 8 << 20
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 #: Ids of B follow those of A in a window's key; an id pair is one number.
 _SHIFT = 24
 _SPACE_MARK = "▁"
+#: Bytes of pieces that are handed over as one text, and how many texts at once.
+_JOINED, _AT_ONCE = 1 << 15, 4
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -78,20 +80,25 @@ class ByteLevel(Side):
 
     def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has. Pieces between which a word must end are one text; where they end the bytes tell."""
-        alone = [not (0x20 < p[1] < 0x7F and 0x20 < p[-1] < 0x7F) if len(p) > 1 else True for p in pieces]
-        runs = b"".join(p for p, x in zip(pieces, alone, strict=True) if not x)
-        said = self._of.encode_batch_fast([runs.decode(), *(p.decode() for p, x in zip(pieces, alone, strict=True) if x)], add_special_tokens=False)
-        first = np.array(said[0].ids, np.int32)
-        size = np.array([len(p) for p, x in zip(pieces, alone, strict=True) if not x], np.int64)
-        held = np.searchsorted(np.cumsum(self.size[first]), np.cumsum(size), "right")
-        rest = [e.ids for e in said[1:]]
-        flat = np.concatenate([first, np.array([k for own in rest for k in own], np.int32)])
-        counts = np.empty(len(pieces), np.int64)
-        where = np.array(alone, bool)
-        counts[~where], counts[where] = np.diff(held, prepend=0), [len(x) for x in rest]
-        starts = np.empty(len(pieces), np.int64)
-        starts[~where], starts[where] = held - counts[~where], len(first) + np.cumsum(counts[where]) - counts[where]
-        return flat[_ragged(starts, counts)], counts
+        alone = np.array([len(p) < 2 or not (0x20 < p[1] < 0x7F and 0x20 < p[-1] < 0x7F) for p in pieces], bool)
+        joined, rest = [p for p, x in zip(pieces, alone.tolist(), strict=True) if not x], [p for p, x in zip(pieces, alone.tolist(), strict=True) if x]
+        to = np.cumsum([len(p) for p in joined])
+        cuts = np.searchsorted(to, np.arange(_JOINED, int(to[-1]) if len(to) else 0, _JOINED)).tolist()
+        runs = [b"".join(joined[a:b]) for a, b in zip([0, *cuts], [*cuts, len(joined)], strict=True)]
+        said = self._encoded(rest)
+        first, others = (np.concatenate([np.zeros(0, np.int32), *own]) for own in (self._encoded(runs), said))
+        held = np.searchsorted(np.cumsum(self.size[first]), to, "right")
+        counts, starts = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        counts[~alone], counts[alone] = np.diff(held, prepend=0), [len(x) for x in said]
+        starts[~alone], starts[alone] = held - counts[~alone], len(first) + np.cumsum(counts[alone]) - counts[alone]
+        return np.concatenate([first, others])[_ragged(starts, counts)], counts
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts. The library's own records of a text are many times its size, so few are held at a time."""
+        out = []
+        for k in range(0, len(texts), _AT_ONCE):
+            out += [np.array(e.ids, np.int32) for e in self._of.encode_batch_fast([t.decode() for t in texts[k : k + _AT_ONCE]], add_special_tokens=False)]
+        return out
 
 
 class Pieces(Side):
