@@ -241,8 +241,7 @@ def fit(labelled: DataFrame, rows_per_language: int = 250, most_languages: int =
     total = F.create_map(*(F.lit(x) for kv in totals.items() for x in kv))[F.col("lang")]
     some = good.where(F.col("lang").isin(list(totals))).where(likely_sampled(9, rows_per_language, total, "doc_id"))
     rows = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
-    sample = rows.select("text", "lang").toArrow()  # rows_per_language rows for each language, to be dealt to one task again
-    languages = sorted(set(sample.column("lang").to_pylist()))
+    languages = sorted(totals)
 
     def train(batches):
         table = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -252,7 +251,8 @@ def fit(labelled: DataFrame, rows_per_language: int = 250, most_languages: int =
             words = Words(data, offsets)
         yield pa.RecordBatch.from_pydict({"model": [learn(words, label_of[words.row], len(languages), rounds, rate, decay).pack()]})
 
-    one = labelled.sparkSession.createDataFrame(sample).coalesce(1)
+    # The sample goes from the executors to the one task that fits it; only the model comes to the driver.
+    one = rows.repartition(1).sortWithinPartitions("lang", "n").select("text", "lang")
     return languages, one.mapInArrow(train, "model binary").first()[0]
 
 
