@@ -339,11 +339,16 @@ def min2_cochange_rules(d):
     return mining.cochange_rules(d.chg.withColumns({"snapshot_from": pair - 1, "snapshot_to": pair}))
 
 
-@query(_COCHANGE.replace("// 20", "// 480"))
+#: Snapshots of 480 orders each, whose customers stand for tables: large baskets of many different objects.
+_WIDE = "SELECT o_orderkey // 480 - 1 AS snapshot_from, o_orderkey // 480 AS snapshot_to, 'TABLE' AS object_type, 'S' || (o_custkey % 12) || '.T' || o_custkey AS object_identifier FROM orders"
+
+
+@query(_COCHANGE.replace(_RULES, _WIDE))
 def min2_large_baskets(d):
-    """Baskets of 480 changes, just below the rule's greatest."""
-    pair = F.expr("change_id div 480")
-    return mining.cochange_rules(d.chg.withColumns({"snapshot_from": pair - 1, "snapshot_to": pair}))
+    """Baskets just below the rule's greatest."""
+    pair = F.expr("o_orderkey div 480")
+    name = F.expr("concat('S', o_custkey % 12, '.T', o_custkey)")
+    return mining.cochange_rules(d.orders.select((pair - 1).alias("snapshot_from"), pair.alias("snapshot_to"), F.lit("TABLE").alias("object_type"), name.alias("object_identifier")))
 
 
 _NAMES = "SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'email_addr' WHEN 1 THEN 'ssn' WHEN 2 THEN 'birth_dt' WHEN 3 THEN 'phone_no' WHEN 4 THEN 'zip_code' WHEN 5 THEN 'cust_name' WHEN 6 THEN 'iban' WHEN 7 THEN 'user_id' ELSE replace(p_name, ' ', '_') END || '_' || p_size AS column_name FROM {part}"
