@@ -19,7 +19,7 @@ def test_against_sql(spark, sf, name):
     for f in os.listdir(sf):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
     want = con.execute(queries.ORACLES[name]).df()[list(got.columns)]
-    key = got.columns[0]
+    key = list(got.columns)
     got, want = got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True)
     assert got.astype(str).equals(want.astype(str))
 
