@@ -3,7 +3,7 @@
 The vocabulary's file is that of a public tokenizer; nothing is trained. Texts give the ids that the tokenizers library gives without
 adding special tokens: special tokens in a text are cut out, what lies between is normalised and split into words, and a word's bytes are merged by rank.
 
-1. Words are counted over all documents. The most frequent ones, at most `words`, are merged and compiled into a minimal transducer from a word
+1. Words are counted over all documents. The most frequent ones, at most `WORDS`, are merged and compiled into a minimal transducer from a word
    to its ids (automaton.py). How many there are changes the speed, never an id.
 2. Every task memory-maps that file and looks its distinct words up in it. A word that it doesn't hold is merged then, exactly.
 
@@ -11,9 +11,9 @@ Texts are taken apart at white space first, as no word holds any; what stands be
 slice. Chunks of printable ASCII and Latin-1 letters are split by a pattern; others by the library's own normaliser and splitter, so that both follow one Unicode version.
 
 Null text is empty: no ids. Every input row gives one row; rows that share a doc_id or have none are like others. An empty table gives an empty result;
-other columns are left out, whatever their names. A task holds a slice of 4 MB or one whole text with some 30 times its bytes, and up to 300,000
-chunks that it has met. A word of any length is merged in n log n steps. What goes through the driver are the counts of 2**14 classes
-of frequency and at most `words` words of at most 64 bytes.
+other columns are left out, whatever their names. A task holds a slice of 4 MB or one whole text with some 30 times its bytes, and up to some 600,000
+chunks that it has met. A word of any length is merged in n log n steps. What goes through the driver are the sizes of at most 1024 classes
+of frequency and at most `WORDS` words of at most 64 bytes.
 """
 
 from __future__ import annotations
