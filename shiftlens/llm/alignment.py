@@ -20,6 +20,7 @@ fills it with `BLOCK` bytes, so a task holds one block, or one whole text if tha
 from __future__ import annotations
 
 import hashlib
+import os
 from functools import cache
 
 import numpy as np
@@ -71,6 +72,7 @@ class ByteLevel(Side):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would wait on the others'
         self._of = Tokenizer.from_file(path)
         self._of.encode_special_tokens = True
         byte = {s: b for b, s in enumerate(byte_signs())}
