@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions import exprs
 from shiftlens.operators import contract, entities, org, quality
 from shiftlens.plans import ingest
 from shiftlens.plans.registry import query
-from shiftlens.sources import readers, writers
+from shiftlens.sources import documents, readers, writers
 from shiftlens.sources.shared import cut, shared_folder
 from shiftlens.streaming import jobs
 
@@ -120,14 +120,28 @@ def src4_read_object_usage(d):
     return readers.read_view(d.spark, path, "object_usage").select("database_name", "table_name", "object_num", "query_count", "distinct_user_count", F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss").alias("last_accessed"))
 
 
-def _document(d) -> DataFrame:
-    """Lineage documents, one an order key's step, from attribute lineage."""
-    edge = "named_struct('sourceAttributeNaturalKey', source_key, 'sourceDatasetNaturalKey', substring_index(source_key, '|', 1), 'targetAttributeNaturalKey', target_key, 'targetDatasetNaturalKey', substring_index(target_key, '|', 1), 'stepNaturalKey', step_key, 'expression', expression, 'transformationType', transformation_type)"
-    rows = d.lineage.groupBy("step_key").agg(
-        F.expr(f"array_sort(collect_list({edge}) filter (where tier = 'TIER1'))").alias("tier1QueryBlockAttributeLineage"), F.expr(f"array_sort(collect_list({edge}) filter (where tier = 'TIER2'))").alias("tier2StatementAttributeLineage"),
-        F.expr(f"array_sort(collect_list({edge}) filter (where transformation_type = 'A' and step_key >= 'step5'))").alias("lineageFactAttribute"),
-    )
-    return rows.select(F.col("step_key").alias("parseRunId"), F.lit("2024-05-01").alias("parseTimestamp"), F.expr("named_struct('platformNaturalKey', 'p', 'technology', 't')").alias("platform"), "tier1QueryBlockAttributeLineage", "tier2StatementAttributeLineage", "lineageFactAttribute")
+_EDGE = "to_json(named_struct('sourceAttributeNaturalKey', source_key, 'sourceDatasetNaturalKey', substring_index(source_key, '|', 1), 'targetAttributeNaturalKey', target_key, 'targetDatasetNaturalKey', substring_index(target_key, '|', 1), 'stepNaturalKey', step_key, 'expression', expression, 'transformationType', transformation_type))"
+
+
+def _document(d, unnamed: bool = False) -> DataFrame:
+    """(file, k, line): the lines of lineage documents, one an order key's step, from attribute lineage. unnamed: with one document, a copy of another, that names no run."""
+    rows = d.lineage.select("step_key", "tier", F.expr("transformation_type = 'A' and step_key >= 'step5'").alias("fact"), F.expr(_EDGE).alias("line"))
+    edges = rows.select(F.col("step_key").alias("file"), F.explode(F.expr("array_compact(array(case tier when 'TIER1' then 1 when 'TIER2' then 2 end, if(fact, 3, null)))")).alias("k"), "line")
+    steps = d.lineage.select(F.col("step_key").alias("file")).distinct()
+    if unnamed:
+        first = steps.agg(F.min("file").alias("file"))
+        edges = edges.unionByName(edges.join(F.broadcast(first), "file").withColumn("file", F.lit("none")))
+        steps = steps.unionByName(first.where("file is not null").select(F.lit("none").alias("file")))
+    run = F.when(F.col("file") != "none", F.concat(F.lit('"parseRunId":"'), "file", F.lit('",'))).otherwise("")
+    opened = F.concat(F.lit("{"), run, F.lit('"parseTimestamp":"2024-05-01","platform":{"platformNaturalKey":"p","technology":"t"},"tier1QueryBlockAttributeLineage":['))
+    frame = {0: opened, 1.5: F.lit('],"tier2StatementAttributeLineage":['), 2.5: F.lit('],"lineageFactAttribute":['), 4: F.lit("]}")}
+    return _lines(edges, steps, frame)
+
+
+def _lines(records: DataFrame, files: DataFrame, frame: dict) -> DataFrame:
+    """(file, k, line): records(file, k, line) and, for each of files, the lines of the frame by their k, which no record has."""
+    around = files.select("*", F.explode(F.array(*(F.struct(F.lit(float(k)).alias("k"), line.alias("line")) for k, line in frame.items()))).alias("f")).select("file", "f.k", "f.line")
+    return records.select("file", F.col("k").cast("double").alias("k"), "line").unionByName(around)
 
 
 @query(
@@ -135,15 +149,15 @@ def _document(d) -> DataFrame:
 SELECT step_key, tier, count(*) AS n FROM (SELECT step_key, 'FACT' AS tier FROM lineage WHERE transformation_type = 'A' AND step_key >= 'step5' UNION ALL SELECT step_key, tier FROM lineage WHERE step_key NOT IN (FROM f)) GROUP BY ALL"""
 )
 def src5_read_lineage_json(d):
-    documents = _document(d)
-    unnamed = documents.limit(1).withColumn("parseRunId", F.lit(None).cast("string"))  # left out by the reader
-    path = _document_files(documents.unionByName(unnamed), f"{_folder(d.spark)}/lineage")
+    path = _document_files(_document(d, unnamed=True), f"{_folder(d.spark)}/lineage")  # the unnamed one is left out by the reader
     return readers.read_lineage(d.spark, path)["attribute_edges"].groupBy(F.col("stepNaturalKey").alias("step_key"), "tier").agg(F.count("*").alias("n"))
 
 
-def _document_files(documents: DataFrame, path: str) -> str:
-    """Each document in a file of its own."""
-    documents.withColumn("file", F.coalesce("parseRunId", F.lit("none"))).repartition("file").write.partitionBy("file").json(path)
+def _document_files(lines: DataFrame, path: str, by: str = "file") -> str:
+    """Each document in a file of its own, from (file, k, line): its lines by k, with commas between those of one k. A task sorts a document's lines, and holds none whole."""
+    at = Window.partitionBy("file").orderBy("k", "line")
+    comma = F.when(F.lag("k").over(at) == F.col("k"), F.lit(",")).otherwise(F.lit(""))
+    lines.select(F.col("file").alias(by), F.concat(comma, "line").alias("value")).write.partitionBy(by).text(path)
     return path
 
 
@@ -170,7 +184,7 @@ def src8_detect_content(d):
     _document_files(_document(d), f"{folder}/y")
     _written(d.supplier.repartition(2), _fixed16("'db'", "concat('T', s_suppkey)", "'T'"), folder, "z")
     _rename(d.spark, f"{folder}/z", folder, "tablesv_full")
-    return readers.detect_content(readers.read_files(d.spark, folder, "{part-*,tablesv_*}").select("path", "content")).select("format", "content_type", "confidence").distinct()
+    return readers.detect_content(documents.heads(d.spark, folder, "{part-*,tablesv_*}")).select("format", "content_type", "confidence").distinct()
 
 
 @query("SELECT 'k=' || k AS folder, k <> 2 AS archived, k = 1 AS imported, true AS filled, count(*) AS n FROM (SELECT DISTINCT event_id % 3 AS k FROM usage) GROUP BY ALL")
@@ -541,18 +555,16 @@ SELECT document, level, finding, count(*) AS n FROM f GROUP BY 1, 2, 3"""
 def val7_documents(d):
     """Documents of a step: some list no attributes, some have a name in place of their datasets, records lack fields and name steps
     that are not declared."""
-    edge = """named_struct('sourceAttributeNaturalKey', source_key, 'sourceDatasetNaturalKey', substring_index(source_key, '|', 1), 'targetAttributeNaturalKey', target_key,
-    'targetDatasetNaturalKey', if(transformation_type = 'R', null, 't'), 'stepNaturalKey', if(expression = 'O', 'ghost', step_key))"""
-    rows = d.lineage.where("tier = 'TIER1'").withColumn("table", F.length(F.substring_index("source_key", "|", 1)))
-    docs = rows.groupBy("step_key", "table").agg(
-        F.expr(f"collect_list({edge})").alias("tier1QueryBlockAttributeLineage"), F.expr("array(named_struct('stepNaturalKey', first(step_key)))").alias("steps"),
-        F.expr("if(table % 2 = 0, collect_set(named_struct('attributeNaturalKey', source_key)), null)").alias("attributes"),
-    )
+    edge = """to_json(named_struct('sourceAttributeNaturalKey', source_key, 'sourceDatasetNaturalKey', substring_index(source_key, '|', 1), 'targetAttributeNaturalKey', target_key,
+    'targetDatasetNaturalKey', if(transformation_type = 'R', null, 't'), 'stepNaturalKey', if(expression = 'O', 'ghost', step_key)))"""
+    rows = d.lineage.where("tier = 'TIER1'").withColumn("table", F.length(F.substring_index("source_key", "|", 1))).withColumn("file", F.concat_ws(" ", "step_key", "table"))
+    attributes = rows.where("table % 2 = 0").select("file", "source_key").distinct()
+    lines = rows.select("file", F.lit(1).alias("k"), F.expr(edge).alias("line")).unionByName(attributes.select("file", F.lit(3).alias("k"), F.expr("to_json(named_struct('attributeNaturalKey', source_key))").alias("line")))
+    files = rows.select("file", "step_key", "table").distinct()
     wrong = F.when(F.col("step_key").like("step1_"), F.lit('"none"')).otherwise(F.lit("[]"))
-    text = F.to_json(F.struct("tier1QueryBlockAttributeLineage", "steps", "attributes"))
-    text = F.concat(F.lit('{"datasets": '), wrong, F.lit(", "), F.substring(text, 2, 1 << 30))
-    path = f"{_folder(d.spark)}/documents"
-    docs.select(F.concat_ws(" ", "step_key", "table").alias("document"), text.alias("value")).repartition("document").write.partitionBy("document").text(path)
+    steps = F.concat(F.lit('],"steps":['), F.to_json(F.struct(F.col("step_key").alias("stepNaturalKey"))), F.when(F.col("table") % 2 == 0, F.lit('],"attributes":[')).otherwise(F.lit("")))
+    frame = {0: F.concat(F.lit('{"datasets": '), wrong, F.lit(',"tier1QueryBlockAttributeLineage":[')), 2: steps, 4: F.lit("]}")}
+    path = _document_files(_lines(lines, files, frame), f"{_folder(d.spark)}/documents", "document")
     found = contract.document_findings(contract.documents(d.spark, path))
     return found.groupBy(F.url_decode(F.regexp_extract("path", "document=([^/]*)/", 1)).alias("document"), "level", "finding").agg(F.count("*").alias("n"))
 
