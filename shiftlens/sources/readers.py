@@ -199,7 +199,8 @@ PREFIXES = {"databasesv_": "databases", "tablesv_": "tables", "columnsv_": "colu
 
 def detect_content(files: DataFrame) -> DataFrame:
     """(path, format, content_type, confidence) from files(path, content): what the first bytes and the name say."""
-    head = F.regexp_replace(F.decode(F.substring("content", 1, 16384), "UTF-8"), "^[\ufeff\\s]+", "")
+    # The cut after so many bytes may part a sign.
+    head = F.regexp_replace(F.make_valid_utf8(F.substring("content", 1, 16384).cast("string")), "^[\ufeff\\s]+", "")
     name = F.lower(F.substring_index("path", "/", -1))
     flat = F.contains(F.substring(head, 1, 1024), F.lit(DELIMITER))
     kind = F.when(F.substring(head, 1, 1).isin("{", "["), "json").when(flat, "flat").otherwise("unknown")
