@@ -122,3 +122,15 @@ def test_traversal_stops_at_its_cap(spark):
     lineage = spark.createDataFrame([("r", f"a{k}") for k in range(5)] + [(f"a{k}", f"b{k}{j}") for k in range(5) for j in range(5)] + [("b00", "c")], "source_key string, target_key string")
     depths = lambda cap: sorted(r.depth for r in graph.traverse_columns(lineage, "r", max_nodes=cap).collect())
     assert depths(5) == [1] * 5 and depths(6) == [1] * 5 + [2] * 25 and depths(2000) == [1] * 5 + [2] * 25 + [3]
+
+
+def test_long_rings_and_ways_take_few_rounds(spark, monkeypatch):
+    """Rings, ways that hang on them, and ways between nodes of one component and of several."""
+    from shiftlens.operators import components
+
+    rounds = []
+    monkeypatch.setattr(components.Steps, "stored", lambda self, df: rounds.append(1) or df.localCheckpoint())
+    ring = lambda first, n: [(first + k, first + (k + 1) % n) for k in range(n)]
+    edges = {*ring(0, 90), *ring(100, 60), (100, 130), (89, 200), *((200 + k, 201 + k) for k in range(40)), (240, 100), *ring(300, 2), (300, 320), (320, 321), (321, 300), (400, 401), (401, 402), (402, 400), (401, 0)}
+    got = {r.node: r.component for r in components.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
+    assert got == _plain_components(edges) and len(rounds) < 60
