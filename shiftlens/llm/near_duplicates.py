@@ -2,8 +2,11 @@
 
 A shingle is SHINGLE consecutive words (all words of a shorter text); words are what stands between white space, with A-Z
 lower-cased. A shingle's weight is its count in the text times its inverse document frequency, ln((1 + N) / (1 + df)) + 1, with df
-the number of the N documents that hold it, counted over all of them. Shingles of under COMMON * N documents all count as rare, with df = COMMON * N:
-only the common ones need a table, and there are at most (shingles of a mean document) / COMMON of them, however large the corpus.
+the number of the N documents that hold it, counted over all of them for every shingle, however rare.
+
+Frequencies are counted by units of UNIT documents: a unit sends each of its distinct shingles once, with the number of its documents that hold it, to
+the part of all names in which it lies; the part adds up, and sends back only what two or more documents hold, so that whatever a unit doesn't get
+back is its own. No table of shingles is shared, and a shingle of all documents costs one entry a unit.
 
 Each of ROWS * BANDS samples draws a shingle and a quantised weight with the probability that two texts share; texts that
 agree on all samples of a band meet in a bucket. Similarity is the weighted Jaccard of two texts: sum of minima over sum of maxima.
@@ -16,7 +19,7 @@ components is lost among classes that share a bucket, pairs are never listed, an
 Null and empty texts have no shingles and no links. Rows with the same doc_id and text count as one document; rows that share a doc_id only are
 told apart. A null doc_id is larger than any other; a class of such rows alone has a null class_id, and keeps its rows of one text. An empty table
 gives an empty result; other columns are left out, whatever their names. A task holds one whole text with some 40 times its words' number in
-8-byte fields. Building the result runs many jobs.
+8-byte fields, and the frequencies of those shingles of one unit that others hold too. Building the result runs many jobs.
 """
 
 from __future__ import annotations
@@ -30,22 +33,23 @@ from pyspark.sql import functions as F
 
 from shiftlens.llm.components import components
 from shiftlens.llm.stored import Steps, stored
-from shiftlens.llm.tokens import SPACE, map_text, mix, owners, prefix_sums, runs, signed, slices, span_names
+from shiftlens.llm.tokens import SPACE, mix, prefix_sums, runs, signed, slices, span_names
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-#: The share of documents from which a shingle's own document frequency counts.
-COMMON = 0.01
+#: The share of documents below which frequencies are not told apart: none.
+COMMON = 0.0
 _SLOT_BITS = 14
 _AT_ONCE = 4096
 #: Classes in a block of the last round: a task holds the texts of two blocks.
 BLOCK = 256
 #: Below so many classes outside, each text of a bucket goes to 16 blocks at most, and another round of stars would save little.
 CROWD = 16 * BLOCK
-#: Texts among which shingles are counted before they are sent on.
-_UNIT_TEXTS, _UNIT_SHINGLES = 2000, 2_000_000
-_SLOT = 22
+#: Documents in a unit, and how many shingles of one are sent at once.
+UNIT, _SENT = 512, 2_000_000
+#: Bytes of text for each part of all names: some four million of them.
+_PART_BYTES = 24_000_000
 _SEED = 20240301
 _LAST = np.iinfo(np.int64).max
 _NOT_SPACE = ~SPACE
@@ -131,56 +135,148 @@ def sample(name: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return shingle, level
 
 
-def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
-    """Document frequencies over all of docs(text), in two passes. A shingle that `common` of all documents hold must reach that share in
-    some unit of them, so each unit names its candidates by the first _SLOT bits of their names; then all shingles with such bits are counted in all
-    documents. Slots that other shingles share with a candidate cost counts, but change none."""
-    docs, total = docs.select("text"), docs.count()
+def held(docs: DataFrame, parts: int) -> DataFrame:
+    """(unit, part, names, n): for each unit of docs(unit, text) its distinct shingles in the order of their names, by part, and how many of
+    its documents hold each (8 and 2 bytes a shingle). A unit of many shingles, or one that two tasks read, comes in several pieces."""
+    bounds = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
 
-    def candidates(batches):
-        units, held, n, size = [], [], 0, 0  # a unit waits for the next one, so that the last is not a small rest
+    def run(batches):
+        unit, names, size = None, [], 0
+        for batch, data, offsets in slices(batches):
+            units = batch.column("unit").to_pylist()
+            for own, (name, _) in zip(units, shingle_names(data, offsets), strict=True):
+                if names and (own != unit or size >= _SENT):
+                    yield out(unit, names)
+                    names, size = [], 0
+                unit = own
+                names.append(name)
+                size += len(name)
+        if names:
+            yield out(unit, names)
+
+    def out(unit, names):
+        name, n = np.unique(np.concatenate(names), return_counts=True)
+        cut = np.concatenate([[0], np.searchsorted(name, bounds), [len(name)]])
+        some = np.flatnonzero(np.diff(cut))
+        raw, few = name.astype("<u8"), n.astype("<u2")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), unit, np.int64)), pa.array(some.astype(np.int32)), pa.array([raw[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), pa.array([few[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())],
+            ["unit", "part", "names", "n"],
+        )
+
+    return docs.select("unit", "text").mapInArrow(run, "unit long, part int, names binary, n binary")
+
+
+def counted(pieces: DataFrame) -> DataFrame:
+    """(unit, names, df): for each piece of held() those of its shingles that two or more documents hold, and how many do (8 and 4 bytes a
+    shingle). A task holds the names of one part."""
 
-        def named(n, held):
-            name, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"slot": np.unique(name[count >= common * n] >> np.uint64(64 - _SLOT)).astype(np.int32)})
+    def run(batches):
+        rows, part = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "unit", "names", "n")), strict=True):
+                if rows and row[0] != part:
+                    yield from out(rows)
+                    rows = []
+                part = row[0]
+                rows.append(row)
+        if rows:
+            yield from out(rows)
 
-        for batch, data, offsets in slices(batches):
-            for name, _ in shingle_names(data, offsets):
-                held.append(name)
-                n, size = n + 1, size + len(name)
-                if n >= _UNIT_TEXTS or size >= _UNIT_SHINGLES:
-                    if units:
-                        yield named(*units.pop())
-                    units.append((n, held))
-                    held, n, size = [], 0, 0
-        rest = units.pop() if units else (0, [])
-        if n + rest[0]:
-            yield named(n + rest[0], rest[1] + held)
-
-    # At most 2**_SLOT numbers reach the driver, and go back as as many flags.
-    slots = np.zeros(1 << _SLOT, bool)
-    slots[docs.mapInArrow(candidates, "slot int").distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(slots)
-
-    def run(batch, data, offsets):
-        names = np.concatenate([name for name, _ in shingle_names(data, offsets)])
-        name, count = np.unique(names[shared.value[(names >> np.uint64(64 - _SLOT)).astype(np.int64)]], return_counts=True)
-        return pa.RecordBatch.from_pydict({"name": signed(name), "n": count})
-
-    counted = map_text(docs, run, "name long, n long").groupBy("name").agg(F.sum("n").alias("df")).where(F.col("df") >= common * total)
-    # As many rows as the mean text has shingles, divided by `common`, at most.
-    got = counted.toPandas().sort_values("name", key=lambda x: x.astype("uint64"))
-    shared.destroy()
+    def out(rows):
+        names = np.frombuffer(b"".join([r[2] for r in rows]), "<u8")
+        n = np.frombuffer(b"".join([r[3] for r in rows]), "<u2")
+        order = np.argsort(names)
+        ranked = names[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        df = np.empty(len(names), np.int32)
+        df[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), first), np.diff(np.append(first, len(names))))
+        at = 0
+        for lot in range(0, len(rows), 1000):
+            units, own, of = [], [], []
+            for row in rows[lot : lot + 1000]:
+                to = at + len(row[2]) // 8
+                some = np.flatnonzero(df[at:to] > 1) + at
+                if len(some):
+                    units.append(row[1])
+                    own.append(names[some].tobytes())
+                    of.append(df[some].tobytes())
+                at = to
+            if units:
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(own, pa.binary()), pa.array(of, pa.binary())], ["unit", "names", "df"])
+
+    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(run, "unit long, names binary, df binary")
+
+
+def in_units(docs: DataFrame) -> DataFrame:
+    """docs with the unit of each row. The numbers hold for one computation of docs: what needs them twice has to store them."""
+    return docs.withColumn("unit", F.expr(f"monotonically_increasing_id() div {UNIT}"))
+
+
+def part_count(text_bytes: int | None) -> int:
+    return max(1, -(-(text_bytes or 0) // _PART_BYTES))
+
+
+def inverse_frequencies(docs: DataFrame, common: float) -> Idf:
+    """Inverse document frequencies of the shingles that `common` of all docs(text) hold, as a table: of as many rows as the mean text has shingles,
+    divided by `common`, at most. All others count as held by so many. near_duplicates() needs no such table."""
+    docs = docs.select("text")
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    pieces = counted(held(in_units(docs), part_count(size)))
+
+    def run(batches):
+        for batch in batches:
+            names, df = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in (("names", "<u8"), ("df", "<i4")))
+            name, at = np.unique(names[df >= common * total], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(df[df >= common * total][at].astype(np.int64))], ["name", "df"])
+
+    got = pieces.mapInArrow(run, "name long, df long").distinct().toPandas().sort_values("name", key=lambda x: x.astype("uint64"))
     names = got["name"].to_numpy(np.int64).view(np.uint64)
     return Idf(names, np.log((1 + total) / (1 + got["df"].to_numpy(np.float64))) + 1, float(np.log((1 + total) / (1 + common * total)) + 1))
 
 
-def signatures(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, h0, h1, bands): a text's 128-bit name and the names of its samples in each band; none without words."""
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"))
+def weights(count: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
+    return count * (np.log((1 + total) / (1 + df.astype(np.float64))) + 1)
+
+
+def weighted(data: np.ndarray, offsets: np.ndarray, df: list[bytes], total: int):
+    """As shingles(), with the document frequencies that signatures() gives for each row."""
+    for k, (name, count) in enumerate(shingle_names(data, offsets)):
+        yield name, weights(count, np.frombuffer(df[k], "<i4"), total)
 
-    def run(batch, data, offsets):
-        got = [sample(name, weight) if len(name) else None for name, weight in shingles(data, offsets, shared.value)]
+
+def signatures(units: DataFrame, frequencies: DataFrame, total: int) -> DataFrame:
+    """(doc_id, h0, h1, bands, df) of units(unit, doc_id, text): a text's 128-bit name, the names of its samples in each band (none without words),
+    and the document frequencies of its distinct shingles in the order of their names (4 bytes each), by frequencies(unit, names, df)."""
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    texts = units.select("unit", F.lit(1).alias("kind"), none("names", "binary"), none("df", "binary"), "doc_id", F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text")
+    told = frequencies.select("unit", F.lit(0).alias("kind"), "names", "df", none("doc_id", "long"), none("h0", "long"), none("h1", "long"), none("text", "string"))
+
+    def run(batches):
+        unit, names, df, ready = None, [], [], True
+        for batch, data, offsets in slices(batches):
+            own, kind = batch.column("unit").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((own[1:] != own[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(own)], strict=True):
+                if own[a] != unit:
+                    unit, names, df, ready = own[a], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], False
+                if kind[a] == 0:
+                    names += [np.frombuffer(x, "<u8") for x in batch.column("names").slice(a, b - a).to_pylist()]
+                    df += [np.frombuffer(x, "<i4") for x in batch.column("df").slice(a, b - a).to_pylist()]
+                    continue
+                if not ready:
+                    known, at = np.unique(np.concatenate(names), return_index=True)
+                    of, names, df, ready = np.append(np.concatenate(df)[at], np.int32(1)), [], [], True
+                    known = np.append(known, np.uint64(0))  # never found: one past the last name
+                yield out(batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known, of)
+
+    def out(batch, data, offsets, known, of):
+        got, frequency = [], []
+        for name, count in shingle_names(data, offsets):
+            at = np.searchsorted(known[:-1], name)
+            df = np.where(known[at] == name, of[at], np.int32(1))
+            frequency.append(df.astype("<i4").tobytes())
+            got.append(sample(name, weights(count, df, total)) if len(name) else None)
         full = np.array([g is not None for g in got])
         bands = np.zeros(0, np.int64)
         if full.any():
@@ -190,39 +286,39 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                 name = mix(name * np.uint64(3) + drawn[:, k::ROWS])
             bands = signed(name).ravel()
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)), pa.array(bands))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h0", "h1")), lists], ["doc_id", "h0", "h1", "bands"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h0", "h1")), lists, pa.array(frequency, pa.binary())], ["doc_id", "h0", "h1", "bands", "df"])
 
-    return map_text(named, run, "doc_id long, h0 long, h1 long, bands array<long>")
+    return texts.unionByName(told).repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "doc_id long, h0 long, h1 long, bands array<long>, df binary")
 
 
-def distances(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """(a, b, d) for pairs(a, b), one minus weighted Jaccard of texts(node, text). The join on a comes last: rows of one a
+def distances(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """(a, b, d) for pairs(a, b), one minus weighted Jaccard of texts(node, text, df). The join on a comes last: rows of one a
     are then mostly neighbours, and its shingles are made once."""
-    joined = pairs.join(texts.selectExpr("node as b", "text as text_b"), "b").join(texts.selectExpr("node as a", "text as text_a"), "a")
+    joined = pairs.join(texts.selectExpr("node as b", "text as text_b", "df as df_b"), "b").join(texts.selectExpr("node as a", "text as text_a", "df as df_a"), "a")
 
     def run(batches):
         last: tuple = (None, None)
         for batch, data, offsets in slices(batches, "text_b"):
             a, d = batch.column("a").to_pylist(), np.empty(batch.num_rows)
-            for k, (name, weight) in enumerate(shingles(data, offsets, shared.value)):
+            for k, (name, weight) in enumerate(weighted(data, offsets, batch.column("df_b").to_pylist(), total)):
                 if a[k] != last[0]:
                     raw = np.frombuffer(batch.column("text_a")[k].as_py().encode(), np.uint8)
-                    last = (a[k], next(iter(shingles(raw, np.array([0, len(raw)]), shared.value))))
+                    last = (a[k], next(weighted(raw, np.array([0, len(raw)]), [batch.column("df_a")[k].as_py()], total)))
                 other, heavy = last[1]
                 _, i, j = np.intersect1d(name, other, assume_unique=True, return_indices=True)
                 least = np.minimum(weight[i], heavy[j]).sum()
                 d[k] = 1 - least / (weight.sum() + heavy.sum() - least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d)], ["a", "b", "d"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d double")
+    return joined.select("a", "b", "text_a", "text_b", "df_a", "df_b").mapInArrow(run, "a long, b long, d double")
 
 
-def compare(texts: list[str], side: np.ndarray, own: list, idf: Idf, similarity: float) -> list[tuple[int, int]]:
+def compare(texts: list[str], df: list[bytes], side: np.ndarray, own: list, total: int, similarity: float) -> list[tuple[int, int]]:
     """Links (i, j) that join components `own`, between texts on this side and on the other. Only shingles that two of the texts share
     count for similarities; they are held as one list, text after text."""
     raw = [t.encode() for t in texts]
-    got = list(shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), idf))
-    total = np.array([w.sum() for _, w in got])
+    got = list(weighted(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), df, total))
+    whole = np.array([w.sum() for _, w in got])
     row = np.repeat(np.arange(len(got)), [len(n) for n, _ in got])
     names, at, seen = np.unique(np.concatenate([n for n, _ in got]), return_inverse=True, return_counts=True)
     keep = seen[at] > 1
@@ -241,7 +337,7 @@ def compare(texts: list[str], side: np.ndarray, own: list, idf: Idf, similarity:
         mine[at[of]] = weight[of]
         least = np.bincount(row, np.minimum(mine[at], weight), len(got))
         mine[at[of]] = 0
-        for j in np.flatnonzero((least >= similarity * (total[i] + total - least) - 1e-9) & ~side):
+        for j in np.flatnonzero((least >= similarity * (whole[i] + whole - least) - 1e-9) & ~side):
             a, b = find(own[i]), find(own[j])
             if a != b:
                 top[max(a, b)] = min(a, b)
@@ -249,7 +345,7 @@ def compare(texts: list[str], side: np.ndarray, own: list, idf: Idf, similarity:
     return links
 
 
-def cross_links(step: Steps, members: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
+def cross_links(step: Steps, members: DataFrame, texts: DataFrame, total: int, similarity: float) -> DataFrame:
     """(a, b): links between components, of members(band, name, node, own, outside): `own` is the component of a bucket's
     class, and those marked outside are compared with the whole bucket."""
     sizes = step.stored(members.groupBy("band", "name").agg(F.ceil(F.count_if("outside") / BLOCK).alias("o_blocks"), F.ceil(F.count("*") / BLOCK).alias("m_blocks")).where("o_blocks > 0"))
@@ -263,7 +359,7 @@ def cross_links(step: Steps, members: DataFrame, texts: DataFrame, shared, simil
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "own", "text")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "own", "text", "df")), strict=True):
                 if held and held[0][0] != row[0]:
                     yield out(held)
                     held = []
@@ -272,10 +368,10 @@ def cross_links(step: Steps, members: DataFrame, texts: DataFrame, shared, simil
             yield out(held)
 
     def out(rows):
-        links = compare([r[4] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows], shared.value, similarity)
+        links = compare([r[4] for r in rows], [r[5] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows], total, similarity)
         return pa.RecordBatch.from_arrays([pa.array([rows[link[k]][2] for link in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.select("task", "side", "node", "own", "text").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return dealt.select("task", "side", "node", "own", "text", "df").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -283,10 +379,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     whether the row stands for its class, and h0, h1 name its text."""
     docs = docs.select("doc_id", "text")
     spark, apart = docs.sparkSession, 1 - similarity + 1e-9
-    shared = spark.sparkContext.broadcast(inverse_frequencies(docs))
     order = F.coalesce("doc_id", F.lit(int(_LAST)))
     with Steps(spark) as step:
-        signed_ = step.stored(signatures(docs, shared))
+        units = step.stored(in_units(docs))
+        total, size = units.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        frequencies = step.stored(counted(held(units, part_count(size))))
+        told = step.stored(signatures(units, frequencies, total))
+        signed_ = told.select("doc_id", "h0", "h1", "bands")
         made = signed_.where("size(bands) > 0").groupBy("h0", "h1").agg(F.min(order).alias("o"), F.first("bands").alias("bands"))
         classes = step.stored(made.withColumn("node", F.monotonically_increasing_id()))  # numbered as they are written
         members = classes.select("node", F.posexplode("bands").alias("band", "name"))
@@ -294,11 +393,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         least = step.stored(members.groupBy("band", "name").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
         met = step.stored(members.join(least, ["band", "name"]))
         wanted = classes.select("node", "o", "h0", "h1").join(met.select("node").distinct(), "node", "left_semi")
-        keyed = docs.select(order.alias("o"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text")
-        texts = step.stored(keyed.join(wanted, ["o", "h0", "h1"]).dropDuplicates(["o", "h0", "h1"]).select("node", "text"))
+        key = ["o", "h0", "h1"]
+        # Rows that are alike have one text and one list of frequencies.
+        keyed = units.select(order.alias("o"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text").join(wanted, key).dropDuplicates(key)
+        listed = told.select(order.alias("o"), "h0", "h1", "df").join(wanted.select(key), key).dropDuplicates(key)
+        texts = step.stored(keyed.join(listed, key).select("node", "text", "df"))
 
         def verified(stars: DataFrame) -> DataFrame:
-            return step.stored(distances(stars.distinct(), texts, shared).where(F.col("d") <= apart).select("a", "b"))
+            return step.stored(distances(stars.distinct(), texts, total).where(F.col("d") <= apart).select("a", "b"))
 
         links = verified(met.where("node <> pivot").selectExpr("pivot as a", "node as b"))
         for again in (True, False):
@@ -312,7 +414,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 break
             first = crowd.groupBy("band", "name").agg(F.min("node").alias("pivot"))
             links = links.unionByName(verified(crowd.join(first, ["band", "name"]).where("node <> pivot").selectExpr("pivot as a", "node as b")))
-        second = step.stored(cross_links(step, own.drop("outsiders"), texts, shared, similarity))
+        second = step.stored(cross_links(step, own.drop("outsiders"), texts, total, similarity))
         if not second.isEmpty():
             reached = components(links.unionByName(second))
         linked = step.stored(classes.select("node", "o", "h0", "h1").join(reached, "node", "left"))

@@ -63,3 +63,18 @@ def test_recall_against_exact_frequencies(spark, sf, folder, every):
             reach[max(a, b)] = min(a, b)
         apart = sum(own[d] != d and top(d) != top(own[d]) for d in own)
         assert apart <= 0.01 * len(links)
+
+
+def test_rare_shingles_have_their_own_frequencies(spark):
+    """Shingles of 1, 2 and 9 of 1000 documents weigh differently, which links one pair and parts another."""
+    w = lambda name, n: [f"{name}{k}" for k in range(n)]
+    near, far = w("near", 82), w("far", 86)
+    texts = [near + w("u", 10), near + w("v", 10)] + [near[-4:] + w("u", 10)] * 8 + [near[-4:] + w("v", 10)] * 8
+    texts += [far + w("x", 10), far + w("y", 10)]
+    texts += [w(f"other{k}_", 20) for k in range(1000 - len(texts))]
+    lines = {k: " ".join(t) for k, t in enumerate(texts)}
+    exact = _links(lines, [0, 18])
+    assert (0, 1) in exact and (18, 19) not in exact
+    docs = spark.createDataFrame(list(lines.items()), "doc_id long, text string").repartition(3)
+    own = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
+    assert own[0] == own[1] == 0 and (own[18], own[19]) == (18, 19)
