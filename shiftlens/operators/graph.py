@@ -82,15 +82,25 @@ def resolve_display_type(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     return nodes.join(catalog, F.upper("object_name") == F.col("_k"), "left").withColumn("display_type", F.coalesce(kept, "_t", guess)).drop("_k", "_t")
 
 
-def link_changes(changes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """changes with node_id: by type and name; for columns, else by the parent's name; else by name alone. Unresolved go."""
+def _resolved(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(_type, _name, node_id) of the distinct names(object_type, object_identifier) that a node stands for. Names that are no column's look up their own
+    name as the parent's, which says the same as the name alone: no nulls meet in one task."""
     low = F.lower("object_identifier")
     typed = nodes.groupBy(F.upper("object_type").alias("_t"), F.lower("object_name").alias("_n")).agg(F.max("node_id").alias("_exact"))
     named = nodes.groupBy(F.lower("object_name").alias("_n")).agg(F.max("node_id").alias("_id"))
-    parent = F.when(F.col("object_type") == "COLUMN", F.regexp_replace(low, r"\.[^.]*$", ""))
-    found = changes.withColumns({"_t": F.upper("object_type"), "_n": low, "_p": parent})
+    parent = F.when(F.col("object_type") == "COLUMN", F.regexp_replace(low, r"\.[^.]*$", "")).otherwise(low)
+    found = names.select(F.col("object_type").alias("_type"), F.col("object_identifier").alias("_name"), F.upper("object_type").alias("_t"), low.alias("_n"), parent.alias("_p")).distinct()
     found = found.join(typed, ["_t", "_n"], "left").join(named.select(F.col("_n").alias("_p"), F.col("_id").alias("_parent")), "_p", "left").join(named.select("_n", F.col("_id").alias("_any")), "_n", "left")
-    return found.withColumn("node_id", F.coalesce("_exact", "_parent", "_any")).where("node_id is not null").drop("_t", "_n", "_p", "_exact", "_parent", "_any")
+    return found.select("_type", "_name", F.coalesce("_exact", "_parent", "_any").alias("node_id")).where("node_id is not null")
+
+
+_BY_NAME = "object_type <=> _type and object_identifier = _name"
+
+
+def link_changes(changes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """changes with node_id: by type and name; for columns, else by the parent's name; else by name alone. Unresolved go. A name is looked up
+    once, however many changes bear it."""
+    return changes.join(_resolved(changes, nodes), F.expr(_BY_NAME)).drop("_type", "_name")
 
 
 def duplicate_nodes(nodes: DataFrame) -> DataFrame:
@@ -153,9 +163,10 @@ def impact_summaries(changes: DataFrame, nodes: DataFrame, edges: DataFrame, don
     counted for all nodes at once. Changes that no node stands for get zeros; those in done(change_id) are left out."""
     if done is not None:
         changes = changes.join(done.select("change_id").distinct(), "change_id", "left_anti")
-    linked = link_changes(changes.select("change_id", "object_type", "object_identifier"), nodes).select("change_id", F.col("node_id").alias("node"))
     up = path_counts(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).toDF("node", "u1", "u2", "u3")
-    out = changes.select("change_id").join(linked, "change_id", "left").join(path_counts(edges), "node", "left").join(up, "node", "left").na.fill(0, ["d1", "d2", "d3", "u1", "u2", "u3"])
+    # Paths are looked up for names, which are few next to changes or spread like them; a join of changes by node would send those of no node to one task.
+    linked = _resolved(changes, nodes).withColumnRenamed("node_id", "node").join(path_counts(edges), "node", "left").join(up, "node", "left")
+    out = changes.select("change_id", "object_type", "object_identifier").join(linked, F.expr(_BY_NAME), "left").na.fill(0, ["d1", "d2", "d3", "u1", "u2", "u3"])
     score = F.round((F.col("d1") + F.col("u1")) * 1.0 + (F.col("d2") + F.col("u2")) * 0.5 + (F.col("d3") + F.col("u3")) * 0.3333, 4)
     depth = F.when(F.col("d3") + F.col("u3") > 0, 3).when(F.col("d2") + F.col("u2") > 0, 2).when(F.col("d1") + F.col("u1") > 0, 1).otherwise(0)
     return out.select("change_id", F.col("d1").alias("direct"), (F.col("d2") + F.col("d3")).alias("indirect"), score.alias("score"), depth.alias("max_depth"))

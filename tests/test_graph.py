@@ -134,3 +134,13 @@ def test_long_rings_and_ways_take_few_rounds(spark, monkeypatch):
     edges = {*ring(0, 90), *ring(100, 60), (100, 130), (89, 200), *((200 + k, 201 + k) for k in range(40)), (240, 100), *ring(300, 2), (300, 320), (320, 321), (321, 300), (400, 401), (401, 402), (402, 400), (401, 0)}
     got = {r.node: r.component for r in components.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
     assert got == _plain_components(edges) and len(rounds) < 60
+
+
+def test_changes_that_share_an_id_are_each_summed_once(spark):
+    """Names are looked up once: null types, names of no node, and changes with the same id are rows of their own."""
+    nodes = spark.createDataFrame([(1, "S.A", "TABLE", "S"), (2, "S.B", "TABLE", "S")], "node_id long, object_name string, object_type string, schema_name string")
+    edges = spark.createDataFrame([(1, 2, "FEEDS")], "src long, dst long, relationship_type string")
+    changes = spark.createDataFrame([(7, "TABLE", "s.a"), (7, "COLUMN", "S.A.C"), (8, None, "S.A"), (9, "SCHEMA", "S"), (10, "TABLE", None)], "change_id long, object_type string, object_identifier string")
+    got = sorted((r.change_id, r.direct, r.max_depth) for r in graph.impact_summaries(changes, nodes, edges).collect())
+    assert got == [(7, 1, 1), (7, 1, 1), (8, 1, 1), (9, 0, 0), (10, 0, 0)]
+    assert sorted((r.change_id, r.node_id) for r in graph.link_changes(changes, nodes).collect()) == [(7, 1), (7, 1), (8, 1)]
