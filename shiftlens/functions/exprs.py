@@ -50,8 +50,11 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def split_escaped(c: Column | str) -> Column:
-    """Fields between delimiters; an escaped delimiter stays part of its field, without the escape."""
-    return F.transform(F.split(col(c), rf"(?<!\\){DELIMITER}", -1), lambda x: F.replace(x, F.lit(f"\\{DELIMITER}"), F.lit(DELIMITER)))
+    """Fields between delimiters; an escaped delimiter stays part of its field, without the escape. Text without escapes is split at the plain sign,
+    which takes no pattern."""
+    text, escaped = col(c), F.lit(f"\\{DELIMITER}")
+    fields = F.transform(F.split(text, rf"(?<!\\){DELIMITER}", -1), lambda x: F.replace(x, escaped, F.lit(DELIMITER)))
+    return F.when(F.contains(text, escaped), fields).otherwise(F.split(text, DELIMITER, -1))
 
 
 def parse_int_lenient(c: Column | str) -> Column:

@@ -62,7 +62,7 @@ def _line_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         first = F.expr("filter(lines, x -> not x.blank)[0]")  # null where all are blank
         text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
         out = out.unionByName(parts.select(text.alias("value"), "file", first["block"].alias("block"), first["n"].alias("n"), (F.col("number") + 1).alias("number")).where("n is not null"))
-    return out.withColumn("value", F.regexp_replace("value", r"^[\r\n\t ]+|[\r\n\t ]+$", ""))
+    return out.withColumn("value", F.trim("value", F.lit("\r\n\t ")))
 
 
 def _records(spark: SparkSession, path: str | list[str], view: str) -> DataFrame:
@@ -70,7 +70,7 @@ def _records(spark: SparkSession, path: str | list[str], view: str) -> DataFrame
     if view in FIXED16:
         raw = _line_records(spark, path)
     else:
-        raw = _pieces(spark, path, lineSep="ENDREC").withColumns({"value": F.regexp_replace("value", r"^[\r\n]+|[\r\n]+$", ""), "number": F.lit(None).cast("long")}).where(F.trim("value") != "")
+        raw = _pieces(spark, path, lineSep="ENDREC").withColumns({"value": F.trim("value", F.lit("\r\n")), "number": F.lit(None).cast("long")}).where(F.trim("value") != "")
     raw = raw.select(F.make_valid_utf8("value").alias("record"), F.struct("file", "block", "n").alias("position"), "number")
     return raw.withColumn("fields", split_escaped("record"))
 
