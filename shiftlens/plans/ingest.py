@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shiftlens.functions.exprs import USAGE_TYPES, format_type, is_nullable, lookup, map_dataset_type, object_type_from_kind
 from shiftlens.operators import diff, graph, metrics, org, quality
 from shiftlens.sources import readers
+from shiftlens.sources.shared import stored
 
 log = logging.getLogger(__name__)
 
@@ -98,17 +99,27 @@ def resolve_entities(tables: DataFrame, snapshots: DataFrame) -> DataFrame:
     return per.join(F.broadcast(last), "source_system", "left").withColumn("is_active", F.col("last_seen") >= F.coalesce("_b", F.lit(0))).drop("_b")
 
 
-def ingest_usage(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usage events that resolve to a node, and outcome counts, from records(database_name, table_name, column_name, object_type, query_count,
-    distinct_user_count, last_accessed). Rows of columns go by the column's name, others by the table's."""
+def told_usage(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """records(database_name, table_name, column_name, object_type, query_count, distinct_user_count, last_accessed) with node_id and outcome. Rows of
+    columns go by the column's name, others by the table's."""
     column = F.col("object_type") == "Col"
     name = F.when(column, F.coalesce("column_name", "table_name")).otherwise(F.col("table_name"))
     rows = records.withColumns({"schema_name": F.col("database_name"), "object_name": name})
     told = metrics.usage_outcomes(metrics.resolve_usage(rows, nodes), USAGE_TYPES)
+    return told.select("node_id", "schema_name", "object_name", "object_type", "query_count", "distinct_user_count", "last_accessed", "outcome")
+
+
+def kept_usage(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usage events that resolve to a node, and outcome counts, from told_usage()."""
     kept = told.where("outcome = 'inserted'").select("node_id", "schema_name", "object_name", lookup(USAGE_TYPES, F.col("object_type")).alias("object_type"), "query_count", F.col("distinct_user_count").alias("user_count"), "last_accessed")
     return kept, told.groupBy("outcome", "object_type").agg(F.count("*").alias("n"))
 
 
+def ingest_usage(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usage events that resolve to a node, and outcome counts, from records as told_usage() takes them."""
+    return kept_usage(told_usage(records, nodes))
+
+
 def ingest_people(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """People by user name: the first row by `position` wins, filled in only where nothing is known."""
     return org.merge_first(existing, _placed(incoming), "username", "position")
@@ -170,12 +181,15 @@ def _some(spark: SparkSession, pattern: str) -> list[str]:
 def unified_import(spark: SparkSession, landing: str, snapshot_id: int) -> dict[str, DataFrame]:
     """A landing folder with catalog, usage and lineage files as one snapshot: the catalog's frames, then usage resolved to its nodes, then
     lineage documents (lineage*.json) attached to the same snapshot. Files that are not there give empty frames; without lineage there are no
-    lineage_* frames. Criticality counts usage if there are any usage rows. A record of a wrong arity makes the frame it belongs to fail."""
+    lineage_* frames. Criticality counts usage if there are any usage rows. Tables, nodes, edges and resolved usage are stored when this is called, as
+    other frames come from them, and usage files are read once; a record of a wrong arity in the files behind them makes the call fail, one in others the
+    frame it belongs to."""
     view = lambda pattern, name, **more: readers.read_view(spark, _some(spark, f"{landing}/{pattern}"), name, **more)
     made = build_snapshot(
         snapshot_id, view("databasesv_*.dat", "databases"), view("tablesv_*.dat", "tables", position=True), view("columnsv_*.dat", "columns"), view("indicesv_*.dat", "indices"), view("partitioningconstraintsv_*.dat", "partitioning"),
         view("tabletextv_*.dat", "tabletext"),
     )
+    made["tables"] = stored(made["tables"])
     nodes, edges = graph.build_graph(made["tables"], made["columns"])
     documents = _some(spark, f"{landing}/lineage*.json")
     if documents:
@@ -184,8 +198,8 @@ def unified_import(spark: SparkSession, landing: str, snapshot_id: int) -> dict[
         nodes = nodes.unionByName(attached["nodes"].select(nodes.columns)).distinct()
         fed = attached["edges"].select(F.upper("src_name").alias("src_name"), F.upper("dst_name").alias("dst_name"), F.lit("FEEDS").alias("relationship_type"))
         edges = edges.unionByName(fed).distinct()
-    nodes = nodes.withColumn("node_id", F.xxhash64("object_type", "object_name")).withColumn("schema_name", F.substring_index("object_name", ".", 1))
+    nodes = stored(nodes.withColumn("node_id", F.xxhash64("object_type", "object_name")).withColumn("schema_name", F.substring_index("object_name", ".", 1)))
     ids = nodes.groupBy("object_name").agg(F.min("node_id").alias("id"))
-    edges = edges.join(ids.toDF("src_name", "src"), "src_name").join(ids.toDF("dst_name", "dst"), "dst_name").select("src", "dst", "relationship_type")
-    usage, outcomes = ingest_usage(view("pdcr_object_usage_*.dat", "object_usage"), nodes)
+    edges = stored(edges.join(ids.toDF("src_name", "src"), "src_name").join(ids.toDF("dst_name", "dst"), "dst_name").select("src", "dst", "relationship_type"))
+    usage, outcomes = kept_usage(stored(told_usage(view("pdcr_object_usage_*.dat", "object_usage"), nodes)))
     return made | {"nodes": nodes, "edges": edges, "usage": usage, "outcomes": outcomes, "criticality": metrics.criticality(graph.node_metrics(nodes, edges), None if usage.isEmpty() else usage)}

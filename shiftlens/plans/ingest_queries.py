@@ -808,7 +808,8 @@ def ing8_unified_import(d):
     _written(d.usage, _OBJECT_USAGE, folder, "e")
     for files, new in (("a", "databasesv_full"), ("b", "tablesv_full"), ("c", "columnsv_full"), ("i", "indicesv_full"), ("e", "pdcr_object_usage_1")):
         _rename(d.spark, f"{folder}/{files}", folder, new)
-    pairs = d.lineitem.select(F.expr("'P' || (l_partkey % 50) || '.A'").alias("s"), F.expr("'Q' || (l_suppkey % 40) || '.B'").alias("t")).distinct()
+    keys = d.lineitem.select(F.expr("l_partkey % 50").alias("p"), F.expr("l_suppkey % 40").alias("q")).distinct()  # named only when they are few
+    pairs = keys.select(F.expr("'P' || p || '.A'").alias("s"), F.expr("'Q' || q || '.B'").alias("t"))
     ends = pairs.select(F.col("s").alias("k")).union(pairs.select("t")).distinct()
     edge = F.collect_list(F.struct(F.col("s").alias("sourceDatasetNaturalKey"), F.col("t").alias("targetDatasetNaturalKey"), F.lit("s1").alias("stepNaturalKey"), F.lit("D").alias("impactType")))
     dataset = F.collect_list(F.struct(F.col("k").alias("datasetNaturalKey"), F.lit("c").alias("containerNaturalKey"), F.lit("table").alias("datasetType")))

@@ -183,3 +183,36 @@ def test_query_log_over_days(spark, tmp_path):
     assert land("b", [(1, 1, 2, "x"), (3, 3, 1, "late")]) == {(1, "select x", 2), (2, "one", 1), (3, "late", 1)}
     # Days later: queries that are written stay as they are, open ones grow.
     assert land("c", [(1, 1, 1, "select "), (1, 1, 3, "!"), (3, 3, 2, "r")]) == {(1, "select x", 2), (2, "one", 1), (3, "later", 2)}
+
+
+def test_an_import_reads_its_files_once(spark, tmp_path):
+    head = "td§20240131T120000Z§2024-01-31T12:00:00§2024-01-31§"
+    table = lambda name: head + f"s§{name}§T§§§§2024-01-01 00:00:00§§§§§\n"
+    event = lambda name, kind, n: f"td§s§{name}§§1§{kind}§1§2§Y§{n}§1§2024-01-01 00:00:00ENDREC"
+    for name, text in {
+        "tablesv_full.dat": table("t1") + table("t2"), "columnsv_full.dat": head + "s§t2§t1_id§1§I§§§§Y§§§\n",
+        "pdcr_object_usage_1.dat": event("t1", "Tab", 5) + event("T1", "Tab", 2) + event("gone", "Tab", 1) + event("t2", "UDF", 1),
+    }.items():
+        (tmp_path / name).write_text(text)
+    made = ingest.unified_import(spark, str(tmp_path), 1)
+    for name in ("tables", "nodes", "edges", "usage", "outcomes", "criticality"):
+        assert not [f for f in made[name].inputFiles() if f.endswith(".dat")], name
+    assert sorted((r.object_name, r.query_count) for r in made["usage"].collect()) == [("T1", 2), ("t1", 5)]
+    assert sorted((r.outcome, r.n) for r in made["outcomes"].collect()) == [("inserted", 2), ("orphan", 1), ("unmapped_type", 1)]
+    assert {r.relationship_type: r.n for r in made["edges"].groupBy("relationship_type").agg(F.count("*").alias("n")).collect()} == {"DEPENDS_ON": 2, "FEEDS": 1}
+    assert sorted((r.object_name, r.usage_score) for r in made["criticality"].collect()) == [("S", 0.0), ("S.T1", 1.0), ("S.T2", 0.0)]
+
+
+def test_an_import_without_files(spark, tmp_path):
+    made = ingest.unified_import(spark, str(tmp_path), 1)
+    assert not any(df.count() for name, df in made.items() if name != "counts") and not any(r.seen or r.created for r in made["counts"].collect())
+
+
+def test_times_by_their_signs(spark):
+    forms = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss"]
+    good = ["2024-01-02 03:04:05", "2024-01-02T03:04:05", "2024-01-02 03:04:05.123456", "2024-01-02T03:04:05.123456", " 2024-01-02 03:04:05 "]
+    bad = ["", " ", ".", "T", "2024-01-02 03:04:05.", "2024-01-02", "2024-13-02 03:04:05", "2024-01-02 03:04:05T", "T2024-01-02 03:04:05.1", "2024-01-02 03:04:05.1", "2024-01-02 03:04:05.1234567", "soon", None]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    every = F.coalesce(*(F.try_to_timestamp(F.trim("t"), F.lit(f)).cast("timestamp_ntz") for f in forms))
+    got = df.select("t", exprs.parse_catalog_ts("t").alias("got"), every.alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and all(r.got for r in got if r.t in good)
