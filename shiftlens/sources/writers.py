@@ -111,11 +111,14 @@ def append_changes(df: DataFrame, root: str) -> bool:
 
 
 def roll_up(spark: SparkSession, root: str) -> None:
-    """Keep the table change_rollup up to date: the stored changes of pairs that it lacks are summed by object, those of others are not read."""
+    """Keep the table change_rollup up to date: the stored changes of pairs that it lacks are summed by object, those of others are not read. Changes that name
+    no objects have no rollup."""
     missing = partitions(spark, f"{root}/change_event", "snapshot_from", "snapshot_to") - partitions(spark, f"{root}/change_rollup", "snapshot_from", "snapshot_to")
     if missing:
         paths = [f"{root}/change_event/snapshot_from={a}/snapshot_to={b}" for a, b in sorted(missing)]
-        _write_pairs(change_rollup(spark.read.option("basePath", f"{root}/change_event").parquet(*paths)), f"{root}/change_rollup")
+        changes = spark.read.option("basePath", f"{root}/change_event").parquet(*paths)
+        if {"object_identifier", "object_type"} <= set(changes.columns):
+            _write_pairs(change_rollup(changes), f"{root}/change_rollup")
 
 
 def changes_between(spark: SparkSession, root: str, snapshot_from: int, snapshot_to: int, make: Callable[[], DataFrame]) -> DataFrame:
