@@ -157,7 +157,9 @@ def _document_files(lines: DataFrame, path: str, by: str = "file") -> str:
     """Each document in a file of its own, from (file, k, line): its lines by k, with commas between those of one k. A task sorts a document's lines, and holds none whole."""
     at = Window.partitionBy("file").orderBy("k", "line")
     comma = F.when(F.lag("k").over(at) == F.col("k"), F.lit(",")).otherwise(F.lit(""))
-    lines.select(F.col("file").alias(by), F.concat(comma, "line").alias("value")).write.partitionBy(by).text(path)
+    # The writer sorts by file alone what it doesn't see in order, and a sort that spills mixes the lines of a file: the order that the window leaves has to be said.
+    placed = lines.select("file", "k", "line", comma.alias("comma")).sortWithinPartitions("file", "k", "line")
+    placed.select(F.col("file").alias(by), F.concat("comma", "line").alias("value")).write.partitionBy(by).text(path)
     return path
 
 

@@ -68,3 +68,19 @@ def test_a_head_that_parts_a_sign(spark, tmp_path, monkeypatch):
         assert [len(r.content) for r in heads.collect()] == [16384] * 2
         got = {r.path.rsplit("/", 1)[1]: (r.format, r.content_type) for r in readers.detect_content(heads).collect()}
         assert got == {"x.dat": ("flat", "query_log"), "l.json": ("json", "lineage")}
+
+
+def test_a_sort_that_spills_leaves_documents_whole(spark, tmp_path):
+    """Sorters that write themselves out after 50 rows, as with documents of hundreds of MB."""
+    conf, key = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    edges = spark.range(3000).select((F.col("id") % 2).cast("string").alias("file"), (F.col("id") % 3).alias("k"), F.format_string('{"x":%d}', "id").alias("line"))
+    frame = {-1: F.lit('{"a":['), 0.5: F.lit('],"b":['), 1.5: F.lit('],"c":['), 4: F.lit("]}")}
+    conf.set(key, "50")
+    try:
+        path = ingest_queries._document_files(ingest_queries._lines(edges, edges.select("file").distinct(), frame), f"{tmp_path}/out", "document")
+    finally:
+        conf.remove(key)
+    for k in range(2):
+        (file,) = (tmp_path / f"out/document={k}").glob("part-*")
+        doc = json.loads(file.read_text())
+        assert {c: sorted(r["x"] for r in doc[c]) for c in "abc"} == {c: [x for x in range(3000) if x % 2 == k and x % 3 == j] for j, c in enumerate("abc")}
