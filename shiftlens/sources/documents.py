@@ -8,6 +8,7 @@ of the same form. A task sorts one block of a file; a row holds one record, or w
 
 from __future__ import annotations
 
+import itertools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -109,15 +110,26 @@ def take_apart(spark: SparkSession, path: str | list[str]) -> Apart:
     return Apart(stored(rest.select("file", F.when(whole, trimmed(joined("text", "mark"))).alias("marked"), F.when(whole, trimmed(joined("text"))).alias("text"))), records)
 
 
+#: Large files of which heads are read before they are written to the shared folder.
+_LOT = 1000
+
+
 def heads(spark: SparkSession, root: str, glob: str = "*", most: int = 16384) -> DataFrame:
-    """(path, content): the first bytes of the files below root. Of large files a task holds no more than pieces between quotes."""
-    opened = lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    files = opened().format("binaryFile").load(root)
-    small = files.where(F.col("length") <= LARGE).select("path", F.substring("content", 1, most).alias("content"))
-    if files.where(F.col("length") > LARGE).select("length").isEmpty():
-        return small
-    first = pieces(spark, root, recursiveFileLookup=True, pathGlobFilter=glob, lineSep='"').where("block = 0")
-    past = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.select("file", "n", F.left("value", F.lit(most)).alias("value")).withColumn("before", F.coalesce(F.sum(F.octet_length("value") + 1).over(past), F.lit(0))).where(F.col("before") < most)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), '"')
-    return small.unionByName(first.groupBy(F.col("file").alias("path")).agg(F.substring(F.to_binary(text, F.lit("utf-8")), 1, most).alias("content")))
+    """(path, content): the first bytes of the files below root. Small files are read by tasks. Of large ones no task or row holds more than these bytes, whatever
+    signs they are made of: Spark's readers know lines only, so the driver opens those files through Hadoop, one after the other, when this is called."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("binaryFile").load(root)
+    out = files.where(F.col("length") <= LARGE).select("path", F.substring("content", 1, most).alias("content"))
+    large = files.where(F.col("length") > LARGE).select("path").toLocalIterator()
+    while lot := list(itertools.islice(large, _LOT)):
+        first = spark.createDataFrame([(r.path, _first_bytes(spark, r.path, most)) for r in lot], "path string, content binary")
+        out = out.unionByName(stored(first))
+    return out
+
+
+def _first_bytes(spark: SparkSession, path: str, most: int) -> bytes:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(stream.readNBytes(most))
+    finally:
+        stream.close()

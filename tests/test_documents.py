@@ -84,3 +84,15 @@ def test_a_sort_that_spills_leaves_documents_whole(spark, tmp_path):
         (file,) = (tmp_path / f"out/document={k}").glob("part-*")
         doc = json.loads(file.read_text())
         assert {c: sorted(r["x"] for r in doc[c]) for c in "abc"} == {c: [x for x in range(3000) if x % 2 == k and x % 3 == j] for j, c in enumerate("abc")}
+
+
+def test_heads_of_files_without_quotes_or_lines(spark, tmp_path, monkeypatch):
+    """No row holds more of a large file than its head, whatever signs it is made of."""
+    (tmp_path / "a.dat").write_text("x" * 3_000_000)
+    (tmp_path / "b c%20é.json").write_text("{" + '"k": 1, ' * 300_000)
+    monkeypatch.setattr(documents, "LARGE", 100)
+    heads = documents.heads(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in heads.collect()} == {f.name: f.read_bytes()[:16384] for f in tmp_path.iterdir()}
+    assert "Window" not in heads._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(documents, "_LOT", 1)
+    assert documents.heads(spark, str(tmp_path), "*.dat").count() == 1 and documents.heads(spark, str(tmp_path)).count() == 2
