@@ -8,6 +8,11 @@ Frequencies are counted by units of UNIT documents: a unit sends each of its dis
 the part of all names in which it lies; the part adds up, and sends back only what two or more documents hold, so that whatever a unit doesn't get
 back is its own. No table of shingles is shared, and a shingle of all documents costs one entry a unit.
 
+In a large group of copies every shingle that they share is frequent by the copies alone, and weighs little beside what each has of its own: the larger the group, the fewer
+of its links reach the threshold. With `copies=False` links are verified by frequencies that count one document of each group, which is what buckets hold
+together: from each shingle's frequency the other documents of groups that hold it are taken off. Where these are half of it or more, it counts as held by one
+document: what is left are mostly copies that share no bucket. Samples are drawn by all documents in either case.
+
 Each of ROWS * BANDS samples draws a shingle and a quantised weight with the probability that two texts share; texts that
 agree on all samples of a band meet in a bucket. Similarity is the weighted Jaccard of two texts: sum of minima over sum of maxima.
 
@@ -135,41 +140,49 @@ def sample(name: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return shingle, level
 
 
-def held(docs: DataFrame, parts: int) -> DataFrame:
+def held(docs: DataFrame, parts: int, each: str | None = None) -> DataFrame:
     """(unit, part, names, n): for each unit of docs(unit, text) its distinct shingles in the order of their names, by part, and how many of
-    its documents hold each (8 and 2 bytes a shingle). A unit of many shingles, or one that two tasks read, comes in several pieces."""
+    its documents hold each (8 and 2 bytes a shingle). A unit of many shingles, or one that two tasks read, comes in several pieces.
+    each: the column that says for how many documents a row counts; n then has 8 bytes."""
     bounds = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
 
     def run(batches):
-        unit, names, size = None, [], 0
+        unit, names, times, size = None, [], [], 0
         for batch, data, offsets in slices(batches):
             units = batch.column("unit").to_pylist()
-            for own, (name, _) in zip(units, shingle_names(data, offsets), strict=True):
+            counts = batch.column(each).to_pylist() if each else [1] * len(units)
+            for own, n, (name, _) in zip(units, counts, shingle_names(data, offsets), strict=True):
                 if names and (own != unit or size >= _SENT):
-                    yield out(unit, names)
-                    names, size = [], 0
+                    yield out(unit, names, times)
+                    names, times, size = [], [], 0
                 unit = own
                 names.append(name)
+                times.append(n)
                 size += len(name)
         if names:
-            yield out(unit, names)
-
-    def out(unit, names):
-        name, n = np.unique(np.concatenate(names), return_counts=True)
+            yield out(unit, names, times)
+
+    def out(unit, names, times):
+        if each:
+            name, at = np.unique(np.concatenate(names), return_inverse=True)
+            n = np.zeros(len(name), np.int64)
+            np.add.at(n, at, np.repeat(np.array(times, np.int64), [len(x) for x in names]))
+        else:
+            name, n = np.unique(np.concatenate(names), return_counts=True)
         cut = np.concatenate([[0], np.searchsorted(name, bounds), [len(name)]])
         some = np.flatnonzero(np.diff(cut))
-        raw, few = name.astype("<u8"), n.astype("<u2")
+        raw, few = name.astype("<u8"), n.astype("<i8" if each else "<u2")
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(some), unit, np.int64)), pa.array(some.astype(np.int32)), pa.array([raw[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), pa.array([few[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())],
             ["unit", "part", "names", "n"],
         )
 
-    return docs.select("unit", "text").mapInArrow(run, "unit long, part int, names binary, n binary")
+    return docs.select("unit", "text", *[each] * bool(each)).mapInArrow(run, "unit long, part int, names binary, n binary")
 
 
-def counted(pieces: DataFrame) -> DataFrame:
-    """(unit, names, df): for each piece of held() those of its shingles that two or more documents hold, and how many do (8 and 4 bytes a
-    shingle). A task holds the names of one part."""
+def counted(pieces: DataFrame, least: int = 2, kind: str = "<u2") -> DataFrame:
+    """(unit, names, df): for each piece of held() those of its shingles that `least` or more documents hold, and how many do (8 and 4 bytes a
+    shingle). A task holds the names of one part. kind: of the counts in n."""
 
     def run(batches):
         rows, part = [], None
@@ -185,7 +198,7 @@ def counted(pieces: DataFrame) -> DataFrame:
 
     def out(rows):
         names = np.frombuffer(b"".join([r[2] for r in rows]), "<u8")
-        n = np.frombuffer(b"".join([r[3] for r in rows]), "<u2")
+        n = np.frombuffer(b"".join([r[3] for r in rows]), kind)
         order = np.argsort(names)
         ranked = names[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -196,7 +209,7 @@ def counted(pieces: DataFrame) -> DataFrame:
             units, own, of = [], [], []
             for row in rows[lot : lot + 1000]:
                 to = at + len(row[2]) // 8
-                some = np.flatnonzero(df[at:to] > 1) + at
+                some = np.flatnonzero(df[at:to] >= least) + at
                 if len(some):
                     units.append(row[1])
                     own.append(names[some].tobytes())
@@ -291,6 +304,45 @@ def signatures(units: DataFrame, frequencies: DataFrame, total: int) -> DataFram
     return texts.unionByName(told).repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "doc_id long, h0 long, h1 long, bands array<long>, df binary")
 
 
+def without_copies(step: Steps, texts: DataFrame, classes: DataFrame, met: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """texts(node, text, df) and the number of documents, both counting one document of each group: of classes(node, n) that buckets met(node, pivot) hold together.
+    A class has n documents."""
+    group = components(met.where("node <> pivot").selectExpr("pivot as a", "node as b"))
+    others = classes.join(group, "node").select("node", (F.col("n") - (F.col("node") == F.col("component")).cast("long")).alias("others"))
+    marked = step.stored(in_units(texts.join(others, "node")))
+    off, size = marked.agg(F.coalesce(F.sum("others"), F.lit(0)), F.sum(F.octet_length("text"))).first()
+    told = counted(held(marked, part_count(size), "others"), 1, "<i8").select("unit", F.lit(0).alias("kind"), "names", "df", F.lit(None).cast("long").alias("node"), F.lit(None).cast("string").alias("text"))
+    rows = marked.select("unit", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("names"), "df", "node", "text")
+
+    def run(batches):
+        unit, names, counts, known, of = None, [], [], None, None
+        for batch, data, offsets in slices(batches):
+            units, kind, df = batch.column("unit").to_pylist(), batch.column("kind").to_pylist(), batch.column("df").to_pylist()
+            told, rows, left = batch.column("names").to_pylist(), [], []
+            for k, (name, _) in enumerate(shingle_names(data, offsets)):
+                if units[k] != unit:
+                    unit, names, counts, known = units[k], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], None
+                if kind[k] == 0:
+                    names.append(np.frombuffer(told[k], "<u8"))
+                    counts.append(np.frombuffer(df[k], "<i4"))
+                    continue
+                if known is None:
+                    known, at = np.unique(np.concatenate(names), return_index=True)
+                    of, names, counts = np.append(np.concatenate(counts)[at], np.int32(0)), [], []
+                at = np.searchsorted(known, name)
+                found = np.zeros(len(name), bool)
+                inside = at < len(known)
+                found[inside] = known[at[inside]] == name[inside]
+                rows.append(k)
+                all_, off = np.frombuffer(df[k], "<i4"), np.where(found, of[at], np.int32(0))
+                left.append(np.where(off >= all_ - off, np.int32(1), all_ - off).astype("<i4").tobytes())
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), batch.column("text").take(pa.array(rows)), pa.array(left, pa.binary())], ["node", "text", "df"])
+
+    both = rows.unionByName(told).repartition("unit").sortWithinPartitions("unit", "kind")
+    return step.stored(both.mapInArrow(run, "node long, text string, df binary")), total - off
+
+
 def distances(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     """(a, b, d) for pairs(a, b), one minus weighted Jaccard of texts(node, text, df). The join on a comes last: rows of one a
     are then mostly neighbours, and its shingles are made once."""
@@ -374,9 +426,10 @@ def cross_links(step: Steps, members: DataFrame, texts: DataFrame, total: int, s
     return dealt.select("task", "side", "node", "own", "text", "df").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, copies: bool = True) -> DataFrame:
     """(doc_id, class_id, kept, h0, h1) of every row of docs(doc_id, text): class_id is the least doc_id that links reach, kept says
-    whether the row stands for its class, and h0, h1 name its text."""
+    whether the row stands for its class, and h0, h1 name its text. copies: whether all documents of a group count in the frequencies by which links are
+    verified, or one."""
     docs = docs.select("doc_id", "text")
     spark, apart = docs.sparkSession, 1 - similarity + 1e-9
     order = F.coalesce("doc_id", F.lit(int(_LAST)))
@@ -386,7 +439,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         frequencies = step.stored(counted(held(units, part_count(size))))
         told = step.stored(signatures(units, frequencies, total))
         signed_ = told.select("doc_id", "h0", "h1", "bands")
-        made = signed_.where("size(bands) > 0").groupBy("h0", "h1").agg(F.min(order).alias("o"), F.first("bands").alias("bands"))
+        made = signed_.where("size(bands) > 0").groupBy("h0", "h1").agg(F.min(order).alias("o"), F.first("bands").alias("bands"), F.count("*").alias("n"))
         classes = step.stored(made.withColumn("node", F.monotonically_increasing_id()))  # numbered as they are written
         members = classes.select("node", F.posexplode("bands").alias("band", "name"))
         # Tables of buckets are stored before classes are joined to them: Spark then knows their size, and can split a large bucket in the join.
@@ -398,6 +451,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         keyed = units.select(order.alias("o"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text").join(wanted, key).dropDuplicates(key)
         listed = told.select(order.alias("o"), "h0", "h1", "df").join(wanted.select(key), key).dropDuplicates(key)
         texts = step.stored(keyed.join(listed, key).select("node", "text", "df"))
+        if not copies:
+            texts, total = without_copies(step, texts, classes.select("node", "n"), met, total)
 
         def verified(stars: DataFrame) -> DataFrame:
             return step.stored(distances(stars.distinct(), texts, total).where(F.col("d") <= apart).select("a", "b"))

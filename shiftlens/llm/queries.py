@@ -27,7 +27,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents")).drop("h0", "h1")
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), copies=False).drop("h0", "h1")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

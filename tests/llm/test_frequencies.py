@@ -1,6 +1,7 @@
 """Near duplicates against weights whose document frequencies are exact for every shingle: what one weight for rare shingles changes."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -78,3 +79,45 @@ def test_rare_shingles_have_their_own_frequencies(spark):
     docs = spark.createDataFrame(list(lines.items()), "doc_id long, text string").repartition(3)
     own = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
     assert own[0] == own[1] == 0 and (own[18], own[19]) == (18, 19)
+
+
+def test_copies_of_a_large_group_do_not_make_it_common(spark):
+    """Near copies by frequencies that count one document of their group; texts that share a notice of many others stay apart."""
+    rng = random.Random(7)
+    w = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base, notice, texts = w(100), w(45), []
+    for k in range(120):
+        own = list(base)
+        for p in rng.sample(range(100), 1 + k % 3):
+            own[p] = w(1)[0]
+        texts.append(own)
+    texts += [texts[3]] * 30 + [notice + w(10) for _ in range(60)] + [w(60) for _ in range(900)]
+    lines = {k: " ".join(t) for k, t in enumerate(texts)}
+    bags, df = [_bag(lines[k]) for k in range(150)], Counter()
+    for t in lines.values():
+        df.update(_bag(t).keys())
+    grouped = Counter(s for b in bags for s in b)
+    total = len(lines) - 149
+    idf = {s: math.log((1 + total) / (1 + max(1, df[s] - max(0, grouped[s] - (s in bags[0]))))) + 1 for b in bags for s in b}
+    top = list(range(150))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    weights = [{s: n * idf[s] for s, n in b.items()} for b in bags]
+    whole = [sum(x.values()) for x in weights]
+    for i in range(150):
+        for j in range(i):
+            least = sum(min(x, weights[j][s]) for s, x in weights[i].items() if s in weights[j])
+            if least >= 0.8 * (whole[i] + whole[j] - least):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(lines.items()), "doc_id long, text string").repartition(3)
+    own = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs, copies=False).collect()}
+    want = [find(k) for k in range(150)]
+    assert len(set(want)) < 90 and sum(own[k] != want[k] for k in range(150)) <= 1
+    assert all(own[k] == k for k in range(150, len(lines)))
+    plain = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
+    assert len({plain[k] for k in range(150)}) > len(set(want)) + 20
