@@ -266,20 +266,34 @@ def traverse_columns(lineage: DataFrame, key: str, direction: str = "downstream"
     return seen.where("depth > 0")
 
 
+#: Up to so many walks an edge are made without looking for components first: the rounds of these cost more than the walks.
+_WALKS = 16
+
+
+def _walks(edges: DataFrame, length: int) -> float:
+    """How many walks of `length` of edges(src, dst) there are, by sums along the edges."""
+    ahead = edges.groupBy("src").agg(F.count("*").cast("double").alias("n"))
+    for _ in range(length - 1):
+        ahead = edges.join(ahead.toDF("dst", "n"), "dst").groupBy("src").agg(F.sum("n").alias("n"))
+    return ahead.agg(F.sum("n")).first()[0] or 0.0
+
+
 def detect_cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
-    """(cycle, length): simple cycles up to max_length, each once, from its smallest node on. They are looked for within strong components
-    only, so paths between them are never made; loops are cycles of length 1."""
-    own = strong_components(edges)
-    within = edges.select("src", "dst").distinct().join(own.toDF("src", "_s"), "src", "left").join(own.toDF("dst", "_d"), "dst", "left")
-    step = cut(within.where("_s = _d or src = dst").select("src", "dst"))
-    hop = step.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
-    now = step.select(F.col("src").alias("first"), F.col("dst").alias("last"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
-    out = now.where("first = last").select(F.col("path").alias("cycle"))
-    now = now.where("last > first")
-    for _ in range(2, max_length + 1):
-        nxt = now.join(hop, F.col("last") == F.col("_a"))
-        out = out.unionByName(nxt.where("_b = first").select(F.col("path").alias("cycle")))
-        now = nxt.where((F.col("_b") > F.col("first")) & ~F.array_contains("path", F.col("_b"))).select("first", F.col("_b").alias("last"), F.array_append("path", F.col("_b")).alias("path"))
+    """(cycle, length): simple cycles up to max_length, each once, from its smallest node on; loops are cycles of length 1. If an edge begins many walks of that length,
+    less one, cycles are looked for within strong components only, so that paths between them are never made. The last edge of a cycle is met by both its ends."""
+    step = cut(edges.select("src", "dst").distinct())
+    if max_length > 2 and _walks(step, max_length - 1) > _WALKS * step.count():
+        own = strong_components(step)
+        within = step.join(own.toDF("src", "_s"), "src", "left").join(own.toDF("dst", "_d"), "dst", "left")
+        step = cut(within.where("_s = _d or src = dst").select("src", "dst"))
+    hop = step.where("src <> dst").select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
+    out = step.where("src = dst").select(F.array("src").alias("cycle"))
+    now = step.where("dst > src").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    for length in range(2, max_length + 1):
+        out = out.unionByName(now.join(hop, (F.col("last") == F.col("_a")) & (F.col("first") == F.col("_b"))).select(F.col("path").alias("cycle")))
+        if length < max_length:
+            nxt = now.join(hop, F.col("last") == F.col("_a"))
+            now = nxt.where((F.col("_b") > F.col("first")) & ~F.array_contains("path", F.col("_b"))).select("first", F.col("_b").alias("last"), F.array_append("path", F.col("_b")).alias("path"))
     return out.distinct().withColumn("length", F.size("cycle"))
 
 

@@ -144,3 +144,20 @@ def test_changes_that_share_an_id_are_each_summed_once(spark):
     got = sorted((r.change_id, r.direct, r.max_depth) for r in graph.impact_summaries(changes, nodes, edges).collect())
     assert got == [(7, 1, 1), (7, 1, 1), (8, 1, 1), (9, 0, 0), (10, 0, 0)]
     assert sorted((r.change_id, r.node_id) for r in graph.link_changes(changes, nodes).collect()) == [(7, 1), (7, 1), (8, 1)]
+
+
+def test_cycles_with_and_without_components(spark, monkeypatch):
+    """Components are looked for where edges begin many walks, and only there; cycles are the same."""
+    called, plain = [], graph.strong_components
+    monkeypatch.setattr(graph, "strong_components", lambda e: called.append(1) or plain(e))
+    maps = {(k, (2 * k + 1) % 60) for k in range(60)} | {(k, (3 * k + 1) % 60) for k in range(0, 60, 3)}
+    hubs = {(a, 100 + b) for a in range(30) for b in range(3)} | {(100 + a, 200 + b) for a in range(3) for b in range(3)} | {(200 + a, 300 + b) for a in range(3) for b in range(300)} | {(300, 0), (0, 0), (7, None)}
+    found = lambda edges, n: sorted((*r.cycle, r.length) for r in graph.detect_cycles(spark.createDataFrame(list(edges), "src long, dst long"), n).collect())
+    few = found(maps, 4)
+    assert few and not called
+    many = found(hubs, 4)
+    assert len(called) == 1 and len(many) == 10 and (0, 100, 200, 300, 4) in many and (0, 1) in many
+    monkeypatch.setattr(graph, "_WALKS", 0)
+    assert found(maps, 4) == few and len(called) == 2
+    monkeypatch.setattr(graph, "_WALKS", 1e9)
+    assert found(hubs, 4) == many and found(hubs, 3) == found(hubs, 1) == [(0, 1)] and len(called) == 2
