@@ -1,9 +1,9 @@
 """JSON documents that are too large for one row, taken apart where their records end.
 
 A file is read in pieces that end with a brace. Whether a piece begins within a text, and how deep, is told by the quotes and brackets before it: they are summed
-within the file's blocks, and each block starts from the sum of those before it. A record is what lies between two commas of an array in the document's
+within the file's sections, which are blocks cut after so many pieces, and each section starts from the sum of those before it. A record is what lies between two commas of an array in the document's
 object. All but an array's first records are taken out, and a run of them leaves a mark, so that what remains is a small document
-of the same form. A task sorts one block of a file; a row holds one record, or what a document has beside them.
+of the same form. A task sorts sections, some megabytes each; a row holds one record, or what a document has beside them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from shiftlens.sources.shared import stored
 
 #: Bytes beyond which a file is not read as one row.
 LARGE = 16 << 20
+#: Pieces in a section, as a power of two: several windows of a task hold one at a time, and memory that they hold is not given back to each other.
+_SECTION_BITS = 15
 #: What stands in a document for a run of records: an object with the run, how many they are, and the rank of the first of them in the file.
 RUN, COUNT, FIRST = "shiftlens_run", "shiftlens_count", "shiftlens_first"
 
@@ -65,16 +67,17 @@ def _measured(raw: DataFrame) -> DataFrame:
 def take_apart(spark: SparkSession, path: str | list[str]) -> Apart:
     """The files above LARGE bytes. Their pieces are stored when this is called, with their measures and again with their places."""
     raw = stored(_measured(pieces(spark, path, lineSep="}")))
-    here = Window.partitionBy("file", "block").orderBy("n")
+    raw = raw.withColumn("section", F.shiftright("n", _SECTION_BITS))
+    here = Window.partitionBy("file", "block", "section").orderBy("n")
     past, till = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("block", "section").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     own = raw.withColumn("own", before("quotes", past) % 2)
     deeper = lambda odd: F.when(F.col("own") == odd, F.col("out")).otherwise(F.col("within"))
-    blocks = own.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum(deeper(0)).alias("d0"), F.sum(deeper(1)).alias("d1"))
-    blocks = blocks.withColumn("quoted", before("quotes", earlier) % 2).withColumn("d", F.when(F.col("quoted") == 0, F.col("d0")).otherwise(F.col("d1")))
-    blocks = blocks.select("file", "block", "quoted", before("d", earlier).alias("base"))
-    at = own.join(blocks, ["file", "block"]).withColumn("state", (F.col("quoted") + F.col("own")) % 2).withColumn("d", F.when(F.col("state") == 0, F.col("out")).otherwise(F.col("within")))
+    sections = own.groupBy("file", "block", "section").agg(F.sum("quotes").alias("quotes"), F.sum(deeper(0)).alias("d0"), F.sum(deeper(1)).alias("d1"))
+    sections = sections.withColumn("quoted", before("quotes", earlier) % 2).withColumn("d", F.when(F.col("quoted") == 0, F.col("d0")).otherwise(F.col("d1")))
+    sections = sections.select("file", "block", "section", "quoted", before("d", earlier).alias("base"))
+    at = own.join(sections, ["file", "block", "section"]).withColumn("state", (F.col("quoted") + F.col("own")) % 2).withColumn("d", F.when(F.col("state") == 0, F.col("out")).otherwise(F.col("within")))
     at = at.withColumn("depth", F.col("base") + before("d", past))
     at = at.withColumn("starts", (F.col("depth") <= 2) & (F.col("state") == 0))
     at = at.withColumn("ends", (F.col("depth") + F.col("d") <= 2) & ((F.col("state") + F.col("quotes")) % 2 == 0))
@@ -82,11 +85,11 @@ def take_apart(spark: SparkSession, path: str | list[str]) -> Apart:
     other = F.col("starts") & ~F.col("plain")
     last = lambda cond: F.last(F.when(cond, F.col("n")), ignorenulls=True).over(till)
     at = at.withColumns({"group": last(F.col("starts")), "run": last(other), "rank": F.count_if(F.col("plain")).over(till)})
-    at = stored(at.select("file", "block", "n", "size", "value", "starts", "ends", "plain", "group", "run", "rank"))
-    carried = at.groupBy("file", "block").agg(F.max(F.when(F.col("starts"), F.col("n"))).alias("g"), F.max(F.when(other, F.col("n"))).alias("o"), F.count_if("plain").alias("p"))
+    at = stored(at.select("file", "block", "section", "n", "size", "value", "starts", "ends", "plain", "group", "run", "rank"))
+    carried = at.groupBy("file", "block", "section").agg(F.max(F.when(F.col("starts"), F.col("n"))).alias("g"), F.max(F.when(other, F.col("n"))).alias("o"), F.count_if("plain").alias("p"))
     carry = lambda c: F.last(c, ignorenulls=True).over(earlier)
-    carried = carried.select("file", "block", carry("g").alias("g"), carry("o").alias("o"), before("p", earlier).alias("p"))
-    placed = at.join(carried, ["file", "block"]).withColumns({"group": F.coalesce("group", "g"), "run": F.coalesce("run", "o"), "rank": F.col("rank") + F.col("p")}).drop("g", "o", "p")
+    carried = carried.select("file", "block", "section", carry("g").alias("g"), carry("o").alias("o"), before("p", earlier).alias("p"))
+    placed = at.join(carried, ["file", "block", "section"]).withColumns({"group": F.coalesce("group", "g"), "run": F.coalesce("run", "o"), "rank": F.col("rank") + F.col("p")}).drop("g", "o", "p")
     alone = F.col("plain") & F.col("ends")
     parts = placed.where(~alone).groupBy("file", "group").agg(
         F.array_sort(F.collect_list(F.struct("block", "n", "value"))).alias("parts"), F.max("plain").alias("plain"), F.max("run").alias("run"), F.max("rank").alias("rank"),

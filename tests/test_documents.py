@@ -96,3 +96,17 @@ def test_heads_of_files_without_quotes_or_lines(spark, tmp_path, monkeypatch):
     assert "Window" not in heads._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(documents, "_LOT", 1)
     assert documents.heads(spark, str(tmp_path), "*.dat").count() == 1 and documents.heads(spark, str(tmp_path)).count() == 2
+
+
+def test_sections_of_a_block(spark, tmp_path, monkeypatch):
+    """No window holds a block whole, and documents are taken apart alike wherever a section ends."""
+    _files(tmp_path)
+    monkeypatch.setattr(documents, "LARGE", 0)
+
+    def found(bits):
+        monkeypatch.setattr(documents, "_SECTION_BITS", bits)
+        apart = documents.take_apart(spark, str(tmp_path))
+        return sorted((r.file, r.text or "") for r in apart.rest.collect()), sorted((r.file, r.rank, r.text) for r in apart.records.collect())
+
+    whole = found(40)
+    assert whole[0] and len(whole[1]) > 20 and found(1) == whole
