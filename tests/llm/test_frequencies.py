@@ -121,3 +121,12 @@ def test_copies_of_a_large_group_do_not_make_it_common(spark):
     assert all(own[k] == k for k in range(150, len(lines)))
     plain = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
     assert len({plain[k] for k in range(150)}) > len(set(want)) + 20
+
+
+def test_groups_of_odd_rows(spark):
+    """No rows, no words, and rows that share an id or have none, with frequencies that count one document of each group."""
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text), (1, text + " x"), (None, text), (2, ""), (3, None), (4, "one two")], "doc_id long, text string")
+    assert near_duplicates.near_duplicates(docs.limit(0), copies=False).count() == 0
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in near_duplicates.near_duplicates(docs, copies=False).collect())
+    assert got == [(0, 1, False), (1, 1, False), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True)]
